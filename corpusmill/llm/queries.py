@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import splits
-from corpusmill.runtime import table
+from pyspark.sql import functions as F
+
+from corpusmill.llm import neardup, splits
+from corpusmill.runtime import Stage, table
 
 
 def p1_found(spark, d):
@@ -18,5 +20,16 @@ def p1_shares(spark, d):
     return splits.split_shares(p1_assign(spark, d))
 
 
+def p3_groups(spark, d):
+    """One row per content that has a near or exact duplicate; the group is named by its smallest hash."""
+    members = Stage(neardup.near_duplicates(table(spark, d, "units")), "p3").df
+    named = members.groupBy("group_id").agg(F.min("doc_hash").alias("group_hash"), F.count("*").alias("members"))
+    return members.join(named, "group_id").select("group_hash", "doc_hash", "class_key", "links", "members")
+
+
+def p3_found(spark, d):
+    return neardup.group_pairs(neardup.near_duplicates(table(spark, d, "units")))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
