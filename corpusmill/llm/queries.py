@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import neardup, splits
+from corpusmill.llm import boilerplate, neardup, splits
 from corpusmill.runtime import Stage, table
 
 
@@ -31,5 +31,17 @@ def p3_found(spark, d):
     return neardup.group_pairs(neardup.near_duplicates(table(spark, d, "units")))
 
 
+def p5_found(spark, d):
+    return boilerplate.repeated_units(table(spark, d, "units"), table(spark, d, "origins"))
+
+
+def p5_cleaned(spark, d):
+    return boilerplate.without_repeated(table(spark, d, "units"), table(spark, d, "origins"))
+
+
+def p5_lines(spark, d):
+    return boilerplate.line_report(table(spark, d, "units"), table(spark, d, "origins"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
