@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import boilerplate, neardup, splits
+from corpusmill.llm import boilerplate, neardup, overlap, splits
 from corpusmill.runtime import Stage, table
 
 
@@ -43,5 +43,13 @@ def p5_lines(spark, d):
     return boilerplate.line_report(table(spark, d, "units"), table(spark, d, "origins"))
 
 
+def p2_found(spark, d):
+    return overlap.overlaps(table(spark, d, "seq"), table(spark, d, "seen")).select("seq_id", "sig")
+
+
+def p2_report(spark, d):
+    return overlap.overlap_report(table(spark, d, "seq"), table(spark, d, "seen"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
