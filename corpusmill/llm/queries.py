@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import boilerplate, neardup, overlap, splits
+from corpusmill.llm import boilerplate, leaks, neardup, overlap, splits
 from corpusmill.runtime import Stage, table
 
 
@@ -51,5 +51,13 @@ def p2_report(spark, d):
     return overlap.overlap_report(table(spark, d, "seq"), table(spark, d, "seen"))
 
 
+def p7_found(spark, d):
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_report(spark, d):
+    return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
