@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import boilerplate, leaks, neardup, overlap, splits
+from corpusmill.llm import boilerplate, leaks, neardup, overlap, pii, splits
 from corpusmill.runtime import Stage, table
 
 
@@ -59,5 +59,13 @@ def p7_report(spark, d):
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark, d):
+    return pii.find_personal(table(spark, d, "documents"), table(spark, d, "lexicon")).select("doc_id", "pii_type", "start_pos")
+
+
+def p8_redacted(spark, d):
+    return pii.redact_personal(table(spark, d, "documents"), table(spark, d, "lexicon"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
