@@ -7,10 +7,10 @@ neighbours with a common prefix of ``DEPTH`` characters or more form intervals,
 of evaluation and of training records matter. Their pairs give shared spans, which are merged to the coverage of each
 evaluation record by each training record; pairs with enough coverage are verified exactly by 3-gram similarity.
 
-An interval with too many pairs is cut by a longer common prefix (``DEEP``); if that is still too many, its suffixes
-are left to the record's other suffixes. A record of which less than a quarter of the suffixes are left is compared in
-an exact way instead: over its rarest 3-grams, one of which every similar text must share. So no pair is lost to a cap.
-Prefixes that more than one sampled suffix in ``HOT`` has are found beforehand and handled like such intervals, so that
+An interval with too many pairs is cut by a longer common prefix (12, then ``DEEP``); if that is still too many, its
+suffixes are left to the record's other suffixes. A record of which more than ``LEFT`` of the suffixes are left over so
+is compared in an exact way instead: over its rarest 3-grams, one of which every similar text must share. So a cap
+costs no pair that shares more than 40 % of its sampled suffixes. Prefixes that more than one sampled suffix in ``HOT`` has are found beforehand and handled like such intervals, so that
 no partition holds them all.
 
 Guarantee: texts of 20 characters or more with similarity 0.7 that differ by edits (substitution, insertion, deletion,
@@ -31,9 +31,11 @@ from corpusmill.llm import runs
 from corpusmill.runtime import Stage, shuffle_partitions
 
 DEPTH, WINDOW, DEEP = 8, 3, 16
-PAIRS = 4096  # pairs of one interval at one depth
+PAIRS = 64  # pairs of one interval at one depth
+LEFT = 0.4  # share of a record's suffixes in intervals that stay too large, beyond which it goes the exact way
+FEW_GRAMS = 2_000_000  # 3-grams sent to the tasks at most; beyond, they are joined
 HOT = 2000  # a prefix that one in so many sampled suffixes has is cut before the shuffle
-COVER = 0.15  # share of an evaluation text that sampled shared spans must cover
+COVER = 0.2  # share of an evaluation text that sampled shared spans must cover
 EVAL = ("validation", "test")
 
 
@@ -53,7 +55,8 @@ def _number(batches):
 
     at = TaskContext.get().partitionId() << 40
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + batch.num_rows)), *batch.columns], ["rec", *batch.schema.names])
+        sizes = [len(grams(t)) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + batch.num_rows)), *batch.columns, pa.array(sizes, pa.int64())], ["rec", *batch.schema.names, "n"])
         at += batch.num_rows
 
 
@@ -85,14 +88,16 @@ def _sampled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _columns(batch):
-    """Of each sampled suffix: its first 16 code points in four integers, the record and its side, the position."""
+    """Of each sampled suffix: its first 16 code points in four integers, the record and its side, the record's number of
+    3-grams and the position."""
     points, at, who = _sampled(batch.column(1).to_pylist())
     start = np.zeros(batch.num_rows + 1, np.int64)
     np.cumsum([len(t) + 2 for t in batch.column(1).to_pylist()], out=start[1:])
     rec = batch.column(0).to_numpy().astype(np.uint64)[who]
     held_out = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)[who]
     train = batch.column(3).to_numpy(zero_copy_only=False).astype(np.uint64)[who]
-    return [_packed(points, at, j) for j in (0, 4, 8, 12)], rec << np.uint64(2) | held_out << np.uint64(1) | train, (at - start[who]).astype(np.uint64)
+    size = batch.column(4).to_numpy().astype(np.uint64)[who]
+    return [_packed(points, at, j) for j in (0, 4, 8, 12)], rec << np.uint64(2) | held_out << np.uint64(1) | train, size << np.uint64(32) | (at - start[who]).astype(np.uint64)
 
 
 def _prefix(ks, depth: int) -> np.ndarray:
@@ -143,7 +148,7 @@ def _cross(start, size, held_out, train, limit):
     return np.concatenate(left or [none]), np.concatenate(right or [none]), over
 
 
-def _array(batches):
+def _array(batches, threshold: float):
     """Sorts the suffixes of each bucket and gives, for each evaluation and training record, the covered characters of
     the former (``chars``, at least) and for suffixes of intervals that stay too large a row without partner."""
     import pyarrow as pa
@@ -157,6 +162,7 @@ def _array(batches):
         if not len(rec):
             continue
         deep, pos = (pos & np.uint64(1)).astype(bool), (pos >> np.uint64(1)).astype(np.int64)
+        grams_of, pos = pos >> 32, pos & 0xFFFFFFFF
         held_out, train, who = (rec >> np.uint64(1) & np.uint64(1)).astype(bool), (rec & np.uint64(1)).astype(bool), (rec >> np.uint64(2)).astype(np.int64)
         # Where the common prefix with the suffix before is shorter than 8, 12 or 16 characters.
         cut8 = np.r_[True, (ks[0][1:] != ks[0][:-1]) | (ks[1][1:] != ks[1][:-1])]
@@ -175,8 +181,10 @@ def _array(batches):
         rows: list[tuple] = []
         skipped: list[np.ndarray] = []
 
-        def take(i, j, length, who=who, pos=pos, rows=rows):
-            rows.append((who[i], who[j], pos[i], np.full(len(i), length)))
+        def take(i, j, length, who=who, pos=pos, rows=rows, n=grams_of):
+            near = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9  # else they cannot be similar
+            i, j = i[near], j[near]
+            rows.append((who[i], who[j], pos[i], np.full(len(i), length), n[i]))
 
         todo = []
         for s, n in zip(start[mixed], size[mixed], strict=True):
@@ -193,19 +201,19 @@ def _array(batches):
         take(i, j, DEEP)
         for s, n in over + more:
             skipped.append(who[s : s + n][held_out[s : s + n]])
-        ev, tr, at, length = (np.concatenate([r[c] for r in rows]) for c in range(4))
+        ev, tr, at, length, size = (np.concatenate([r[c] for r in rows]) for c in range(5))
         order = np.lexsort((at, tr, ev))
-        ev, tr, at, length = ev[order], tr[order], at[order], length[order]
+        ev, tr, at, length, size = ev[order], tr[order], at[order], length[order], size[order]
         if len(ev):  # coverage: the union of the spans of a pair
             new = np.r_[True, (ev[1:] != ev[:-1]) | (tr[1:] != tr[:-1])]
             gap = np.where(new, length, np.minimum(length, np.maximum(0, at + length - np.r_[0, (at + length)[:-1]])))
             first = np.flatnonzero(new)
-            ev, tr, chars = ev[first], tr[first], np.add.reduceat(gap, first)
+            ev, tr, size, chars = ev[first], tr[first], size[first], np.add.reduceat(gap, first)
         else:
             chars = np.zeros(0, np.int64)
         lost, times = np.unique(np.concatenate(skipped or [np.zeros(0, np.int64)]), return_counts=True)
         n, m = len(ev), len(lost)
-        whole = pa.RecordBatch.from_arrays([pa.array(np.r_[ev, lost].astype(np.int64)), pa.array(np.r_[tr, np.zeros(m, np.int64)].astype(np.int64), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]), pa.array(np.r_[chars, times].astype(np.int64))], ["e", "t", "chars"])
+        whole = pa.RecordBatch.from_arrays([pa.array(np.r_[ev, lost].astype(np.int64)), pa.array(np.r_[tr, np.zeros(m, np.int64)].astype(np.int64), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]), pa.array(np.r_[chars, times].astype(np.int64)), pa.array(np.r_[size, np.zeros(m, np.int64)].astype(np.int64))], ["e", "t", "chars", "n"])
         for at0 in range(0, whole.num_rows, 50_000):
             yield whole.slice(at0, 50_000)
 
@@ -216,7 +224,7 @@ def _suffix_counts(batches):
     for batch in batches:
         if batch.num_rows:
             _, _, who = _sampled(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(who, minlength=batch.num_rows))], ["e", "suffixes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(who, minlength=batch.num_rows))], ["rec", "suffixes"])
 
 
 def _similar(batches, threshold: float):
@@ -241,13 +249,17 @@ def _similar(batches, threshold: float):
         yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
 
-def _grams_of(batches):
+def _grams_of(batches, wanted=None):
     import pyarrow as pa
 
     for batch in batches:
         sets = [grams(t) for t in batch.column(1).to_pylist()]
         sizes = np.array([len(s) for s in sets], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).astype(np.int64)), pa.array(np.repeat(sizes, sizes))], ["rec", "g", "n"])
+        rec, g, n = np.repeat(batch.column(0).to_numpy(), sizes), np.concatenate(sets or [np.zeros(0, np.uint64)]).astype(np.int64), np.repeat(sizes, sizes)
+        if wanted is not None:
+            among = np.isin(g, wanted.value)
+            rec, g, n = rec[among], g[among], n[among]
+        yield pa.RecordBatch.from_arrays([pa.array(rec), pa.array(g), pa.array(n)], ["rec", "g", "n"])
 
 
 def _by_rare_grams(few: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
@@ -255,9 +267,14 @@ def _by_rare_grams(few: DataFrame, records: DataFrame, threshold: float) -> Data
     n - ceil(threshold n) + 1 rarest 3-grams; ``few`` are evaluation records, compared with all training records."""
     from pyspark.sql.window import Window
 
-    of = lambda df: df.select("rec", "text").mapInArrow(_grams_of, "rec bigint, g bigint, n bigint")
+    of = lambda df, wanted=None: df.select("rec", "text").mapInArrow(lambda b: _grams_of(b, wanted), "rec bigint, g bigint, n bigint")
     mine = of(few)
-    theirs = of(records.where("in_train")).select(F.col("rec").alias("t"), "g").join(mine.select("g").distinct(), "g", "left_semi")
+    wanted = mine.select("g").distinct().limit(FEW_GRAMS + 1).toPandas()["g"].to_numpy()  # bounded by FEW_GRAMS
+    if len(wanted) <= FEW_GRAMS:
+        theirs = of(records.where("in_train"), records.sparkSession.sparkContext.broadcast(wanted))
+    else:
+        theirs = of(records.where("in_train")).join(mine.select("g").distinct(), "g", "left_semi")
+    theirs = theirs.select(F.col("rec").alias("t"), "g")
     counts = theirs.groupBy("g").agg(F.count("*").alias("df"))
     order = Window.partitionBy("rec").orderBy(F.coalesce("df", F.lit(0)), "g")
     rare = mine.join(counts, "g", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
@@ -271,25 +288,25 @@ def overlaps(seq: DataFrame, seen: DataFrame, min_chars: int = 20, threshold: fl
     parts = shuffle_partitions(spark)
     rows = Stage(seq.select("id", "split", "sig", "text").where(F.col("split").isin("train", *EVAL)).mapInArrow(lambda b: _fold(b, min_chars), "id bigint, split string, sig string, text string"), "folded")
     grouped = rows.df.groupBy("text").agg(F.bool_or(F.col("split") != "train").alias("held_out"), F.bool_or(F.col("split") == "train").alias("in_train"))
-    records = Stage(grouped.mapInArrow(_number, "rec bigint, text string, held_out boolean, in_train boolean"), "records")
+    records = Stage(grouped.mapInArrow(_number, "rec bigint, text string, held_out boolean, in_train boolean, n bigint"), "records")
     suffixes = records.df.agg(F.sum(F.length("text"))).first()[0] or 0
     frequent = records.df.mapInArrow(_count_frequent, "key bigint, n bigint, of bigint")
     total = max(1, suffixes * 2 // (WINDOW + 1))
     # A prefix over 1/HOT of all is over 1/HOT of some task; at most 2 HOT prefixes can reach half of it: a bounded list.
     hot = np.array([r[0] for r in frequent.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1000, total // (2 * HOT))).select("key").collect()], np.int64).view(np.uint64)
     buckets = runs.buckets_for(total, 6, parts)
-    found = Stage(records.df.mapInArrow(lambda b: _send(b, buckets, hot), "bucket int, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(_array, "e bigint, t bigint, chars bigint"), "spans")
-    spans = found.df.where("t is not null and e <> t").groupBy("e", "t").agg(F.sum("chars").alias("chars"))
+    found = Stage(records.df.mapInArrow(lambda b: _send(b, buckets, hot), "bucket int, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: _array(b, threshold), "e bigint, t bigint, chars bigint, n bigint"), "spans")
+    spans = found.df.where("t is not null and e <> t").groupBy("e", "t").agg(F.sum("chars").alias("chars"), F.max("n").alias("n"))
     lost = found.df.where("t is null").groupBy("e").agg(F.sum("chars").alias("lost"))
     texts = records.df.select("rec", "text")
-    weak = Stage(records.df.where("held_out").join(lost.withColumnRenamed("e", "rec"), "rec").select("rec", "text", "lost"), "weak")
     side = lambda name: texts.select(F.col("rec").alias(name), F.col("text").alias(f"text_{name}"))
-    covered = spans.join(side("e"), "e").where(F.col("chars") >= F.least(F.length("text_e") * COVER, F.lit(float(1 << 40)))).select("e", "t", "text_e")
-    if weak.rows:
-        whole = weak.df.select("rec", "text").mapInArrow(_suffix_counts, "e bigint, suffixes bigint").withColumnRenamed("e", "rec")
-        few = weak.df.join(whole, "rec").where("lost > 0.75 * suffixes").select("rec", "text")
-        exact = _by_rare_grams(few, records.df, threshold).where("e <> t").join(side("e"), "e").select("e", "t", "text_e")
-        covered = covered.unionByName(exact)
+    pairs_of_texts = spans.where(F.col("chars") >= F.col("n") * COVER).select("e", "t")
+    weak = records.df.where("held_out").join(lost.withColumnRenamed("e", "rec"), "rec").select("rec", "text", "lost")
+    suffixes_of = weak.select("rec", "text").mapInArrow(_suffix_counts, "rec bigint, suffixes bigint")
+    few = Stage(weak.join(suffixes_of, "rec").where(F.col("lost") > F.col("suffixes") * LEFT).select("rec", "text"), "few")
+    if few.rows:
+        pairs_of_texts = pairs_of_texts.unionByName(_by_rare_grams(few.df, records.df, threshold).where("e <> t"))
+    covered = pairs_of_texts.join(side("e"), "e")
     near = covered.join(side("t"), "t").select("e", "t", "text_e", "text_t").mapInArrow(lambda b: _similar(b, threshold), "e bigint, t bigint").distinct()
     linked = near.withColumn("how", F.lit("near")).unionByName(records.df.where("held_out and in_train").select(F.col("rec").alias("e"), F.col("rec").alias("t"), F.lit("same").alias("how")))
     involved = Stage(linked, "linked").df
