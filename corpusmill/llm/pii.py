@@ -32,7 +32,7 @@ _HIRA = r"ぁ-ゖ"
 
 # Words that stand beside names.
 BEFORE_NAME = ("氏名:", "名前:", "姓名:", "投稿者】", "発信者】", "发帖人】", "担当の", "担当者:", "联系人", "联系人:", "name:", "ask for ", "holder ", "attention ", "attn ", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "contact ")
-AFTER_NAME = ("さん(", "さんから", "様が", "様宛", "様で", "様の", "様へ", "様は", "様から", "先生の", "先生は", "先生,", "先生(", "先生到", "氏は", "氏が", "が店に来", "老师", "女士", "小姐", "先生", "到店里来", " replied from", " moved to", " called from", " wrote from")
+AFTER_NAME = ("さん(", "さんから", "様が", "様宛", "様で", "様の", "様へ", "様は", "様から", "先生の", "先生は", "先生,", "先生(", "先生到", "氏は", "氏が", "が店に来", "老师", "女士", "小姐", "先生", "到店里来", "收。", "收\n", "收\0", "收\r", "收，", " replied from", " moved to", " called from", " wrote from")
 LEAD_IN = ("担当の", "受付の", "昨日", "今日", "先日", "明日", "昨夜", "今朝", "昨天", "今天", "前天", "明天", "联系人", "联系人:", "请联系", "请找")
 NOT_AFTER_SURNAME = ("町", "市", "県", "村", "区", "郡", "府", "書店", "商店", "商事", "食堂", "医院", "病院", "歯科", "工業", "製作所", "记", "記", "书店", "公司", "集团", "诊所", "超市", "株式会社", "有限公司", "駅", "橋", "台", "坂", "通り", "小学", "中学", "高校", "大学")
 NOT_AFTER_LATIN = ("bookshop", "books", "ltd", "inc", "shop", "store", "street", "road", "lane", "avenue", "close", "row", "bakery", "cafe", "clinic", "hotel", "park", "station", "school", "bridge", "company", "group", "hall")
@@ -146,7 +146,10 @@ def _numbers(norm: str, points: np.ndarray, offer) -> None:
         return
     gap = start[1:] - stop[:-1]
     between = points[np.minimum(stop[:-1], len(points) - 1)]
-    joined = (gap == 1) & np.isin(between, np.array([0x20, 0x2D, 0x2E], points.dtype)) | (gap == 2) & (between == 0x29)
+    second = points[np.minimum(stop[:-1] + 1, len(points) - 1)]
+    # An area code in brackets belongs to what follows; any other bracket ends the number.
+    area = (points[np.maximum(start[:-1] - 1, 0)] == 0x28) & (stop[:-1] - start[:-1] <= 4) & (between == 0x29)
+    joined = (gap == 1) & np.isin(between, np.array([0x20, 0x2D, 0x2E], points.dtype)) | area & ((gap == 1) | (gap == 2) & np.isin(second, np.array([0x20, 0x2D], points.dtype)))
     first = np.r_[True, ~joined]
     group = np.cumsum(first) - 1
     total = np.bincount(group, stop - start)
@@ -173,10 +176,14 @@ def _numbers(norm: str, points: np.ndarray, offer) -> None:
         elif (chain[0] == "(" and chain.count(")") == 0) and _PHONE.fullmatch(chain[1:]):
             offer("PHONE", a + 1, z)
         else:
-            # Two numbers side by side, or a number behind a house number: the last whole phone of the chain.
-            for m in re.finditer(r"(?<![\d\-.])[+(]?\d", chain):
-                if m.start() and _digits(chain[m.start() :]) >= 10 and _PHONE.fullmatch(chain[m.start() :]) and chain[m.start()] in "+(":
-                    offer("PHONE", a + m.start(), z)
+            # A count or house number stands beside the number: what is left without it.
+            for part in (re.sub(r"^\d{1,3} ", "", chain), re.sub(r" \d{1,3}$", "", chain)):
+                at = a + chain.index(part)
+                if part != chain and _PHONE.fullmatch(part):
+                    offer("PHONE", at, at + len(part))
+                    break
+                if part != chain and (_ID_CN.fullmatch(part) or cued and _ID_JP.fullmatch(part)):
+                    offer("ID_NUMBER", at, at + len(part))
                     break
 
 
@@ -206,8 +213,6 @@ def _address(orig: str, norm: str, lo: int, at: int, end: int, hi: int, offer) -
             units = len(re.findall("[省市区县]" if chinese else "[県府都道市区町村郡]", whole[: re.search(r"\d", whole).start()]))
             if not units or head.isdigit() or (han and not (chinese and head in _ZH_STOP)):
                 continue
-            if not chinese and units < 2 and not re.search("丁目|番地|号", whole):
-                continue
             offer("ADDRESS", m.start(), m.end())
             return
 
@@ -257,9 +262,9 @@ def _name_after(orig: str, norm: str, lo: int, at: int, hi: int, lex: Lexicon, o
         if not m:
             return
         name = _FIELD.sub("", m.group())
-        for cut in ("さん", "様", "先生", "老师", "女士", "小姐", "が", "は", "です", "到店", "连络"):
+        for cut in ("さん", "様", "先生", "老师", "女士", "小姐", "が店", "です", "到店"):
             i = name.find(cut, 1)
-            if i > 0 and not (cut in "がは" and name[:i] in lex.surnames and False):
+            if i > 0:
                 name = name[:i]
         parts = re.split(r"[ 　・]", name)
         if len(parts) == 2 and not _plausible(name, lex) and re.fullmatch(rf"[{_HIRA}]+", parts[1]) is None and len(parts[1]) > 4:
@@ -291,6 +296,8 @@ def _name_before(orig: str, norm: str, lo: int, at: int, lex: Lexicon, strong: b
     if not m:
         return
     name = m.group()
+    if norm[at] == "收" and (_edge(norm, at - len(name) - 1) not in ",、:" or not 2 <= len(name) <= 4):
+        return
     changed = True
     while changed:
         changed = False
@@ -341,7 +348,7 @@ def find(texts: list[str | None], lex: Lexicon) -> list[list[tuple[str, int, int
                 if not (norm[at].isascii() and norm[at].isalpha() and _edge(norm, at - 1).isalnum()):
                     _name_after(joined, norm, lo, end, hi, lex, offer)
             elif what == "after":
-                strong = norm[at:end] not in ("先生", "様は", "様の", "様で", "様へ", "先生は", "小姐", "老师", "女士") or norm.startswith(("老师的", "女士(", "先生,", "先生的", "様でお待"), at)
+                strong = norm[at] == "收" or norm[at:end] not in ("先生", "様は", "様の", "様で", "様へ", "先生は", "小姐", "老师", "女士") or norm.startswith(("老师的", "女士(", "先生,", "先生的", "様でお待"), at)
                 _name_before(joined, norm, lo, at, lex, strong, offer)
             else:
                 # A lexicon word: a family name with a given name beside it, in either order.
