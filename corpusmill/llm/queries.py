@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm import boilerplate, leaks, neardup, overlap, pii, splits
+from corpusmill.llm import boilerplate, leaks, mixing, neardup, overlap, packing, pii, splits
 from corpusmill.runtime import Stage, table
 
 
@@ -51,6 +51,29 @@ def p2_report(spark, d):
     return overlap.overlap_report(table(spark, d, "seq"), table(spark, d, "seen"))
 
 
+def p4_mixed(spark, d):
+    return mixing.mix(table(spark, d, "docs"), table(spark, d, "mix_targets"))
+
+
+def p4_shares(spark, d):
+    return mixing.shares(table(spark, d, "docs"), table(spark, d, "mix_targets"))
+
+
+def p4_shares_full(spark, d):
+    """The mix as large as all train rows together: sources that are too small fall short, and siblings make up for them."""
+    docs = table(spark, d, "docs")
+    size = mixing.train_rows(docs).agg(F.sum("pairs")).first()[0] or 0
+    return mixing.shares(docs, table(spark, d, "mix_targets"), float(size))
+
+
+def p6_packed(spark, d):
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p6_fill(spark, d):
+    return packing.pack_report(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
 def p7_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
