@@ -2,5 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers ``f(spark, sf_dir)`` under ``name``, with its SQL twin for DuckDB."""
+
+    def register(f):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+for _module in ("text", "structure", "io", "corpus", "ranking", "sequences"):
+    importlib.import_module(f"corpusmill.plans.{_module}")
