@@ -1 +1,270 @@
+"""Queries of segmentation, key sequences and labels."""
 
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+
+from corpusmill.functions import keys as k
+from corpusmill.functions import segment as s
+from corpusmill.functions import text as t
+from corpusmill.operators import annotations as ann
+from corpusmill.plans.registry import query
+from corpusmill.runtime import table
+
+#: A fixture of syllables; a full table is a parameter of the functions.
+SYLLABLES = frozenset(a + b for a in ("b", "d", "g", "zh", "sh", "l", "n", "") for b in ("a", "ai", "an", "ang", "ao", "e", "en", "eng", "i", "u", "uo") if a + b)
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents").where("text is not null")
+
+
+@query("seg01")
+def seg01(spark, d):
+    return _documents(spark, d).select("doc_id", F.posexplode(s.sentences(F.col("text"))).alias("sentence_index", "s")).select("doc_id", "sentence_index", "s.text", "s.start", "s.end", "s.terminated", F.array_join("s.flags", ",").alias("flags"))
+
+
+@query("seg01_plain", r"select item_id, count(*) as sentences, sum(length(x)) as chars from (select item_id, unnest(regexp_extract_all(text,'[^。！？!?\n]+[。！？!?]+')) as x from eval_items where not regexp_matches(text,'[「」『』（）()【】［］\[\]〈〉《》｛｝{}]|http')) group by 1")
+def seg01_plain(spark, d):
+    """The part of sentence splitting that regular expressions can say: texts without brackets."""
+    e = table(spark, d, "eval_items").where(~F.col("text").rlike(r"[「」『』（）()【】［］\[\]〈〉《》｛｝{}]|http"))
+    x = F.explode(s.sentences(F.col("text"))).alias("s")
+    return e.select("item_id", x).where("s.terminated").groupBy("item_id").agg(F.count("*").alias("sentences"), F.sum(F.length("s.text")).alias("chars"))
+
+
+@query("seg02")
+def seg02(spark, d):
+    join = s.array_udf(lambda x: [s.join_reason(a, b) or "" for a, b in zip(x.split("\n"), x.split("\n")[1:], strict=False)], StringType())
+    return _documents(spark, d).select("doc_id", F.posexplode(join(F.col("text"))).alias("line", "reason")).where("reason <> ''")
+
+
+@query("seg03")
+def seg03(spark, d):
+    ahead = s.array_udf(lambda x: [str(i) for i, line in enumerate(x.split("\n")) if s.open_brackets(line) and s.closes_ahead(x.split("\n")[i : i + 5], 0)], StringType())
+    return _documents(spark, d).select("doc_id", F.explode(ahead(F.col("text"))).alias("line"))
+
+
+@query("seg04")
+def seg04(spark, d):
+    return _documents(spark, d).select("doc_id", F.posexplode(s.paragraphs(F.col("text"))).alias("paragraph_index", "p")).select("doc_id", "paragraph_index", "p.*")
+
+
+_SPANS = "array<struct<block_id:string,start:int,end:int>>"
+
+
+@query("seg05", """with p as (select distinct doc_hash, paragraph_index, sentence_index, from_json(spans,'[{"block_id":"VARCHAR","start":"INTEGER","end":"INTEGER"}]') as parts from units where spans is not null),
+x as (select *, unnest(parts) as b from p) select doc_hash, paragraph_index, sentence_index, b.block_id as block_id, greatest(10,b.start)-b.start as "start", least(40,b."end")-b.start as "end" from x where greatest(10,b.start)<least(40,b."end")""")
+def seg05(spark, d):
+    """What of each unit's blocks lies in characters 10 to 40 of its paragraph."""
+    u = table(spark, d, "units").where("spans is not null").select("doc_hash", "paragraph_index", "sentence_index", "spans").distinct()
+    parts = F.from_json("spans", _SPANS)
+    return u.select("doc_hash", "paragraph_index", "sentence_index", F.explode(s.clip_spans(F.lit(10), F.lit(40), parts)).alias("b")).select("doc_hash", "paragraph_index", "sentence_index", "b.*")
+
+
+@query("seg06")
+def seg06(spark, d):
+    docs = _documents(spark, d).select(F.sha2(t.normal_document(F.col("text")), 256).alias("doc_hash"), t.normal_document(F.col("text")).alias("text")).dropDuplicates(["doc_hash"])
+    return s.documents_to_units(docs)
+
+
+@query("seg07")
+def seg07(spark, d):
+    kind = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("span", StringType())])
+    spans = s.array_udf(lambda x: [{"start": a, "end": b, "span": c} for a, b, c in s.candidate_spans(x)], kind)
+    return table(spark, d, "eval_items").select("item_id", F.explode(spans(F.col("text"))).alias("x")).select("item_id", "x.*")
+
+
+def _lexicon(spark, d):
+    rows = table(spark, d, "lexicon").where("word is not null").groupBy("word").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight")).limit(1_000_001).collect()
+    if len(rows) > 1_000_000:
+        raise ValueError("the lexicon is too large to be sent to the tasks")
+    return spark.sparkContext.broadcast([(r["word"], r["word"], max(1.0, r["weight"])) for r in rows])
+
+
+def _with_dictionary(words, f):
+    """Arrow-batched: ``f(dictionary, text) -> list of strings``, the dictionary built once in each worker."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def over(texts: pd.Series) -> pd.Series:
+        book = s.Dictionary(words.value)
+        return texts.map(lambda x: f(book, x or ""))
+
+    return over
+
+
+@query("seg08")
+def seg08(spark, d):
+    f = _with_dictionary(_lexicon(spark, d), lambda book, x: list(s.greedy_phrases(x, frozenset(book.best), book.longest)))
+    return table(spark, d, "eval_items").select("item_id", F.posexplode(f(F.col("left_context"))).alias("pos", "phrase"))
+
+
+@query("seg09")
+def seg09(spark, d):
+    f = _with_dictionary(_lexicon(spark, d), lambda book, x: book.segment(x))
+    return table(spark, d, "eval_items").select("item_id", F.posexplode(f(F.col("left_context"))).alias("pos", "word"))
+
+
+@query("top05")
+def top05(spark, d):
+    f = _with_dictionary(_lexicon(spark, d), lambda book, x: ["|".join(p) for _, p in book.paths(x, 3)])
+    return table(spark, d, "eval_items").where("left_context is not null").select("item_id", F.posexplode(f(F.substring("left_context", 1, 24))).alias("rank", "path"))
+
+
+@query("seg10")
+def seg10(spark, d):
+    """A span of each item, its length drawn by weight from the item's hash."""
+    x = F.col("text")
+    u = t.hash_fraction(F.lit("span:"), F.col("item_id").cast("string"))
+    n = F.when(u < 0.5, 2).when(u < 0.8, 4).otherwise(8)
+    at = (t.hash_fraction(F.lit("at:"), F.col("item_id").cast("string")) * F.greatest(F.length(x) - n, F.lit(1))).cast("int") + 1
+    return table(spark, d, "eval_items").select("item_id", n.alias("span_length"), F.substr(x, at, n).alias("span"))
+
+
+def _keys(name):
+    return F.regexp_replace(F.lower(name), "[^a-z]", "")
+
+
+def _parts(spark, d):
+    return table(spark, d, "part").select("p_partkey", _keys(F.col("p_name")).alias("keys")).where("keys <> ''")
+
+
+def _map(f, kind):
+    @F.pandas_udf(kind)
+    def over(x: pd.Series) -> pd.Series:
+        return x.map(f)
+
+    return over
+
+
+@query("key01")
+def key01(spark, d):
+    kind = StructType([StructField("reading", StringType()), StructField("agreed", BooleanType())])
+
+    @F.pandas_udf(kind)
+    def vote(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([k.majority([x, y, z]) for x, y, z in zip(a, b, c, strict=True)], columns=["reading", "agreed"])
+
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", vote("o_orderstatus", F.substring("o_orderpriority", 1, 1), F.substring("o_orderstatus", 1, 1)).alias("v")).select("o_orderkey", "v.*")
+
+
+@query("key02", "select word, count(distinct kind) as kinds, count(distinct lang) as langs, count(distinct kind)=1 and count(distinct lang)=1 as agreed from lexicon where word is not null group by 1")
+def key02(spark, d):
+    """Words on whose entries two dictionaries agree; the readers themselves are pluggable tables."""
+    g = table(spark, d, "lexicon").where("word is not null").groupBy("word").agg(F.count_distinct("kind").alias("kinds"), F.count_distinct("lang").alias("langs"))
+    return g.withColumn("agreed", (F.col("kinds") == 1) & (F.col("langs") == 1))
+
+
+@query("key03")
+def key03(spark, d):
+    styles = ["full", "initials", "apostrophes", "mixed"]
+    f = s.array_udf(lambda x: [k.spell(x.split(), style, 42) for style in styles], StringType())
+    return table(spark, d, "nation").select("n_nationkey", F.posexplode(f(F.lower("n_name"))).alias("style", "keys"))
+
+
+@query("key04")
+def key04(spark, d):
+    f = s.array_udf(k.fuzzy, StringType())
+    return _parts(spark, d).select("p_partkey", F.explode(f(F.col("keys"))).alias("swapped"))
+
+
+@query("key05")
+def key05(spark, d):
+    kinds = ["substitute", "delete", "insert", "transpose"]
+    f = s.array_udf(lambda x: [k.mistype(x, kind, 42) for kind in kinds], StringType())
+    return _parts(spark, d).select("p_partkey", F.posexplode(f(F.col("keys"))).alias("kind", "keys"))
+
+
+_SYL = "|".join(sorted(SYLLABLES, key=lambda x: (-len(x), x)))
+
+
+@query("key06", f"select p_partkey, regexp_full_match(regexp_replace(lower(p_name),'[^a-z]','','g'),'({_SYL})+') as valid from part where regexp_replace(lower(p_name),'[^a-z]','','g')<>''")
+def key06(spark, d):
+    return _parts(spark, d).select("p_partkey", F.col("keys").rlike(rf"^(?:{_SYL})+$").alias("valid"))
+
+
+@query("key07")
+def key07(spark, d):
+    """Repairs of two drawn syllables with one wrong key."""
+    known = sorted(SYLLABLES)
+
+    def fix(n):
+        typed = k.mistype(known[k.draw(len(known), 1, n)] + known[k.draw(len(known), 2, n)], "substitute", 42)
+        return k.repairs(typed, SYLLABLES)
+
+    f = s.array_udf(fix, StringType())
+    return table(spark, d, "part").select("p_partkey", F.explode(f(F.col("p_partkey").cast("string"))).alias("repair"))
+
+
+@query("key08")
+def key08(spark, d):
+    f = s.array_udf(lambda x: k.abbreviations([[w] for w in x.lower().split()], 42), StringType())
+    return table(spark, d, "part").select("p_partkey", F.posexplode(f(F.col("p_name"))).alias("form", "keys"))
+
+
+@query("key09", "select p_partkey, list_sum(list_transform(string_split(lower(p_name),' '), lambda w: length(w)+1))::bigint as keystrokes from part where p_name is not null")
+def key09(spark, d):
+    cost = F.aggregate(F.split(F.lower("p_name"), " "), F.lit(0), lambda a, w: a + F.length(w) + 1)
+    return table(spark, d, "part").where("p_name is not null").select("p_partkey", cost.cast("bigint").alias("keystrokes"))
+
+
+def _units(spark, d):
+    return table(spark, d, "units").select("doc_hash", "paragraph_index", "sentence_index", "text").distinct()
+
+
+def _labels(spark, d):
+    """First sentences as labelled records: dropped if they are short."""
+    u = _units(spark, d).where("paragraph_index = 0 and sentence_index = 0")
+    return u.select("doc_hash", "paragraph_index", "sentence_index", F.col("text").alias("snapshot"), F.when(F.length("text") < 12, "drop").otherwise("keep").alias("action"))
+
+
+_KEYS = ["doc_hash", "paragraph_index", "sentence_index"]
+_U = "(select distinct doc_hash, paragraph_index, sentence_index, text from units)"
+_L = f"(select doc_hash, paragraph_index, sentence_index, text as snapshot, case when length(text)<12 then 'drop' else 'keep' end as action from {_U} where paragraph_index=0 and sentence_index=0)"
+
+
+@query("ann01", f"select coalesce(l.action,'none') as action, count(*) as units from {_U} u left join {_L} l using (doc_hash, paragraph_index, sentence_index) group by 1")
+def ann01(spark, d):
+    return ann.apply_labels(_units(spark, d), _labels(spark, d), _KEYS, default="none").groupBy("action").agg(F.count("*").alias("units"))
+
+
+@query("ann02", f"select doc_hash, snapshot, (select count(*) from {_U} u where u.doc_hash=l.doc_hash and u.text=l.snapshot) as matches from {_L} l where action='drop'")
+def ann02(spark, d):
+    fragments = _labels(spark, d).where("action = 'drop'").select("doc_hash", "snapshot")
+    return ann.match_fragments(fragments, _units(spark, d).withColumnRenamed("text", "snapshot"), ["doc_hash", "snapshot"])
+
+
+@query("ann03", "select distinct doc_hash from aliases where doc_hash is not null and doc_hash not in (select doc_hash from contents where doc_hash is not null)")
+def ann03(spark, d):
+    labels = table(spark, d, "aliases").where("doc_hash is not null").select("doc_hash").distinct()
+    return ann.unmatched(labels, table(spark, d, "contents"), ["doc_hash"])
+
+
+@query("ann04", "select doc_hash, case when group_id in (select group_id from contents where split_rank=2) then 0 else coalesce(split_rank,0) end as split_rank from contents")
+def ann04(spark, d):
+    """Groups with a test content stand for labelled groups: all their members go to train."""
+    c = table(spark, d, "contents")
+    forced = c.where("split_rank = 2 and group_id is not null").select("group_id").distinct().withColumn("forced", F.lit(True))
+    return c.join(forced, "group_id", "left").select("doc_hash", F.when(F.col("forced"), 0).otherwise(F.coalesce("split_rank", F.lit(0))).alias("split_rank"))
+
+
+@query("ann05", f"select action, count(*) as labels from (select * from {_L} where action='keep' union all select * from {_L} where action='drop') group by 1")
+def ann05(spark, d):
+    ledger, approved = (_labels(spark, d).where(f"action = '{a}'") for a in ("keep", "drop"))
+    return ann.require_unique(ann.union_all(ledger, approved), *_KEYS).groupBy("action").agg(F.count("*").alias("labels"))
+
+
+@query("ann06", rf"select stratum, count(*) as units from (select unnest(list_filter([case when length(text)>60 then 'long' end, case when regexp_matches(text,'[A-Za-z]') then 'latin' end, case when regexp_matches(text,'[0-9]') then 'digits' end, case when regexp_matches(text,'[「」()（）]') then 'brackets' end, case when length(text)<10 then 'fragment' end], lambda x: x is not null)) as stratum from {_U}) group by 1")
+def ann06(spark, d):
+    x = F.col("text")
+    rules = {"long": F.length(x) > 60, "latin": x.rlike("[A-Za-z]"), "digits": x.rlike("[0-9]"), "brackets": x.rlike("[「」()（）]"), "fragment": F.length(x) < 10}
+    return ann.strata(_units(spark, d), rules).groupBy("stratum").agg(F.count("*").alias("units"))
+
+
+@query("ann07", "with a as (select o_custkey as batch, count(*) n from orders group by 1), b as (select o_custkey as batch, count(*) n from orders where o_orderstatus<>'P' group by 1) select a.batch, coalesce(a.n=b.n,false) as accepted from a left join b using (batch)")
+def ann07(spark, d):
+    """Customers as batches of requests, their settled orders as replies."""
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "batch")
+    return ann.reply_check(o, o.where("o_orderstatus <> 'P'"), "batch", "o_orderkey")

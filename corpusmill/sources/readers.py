@@ -1,0 +1,149 @@
+"""Readers: each gives a DataFrame of a fixed schema and fails the query on input that does not fit."""
+
+from __future__ import annotations
+
+import tomllib
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
+
+from corpusmill.operators.annotations import require, require_unique
+
+
+def documents(spark: SparkSession, path: str, source: str, id_column: str = "id", text_column: str = "text") -> DataFrame:
+    """Parquet documents as ``(source, source_id, doc_id, text, source_file, row_index, metadata)``; text and id must not be null; all other columns go to ``metadata``."""
+    raw = spark.read.parquet(path)
+    rest = [c for c in raw.columns if c not in (id_column, text_column)]
+    meta = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in rest]), F.array(*[F.col(f"`{c}`").cast("string") for c in rest])), lambda k, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
+    checked = require(raw.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")}), F.col(text_column).isNotNull() & F.col(id_column).isNotNull(), "documents: null text or id")
+    sid = F.col(id_column).cast("string")
+    return checked.select(F.lit(source).alias("source"), sid.alias("source_id"), F.concat(F.lit(f"{source}:"), sid).alias("doc_id"), F.col(text_column).alias("text"), F.col("_file").alias("source_file"), F.col("_row").alias("row_index"), meta.alias("metadata"))
+
+
+def sentence_tsv(spark: SparkSession, path: str, language: str = "jpn") -> DataFrame:
+    """Three fields a line, quotes literal: ``(source_id, text)``. Another language or number of fields is an error."""
+    f = F.split(F.regexp_replace("value", "^﻿", ""), "\t", -1)
+    lines = spark.read.text(path).select(f.alias("f"))
+    checked = require(lines, (F.size("f") == 3) & (F.col("f")[1] == language), "sentence file: wrong language or number of fields")
+    return checked.select(F.col("f")[0].alias("source_id"), F.col("f")[2].alias("text"))
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files, split by byte ranges; an empty line is an error."""
+    return require(spark.read.text(path), F.length("value") > 0, "text file: empty line").select(F.col("value").alias("text"))
+
+
+def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def dialogues(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of ``{"dialogue": n, "turns": [text, ...]}`` as ``(dialogue, turn, text)``."""
+    raw = json_lines(spark, path, "dialogue bigint, turns array<string>")
+    return raw.select("dialogue", F.posexplode("turns").alias("turn", "text"))
+
+
+def zipped_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The JSON documents inside zip archives, one row each; archives are opened where they are read."""
+
+    def opened(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            names, texts = [], []
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in sorted(z.namelist()):
+                        if member.endswith(".json"):
+                            names.append(f"{file}!{member}")
+                            texts.append(z.read(member).decode("utf-8-sig"))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["member", "json"])
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return raw.mapInArrow(opened, "member string, json string").select("member", F.from_json("json", schema, {"mode": "FAILFAST"}).alias("doc"))
+
+
+def utterances_csv(spark: SparkSession, path: str, schema: str, group: str, order: str, text: str) -> DataFrame:
+    """CSV with a header, the texts of each group in order."""
+    raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    return raw.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("texts"))
+
+
+def authored_tsv(spark: SparkSession, path: str, train_authors: Column) -> DataFrame:
+    """``(id, author, text, role)``; authors for whom ``train_authors`` holds have the role train."""
+    f = F.split("value", "\t", -1)
+    return spark.read.text(path).select(f[0].alias("id"), f[1].alias("author"), f[2].alias("text")).withColumn("role", F.when(train_authors, "train").otherwise("open"))
+
+
+def sampled_scan(df: DataFrame, share: float, seed: int, *key: str) -> DataFrame:
+    """A share of the rows by the hash of their key; the same rows whatever the layout of the files."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def inspect(df: DataFrame, column: str) -> DataFrame:
+    """Rows, nulls, and length figures of a text column."""
+    n = F.length(column)
+    return df.agg(F.count("*").alias("rows"), F.count_if(F.col(column).isNull()).alias("nulls"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n).alias("chars"))
+
+
+def rows_at(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows at given places, e.g. ``(source_file, row_index)``; every place must exist once."""
+    found = wanted.select(*keys).distinct().join(df, keys, "left")
+    return require_unique(require(found, F.coalesce(*[F.col(c).isNotNull() for c in df.columns if c not in keys][:1] or [F.lit(True)]), "a wanted row is missing"), *keys)
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """The body of a dictionary file, after the line ``...``: ``(word, code, weight)``; comments and short lines are left out."""
+
+    lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.split(F.regexp_replace("value", r"(?s)\A.*?\n\.\.\.[ \t]*\n", ""), "\n")).alias("line"))
+    f = F.split("line", "\t")
+    return lines.where(~F.col("line").startswith("#") & (F.size(f) >= 2)).select(f[0].alias("word"), f[1].alias("code"), F.coalesce(F.try_element_at(f, F.lit(3)).try_cast("double"), F.lit(1.0)).alias("weight"))
+
+
+def rules(path: str) -> dict:
+    """Term rules from TOML: ``[categories]`` of term lists, ``weak``, ``domains``. A weak term that no category has is an error."""
+    with open(path, "rb") as f:
+        raw = tomllib.load(f)
+    terms = {t: c for c, ts in raw.get("categories", {}).items() for t in ts}
+    unknown = sorted(set(raw.get("weak", [])) - set(terms))
+    if unknown:
+        raise ValueError(f"weak terms without category: {unknown}")
+    return {"terms": terms, "weak": list(raw.get("weak", [])), "domains": dict(raw.get("domains", {}))}
+
+
+def label_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of people with schema, kinds and uniqueness checked."""
+    raw = json_lines(spark, path, "id string, doc_hash string, kind string, action string, snapshot string")
+    return require_unique(require(raw, F.col("kind").isin("boundary", "block", "fragment") & F.col("snapshot").isNotNull() & F.col("id").isNotNull(), "label ledger: bad row"), "id")
+
+
+def candidate_export(items: DataFrame, export: DataFrame, key: str = "id") -> DataFrame:
+    """Ranked candidates of each item as ``(key, rank, text)``; ranks must run from 1 without gap, and items must be known."""
+    ranked = export.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
+    joined = ranked.join(items.select(key, F.lit(True).alias("_known")), key, "left")
+    good = F.col("_known") & F.forall(F.sequence(F.lit(1), F.size("c")), lambda i: F.col("c")[i - 1]["rank"] == i)
+    return require(joined, good, "candidate export: unknown item or broken ranks").select(key, F.explode("c").alias("c")).select(key, "c.rank", "c.text")
+
+
+def xml_samples(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+
+
+def trace_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """Complete events of a profiler trace as ``(name, start, end)``."""
+    raw = spark.read.schema("traceEvents array<struct<name:string,ph:string,ts:double,dur:double>>").option("multiLine", True).json(path)
+    return raw.select(F.explode("traceEvents").alias("e")).where("e.ph = 'X' and e.dur >= 0").select("e.name", F.col("e.ts").alias("start"), (F.col("e.ts") + F.col("e.dur")).alias("end"))
+
+
+def token_store(spark: SparkSession, path: str, last_token: int) -> DataFrame:
+    """Token sequences ``(seq_id, tokens)`` with their bounds checked; positions may be asked for from the end by ``element_at(tokens, -n)``."""
+    raw = spark.read.parquet(path)
+    return require(raw, (F.size("tokens") > 0) & (F.array_min("tokens") >= 0) & (F.array_max("tokens") <= last_token), "token store: bad sequence")
+
+
+def strided(df: DataFrame, index: str, stride: int, offset: int = 0) -> DataFrame:
+    """Every ``stride``-th entry of a numbered listing, as a download plan takes them."""
+    return df.where(F.pmod(F.col(index), F.lit(stride)) == offset)
