@@ -8,7 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: White space as Python's ``str.strip`` and ``str.split`` know it.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -28,7 +28,7 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """``difflib`` ratio of two texts; 2 * matched / all characters, without the popularity heuristic."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])

@@ -640,5 +640,5 @@ def gov06(spark, d):
     """Decisions of several reviewers merged: the strictest counts; without review a record stays open."""
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)
     x = T(spark, d, "docs").groupBy(F.col("id").alias("doc_hash")).agg(F.max(rank).alias("r"))
-    names = F.array(F.lit("keep"), F.lit("fix"), F.lit("drop"))
-    return T(spark, d, "contents").select("doc_hash").join(x, "doc_hash", "left").select("doc_hash", F.coalesce(F.element_at(names, F.col("r") + 1), F.lit("open")).alias("decision"))
+    decision = F.when(F.col("r") == 0, "keep").when(F.col("r") == 1, "fix").when(F.col("r") == 2, "drop").otherwise("open")
+    return T(spark, d, "contents").select("doc_hash").join(x, "doc_hash", "left").select("doc_hash", decision.alias("decision"))

@@ -1 +1,473 @@
+"""Queries of ranking, metrics, statistics, search and reports.
 
+Pools: an order is an item, its lines are the candidates in place of line number; the discount is an engine score with
+many ties, the price a second one; returned lines are the correct candidates; priority stands for the source.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusmill.functions import text as t
+from corpusmill.operators import ranking as rk
+from corpusmill.operators import statistics as st
+from corpusmill.operators.annotations import require
+from corpusmill.plans.registry import query
+from corpusmill.runtime import Stage, table
+
+_POOL = "(select l_orderkey as item, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos, l_partkey as cand, l_discount as engine, l_extendedprice as model, l_returnflag='R' as correct from lineitem)"
+_RANKED = f"(select *, row_number() over (partition by item order by engine desc, pos) as r_engine, row_number() over (partition by item order by model desc, pos) as r_model from {_POOL})"
+_GOLD = f"(select item, min(case when correct then pos end) as b_pool, min(case when correct then r_engine end) as b_engine, min(case when correct then r_model end) as b_model, count(*) as size from {_RANKED} group by 1)"
+_ITEMS = f"(select g.*, o_orderpriority as source, o_orderstatus as context, o_custkey as grp, o_custkey%40 as cluster from {_GOLD} g join orders on o_orderkey=item)"
+_RR = lambda b: f"sum(case when {b}<=12 then 27720//{b} else 0 end)::bigint as rr_units"
+_M = lambda b: f"count(*) as cases, count({b}) as covered, count(*) filter ({b}<=1) as top1, count(*) filter ({b}<=3) as top3, count(*) filter ({b}<=5) as top5, {_RR(b)}"
+
+
+def pool(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = table(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("item"), F.row_number().over(w).alias("pos"), F.col("l_partkey").alias("cand"), F.col("l_discount").alias("engine"), F.col("l_extendedprice").alias("model"), (F.col("l_returnflag") == "R").alias("correct"))
+
+
+def ranked(spark, d):
+    by = lambda c: F.row_number().over(Window.partitionBy("item").orderBy(F.desc(c), "pos"))
+    return pool(spark, d).withColumn("r_engine", by("engine")).withColumn("r_model", by("model"))
+
+
+def gold(spark, d):
+    first = lambda c: F.min(F.when(F.col("correct"), F.col(c)))
+    return ranked(spark, d).groupBy("item").agg(first("pos").alias("b_pool"), first("r_engine").alias("b_engine"), first("r_model").alias("b_model"), F.count("*").alias("size"))
+
+
+def items(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("context"), F.col("o_custkey").alias("grp"))
+    return gold(spark, d).join(o, "item").withColumn("cluster", F.col("grp") % 40)
+
+
+def best(spark, d, which, *keep):
+    return items(spark, d).select("item", *keep, F.col(f"b_{which}").alias("best"))
+
+
+def clusters(spark, d):
+    """Cases, hits and net of two methods in each cluster."""
+    a, b = F.coalesce(F.col("b_model") == 1, F.lit(False)), F.coalesce(F.col("b_engine") == 1, F.lit(False))
+    return items(spark, d).groupBy("cluster").agg(F.count("*").alias("cases"), F.count_if(a).alias("hits"), F.count_if(a & ~b).alias("gain"), F.count_if(b & ~a).alias("loss"), (F.count_if(a & ~b) - F.count_if(b & ~a)).alias("net"))
+
+
+_CL = f"(select cluster, count(*) as cases, count(*) filter (b_model=1) as hits, count(*) filter (coalesce(b_model=1,false) and not coalesce(b_engine=1,false)) as gain, count(*) filter (coalesce(b_engine=1,false) and not coalesce(b_model=1,false)) as loss from {_ITEMS} group by 1)"
+
+
+@query("jn12", f"select item, min(r_model) filter (correct) as best, count(*) as size from {_RANKED} join orders on o_orderkey=item group by 1")
+def jn12(spark, d):
+    """Scores, pools and items joined; every item of the pool must be known."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.lit(True).alias("known"))
+    x = require(pool(spark, d).join(o, "item", "left"), F.col("known"), "a pool of an unknown item")
+    return rk.gold_rank(rk.with_fallback(x, "item", "model"), "item")
+
+
+@query("top03", f"select item, pos, r_engine as rank from {_RANKED}")
+def top03(spark, d):
+    return rk.rerank(pool(spark, d), "item", F.col("engine")).select("item", "pos", "rank")
+
+
+@query("top04")
+def top04(spark, d):
+    x = table(spark, d, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]).alias("names"))
+    return x.select("p_brand", F.posexplode(rk.diverse_top(F.slice("names", 1, 200), 5, 4)).alias("pos", "name"))
+
+
+@query("agg14", f"select {_M('b_model')} from {_ITEMS}")
+def agg14(spark, d):
+    return best(spark, d, "model").agg(*rk.metrics())
+
+
+@query("agg15", f"select method, context, {_M('b')} from (select unnest(['pool','engine','model']) as method, context, unnest([b_pool,b_engine,b_model]) as b from {_ITEMS}) group by grouping sets ((method),(method,context))")
+def agg15(spark, d):
+    m = F.explode(F.create_map(*[x for n in ("pool", "engine", "model") for x in (F.lit(n), F.col(f"b_{n}"))])).alias("method", "best")
+    return items(spark, d).select("context", m).groupingSets([["method"], ["method", "context"]], "method", "context").agg(*rk.metrics())
+
+
+@query("agg16", f"select source, size_class, {_M('b_model')} from (select *, case when size<=2 then 'small' when size<=5 then 'medium' else 'large' end as size_class from {_ITEMS}) group by grouping sets ((),(source),(size_class),(source,size_class))")
+def agg16(spark, d):
+    x = best(spark, d, "model", "source", "size").withColumn("size_class", t.length_bucket(F.col("size"), [(2, "small"), (5, "medium")], "large"))
+    return x.groupingSets([[], ["source"], ["size_class"], ["source", "size_class"]], "source", "size_class").agg(*rk.metrics())
+
+
+@query("agg16_macro", f"select avg(share) as macro_top1 from (select round(count(*) filter (b_model=1)/count(*),6) as share from {_ITEMS} group by source)")
+def agg16_macro(spark, d):
+    return best(spark, d, "model", "source").groupBy("source").agg(F.round(F.count_if(F.col("best") == 1) / F.count("*"), 6).alias("share")).agg(F.avg("share").alias("macro_top1"))
+
+
+@query("agg17", f"select count(*) as cases, sum(27720*good//least(tied,12))::bigint as credit_units from (select item, count(*) as tied, count(*) filter (correct) as good from (select *, max(engine) over (partition by item) as m from {_POOL}) where engine>=m-1e-9 group by 1)")
+def agg17(spark, d):
+    """Each candidate that ties for the first place has an equal part of the credit."""
+    m = F.max("engine").over(Window.partitionBy("item"))
+    x = pool(spark, d).withColumn("m", m).where(F.col("engine") >= F.col("m") - 1e-9).groupBy("item").agg(F.count("*").alias("tied"), F.count_if("correct").alias("good"))
+    return x.agg(F.count("*").alias("cases"), F.sum(F.expr("27720 * good div least(tied, 12)")).alias("credit_units"))
+
+
+@query("agg18", f"select source, count(*) filter (size=4) as equal_length, count(*) filter (size=4 and b_model=1) as equal_right, count(*) filter (b_pool=1) as first_right from {_ITEMS} group by 1")
+def agg18(spark, d):
+    return items(spark, d).groupBy("source").agg(F.count_if(F.col("size") == 4).alias("equal_length"), F.count_if((F.col("size") == 4) & (F.col("b_model") == 1)).alias("equal_right"), F.count_if(F.col("b_pool") == 1).alias("first_right"))
+
+
+@query("agg19", f"with c as (select item, source, b_model=1 as hit, (select 0) as z, size from {_ITEMS}), r as (select *, row_number() over (partition by source order by size desc, item) as k, count(*) over (partition by source) as n from c) select source, count(*) as cases, count(*) filter (hit) as hits, count(*) filter (hit and k<=greatest(1,round_even(0.2*n,0))) as hits_at_fifth from r group by 1")
+def agg19(spark, d):
+    w = Window.partitionBy("source")
+    x = best(spark, d, "model", "source", "size").withColumn("hit", F.col("best") == 1).withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("size"), "item")))
+    return x.groupBy("source").agg(F.count("*").alias("cases"), F.count_if("hit").alias("hits"), F.count_if(F.col("hit") & (F.col("k") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.2)))).alias("hits_at_fifth"))
+
+
+@query("agg20", f"select count(*) as groups, count(*) filter (a) as all_right, sum(n)::bigint as cases from (select grp, bool_and(coalesce(b_model=1,false)) as a, count(*) as n from {_ITEMS} group by 1)")
+def agg20(spark, d):
+    x = best(spark, d, "model", "grp").groupBy("grp").agg(F.bool_and(F.coalesce(F.col("best") == 1, F.lit(False))).alias("a"), F.count("*").alias("n"))
+    return x.agg(F.count("*").alias("groups"), F.count_if("a").alias("all_right"), F.sum("n").alias("cases"))
+
+
+_SAVE = f"(select th/100.0 as threshold, sum(case when engine>=th/100.0 then case when correct then 3 else -1 end else 0 end)::bigint as saved from {_RANKED}, (select unnest(range(0,11)) as th) where r_engine=1 group by 1)"
+
+
+def _savings(spark, d):
+    th = spark.range(11).select((F.col("id") / 100).alias("threshold"))
+    x = ranked(spark, d).where("r_engine = 1").crossJoin(F.broadcast(th))  # eleven thresholds
+    return x.groupBy("threshold").agg(F.sum(F.when(F.col("engine") >= F.col("threshold"), F.when(F.col("correct"), 3).otherwise(-1)).otherwise(0)).alias("saved"))
+
+
+@query("agg21", f"select max_by(threshold, saved*1000+threshold) as threshold, max(saved) as saved from {_SAVE}")
+def agg21(spark, d):
+    """The threshold that saves most; ties go to the higher."""
+    return st.best_setting(_savings(spark, d), "threshold", "saved")
+
+
+@query("agg22", f"select case when b_pool is null then 'absent' when b_model=1 then 'right' when b_engine=1 then 'broken' when b_model<=3 then 'near' else 'far' end as class, count(*) as cases, count(*) filter (b_model=1 or b_engine=1) as oracle from {_ITEMS} group by 1")
+def agg22(spark, d):
+    m, e = F.col("b_model"), F.col("b_engine")
+    kind = F.when(F.col("b_pool").isNull(), "absent").when(m == 1, "right").when(e == 1, "broken").when(m <= 3, "near").otherwise("far")
+    return items(spark, d).groupBy(kind.alias("class")).agg(F.count("*").alias("cases"), F.count_if((m == 1) | (e == 1)).alias("oracle"))
+
+
+@query("agg23", f"with p as (select item, bool_or(correct) as a, bool_or(correct and pos<=3) as b, count(*) as n, count(*) filter (pos<=3) as k from {_POOL} group by 1) select count(*) as items, count(*) filter (a) as covered, count(*) filter (b) as kept, count(*) filter (a and not b) as lost, count(*) filter (n=k) as identical, sum(n)::bigint as size, sum(k)::bigint as small_size from p")
+def agg23(spark, d):
+    """Whole pools against their first three candidates."""
+    c, s = F.col("correct"), F.col("pos") <= 3
+    p = pool(spark, d).groupBy("item").agg(F.bool_or(c).alias("a"), F.bool_or(c & s).alias("b"), F.count("*").alias("n"), F.count_if(s).alias("k"))
+    return p.agg(F.count("*").alias("items"), F.count_if("a").alias("covered"), F.count_if("b").alias("kept"), F.count_if(F.col("a") & ~F.col("b")).alias("lost"), F.count_if(F.col("n") == F.col("k")).alias("identical"), F.sum("n").alias("size"), F.sum("k").alias("small_size"))
+
+
+@query("agg24", f"select scheme, count(distinct c) as clusters, count(*) filter (a and not b) as gain, count(*) filter (b and not a) as loss, count(*) filter (a and b) as both_right from (select unnest(['source','context','customer']) as scheme, unnest([source, context, grp::varchar]) as c, coalesce(b_model=1,false) as a, coalesce(b_engine=1,false) as b from {_ITEMS}) group by 1")
+def agg24(spark, d):
+    a, b = F.coalesce(F.col("b_model") == 1, F.lit(False)), F.coalesce(F.col("b_engine") == 1, F.lit(False))
+    scheme = F.explode(F.create_map(F.lit("source"), F.col("source"), F.lit("context"), F.col("context"), F.lit("customer"), F.col("grp").cast("string"))).alias("scheme", "c")
+    x = items(spark, d).select(scheme, a.alias("a"), b.alias("b"))
+    return x.groupBy("scheme").agg(F.count_distinct("c").alias("clusters"), F.count_if(F.col("a") & ~F.col("b")).alias("gain"), F.count_if(F.col("b") & ~F.col("a")).alias("loss"), F.count_if(F.col("a") & F.col("b")).alias("both_right"))
+
+
+@query("agg25", f"with s as (select cluster%5 as seed, count(*) filter (b_model=1) as hits from {_ITEMS} group by 1) select count(*) as seeds, avg(hits) as mean, max(hits)-min(hits) as spread, round(stddev_samp(hits),6) as sd from s")
+def agg25(spark, d):
+    s = best(spark, d, "model", "cluster").groupBy(F.col("cluster") % 5).agg(F.count_if(F.col("best") == 1).alias("hits"))
+    return s.agg(F.count("*").alias("seeds"), F.avg("hits").alias("mean"), (F.max("hits") - F.min("hits")).alias("spread"), F.round(F.stddev_samp("hits"), 6).alias("sd"))
+
+
+@query("agg26", f"select count(*) filter (r_engine=2) as second, count(*) filter (r_engine=2 and engine>=0.05) as shown, count(*) filter (r_engine=2 and engine>=0.05 and correct) as shown_right, count(*) filter (r_engine=2 and engine>=0.05 and not correct) as shown_wrong from {_RANKED}")
+def agg26(spark, d):
+    two, shown = F.col("r_engine") == 2, F.col("engine") >= 0.05
+    return ranked(spark, d).agg(F.count_if(two).alias("second"), F.count_if(two & shown).alias("shown"), F.count_if(two & shown & F.col("correct")).alias("shown_right"), F.count_if(two & shown & ~F.col("correct")).alias("shown_wrong"))
+
+
+@query("agg27", "select l_linestatus, round(sum(l_tax)/count(*),6) as loss, round(exp(least(50,sum(l_tax)/count(*))),6) as perplexity, round(sum(l_tax)/(sum(l_quantity)*ln(2)),6) as bits from lineitem group by 1")
+def agg27(spark, d):
+    """Tax as loss of a token, quantity as its characters."""
+    n, k = F.sum("l_tax"), F.count("*")
+    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.round(n / k, 6).alias("loss"), F.round(F.exp(F.least(F.lit(50.0), n / k)), 6).alias("perplexity"), F.round(n / (F.sum("l_quantity") * F.log(F.lit(2.0))), 6).alias("bits"))
+
+
+# ---- statistics
+
+
+@query("sta01", f"select cluster, gain, loss, round(case when gain+loss=0 then 1.0 else least(1.0, 2*list_sum(list_transform(range(0,least(gain,loss)+1), lambda i: exp(lgamma(gain+loss+1)-lgamma(i+1)-lgamma(gain+loss-i+1)-(gain+loss)*ln(2))))) end,6) as p from {_CL}")
+def sta01(spark, d):
+    return clusters(spark, d).select("cluster", "gain", "loss", F.round(st.mcnemar(F.col("gain"), F.col("loss")), 6).alias("p"))
+
+
+_NETS = f"(select cluster%10 as c, sum(gain-loss)::bigint as net from {_CL} group by 1)"
+
+
+@query("sta02", f"with recursive n as (select net, row_number() over (order by net, c) as k from {_NETS} where net<>0), f as (select 0 as k, 0::bigint as s union all select f.k+1, f.s+z.sign*n.net from f join n on n.k=f.k+1, (select unnest([1,-1]) as sign) z) select count(*) filter (abs(s)>=(select abs(sum(net)) from n))/count(*) as p, max(k) as clusters from f where k=(select coalesce(max(k),0) from n)")
+def sta02(spark, d):
+    return st.sign_flip_exact(clusters(spark, d).groupBy((F.col("cluster") % 10).alias("c")).agg(F.sum("net").alias("net")))
+
+
+@query("sta02_drawn")
+def sta02_drawn(spark, d):
+    return st.sign_flip_drawn(clusters(spark, d), "cluster")
+
+
+@query("sta03")
+def sta03(spark, d):
+    return st.bootstrap(clusters(spark, d), "cluster", "net", "cases")
+
+
+@query("sta04", f"select round(((hh-2*h/n*hn+(h/n)*(h/n)*nn)*k/(k-1))/(n*(h/n)*(1-h/n)),6) as effect, k as clusters from (select sum(hits) as h, sum(cases) as n, count(*) as k, sum(hits*hits) as hh, sum(hits*cases) as hn, sum(cases*cases) as nn from {_CL})")
+def sta04(spark, d):
+    return st.design_effect(clusters(spark, d), "hits", "cases").select(F.round("effect", 6).alias("effect"), "clusters")
+
+
+@query("sta05", f"select source, count(*) as pairs, count(*) filter (a and not b) as gain, count(*) filter (b and not a) as loss, count(*) filter (a and not b)-count(*) filter (b and not a) as net from (select source, coalesce(b_model=1,false) as a, coalesce(b_engine=1,false) as b from {_ITEMS}) group by 1")
+def sta05(spark, d):
+    return rk.paired(best(spark, d, "engine", "source"), best(spark, d, "model"), "item", "source")
+
+
+@query("sta06", f"with p as (select cluster, (gain+1)/(gain+loss+40.0) as p from {_CL}), s as (select *, least(1.0,(count(*) over ()-row_number() over (order by p, cluster)+1)*p) as x from p) select cluster, p, max(x) over (order by p, cluster rows unbounded preceding) as adjusted from s")
+def sta06(spark, d):
+    tests = clusters(spark, d).select("cluster", ((F.col("gain") + 1) / (F.col("gain") + F.col("loss") + 40.0)).alias("p"))
+    return st.holm(tests, "cluster", "p")
+
+
+@query("sta07", f"select cluster, round((p+zz/(2*n)-z*sqrt(p*(1-p)/n+zz/(4*n*n)))/(1+zz/n),6) as low, round((p+zz/(2*n)+z*sqrt(p*(1-p)/n+zz/(4*n*n)))/(1+zz/n),6) as high from (select cluster, hits/cases as p, cases::double as n, 1.959963984540054 as z, 1.959963984540054*1.959963984540054 as zz from {_CL})")
+def sta07(spark, d):
+    low, high = st.wilson(F.col("hits"), F.col("cases").cast("double"))
+    return clusters(spark, d).select("cluster", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+_GRID = f"(select lam/10.0 as lam, item, correct, row_number() over (partition by lam, item order by engine*1000000+lam/10.0*model desc, pos) as r from {_POOL}, (select unnest(range(0,6)) as lam))"
+
+
+def _grid(spark, d):
+    lam = F.broadcast(spark.range(6).select((F.col("id") / 10).alias("lam")))  # six settings
+    w = Window.partitionBy("lam", "item").orderBy(F.desc(F.col("engine") * 1000000 + F.col("lam") * F.col("model")), "pos")
+    return pool(spark, d).crossJoin(lam).withColumn("r", F.row_number().over(w))
+
+
+@query("sta08", f"select lam, count(*) filter (r=1 and correct) as top1 from {_GRID} group by 1")
+def sta08(spark, d):
+    return _grid(spark, d).groupBy("lam").agg(F.count_if((F.col("r") == 1) & F.col("correct")).alias("top1"))
+
+
+@query("sta08_best", f"with g as (select lam, count(*) filter (r=1 and correct) as top1 from {_GRID} group by 1) select max_by(lam, top1*1000-lam) as lam, max(top1) as top1 from g")
+def sta08_best(spark, d):
+    """The best weight of the second score; ties go to the smaller."""
+    return st.best_setting(sta08(spark, d), "lam", "top1", larger_wins=False)
+
+
+@query("sta09", f"with f as (select th/100.0 as margin, count(*) filter (engine>=th/100.0 and correct) as right_, count(*) filter (engine>=th/100.0 and not correct) as wrong, count(*) as n from {_RANKED}, (select unnest(range(0,11)) as th) where r_engine=2 group by 1) select max_by(margin, right_*1000+margin) as margin, max(right_) as shown_right from f where wrong<=0.3*n")
+def sta09(spark, d):
+    """The margin that shows most right candidates while wrong ones stay under a cap."""
+    th = F.broadcast(spark.range(11).select((F.col("id") / 100).alias("margin")))
+    shown = F.col("engine") >= F.col("margin")
+    f = ranked(spark, d).where("r_engine = 2").crossJoin(th).groupBy("margin").agg(F.count_if(shown & F.col("correct")).alias("shown_right"), F.count_if(shown & ~F.col("correct")).alias("wrong"), F.count("*").alias("n"))
+    return st.best_setting(f.where("wrong <= 0.3 * n"), "margin", "shown_right")
+
+
+@query("sta10", f"with s as (select source, sum((a and not b)::int)-sum((b and not a)::int) as net, count(*) filter (a)::double/count(*) as share from (select source, coalesce(b_model=1,false) as a, coalesce(b_engine=1,false) as b from {_ITEMS}) group by 1) select source, case when abs(net)>10 and share>0.2 then 'effective' when abs(net)>10 then 'beyond spread' else 'none' end as verdict from s")
+def sta10(spark, d):
+    a, b = F.coalesce(F.col("b_model") == 1, F.lit(False)), F.coalesce(F.col("b_engine") == 1, F.lit(False))
+    s = items(spark, d).groupBy("source").agg((F.count_if(a & ~b) - F.count_if(b & ~a)).alias("net"), (F.count_if(a) / F.count("*")).alias("share"))
+    return s.select("source", F.when((F.abs("net") > 10) & (F.col("share") > 0.2), "effective").when(F.abs("net") > 10, "beyond spread").otherwise("none").alias("verdict"))
+
+
+@query("sta11", f"select cluster, gain>loss as gate_gain, loss*10<=cases as gate_loss, gain>loss and loss*10<=cases as passed from {_CL}")
+def sta11(spark, d):
+    gain, loss = F.col("gain") > F.col("loss"), F.col("loss") * 10 <= F.col("cases")
+    return clusters(spark, d).select("cluster", gain.alias("gate_gain"), loss.alias("gate_loss"), (gain & loss).alias("passed"))
+
+
+@query("sta12", f"select item, pos, row_number() over (partition by item order by r_engine+r_model, pos) as rank from {_RANKED}")
+def sta12(spark, d):
+    """Two members vote with their ranks; the smallest sum is first."""
+    votes = ranked(spark, d)
+    long = votes.select("item", "pos", (-F.col("r_engine")).alias("v")).unionByName(votes.select("item", "pos", (-F.col("r_model")).alias("v")))
+    return rk.rerank(long.groupBy("item", "pos").agg(F.sum("v").alias("v")), "item", F.col("v")).select("item", "pos", "rank")
+
+
+@query("sta13")
+def sta13(spark, d):
+    """Errors of notation (one text's Han letters are all in the other) or of meaning."""
+    e = table(spark, d, "eval_items").select("item_id", "suite", "text", F.regexp_replace("text", r"[^\p{IsHan}]", "").alias("han"))
+    o = e.select(F.col("item_id").alias("other"), "suite", F.col("han").alias("han2"), F.substring("text", 1, 2).alias("h"))
+    x = e.withColumn("h", F.substring("text", 1, 2)).join(o, ["suite", "h"]).where("item_id < other")
+    inside = F.forall(F.split("han", ""), lambda c: F.contains(F.col("han2"), c))
+    return x.select("item_id", "other", F.when(inside, "notation").otherwise("meaning").alias("class"))
+
+
+@query("sta14", "select l_orderkey, count(*) as lines, bool_and(abs(l_extendedprice)<1e7) as in_range, round(max(l_tax)-min(l_tax),6) as spread from lineitem group by 1 having max(l_tax)-min(l_tax)>0.07")
+def sta14(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.bool_and(F.abs("l_extendedprice") < 1e7).alias("in_range"), (F.max("l_tax") - F.min("l_tax")).alias("spread"))
+    return g.where("spread > 0.07").withColumn("spread", F.round("spread", 6))
+
+
+# ---- search with a counted language model as the scorer
+
+
+def _lm(spark, d):
+    """Bigram counts of training sequences: ``(ctx, ch, n, total)``."""
+    x = table(spark, d, "seq").where("text is not null and split = 'train'").select(F.concat(F.lit("^"), "text", F.lit("$")).alias("x"))
+    g = x.select(F.explode(t.char_grams(F.col("x"), 2)).alias("g")).groupBy(F.substring("g", 1, 1).alias("ctx"), F.substring("g", 2, 1).alias("ch")).agg(F.count("*").alias("n"))
+    return g.withColumn("total", F.sum("n").over(Window.partitionBy("ctx")))
+
+
+_BI = "(select substring(x,i,1) as ctx, substring(x,i+1,1) as ch, count(*) as n from (select x, unnest(range(1,length(x))) as i from (select '^'||text||'$' as x from seq where text is not null and split='train')) group by 1,2)"
+
+
+@query("sch03", f"with b as {_BI}, q as (select item_id, substring(x,i,1) as ctx, substring(x,i+1,1) as ch from (select item_id, x, unnest(range(1,length(x))) as i from (select item_id, '^'||text||'$' as x from eval_items where text is not null))) select item_id, count(*) as bigrams, count(b.n) as known from q left join b using (ctx, ch) group by 1")
+def sch03(spark, d):
+    """Which bigrams of each item the counted model knows; the scorer of suffixes is any column over such joins."""
+    q = table(spark, d, "eval_items").where("text is not null").select("item_id", F.explode(t.char_grams(F.concat(F.lit("^"), "text", F.lit("$")), 2)).alias("g"))
+    q = q.select("item_id", F.substring("g", 1, 1).alias("ctx"), F.substring("g", 2, 1).alias("ch"))
+    return q.join(_lm(spark, d), ["ctx", "ch"], "left").groupBy("item_id").agg(F.count("*").alias("bigrams"), F.count("n").alias("known"))
+
+
+@query("sch04", f"with b as (select *, sum(n) over (partition by ctx) as total from {_BI}), u as (select ch, sum(n) as n1, (select sum(n) from {_BI}) as all1 from {_BI} group by 1), c as (select distinct ctx, total from b), q as (select item_id, substring(x,i,1) as ctx, substring(x,i+1,1) as ch from (select item_id, x, unnest(range(1,length(x))) as i from (select item_id, '^'||text||'$' as x from eval_items where text is not null))) select item_id, round(sum(ln(0.8*coalesce(b.n/c.total,0)+0.199*coalesce(u.n1/u.all1,0)+0.001/65536)),6) as score from q left join b using (ctx, ch) left join c on c.ctx=q.ctx left join u on u.ch=q.ch group by 1")
+def sch04(spark, d):
+    """Interpolated scores: bigram, unigram, and a floor for unknown characters."""
+    b = Stage(_lm(spark, d), "lm").df
+    u = b.groupBy("ch").agg(F.sum("n").alias("n1")).withColumn("all1", F.sum("n1").over(Window.partitionBy()))  # one row for each character
+    q = table(spark, d, "eval_items").where("text is not null").select("item_id", F.explode(t.char_grams(F.concat(F.lit("^"), "text", F.lit("$")), 2)).alias("g"))
+    q = q.select("item_id", F.substring("g", 1, 1).alias("ctx"), F.substring("g", 2, 1).alias("ch"))
+    x = q.join(b, ["ctx", "ch"], "left").join(u, "ch", "left")
+    p = 0.8 * F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)) + 0.199 * F.coalesce(F.col("n1") / F.col("all1"), F.lit(0.0)) + F.lit(0.001 / 65536)
+    return x.groupBy("item_id").agg(F.round(F.sum(F.log(p)), 6).alias("score"))
+
+
+def _likely(spark, d):
+    """Of each character the likeliest followers, from counts; at most 200,000 contexts are sent to the tasks."""
+    b = _lm(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc("n"), "ch"))).where("r <= 4")
+    rows = b.select("ctx", "ch", (F.col("n") / F.col("total")).alias("p")).limit(800_001).collect()
+    if len(rows) > 800_000:
+        raise ValueError("too many contexts")
+    table_: dict[str, list] = {}
+    for r in rows:
+        table_.setdefault(r[0], []).append((r[1], r[2]))
+    for x in table_.values():
+        x.sort(key=lambda y: (-y[1], y[0]))
+    return spark.sparkContext.broadcast(table_)
+
+
+def beam(likely: dict, start: str, steps: int, width: int) -> list[tuple[str, float]]:
+    """The ``width`` likeliest continuations of ``steps`` characters; ties in order of the text."""
+    import math
+
+    paths = [("", 0.0)]
+    for _ in range(steps):
+        grown = []
+        for text, score in paths:
+            last = (start + text)[-1:] or "^"
+            if last == "$":
+                grown.append((text, score))
+                continue
+            grown += [(text + c, score + math.log(p)) for c, p in likely.get(last, [])] or [(text, score)]
+        paths = sorted(grown, key=lambda x: (-x[1], x[0]))[:width]
+    return paths
+
+
+def _continued(spark, d, steps, width):
+    likely = _likely(spark, d)
+
+    @F.pandas_udf("array<string>")
+    def over(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: [p for p, _ in beam(likely.value, (s or "")[-1:] or "^", steps, width)])
+
+    return table(spark, d, "eval_items").select("item_id", F.posexplode(over("left_context")).alias("rank", "continuation"))
+
+
+@query("sch01")
+def sch01(spark, d):
+    """Beam search whose candidates a dictionary constrains: continuations that start a lexicon word."""
+    words = table(spark, d, "lexicon").where("length(word) >= 2").select(F.substring("word", 1, 2).alias("head")).distinct()
+    return _continued(spark, d, 2, 8).join(words, F.substring("continuation", 1, 2) == F.col("head"), "left_semi")
+
+
+@query("sch02")
+def sch02(spark, d):
+    return _continued(spark, d, 4, 4)
+
+
+@query("sch05")
+def sch05(spark, d):
+    """Typing an item with a one-character prediction: keys saved where the likeliest follower is right."""
+    likely = _likely(spark, d)
+
+    @F.pandas_udf("struct<typed:int,saved:int>")
+    def over(x: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s in x:
+            s = s or ""
+            saved = sum(1 for a, b in zip("^" + s, s, strict=False) if likely.value.get(a, [("", 0)])[0][0] == b)
+            rows.append((len(s) - saved, saved))
+        return pd.DataFrame(rows, columns=["typed", "saved"])
+
+    return table(spark, d, "eval_items").select("item_id", over("text").alias("s")).select("item_id", "s.*")
+
+
+@query("sch06")
+def sch06(spark, d):
+    return _continued(spark, d, 6, 1)
+
+
+# ---- reports
+
+
+@query("rpt01", f"select item, coalesce(b_engine=1,false) as was, coalesce(b_model=1,false) as \"is\" from {_ITEMS} where coalesce(b_engine=1,false)<>coalesce(b_model=1,false)")
+def rpt01(spark, d):
+    return rk.changes(best(spark, d, "engine"), best(spark, d, "model"), "item")
+
+
+@query("rpt02", f"select source, size, count(*) filter (b_pool is null) as absent, count(*) filter (b_model=1) as right_, count(*) filter (b_model>1) as wrong from {_ITEMS} group by 1,2")
+def rpt02(spark, d):
+    b = F.col("best")
+    return best(spark, d, "model", "source", "size").groupBy("source", "size").agg(F.count_if(b.isNull()).alias("absent"), F.count_if(b == 1).alias("right_"), F.count_if(b > 1).alias("wrong"))
+
+
+@query("rpt03", f"select item, min(case when correct or cand%50=0 then r_model end) as best from {_RANKED} where item%97<>0 group by 1")
+def rpt03(spark, d):
+    """Labels with added references and a quarantine, ranked again in the frozen order."""
+    x = ranked(spark, d).where("item % 97 <> 0").withColumn("correct", F.col("correct") | (F.col("cand") % 50 == 0)).withColumn("rank", F.col("r_model"))
+    return rk.gold_rank(x, "item").select("item", "best")
+
+
+@query("rpt04")
+def rpt04(spark, d):
+    """Answers beside equal ones in another width or punctuation, which count as right too."""
+    e = table(spark, d, "eval_items").select("item_id", F.explode("answers").alias("a"))
+    return e.select("item_id", "a", F.regexp_replace(t.nfkc(F.col("a")), r"[\p{P}\s]", "").alias("k")).groupBy("item_id", "k").agg(F.count("*").alias("forms"))
+
+
+@query("rpt05", f"select source, context, count(*) as pairs, count(*) filter (a and not b) as gain, count(*) filter (b and not a) as loss from (select source, context, coalesce(b_model=1,false) as a, coalesce(b_engine=1,false) as b from {_ITEMS}) group by grouping sets ((),(source),(context),(source,context))")
+def rpt05(spark, d):
+    a, b = F.coalesce(F.col("b_model") == 1, F.lit(False)), F.coalesce(F.col("b_engine") == 1, F.lit(False))
+    x = items(spark, d).select("source", "context", a.alias("a"), b.alias("b"))
+    return x.groupingSets([[], ["source"], ["context"], ["source", "context"]], "source", "context").agg(F.count("*").alias("pairs"), F.count_if(F.col("a") & ~F.col("b")).alias("gain"), F.count_if(F.col("b") & ~F.col("a")).alias("loss"))
+
+
+@query("rpt06", f"select method, track, count(*) as cases, count(*) filter (b=1) as top1 from (select unnest(['pool','engine','model']) as method, source as track, unnest([b_pool,b_engine,b_model]) as b from {_ITEMS}) group by 1,2")
+def rpt06(spark, d):
+    m = F.explode(F.create_map(*[x for n in ("pool", "engine", "model") for x in (F.lit(n), F.col(f"b_{n}"))])).alias("method", "b")
+    return items(spark, d).select(F.col("source").alias("track"), m).groupBy("method", "track").agg(F.count("*").alias("cases"), F.count_if(F.col("b") == 1).alias("top1"))
+
+
+@query("rpt08", r"select doc_id, left_, right_ from (select doc_id, source, substring(text, greatest(1,p-40), p-greatest(1,p-40)) as left_, substring(text, p+4, 40) as right_, row_number() over (partition by source order by sha256('kwic:'||doc_id)) as r from (select doc_id, source, text, strpos(text,'バッテリ') as p from documents) where p>0) where r<=5")
+def rpt08(spark, d):
+    """A word in context, a few documents of each source by hash."""
+    p = F.instr("text", "バッテリ")
+    x = table(spark, d, "documents").select("doc_id", "source", "text", p.alias("p")).where("p > 0")
+    lo = F.greatest(F.lit(1), F.col("p") - 40)
+    r = F.row_number().over(Window.partitionBy("source").orderBy(F.sha2(F.concat(F.lit("kwic:"), F.col("doc_id").cast("string")), 256)))
+    return x.withColumn("r", r).where("r <= 5").select("doc_id", F.substr("text", lo, F.col("p") - lo).alias("left_"), F.substr("text", F.col("p") + 4, F.lit(40)).alias("right_"))
+
+
+@query("rpt09")
+def rpt09(spark, d):
+    """An audit of sequences: each check with the rows it looked at and those that fail."""
+    s = table(spark, d, "seq")
+    checks = {"starts": F.col("tokens")[0] == 2, "ends": F.element_at("tokens", -1) == 3, "pairs": F.col("pairs") == F.size("tokens") - 1, "known_split": F.col("split").isin("train", "validation", "test")}
+    x = s.select(F.explode(F.create_map(*[y for k, c in checks.items() for y in (F.lit(k), F.coalesce(c, F.lit(False)))])).alias("check", "ok"))
+    return x.groupBy("check").agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+@query("rpt10", r"select distinct id from seq where text is not null and not regexp_matches(text,'(^|[^\p{Han}])\p{Han}(を|が)')")
+def rpt10(spark, d):
+    """Sequences without a single Han letter as a word of its own before a particle; those are quarantined."""
+    s = table(spark, d, "seq").where("text is not null").select("id", "text").distinct()
+    bad = s.where(F.col("text").rlike(r"(^|[^\p{IsHan}])\p{IsHan}(を|が)")).select("id")
+    return s.join(bad, "id", "left_anti").select("id").distinct()
