@@ -371,11 +371,27 @@ def _continued(spark, d, steps, width):
     return table(spark, d, "eval_items").select("item_id", F.posexplode(over("left_context")).alias("rank", "continuation"))
 
 
+def constrained(likely: dict, words: list[str], start: str, width: int) -> list[str]:
+    """The ``width`` likeliest dictionary words after ``start``; unknown pairs have a floor, ties go by the word."""
+    import math
+
+    def score(word):
+        return sum(math.log(dict(likely.get(a, ())).get(b, 1e-6)) for a, b in zip(start[-1:] + word, word, strict=False)) / len(word)
+
+    return sorted(words, key=lambda w: (-score(w), w))[:width]
+
+
 @query("sch01")
 def sch01(spark, d):
-    """Beam search whose candidates a dictionary constrains: continuations that start a lexicon word."""
-    words = table(spark, d, "lexicon").where("length(word) >= 2").select(F.substring("word", 1, 2).alias("head")).distinct()
-    return _continued(spark, d, 2, 8).join(words, F.substring("continuation", 1, 2) == F.col("head"), "left_semi")
+    """Search that only a dictionary's words can extend: the likeliest words after each context."""
+    words = [r[0] for r in table(spark, d, "lexicon").where("length(word) >= 2").select("word").distinct().orderBy("word").limit(1_000_000).collect()]
+    likely = _likely(spark, d)
+
+    @F.pandas_udf("array<string>")
+    def over(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: constrained(likely.value, words, s or "^", 5))
+
+    return table(spark, d, "eval_items").select("item_id", F.posexplode(over("left_context")).alias("rank", "word"))
 
 
 @query("sch02")

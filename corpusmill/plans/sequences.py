@@ -1 +1,406 @@
+"""Queries of tokens, sequences, mixtures, streams, scorers and guards."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
+
+from corpusmill.functions import scorers
+from corpusmill.functions import segment as sg
+from corpusmill.functions import text as t
+from corpusmill.operators import governance as gov
+from corpusmill.operators import sequences as sq
+from corpusmill.operators.annotations import require
+from corpusmill.plans.io import place
+from corpusmill.plans.registry import query
+from corpusmill.runtime import Stage, table
+from corpusmill.sources import sinks
+from corpusmill.streaming import streams as st
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+_S = "(select distinct id, doc, split, source, pool, text, tokens, pairs from seq)"
+
+
+def seq(spark, d):
+    return table(spark, d, "seq").select("id", "doc", "split", "source", "pool", "text", "tokens", "pairs").distinct()
+
+
+def _pieces(model: str = MODEL):
+    """Encodes texts to ids, begun by 1 and ended by 2; the processor is loaded once in each worker."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def encode(text: pd.Series) -> pd.Series:
+        p = _processor(model)
+        return text.map(lambda x: None if x is None else [1, *p.encode(x), 2])
+
+    @F.pandas_udf(StringType())
+    def decode(ids: pd.Series) -> pd.Series:
+        p = _processor(model)
+        return ids.map(lambda x: None if x is None else p.decode([int(i) for i in x[1:-1]]))
+
+    return encode, decode
+
+
+_loaded: dict = {}
+
+
+def _processor(model: str):
+    if model not in _loaded:
+        import sentencepiece
+
+        _loaded[model] = sentencepiece.SentencePieceProcessor(model_file=model)
+    return _loaded[model]
+
+
+@query("txt15")
+def txt15(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(sg.text_chunks(F.col("text"))).alias("chunk", "text"))
+
+
+@query("tok02")
+def tok02(spark, d):
+    """Encoded items with their decoding compared, and no reserved id inside."""
+    encode, decode = _pieces()
+    x = table(spark, d, "eval_items").where("text is not null").select("item_id", "text", encode("text").alias("ids"))
+    x = x.withColumn("inner", F.slice("ids", 2, F.size("ids") - 2))
+    checked = require(x, ~F.exists("inner", lambda i: i.isin(1, 2)), "a reserved id inside a sequence")
+    return checked.select("item_id", F.size("ids").alias("n"), (decode("ids") == F.col("text")).alias("exact"))
+
+
+@query("tok03")
+def tok03(spark, d):
+    p = _processor(MODEL)
+    rows = [("unknown", str(p.unk_id()), p.unk_id() == 0), ("start", str(p.bos_id()), p.bos_id() == 1), ("end", str(p.eos_id()), p.eos_id() == 2), ("bytes", str(sum(p.is_byte(i) for i in range(p.vocab_size()))), sum(p.is_byte(i) for i in range(p.vocab_size())) == 256)]
+    return spark.createDataFrame(rows, "contract string, value string, holds boolean")
+
+
+@query("tok04")
+def tok04(spark, d):
+    encode, _ = _pieces()
+    x = table(spark, d, "documents").where("text is not null").select("lang", "text", (F.size(encode("text")) - 2).alias("n"))
+    return x.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.sum(F.length("text")).alias("chars"), F.max("n").alias("longest"))
+
+
+@query("rpt07")
+def rpt07(spark, d):
+    """Tokens for each Han letter, and the share of byte pieces, by source."""
+    encode, _ = _pieces()
+    x = table(spark, d, "documents").where("text is not null").select("source", "text", encode("text").alias("ids"))
+    byte = F.size(F.filter("ids", lambda i: i.between(3, 258)))
+    return x.groupBy("source").agg(F.sum(F.size("ids") - 2).alias("tokens"), F.sum(byte).alias("byte_tokens"), F.sum(t.count_of(F.col("text"), t.HAN)).alias("han"))
+
+
+@query("seq01", f'select id, w as window_no, w*16 as start, least(17, n-w*16) as "len" from (select id, len(tokens) as n, unnest(range(0, (len(tokens)-2)//16+1)) as w from {_S} where len(tokens)>=2)')
+def seq01(spark, d):
+    return sq.windows(seq(spark, d).select("id", "tokens"), 16).select("id", F.col("window_no").cast("bigint").alias("window_no"), F.col("start").cast("bigint").alias("start"), F.col("len").cast("bigint").alias("len"))
+
+
+@query("seq02", f"select id, w as window_no, tokens[w*16+1] as first, tokens[least(w*16+17, len(tokens))] as last from (select id, tokens, unnest(range(0, (len(tokens)-2)//16+1)) as w from {_S} where len(tokens)>=2)")
+def seq02(spark, d):
+    """Windows found again by (sequence, number) and read from the store."""
+    s = seq(spark, d).select("id", "tokens")
+    w = sq.windows(s, 16).select("id", "window_no", "start", "len")
+    x = w.join(s, "id")
+    at = lambda i: F.get("tokens", i)
+    return x.select("id", F.col("window_no").cast("bigint").alias("window_no"), at(F.col("start")).alias("first"), at(F.col("start") + F.col("len") - 1).alias("last"))
+
+
+@query("seq03", f"select id, list_sum(tokens[1:-2])::bigint as input_sum, list_sum(tokens[4:])::bigint as label_sum, least(2,len(tokens)-1) as masked from {_S} where len(tokens)>=4")
+def seq03(spark, d):
+    inputs, labels = sq.shifted(F.col("tokens"), 2)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    x = seq(spark, d).where("size(tokens) >= 4").select("id", inputs.alias("i"), labels.alias("l"))
+    return x.select("id", total(F.col("i")).alias("input_sum"), total(F.filter("l", lambda v: v >= 0)).alias("label_sum"), F.size(F.filter("l", lambda v: v == -100)).cast("bigint").alias("masked"))
+
+
+@query("seq04")
+def seq04(spark, d):
+    """``[start] context [4] text end`` in at most 129 ids; the context is cut from the left."""
+    encode, _ = _pieces()
+    x = table(spark, d, "eval_items").select("item_id", encode(F.coalesce("left_context", F.lit(""))).alias("c"), encode("text").alias("x"))
+    room = F.greatest(F.lit(0), 129 - F.size("x") - 1)
+    inner = F.slice("c", 2, F.size("c") - 2)
+    kept = F.when(F.size(inner) > room, F.slice(inner, F.size(inner) - room + 1, room)).otherwise(inner)
+    ids = F.concat(F.array(F.lit(1)), kept, F.array(F.lit(4)), F.slice("x", 2, F.size("x") - 1))
+    return x.select("item_id", F.size(ids).alias("n"), (F.size(kept) + 2).alias("first"))
+
+
+@query("seq05")
+def seq05(spark, d):
+    """A prefix of each sequence, its length drawn by splitmix64 from the id."""
+
+    @F.pandas_udf(IntegerType())
+    def crop(ids: pd.Series, n: pd.Series) -> pd.Series:
+        import numpy as np
+
+        u = sq.splitmix(ids.to_numpy(), 42)
+        return pd.Series((2 + u % np.maximum(1, n.to_numpy() - 1).astype(np.uint64)).astype(np.int32))
+
+    return seq(spark, d).where("size(tokens) >= 2").select("id", F.slice("tokens", 1, crop("id", F.size("tokens"))).alias("p")).select("id", F.size("p").alias("kept"))
+
+
+@query("seq06", f'select id, w as window_no from (select id, len(tokens) as n, unnest(range(0, (len(tokens)-2)//16+1)) as w from {_S} where len(tokens)>=2) where least(17, n-w*16)>=8')
+def seq06(spark, d):
+    return sq.windows(seq(spark, d).select("id", "tokens"), 16).where("len >= 8").select("id", F.col("window_no").cast("bigint").alias("window_no"))
+
+
+@query("seq07", f"select id, (len(tokens)+7)//8*8 as padded, (len(tokens)+7)//8*8-len(tokens) as mask from {_S}")
+def seq07(spark, d):
+    x = seq(spark, d).select("id", F.size("tokens").alias("n"), F.size(sq.padded(F.col("tokens"), 8)).alias("p"))
+    return x.select("id", F.col("p").cast("bigint").alias("padded"), (F.col("p") - F.col("n")).cast("bigint").alias("mask"))
+
+
+@query("seq08")
+def seq08(spark, d):
+    return sq.length_batches(seq(spark, d).select("id", "tokens"), "id", F.size("tokens"), 32, 4096, 42).select("id", "pool", "batch", "turn")
+
+
+@query("seq09")
+def seq09(spark, d):
+    return sq.block_shuffle(seq(spark, d).select("id"), "id", 256, 42)
+
+
+@query("seq10")
+def seq10(spark, d):
+    """Passes of least padding over buckets of sequences; a bucket of about 256 is one problem."""
+
+    def cut(frame):
+        frame = frame.sort_values(["n", "id"], ascending=[False, True]).reset_index(drop=True)
+        ends = sq.packing_cost(frame["n"].tolist(), 2048, 64)
+        frame["pass_no"] = [next(i for i, e in enumerate(ends) if k < e) for k in range(len(frame))]
+        return frame[["bucket", "pass_no", "id"]]
+
+    s = seq(spark, d).select("id", F.size("tokens").alias("n"))
+    buckets = max(1, s.count() // 256)
+    return s.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).groupBy("bucket").applyInPandas(cut, "bucket bigint, pass_no bigint, id bigint")
+
+
+@query("mix01", f"select (select sum(pairs) from {_S} where pool='web' and split='train')::bigint as web, (select (sum(pairs)::bigint+2)//4 from {_S} where pool='web' and split='train')::bigint as quota")
+def mix01(spark, d):
+    """One epoch: all web sequences and chat up to a fifth of the whole; gives the sizes reached."""
+    s = Stage(seq(spark, d).where("split = 'train'").select("id", "pool", "pairs"), "mix").df
+    e = sq.epoch_map(s.where("pool = 'web'"), s.where("pool = 'chat'"), "id", "pairs", 0.2, 0, 42)
+    g = e.agg(F.sum(F.when(F.col("cycle") < 0, F.col("pairs"))).alias("web"), F.coalesce(F.sum(F.when(F.col("cycle") >= 0, F.col("pairs"))), F.lit(0)).alias("chat"), F.coalesce(F.max(F.when(F.col("cycle") >= 0, F.col("pairs"))), F.lit(0)).alias("largest"))
+    quota = F.expr("(web + 2) div 4")
+    # Within one sequence of the quota, or the query fails.
+    longest = s.where("pool = 'chat'").agg(F.max("pairs")).first()[0] or 0
+    return require(g, F.col("chat").between(quota - longest - 1, quota + 1), "the mixture misses its quota").select("web", quota.alias("quota"))
+
+
+@query("mix02")
+def mix02(spark, d):
+    """The chat cursor runs on from epoch to epoch."""
+    s = Stage(seq(spark, d).where("split = 'train'").select("id", "pool", "pairs"), "mix").df
+    out = None
+    for epoch in range(3):
+        e = sq.epoch_map(s.where("pool = 'web'"), s.where("pool = 'chat'"), "id", "pairs", 0.5, epoch, 42).where("cycle >= 0").select(F.lit(epoch).alias("epoch"), "cycle", "id", "pairs")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+@query("mix03", f"select 'web' as store, count(*) as rows, sum(pairs)::bigint as pairs from {_S} where pool='web' and split='train' union all select 'chat', count(*), sum(pairs)::bigint from {_S} s where pool='chat' and split='train' and doc in (select id from docs where split='train')")
+def mix03(spark, d):
+    """Stores side by side: the chat store under a mask of kept documents."""
+    s = seq(spark, d).where("split = 'train'")
+    kept = table(spark, d, "docs").where("split = 'train'").select(F.col("id").alias("doc")).distinct()
+    both = s.where("pool = 'web'").withColumn("store", F.lit("web")).unionByName(s.where("pool = 'chat'").join(kept, "doc", "left_semi").withColumn("store", F.lit("chat")))
+    return both.groupBy("store").agg(F.count("*").alias("rows"), F.sum("pairs").alias("pairs"))
+
+
+@query("mix04", "select range as step, 'web' as task, 24 as n from range(0,100) union all select range, 'chat', 8 from range(0,100)")
+def mix04(spark, d):
+    """A fixed mix of each step; rows of a step follow from its number alone."""
+    steps = spark.range(100).withColumnRenamed("id", "step")
+    return steps.select("step", F.explode(F.create_map(F.lit("web"), F.lit(24), F.lit("chat"), F.lit(8))).alias("task", "n"))
+
+
+@query("mix05", "select range as u, floor((range+1)*777/100)::bigint-floor(range*777/100)::bigint as examples from range(0,100)")
+def mix05(spark, d):
+    """777 examples over 100 updates, evenly."""
+    i = F.col("id")
+    return spark.range(100).select(i.alias("u"), (F.expr("(id + 1) * 777 div 100") - F.expr("id * 777 div 100")).alias("examples"))
+
+
+@query("mix06", "select range as step, round(case when range<100 then range/100.0 else 0.1+0.9*0.5*(1+cos(pi()*(range-100)/900.0)) end,6) as rate from range(0,1000)")
+def mix06(spark, d):
+    s = F.col("id")
+    return spark.range(1000).select(s.alias("step"), F.round(F.when(s < 100, s / 100.0).otherwise(0.1 + 0.9 * 0.5 * (1 + F.cos(F.pi() * (s - 100) / 900.0))), 6).alias("rate"))
+
+
+@query("rpt11", f"with c as (select id from {_S} where split='validation' and ('0x'||substr(sha256('eval:'||id),1,15))::ubigint%10<3) select id, w as window_no from (select id, unnest(range(0, (len(tokens)-2)//16+1)) as w from {_S} where len(tokens)>=2) where id in (select id from c)")
+def rpt11(spark, d):
+    """All windows of sampled validation sequences."""
+    h = F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit("eval:"), F.col("id").cast("string")), 256), 1, 15), 16, 10).cast("bigint"), F.lit(10))
+    chosen = seq(spark, d).where("split = 'validation'").where(h < 3).select("id")
+    return sq.windows(seq(spark, d).select("id", "tokens"), 16).join(chosen, "id", "left_semi").select("id", F.col("window_no").cast("bigint").alias("window_no"))
+
+
+# ---- streams
+
+
+def _events(spark, d):
+    return st.stream(spark, f"{d}/events.parque[t]")
+
+
+@query("str01", "select event_type, count(*) as n from events group by 1")
+def str01(spark, d):
+    """A resumable copy: two runs over one checkpoint copy each file once."""
+    path, mark = place(spark, "copy"), place(spark, "mark")
+    for _ in range(2):
+        st.run(_events(spark, d), path, mark)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("str02", "select count(*) as events, count(distinct event_id) as ids from events")
+def str02(spark, d):
+    """A cursor that moves only with a written batch; a batch run again replaces itself."""
+    path, mark = place(spark, "cursor"), place(spark, "mark")
+    st.run(_events(spark, d).select("event_id"), path, mark)
+    return spark.read.parquet(path).agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("str03", "select event_id, recent, recent<=3 as admitted from (select event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 59999999 preceding and current row) as recent from events)")
+def str03(spark, d):
+    return st.over_quota(table(spark, d, "events"), 60, 3).select("event_id", "recent", "admitted")
+
+
+@query("str04", "select sig, count(*) as requests from seq where sig is not null and sig not in (select sig from seen where sig is not null) group by 1")
+def str04(spark, d):
+    """Requests that a cache does not answer yet, each once with the number that wait for it; calls over a network are not ours."""
+    asked = table(spark, d, "seq").where("sig is not null").groupBy("sig").agg(F.count("*").alias("requests"))
+    return asked.join(table(spark, d, "seen").where("sig is not null").select("sig"), "sig", "left_anti")
+
+
+@query("str05", "select item_group, count(*) as kept from eval_items where text is not null and item_group is not null group by 1 having count(*)>=1")
+def str05(spark, d):
+    """Generated records checked against others: JSON is parsed, repeats go, what fails is quarantined (and not counted)."""
+    raw = table(spark, d, "eval_items").select(F.to_json(F.struct("item_id", "text", "item_group")).alias("reply"))
+    parsed = raw.select(F.from_json("reply", "item_id bigint, text string, item_group string").alias("r")).select("r.*").dropDuplicates(["item_id"])
+    good = parsed.where("text is not null and item_group is not null")
+    return good.groupBy("item_group").agg(F.count("*").alias("kept"))
+
+
+@query("str06", "select epoch(time_bucket(interval 1 hour, ts))::bigint as start, event_type, count(*) as n from events group by 1,2")
+def str06(spark, d):
+    """Event-time windows with a watermark, as a stream in update mode."""
+    path, mark = place(spark, "windows"), place(spark, "mark")
+    st.run(st.tumbling(_events(spark, d), "1 hour"), path, mark, "update")
+    return st.latest(spark, path, ["start", "event_type"])
+
+
+@query("str06_sliding", "select s*1800 as start, count(*) as n from (select unnest([floor(epoch(ts)/1800)::bigint, floor(epoch(ts)/1800)::bigint-1]) as s from events) group by 1")
+def str06_sliding(spark, d):
+    return st.sliding(table(spark, d, "events"), "1 hour", "30 minutes")
+
+
+@query("str06_session", "with e as (select user_id, epoch_us(ts) as us, case when epoch_us(ts)-lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)<1800000000 then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by us rows unbounded preceding) as k from e) select user_id, min(us) as start, count(*) as n from s group by user_id, k")
+def str06_session(spark, d):
+    return st.sessions(table(spark, d, "events"), "30 minutes")
+
+
+@query("str06_state")
+def str06_state(spark, d):
+    """Running totals of each user in a stateful operator."""
+
+    def fold(key, frames, state):
+        n = state.get[0] if state.exists else 0
+        for f in frames:
+            n += len(f)
+        state.update((n,))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+    path, mark = place(spark, "state"), place(spark, "mark")
+    st.run(st.stateful(_events(spark, d), fold, "user_id bigint, n bigint", "n bigint"), path, mark, "update")
+    return st.latest(spark, path, ["user_id"])
+
+
+# ---- scorers and other pluggable parts
+
+
+@query("udf01")
+def udf01(spark, d):
+    """Answers scored by a counted model behind the scorer protocol."""
+    from corpusmill.plans.ranking import _likely
+
+    likely = _likely(spark, d)
+    score = scorers.score_column(lambda: scorers.BigramScorer({a: dict(x) for a, x in likely.value.items()}))
+    return table(spark, d, "eval_items").select("item_id", F.explode("answers").alias("answer"), "left_context").select("item_id", "answer", F.round(score("left_context", "answer"), 6).alias("score"))
+
+
+@query("udf02", "select item_id, max(-length(a)::double) as score from (select item_id, unnest(answers) as a from eval_items) group by 1")
+def udf02(spark, d):
+    score = scorers.score_column(scorers.LengthScorer)
+    return table(spark, d, "eval_items").select("item_id", "left_context", F.explode("answers").alias("a")).select("item_id", score("left_context", "a").alias("s")).groupBy("item_id").agg(F.max("s").alias("score"))
+
+
+@query("udf03", "select split, count(*) as n, min(length(text)) as shortest, max(length(text)) as longest from seq group by 1")
+def udf03(spark, d):
+    """A mergeable aggregator as native partial and final aggregates."""
+    n = F.length("text")
+    return table(spark, d, "seq").groupBy("split").agg(F.count("*").alias("n"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
+
+
+@query("udf04")
+def udf04(spark, d):
+    """Sentences as a table function, joined laterally."""
+
+    class Sentences:
+        def eval(self, text: str):
+            for s, a, b, done, _ in sg.split_sentences(text):
+                yield s, a, b, done
+
+    made = F.udtf(Sentences, returnType="text: string, start: int, stop: int, terminated: boolean")
+    spark.udtf.register("corpusmill_sentences", made)
+    table(spark, d, "eval_items").createOrReplaceTempView("corpusmill_items")
+    return spark.sql("select i.item_id, s.text, s.start, s.stop, s.terminated from corpusmill_items i, lateral corpusmill_sentences(i.text) s")
+
+
+@query("udf05", "select split, count(*) as rows, count(distinct doc) as docs from seq group by 1")
+def udf05(spark, d):
+    """Metrics as a dictionary of column builders."""
+    metrics = {"rows": lambda: F.count("*"), "docs": lambda: F.count_distinct("doc")}
+    return table(spark, d, "seq").groupBy("split").agg(*[make().alias(name) for name, make in metrics.items()])
+
+
+# ---- guards
+
+
+@query("gov01")
+def gov01(spark, d):
+    rows = []
+    for path in ("/data/train/part-0.parquet", "/data/blind/part-0.parquet", "/data/test.parquet", "/data/latest/x.parquet"):
+        try:
+            gov.training_path(path)
+            rows.append((path, True))
+        except PermissionError:
+            rows.append((path, False))
+    return spark.createDataFrame(rows, "path string, admitted boolean")
+
+
+@query("gov02", "select item_id from eval_items")
+def gov02(spark, d):
+    plan = {"metric": "top1", "alpha": 0.05}
+    items = table(spark, d, "eval_items").select("item_id", F.lit(True).alias("reviewed"))
+    return gov.blind_gate(items, plan, sinks.fingerprint(plan)).select("item_id")
+
+
+@query("gov03")
+def gov03(spark, d):
+    ledger = place(spark, "ledger")
+    gov.consume_once(spark, ledger, "blind-1", "a")
+    gov.consume_once(spark, ledger, "blind-1", "a")
+    try:
+        gov.consume_once(spark, ledger, "blind-1", "b")
+        refused = False
+    except PermissionError:
+        refused = True
+    return spark.createDataFrame([(refused,)], "refused boolean")
+
+
+@query("gov04")
+def gov04(spark, d):
+    a = sinks.fingerprint({"seed": 42, "text": "x\r\ny"}, "v1")
+    b = sinks.fingerprint({"text": "x\ny", "seed": 42}, "v1")
+    return spark.createDataFrame([(a, a == b)], "signature string, same boolean")
 
