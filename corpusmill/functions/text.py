@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -34,6 +35,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it, inside lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -136,16 +142,27 @@ def counts_as_hit(found: Column, weak: list[str]) -> Column:
 
 
 def repeated_line_fraction(text: Column) -> Column:
-    """Characters of non-empty lines that occur more than once, of all characters of lines; 0 for no text."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
-    total = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
-    counted = F.transform(F.array_distinct(lines), lambda x: F.struct(F.length(x).alias("n"), F.size(F.filter(lines, lambda y: y == x)).alias("k")))
-    again = F.aggregate(F.filter(counted, lambda s: s["k"] > 1), F.lit(0), lambda a, s: a + s["n"] * s["k"])
-    return F.when(total > 0, again / total).otherwise(F.lit(0.0))
+    """Characters of non-empty lines that occur more than once, of all characters of lines; 0 for no text.
+
+    Lines are sorted, so that equal ones are neighbours.
+    """
+    lines = F.array_sort(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != ""))
+
+    def share(own: Column) -> Column:
+        again = lambda i: (F.get(own, i) == F.get(own, i - 1)) | (F.get(own, i) == F.get(own, i + 1))
+        places = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1)).otherwise(F.array().cast("array<int>"))
+        some = F.aggregate(places, F.lit(0), lambda a, i: a + F.when(F.coalesce(again(i), F.lit(False)), F.length(F.get(own, i))).otherwise(0))
+        total = F.aggregate(own, F.lit(0), lambda a, x: a + F.length(x))
+        return F.when(total > 0, some / total).otherwise(F.lit(0.0))
+
+    return let(lines, share)
 
 
 def char_grams(text: Column, n: int) -> Column:
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-grams of code points in order; the text is cut into characters once, so long texts cost no more by character."""
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
+    none = F.array().cast("array<string>")
+    return F.when(F.length(text) >= n, let(F.split(text, ""), grams)).otherwise(none)
 
 
 def left_window(text: Column, chars: int = 64) -> Column:
