@@ -60,3 +60,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def comparable(df: DataFrame) -> list[str]:
+    """The columns that rows can be told apart by: all but maps and variants, which do not compare."""
+    return [f.name for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
