@@ -7,10 +7,10 @@ neighbours with a common prefix of ``DEPTH`` characters or more form intervals,
 of evaluation and of training records matter. Their pairs give shared spans, which are merged to the coverage of each
 evaluation record by each training record; pairs with enough coverage are verified exactly by 3-gram similarity.
 
-An interval with too many pairs is cut by a longer common prefix (12, then ``DEEP``); if that is still too many, its
-suffixes are left to the record's other suffixes. A record of which more than ``LEFT`` of the suffixes are left over so
-is compared in an exact way instead: over its rarest 3-grams, one of which every similar text must share. So a cap
-costs no pair that shares more than 40 % of its sampled suffixes. Prefixes that more than one sampled suffix in ``HOT`` has are found beforehand and handled like such intervals, so that
+An interval with too many pairs is cut by a longer common prefix (12, then ``DEEP``): of its pairs only those come out
+that share more. A record of which more than ``LEFT`` of the suffixes lie in such intervals is compared in an exact way
+as well: over its rarest 3-grams, one of which every similar text must share. So the limit costs no pair that shares
+more than 60 % of its sampled suffixes, nor one that shares a longer span in a smaller interval. Prefixes that more than one sampled suffix in ``HOT`` has are found beforehand and handled like such intervals, so that
 no partition holds them all.
 
 Guarantee: texts of 20 characters or more with similarity 0.7 that differ by edits (substitution, insertion, deletion,
@@ -32,7 +32,7 @@ from corpusmill.runtime import Stage, shuffle_partitions
 
 DEPTH, WINDOW, DEEP = 8, 3, 16
 PAIRS = 64  # pairs of one interval at one depth
-LEFT = 0.4  # share of a record's suffixes in intervals that stay too large, beyond which it goes the exact way
+LEFT = 0.6  # share of a record's suffixes in intervals that stay too large, beyond which it goes the exact way
 FEW_GRAMS = 2_000_000  # 3-grams sent to the tasks at most; beyond, they are joined
 HOT = 2000  # a prefix that one in so many sampled suffixes has is cut before the shuffle
 COVER = 0.2  # share of an evaluation text that sampled shared spans must cover
@@ -179,7 +179,6 @@ def _array(batches, threshold: float):
         t = np.add.reduceat(train.astype(np.int64), start)
         mixed = (e > 0) & (t > 0)
         rows: list[tuple] = []
-        skipped: list[np.ndarray] = []
 
         def take(i, j, length, who=who, pos=pos, rows=rows, n=grams_of):
             near = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9  # else they cannot be similar
@@ -192,15 +191,15 @@ def _array(batches, threshold: float):
         plain = [(s, n) for s, n, d in todo if not d]
         i, j, over = _cross([s for s, _ in plain], [n for _, n in plain], held_out, train, PAIRS)
         take(i, j, DEPTH)
+        # Of these only the pairs with a longer common prefix come out below.
+        skipped = [who[s : s + n][held_out[s : s + n]] for s, n in over] + [who[deep & held_out]]
         for cut, length in ((cut12, 12), (cut16, DEEP)):
             parts = [intervals(cut, s, s + n) for s, n in over]
             i, j, over = _cross(np.concatenate([p[0] for p in parts] or [[]]).astype(int), np.concatenate([p[1] for p in parts] or [[]]).astype(int), held_out, train, PAIRS)
             take(i, j, length)
         hot = [intervals(cut16, s, s + n) for s, n, d in todo if d]
-        i, j, more = _cross(np.concatenate([p[0] for p in hot] or [[]]).astype(int), np.concatenate([p[1] for p in hot] or [[]]).astype(int), held_out, train, PAIRS)
+        i, j, _ = _cross(np.concatenate([p[0] for p in hot] or [[]]).astype(int), np.concatenate([p[1] for p in hot] or [[]]).astype(int), held_out, train, PAIRS)
         take(i, j, DEEP)
-        for s, n in over + more:
-            skipped.append(who[s : s + n][held_out[s : s + n]])
         ev, tr, at, length, size = (np.concatenate([r[c] for r in rows]) for c in range(5))
         order = np.lexsort((at, tr, ev))
         ev, tr, at, length, size = ev[order], tr[order], at[order], length[order], size[order]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.llm.mixing import canonical
-from corpusmill.runtime import Stage
+from corpusmill.runtime import Stage, comparable
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SHARD_ITEMS = 12_000
@@ -57,7 +57,7 @@ def _count(batches, path: str):
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``(doc_id, source, tokens)`` of each distinct row with a text."""
     # Texts are not moved to find repeated rows: a hash of the whole row stands for them.
-    rows = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text", F.xxhash64(*documents.columns).alias("row"))
+    rows = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text", F.xxhash64(*[F.col(f"`{c}`") for c in comparable(documents)]).alias("row"))
     counted = rows.mapInArrow(lambda b: _count(b, tokenizer), "doc_id bigint, source string, tokens bigint, row bigint")
     return counted.where("tokens > 0").distinct()
 

@@ -117,7 +117,7 @@ def assign_splits(contents: DataFrame, aliases: DataFrame, docs: DataFrame, prop
         until = until + F.col(f"q{i}")
         choice = F.when(F.col("r") < until, name) if choice is None else choice.when(F.col("r") < until, name)
     placed = ranked.select("root", "root_hash", choice.otherwise(split).alias("split"))
-    held = docs.distinct().groupBy(F.col("id").alias("doc_hash")).agg(F.count("*").alias("docs_rows"))
+    held = docs.select(*[c for c in ("id", "split", "pool", "source", "priority", "pairs") if c in docs.columns]).distinct().groupBy(F.col("id").alias("doc_hash")).agg(F.count("*").alias("docs_rows"))
     return members.join(placed, "root").join(held, "doc_hash", "left").select("doc_hash", "root_hash", "split", F.coalesce("docs_rows", F.lit(0)).alias("docs_rows"))
 
 
