@@ -31,6 +31,8 @@ def winnow(points: np.ndarray, offsets: np.ndarray, k: int, span: int) -> tuple[
     window = span - k + 1
     key = gram_keys(points, k)
     n = len(key)
+    if n < window:
+        return key[:0], np.zeros(0, np.int64)
     most = np.uint64(0xFFFFFFFFFFFFFFFF)
     full = inside(offsets, span, n)  # a window starts here
     least = key.copy()

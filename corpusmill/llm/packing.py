@@ -29,6 +29,7 @@ from corpusmill.runtime import Stage, comparable
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SHARD_ITEMS = 12_000
+PACKED = "pack_id string, container bigint, doc_id bigint, source string, start bigint, tokens bigint"
 #: Rows of pack sizes the driver reads; a longer table is refused, not cut.
 MOST_SIZES = 10_000
 
@@ -139,6 +140,8 @@ def pack(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str = TOKENIZER
     if len(listed) > MOST_SIZES:
         raise ValueError(f"more than {MOST_SIZES} pack sizes")
     sizes = sorted((str(r[0]), int(r[1])) for r in listed)
+    if not sizes:
+        return documents.sparkSession.createDataFrame([], PACKED)
     items = Stage(token_counts(documents, tokenizer), "tokens")
     shards = max(1, -(-items.rows // shard_items))
     # By the whole row, so that a doc_id that many rows share is spread too.
@@ -153,7 +156,7 @@ def pack(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str = TOKENIZER
     own = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.withColumn("own_before", F.coalesce(F.sum("n").over(own), F.lit(0))).join(sources, "source").join(reach, "shard").select("shard", "source", "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("behind"))
     ready = items.join(carried, ["shard", "source"])
-    return ready.groupBy("shard").applyInPandas(lambda f: _pack(f, sizes), "pack_id string, container bigint, doc_id bigint, source string, start bigint, tokens bigint")
+    return ready.groupBy("shard").applyInPandas(lambda f: _pack(f, sizes), PACKED)
 
 
 def pack_report(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
