@@ -44,13 +44,15 @@ def spell(syllables: list[str], style: str, seed: int = 0) -> str:
     raise ValueError(style)
 
 
-def fuzzy(syllable: str, swaps: tuple[tuple[str, str], ...] = (("zh", "z"), ("ch", "c"), ("sh", "s"), ("ng", "n"), ("l", "n"))) -> list[str]:
-    """The syllable with each pair of sounds swapped at its start or end, both ways, sorted."""
+def fuzzy(syllable: str, initials: tuple[tuple[str, str], ...] = (("zh", "z"), ("ch", "c"), ("sh", "s"), ("l", "n")), finals: tuple[tuple[str, str], ...] = (("ng", "n"),)) -> list[str]:
+    """The syllable with each pair of sounds swapped, at its start or at its end, both ways, sorted."""
     out = set()
-    for a, b in swaps:
+    for a, b in initials:
         for x, y in ((a, b), (b, a)):
-            if syllable.startswith(x):
+            if syllable.startswith(x) and not (y.startswith(x) and syllable.startswith(y)):
                 out.add(y + syllable[len(x) :])
+    for a, b in finals:
+        for x, y in ((a, b), (b, a)):
             if syllable.endswith(x):
                 out.add(syllable[: -len(x)] + y)
     return sorted(out - {syllable, ""})

@@ -4,6 +4,7 @@ or a scan with an automaton whose size is bounded; none compares all rows with a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from corpusmill.functions.text import char_grams
@@ -25,6 +26,7 @@ def contained(texts: DataFrame, key: str, text: str, patterns: DataFrame, patter
     spark = texts.sparkSession
     kinds = f"{key} {texts.schema[key].dataType.simpleString()}, {pattern_key} {patterns.schema[pattern_key].dataType.simpleString()}"
     rows = texts.select(key, text).where(F.col(text).isNotNull())
+    name_type = to_arrow_type(patterns.schema[pattern_key].dataType)
 
     def scan(words):
         def over(batches):
@@ -40,7 +42,7 @@ def contained(texts: DataFrame, key: str, text: str, patterns: DataFrame, patter
             machine.make_automaton()
             for batch in batches:
                 found = [(k, n) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n in {n for _, names in machine.iter(t) for n in names}]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], batch.schema.field(0).type), pa.array([n for _, n in found])], [key, pattern_key])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], batch.schema.field(0).type), pa.array([n for _, n in found], name_type)], [key, pattern_key])
 
         return over
 
