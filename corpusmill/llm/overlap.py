@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.functions.fold import code_points, fold_many, gram_keys, grams, inside, mix64
+from corpusmill.functions.fold import code_points, fold_many, gram_keys, inside, mix64
 from corpusmill.llm import runs
 from corpusmill.runtime import Stage, shuffle_partitions
 
@@ -35,6 +35,7 @@ PAIRS = 64  # pairs of one interval at one depth
 LEFT = 0.6  # share of a record's suffixes in intervals that stay too large, beyond which it goes the exact way
 FEW_GRAMS = 2_000_000  # 3-grams sent to the tasks at most; beyond, they are joined
 HOT = 2000  # a prefix that one in so many sampled suffixes has is cut before the shuffle
+BITS = 512  # size of a record's bit map of 3-grams
 COVER = 0.2  # share of an evaluation text that sampled shared spans must cover
 EVAL = ("validation", "test")
 
@@ -49,14 +50,25 @@ def _fold(batches, min_chars: int):
         yield pa.RecordBatch.from_arrays([short.column(0), short.column(1), short.column(2), pa.array([folded[i] for i in keep], pa.string())], ["id", "split", "sig", "text"])
 
 
+def _set(text: str) -> set[str]:
+    return {text[i : i + 3] for i in range(len(text) - 2)}
+
+
 def _number(batches):
     import pyarrow as pa
     from pyspark import TaskContext
 
     at = TaskContext.get().partitionId() << 40
     for batch in batches:
-        sizes = [len(grams(t)) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + batch.num_rows)), *batch.columns, pa.array(sizes, pa.int64())], ["rec", *batch.schema.names, "n"])
+        texts = batch.column(0).to_pylist()
+        points, offsets = code_points(texts)
+        key = gram_keys(points, 3)
+        place = np.flatnonzero(inside(offsets, 3, len(key)))
+        bits = np.zeros((len(texts), BITS), bool)
+        bits[np.searchsorted(offsets, place, side="right") - 1, (mix64(key[place]) % np.uint64(BITS)).astype(np.int64)] = True
+        maps = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+        sizes = pa.array([len(_set(t)) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + batch.num_rows)), *batch.columns, sizes, maps], ["rec", *batch.schema.names, "n", "bits"])
         at += batch.num_rows
 
 
@@ -226,58 +238,108 @@ def _suffix_counts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(who, minlength=batch.num_rows))], ["rec", "suffixes"])
 
 
-def _similar(batches, threshold: float):
+def _possible(batches, threshold: float):
+    """Drops pairs that cannot be similar: a bit that one map has and the other lacks is a 3-gram that is not shared.
+
+    Of ``n`` 3-grams of a text a similar one lacks n (1 - threshold) / threshold at most, so this loses no pair.
+    """
     import pyarrow as pa
 
+    most = (1 - threshold) / threshold
     for batch in batches:
-        known: dict[str, np.ndarray] = {}
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (2, 3))
+            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            left, right = np.bitwise_count(x & ~y).sum(1), np.bitwise_count(y & ~x).sum(1)
+            yield batch.filter(pa.array((left <= most * m + 1e-9) & (right <= most * n + 1e-9))).select([0, 1])
 
-        def of(t, known=known):
-            if t not in known:
-                known[t] = grams(t)
-            return known[t]
 
+def _similar(batches, threshold: float):
+    import pyarrow as pa
+
+    for batch in batches:
+        known: dict[str, set] = {}
         keep = []
         for i, (s, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            u, v = of(s), of(t)
+            u = known.get(s)
+            if u is None:
+                u = known[s] = _set(s)
+            v = _set(t)
             if min(len(u), len(v)) + 1e-9 < threshold * max(len(u), len(v)):
                 continue
-            both = len(np.intersect1d(u, v, assume_unique=True))
+            both = len(u & v)
             if both >= threshold * (len(u) + len(v) - both) - 1e-9:
                 keep.append(i)
         yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
 
-def _grams_of(batches, wanted=None):
+def _gram_hits(batches, wanted):
+    """``(rec, g)`` of each text's distinct 3-grams, only those wanted if a list is given."""
     import pyarrow as pa
 
+    filter_ = None
+    if wanted is not None:
+        filter_ = np.zeros(1 << 22, bool)
+        filter_[(mix64(wanted.value.view(np.uint64)) >> np.uint64(42)).astype(np.int64)] = True
     for batch in batches:
-        sets = [grams(t) for t in batch.column(1).to_pylist()]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        rec, g, n = np.repeat(batch.column(0).to_numpy(), sizes), np.concatenate(sets or [np.zeros(0, np.uint64)]).astype(np.int64), np.repeat(sizes, sizes)
-        if wanted is not None:
-            among = np.isin(g, wanted.value)
-            rec, g, n = rec[among], g[among], n[among]
-        yield pa.RecordBatch.from_arrays([pa.array(rec), pa.array(g), pa.array(n)], ["rec", "g", "n"])
+        points, offsets = code_points(batch.column(1).to_pylist())
+        key = gram_keys(points, 3)
+        at = np.flatnonzero(inside(offsets, 3, len(key)))
+        key = key[at]
+        if filter_ is not None:
+            near = filter_[(mix64(key) >> np.uint64(42)).astype(np.int64)]
+            key, at = key[near], at[near]
+            sure = np.isin(key, wanted.value.view(np.uint64))
+            key, at = key[sure], at[sure]
+        who = np.searchsorted(offsets, at, side="right") - 1
+        order = np.lexsort((key, who))
+        key, who = key[order], who[order]
+        first = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])] if len(key) else np.zeros(0, bool)
+        whole = pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[who[first]]), pa.array(key[first].view(np.int64))], ["rec", "g"])
+        for at0 in range(0, whole.num_rows, 50_000):
+            yield whole.slice(at0, 50_000)
+
+
+def _gram_counts(batches, wanted):
+    """In how many texts of the task each wanted 3-gram occurs."""
+    import pyarrow as pa
+
+    total: dict[int, int] = {}
+    for hits in _gram_hits(batches, wanted):
+        g, n = np.unique(hits.column(1).to_numpy(), return_counts=True)
+        for x, k in zip(g.tolist(), n.tolist(), strict=True):
+            total[x] = total.get(x, 0) + k
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["g", "df"])
 
 
 def _by_rare_grams(few: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
     """The exact way for records whose suffixes are nearly all too frequent: a similar text shares one of the
-    n - ceil(threshold n) + 1 rarest 3-grams; ``few`` are evaluation records, compared with all training records."""
+    n - ceil(threshold n) + 1 rarest 3-grams; ``few`` are evaluation records, compared with all training records.
+
+    Counts come first, summed in the tasks, so that only rare 3-grams are shuffled. A list of at most ``FEW_GRAMS`` is
+    sent to the tasks; a longer one is joined.
+    """
     from pyspark.sql.window import Window
 
-    of = lambda df, wanted=None: df.select("rec", "text").mapInArrow(lambda b: _grams_of(b, wanted), "rec bigint, g bigint, n bigint")
-    mine = of(few)
-    wanted = mine.select("g").distinct().limit(FEW_GRAMS + 1).toPandas()["g"].to_numpy()  # bounded by FEW_GRAMS
-    if len(wanted) <= FEW_GRAMS:
-        theirs = of(records.where("in_train"), records.sparkSession.sparkContext.broadcast(wanted))
+    spark = records.sparkSession
+    train = records.where("in_train").select("rec", "text")
+    hits = lambda df, wanted=None: df.mapInArrow(lambda b: _gram_hits(b, wanted), "rec bigint, g bigint")
+
+    def listed(df):
+        some = df.select("g").distinct().limit(FEW_GRAMS + 1).toPandas()["g"].to_numpy()  # bounded by FEW_GRAMS
+        return spark.sparkContext.broadcast(np.sort(some)) if len(some) <= FEW_GRAMS else None
+
+    mine = hits(few.select("rec", "text")).join(few.select("rec", "n"), "rec")
+    known = listed(mine)
+    if known is not None:
+        counts = train.mapInArrow(lambda b: _gram_counts(b, known), "g bigint, df bigint").groupBy("g").agg(F.sum("df").alias("df"))
     else:
-        theirs = of(records.where("in_train")).join(mine.select("g").distinct(), "g", "left_semi")
-    theirs = theirs.select(F.col("rec").alias("t"), "g")
-    counts = theirs.groupBy("g").agg(F.count("*").alias("df"))
+        counts = hits(train).join(mine.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
     order = Window.partitionBy("rec").orderBy(F.coalesce("df", F.lit(0)), "g")
-    rare = mine.join(counts, "g", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    return rare.select(F.col("rec").alias("e"), "g").join(theirs, "g").select("e", "t").distinct()
+    ranked = mine.join(counts, "g", "left").withColumn("r", F.row_number().over(order))
+    rare = Stage(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(F.col("rec").alias("e"), "g"), "rare").df
+    theirs = hits(train, listed(rare)).select(F.col("rec").alias("t"), "g")
+    return rare.join(theirs, "g").select("e", "t").distinct()
 
 
 def overlaps(seq: DataFrame, seen: DataFrame, min_chars: int = 20, threshold: float = 0.7) -> DataFrame:
@@ -287,7 +349,7 @@ def overlaps(seq: DataFrame, seen: DataFrame, min_chars: int = 20, threshold: fl
     parts = shuffle_partitions(spark)
     rows = Stage(seq.select("id", "split", "sig", "text").where(F.col("split").isin("train", *EVAL)).mapInArrow(lambda b: _fold(b, min_chars), "id bigint, split string, sig string, text string"), "folded")
     grouped = rows.df.groupBy("text").agg(F.bool_or(F.col("split") != "train").alias("held_out"), F.bool_or(F.col("split") == "train").alias("in_train"))
-    records = Stage(grouped.mapInArrow(_number, "rec bigint, text string, held_out boolean, in_train boolean, n bigint"), "records")
+    records = Stage(grouped.mapInArrow(_number, "rec bigint, text string, held_out boolean, in_train boolean, n bigint, bits binary"), "records")
     suffixes = records.df.agg(F.sum(F.length("text"))).first()[0] or 0
     frequent = records.df.mapInArrow(_count_frequent, "key bigint, n bigint, of bigint")
     total = max(1, suffixes * 2 // (WINDOW + 1))
@@ -300,13 +362,15 @@ def overlaps(seq: DataFrame, seen: DataFrame, min_chars: int = 20, threshold: fl
     texts = records.df.select("rec", "text")
     side = lambda name: texts.select(F.col("rec").alias(name), F.col("text").alias(f"text_{name}"))
     pairs_of_texts = spans.where(F.col("chars") >= F.col("n") * COVER).select("e", "t")
-    weak = records.df.where("held_out").join(lost.withColumnRenamed("e", "rec"), "rec").select("rec", "text", "lost")
+    weak = records.df.where("held_out").join(lost.withColumnRenamed("e", "rec"), "rec").select("rec", "text", "n", "lost")
     suffixes_of = weak.select("rec", "text").mapInArrow(_suffix_counts, "rec bigint, suffixes bigint")
-    few = Stage(weak.join(suffixes_of, "rec").where(F.col("lost") > F.col("suffixes") * LEFT).select("rec", "text"), "few")
+    few = Stage(weak.join(suffixes_of, "rec").where(F.col("lost") > F.col("suffixes") * LEFT).select("rec", "text", "n"), "few")
     if few.rows:
         pairs_of_texts = pairs_of_texts.unionByName(_by_rare_grams(few.df, records.df, threshold).where("e <> t"))
-    covered = pairs_of_texts.join(side("e"), "e")
-    near = covered.join(side("t"), "t").select("e", "t", "text_e", "text_t").mapInArrow(lambda b: _similar(b, threshold), "e bigint, t bigint").distinct()
+    mapped = lambda name: records.df.select(F.col("rec").alias(name), F.col("bits").alias(f"bits_{name}"), F.col("n").alias(f"n_{name}"))
+    both = pairs_of_texts.join(mapped("e"), "e").join(mapped("t"), "t").select("e", "t", "bits_e", "bits_t", "n_e", "n_t")
+    possible = Stage(both.mapInArrow(lambda b: _possible(b, threshold), "e bigint, t bigint"), "possible").df.distinct()
+    near = possible.join(side("e"), "e").join(side("t"), "t").select("e", "t", "text_e", "text_t").mapInArrow(lambda b: _similar(b, threshold), "e bigint, t bigint")
     linked = near.withColumn("how", F.lit("near")).unionByName(records.df.where("held_out and in_train").select(F.col("rec").alias("e"), F.col("rec").alias("t"), F.lit("same").alias("how")))
     involved = Stage(linked, "linked").df
     members = rows.df.join(records.df.select("rec", "text"), "text").select("rec", "id", "split", "sig")
