@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: White space as Python's ``str.strip`` and ``str.split`` know it.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The same characters one by one, in code point order, for trimming without a pattern.
+SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 HAN, KANA = r"\p{IsHan}", r"[\p{IsHiragana}\p{IsKatakana}]"
 #: Kana of the two syllabaries that correspond, in code point order.
 KATAKANA = "".join(chr(c) for c in range(0x30A1, 0x30F7))
@@ -45,7 +47,7 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:

@@ -58,6 +58,15 @@ def txt15(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(sg.text_chunks(F.col("text"))).alias("chunk", "text"))
 
 
+@query("tok01")
+def tok01(spark, d):
+    """In place of training, which is not done here: tokens of all documents under a public vocabulary, by language and length class."""
+    encode, _ = _pieces()
+    x = table(spark, d, "documents").where("text is not null").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.length("text").alias("chars"), (F.size(encode("text")) - 2).alias("tokens"))
+    kind = t.length_bucket(F.col("chars"), [(200, "short"), (1000, "medium")], "long").alias("kind")
+    return x.groupBy("lang", kind).agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
+
+
 @query("tok02")
 def tok02(spark, d):
     """Encoded items with their decoding compared, and no reserved id inside."""
