@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.functions.text import strip
 from corpusmill.operators.components import connected_components
 from corpusmill.runtime import Stage
 
@@ -26,17 +27,16 @@ SPLITS = ("train", "validation", "test")
 PROPORTIONS = (0.98, 0.01, 0.01)
 #: Buckets in which components of one size are ranked, so that the many singletons do not meet in one task.
 RANK_BUCKETS = 4096
-_SPACE = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
 
 
 def alias_identity(key: Column) -> Column:
     """The form in which alias keys compare; null if the key names nothing."""
     prefix = F.regexp_extract(key, r"^([A-Za-z]+:)", 1)
     rest = F.substring(key, F.length(prefix) + F.lit(1), F.lit(1 << 30))
-    bare = F.regexp_replace(rest, _SPACE, "")
-    uncut = F.regexp_replace(bare, r"(?s)#.*$", "")
-    head = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*://)([^/?#]*)(.*)$"
-    url = F.when(uncut.rlike(head), F.concat(F.lower(F.regexp_extract(uncut, head, 1)), F.lower(F.regexp_extract(uncut, head, 2)), F.regexp_extract(uncut, head, 3))).otherwise(uncut)
+    bare = strip(rest)
+    uncut = F.substring_index(bare, "#", 1)
+    head = F.regexp_extract(uncut, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*", 0)
+    url = F.concat(F.lower(head), F.substring(uncut, F.length(head) + 1, F.lit(1 << 30)))
     value = F.when(prefix == "url:", F.concat(F.lit("url:"), url)).otherwise(key)
     named = F.when(prefix == "url:", F.length(url) > 0).otherwise(F.length(bare) > 0)
     return F.when(key.isNotNull() & (F.length(key) > 0) & named, value)
