@@ -145,19 +145,22 @@ def _send(batches, buckets: int, hot: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
 
 
-def _cross(start, size, held_out, train, limit):
-    """Index pairs (evaluation, training) of each interval within the limit, and the evaluation suffixes of the others."""
-    left, right, over = [], [], []
-    for s, n in zip(start, size, strict=True):
-        e, t = np.flatnonzero(held_out[s : s + n]) + s, np.flatnonzero(train[s : s + n]) + s
-        if len(e) and len(t):
-            if len(e) * len(t) <= limit:
-                left.append(np.repeat(e, len(t)))
-                right.append(np.tile(t, len(e)))
-            else:
-                over.append((s, n))
-    none = np.zeros(0, np.int64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none]), over
+def _cross(cut, alive, held_out, train):
+    """Index pairs (evaluation, training) of the intervals that hold at most ``PAIRS`` of them, and which suffixes lie in larger ones.
+
+    ``cut`` marks the first suffix of each interval; only ``alive`` suffixes count.
+    """
+    group = np.cumsum(cut) - 1
+    e, t = held_out & alive, train & alive
+    of_e, of_t = np.bincount(group[e], minlength=group[-1] + 1), np.bincount(group[t], minlength=group[-1] + 1)
+    over = of_e * of_t > PAIRS
+    left, right = np.flatnonzero(e), np.flatnonzero(t)
+    first = np.cumsum(of_t) - of_t  # of each interval its first place among the training suffixes
+    left = left[~over[group[left]]]
+    times = of_t[group[left]]
+    ends = np.cumsum(times)
+    within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - times, times)
+    return np.repeat(left, times), right[np.repeat(first[group[left]], times) + within], alive & over[group]
 
 
 def _array(batches, threshold: float):
@@ -181,15 +184,6 @@ def _array(batches, threshold: float):
         cut12 = cut8 | np.r_[True, ks[2][1:] != ks[2][:-1]]
         cut16 = cut12 | np.r_[True, ks[3][1:] != ks[3][:-1]]
 
-        def intervals(cut, lo=0, hi=None):
-            s = np.flatnonzero(cut[lo:hi]) + lo
-            return s, np.diff(np.r_[s, len(cut) if hi is None else hi])
-
-        start, size = intervals(cut8)
-        # Only intervals with both sides, found without a loop.
-        e = np.add.reduceat(held_out.astype(np.int64), start)
-        t = np.add.reduceat(train.astype(np.int64), start)
-        mixed = (e > 0) & (t > 0)
         rows: list[tuple] = []
 
         def take(i, j, length, who=who, pos=pos, rows=rows, n=grams_of):
@@ -197,20 +191,14 @@ def _array(batches, threshold: float):
             i, j = i[near], j[near]
             rows.append((who[i], who[j], pos[i], np.full(len(i), length), n[i]))
 
-        todo = []
-        for s, n in zip(start[mixed], size[mixed], strict=True):
-            todo.append((s, n, deep[s]))
-        plain = [(s, n) for s, n, d in todo if not d]
-        i, j, over = _cross([s for s, _ in plain], [n for _, n in plain], held_out, train, PAIRS)
+        i, j, more = _cross(cut8, ~deep, held_out, train)
         take(i, j, DEPTH)
         # Of these only the pairs with a longer common prefix come out below.
-        skipped = [who[s : s + n][held_out[s : s + n]] for s, n in over] + [who[deep & held_out]]
+        skipped = who[(more | deep) & held_out]
         for cut, length in ((cut12, 12), (cut16, DEEP)):
-            parts = [intervals(cut, s, s + n) for s, n in over]
-            i, j, over = _cross(np.concatenate([p[0] for p in parts] or [[]]).astype(int), np.concatenate([p[1] for p in parts] or [[]]).astype(int), held_out, train, PAIRS)
+            i, j, more = _cross(cut, more, held_out, train)
             take(i, j, length)
-        hot = [intervals(cut16, s, s + n) for s, n, d in todo if d]
-        i, j, _ = _cross(np.concatenate([p[0] for p in hot] or [[]]).astype(int), np.concatenate([p[1] for p in hot] or [[]]).astype(int), held_out, train, PAIRS)
+        i, j, _ = _cross(cut16, deep, held_out, train)
         take(i, j, DEEP)
         ev, tr, at, length, size = (np.concatenate([r[c] for r in rows]) for c in range(5))
         order = np.lexsort((at, tr, ev))
@@ -222,7 +210,7 @@ def _array(batches, threshold: float):
             ev, tr, size, chars = ev[first], tr[first], size[first], np.add.reduceat(gap, first)
         else:
             chars = np.zeros(0, np.int64)
-        lost, times = np.unique(np.concatenate(skipped or [np.zeros(0, np.int64)]), return_counts=True)
+        lost, times = np.unique(skipped, return_counts=True)
         n, m = len(ev), len(lost)
         whole = pa.RecordBatch.from_arrays([pa.array(np.r_[ev, lost].astype(np.int64)), pa.array(np.r_[tr, np.zeros(m, np.int64)].astype(np.int64), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]), pa.array(np.r_[chars, times].astype(np.int64)), pa.array(np.r_[size, np.zeros(m, np.int64)].astype(np.int64))], ["e", "t", "chars", "n"])
         for at0 in range(0, whole.num_rows, 50_000):
