@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions.text import hash_fraction
+from corpusmill.runtime import Stage, shuffle_partitions
 
 
 def primary(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -33,27 +34,51 @@ def hash_share(share: float, *key: Column) -> Column:
     return hash_fraction(*key) < share
 
 
-def global_rank(df: DataFrame, order: list[str], buckets: Column) -> DataFrame:
-    """``rank`` from 1 in one global order, without a task that sees all rows.
+def _ranged(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows with ``_b``, the number of the range of ``keys`` they lie in; ranges are of like size, and written, so they stay."""
+    parts = shuffle_partitions(df.sparkSession)
+    return Stage(df.repartitionByRange(parts, *keys).withColumn("_b", F.spark_partition_id()), "ranged").df
 
-    ``buckets``: an integer that does not fall as the order rises. Ranks inside a bucket are added to the sizes before it.
+
+def _columns(names: list) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in names]
+
+
+def global_rank(df: DataFrame, order: list, by: list[str] | None = None) -> DataFrame:
+    """``rank`` from 1 in one order, of all rows or of each group of ``by``, without a task that sees them all.
+
+    Rows are cut into ranges of the order; ranks inside a range are added to the sizes of the ranges before it.
+    ``order`` must be total.
     """
-    marked = df.withColumn("_b", buckets)
-    sizes = marked.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
-    base = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("_b").orderBy(*order)
-    return marked.withColumn("_r", F.row_number().over(inner)).join(base, "_b").withColumn("rank", F.col("_base") + F.col("_r")).drop("_b", "_r", "_base")
-
-
-def running_total(df: DataFrame, value: str, order: list[str], buckets: Column, name: str = "running") -> DataFrame:
-    """Inclusive running sum in one global order, split by buckets as in ``global_rank``."""
-    marked = df.withColumn("_b", buckets)
-    sizes = marked.groupBy("_b").agg(F.sum(value).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("_r", F.sum(value).over(inner)).join(base, "_b").withColumn(name, F.col("_base") + F.col("_r")).drop("_b", "_r", "_base")
+    by, order = by or [], _columns(order)
+    marked = _ranged(df, [*_columns(by), *order])
+    sizes = marked.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    base = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy(*by, "_b").orderBy(*order)
+    joined = _join(marked.withColumn("_r", F.row_number().over(inner)), base, by)
+    return joined.withColumn("rank", F.col("_base") + F.col("_r")).drop("_b", "_r", "_base")
+
+
+def running_total(df: DataFrame, value: str, order: list, by: list[str] | None = None, name: str = "running") -> DataFrame:
+    """Inclusive running sum in one order, of all rows or of each group of ``by``, cut into ranges as in ``global_rank``."""
+    by, order = by or [], _columns(order)
+    marked = _ranged(df, [*_columns(by), *order])
+    sizes = marked.groupBy(*by, "_b").agg(F.sum(value).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = _join(marked.withColumn("_r", F.sum(value).over(inner)), base, by)
+    return joined.withColumn(name, F.col("_base") + F.col("_r")).drop("_b", "_r", "_base")
+
+
+def _join(rows: DataFrame, base: DataFrame, by: list[str]) -> DataFrame:
+    """Joined on range and group; a null group is a group like any other."""
+    other = base.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_b2"), "_base")
+    same = rows["_b"] == other["_b2"]
+    for c in by:
+        same = same & rows[c].eqNullSafe(other[f"_{c}"])
+    return rows.join(other, same).drop("_b2", *[f"_{c}" for c in by])
 
 
 def exact_quantile(df: DataFrame, value: str, share: float) -> DataFrame:

@@ -252,7 +252,7 @@ _FRAC = "(('0x'||substr(sha256({}),1,16))::ubigint::double/18446744073709551616.
 def agg13(spark, d):
     u = t.hash_fraction(F.lit("pool:"), F.col("doc_id").cast("string"))
     x = T(spark, d, "documents").where("text is not null").select("doc_id", u.alias("u"), F.length("text").alias("n"))
-    run = Stage(dd.running_total(x, "n", ["u", "doc_id"], F.floor(F.col("u") * 256), "s"), "pools").df
+    run = Stage(dd.running_total(x, "n", ["u", "doc_id"], name="s"), "pools").df
     total = run.agg(F.max("s")).first()[0] or 0
     out = None
     for name, share in (("p20", 0.2), ("p5", 0.05), ("p1", 0.01)):
@@ -322,11 +322,8 @@ def win01(spark, d):
 @query("win02", f"with o as (select doc_hash, min(k) as k from (select doc_hash, row_number() over (order by (coalesce(source,'')<>'sentences')::int, doc_id, source_file, row_index, doc_hash) as k from {_O}) group by 1) select text_hash, min(k) as priority from {_U} join o using (doc_hash) group by 1")
 def win02(spark, d):
     o = origins(spark, d).withColumn("p", F.when(F.col("source") == "sentences", 0).otherwise(1))
-    # Buckets that follow the order: preferred first, then the leading part of the id.
-    cut = o.groupBy("p", F.substring("doc_id", 1, 12).alias("h")).agg(F.count("*").alias("n"))
-    base = cut.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("p", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = o.withColumn("h", F.substring("doc_id", 1, 12)).join(base, ["p", "h"]).withColumn("k", F.col("base") + F.row_number().over(Window.partitionBy("p", "h").orderBy("doc_id", "source_file", "row_index", "doc_hash")))
-    best = ranked.groupBy("doc_hash").agg(F.min("k").alias("k"))
+    ranked = dd.global_rank(o, ["p", "doc_id", "source_file", "row_index", "doc_hash"])
+    best = ranked.groupBy("doc_hash").agg(F.min("rank").alias("k"))
     return units(spark, d).select("text_hash", "doc_hash").join(best, "doc_hash").groupBy("text_hash").agg(F.min("k").alias("priority"))
 
 
@@ -336,8 +333,7 @@ _TRAIN = "(select distinct id, pool, priority, pairs from docs where split='trai
 @query("win03", f"select pool, id, pairs from (select *, sum(pairs) over (partition by pool order by priority, id rows unbounded preceding) as s from {_TRAIN}) where s<=20000")
 def win03(spark, d):
     x = T(spark, d, "docs").where("split = 'train' and pairs > 0 and priority is not null").select("id", "pool", "priority", "pairs").distinct()
-    run = F.sum("pairs").over(Window.partitionBy("pool").orderBy("priority", "id").rowsBetween(Window.unboundedPreceding, 0))
-    return x.withColumn("s", run).where("s <= 20000").select("pool", "id", "pairs")
+    return dd.running_total(x, "pairs", ["priority", "id"], ["pool"]).where("running <= 20000").select("pool", "id", "pairs")
 
 
 @query("win03_skip")
@@ -369,14 +365,14 @@ def win06(spark, d):
 @query("win07", "select vec_id from (select vec_id, label, row_number() over (partition by label order by embedding[1] desc, vec_id) as r, count(*) over (partition by label) as n from embeddings) where r<=greatest(1, round_even(0.1*n,0))")
 def win07(spark, d):
     x = T(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].alias("c"))
-    n = F.count("*").over(Window.partitionBy("label"))
-    return x.withColumn("n", n).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("c"), "vec_id"))).where(F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.1))).select("vec_id")
+    n = x.groupBy("label").agg(F.count("*").alias("n"))
+    return dd.global_rank(x, [F.desc("c"), F.col("vec_id")], ["label"]).join(n, "label").where(F.col("rank") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.1))).select("vec_id")
 
 
 @query("win08", "select l_orderkey, sum(n) over (order by l_orderkey rows between unbounded preceding and current row)::bigint as upto from (select l_orderkey, count(*) as n from lineitem group by 1)")
 def win08(spark, d):
     x = T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return dd.running_total(x, "n", ["l_orderkey"], F.floor(F.col("l_orderkey") / 1024), "upto").select("l_orderkey", "upto")
+    return dd.running_total(x, "n", ["l_orderkey"], name="upto").select("l_orderkey", "upto")
 
 
 @query("win09", "select kind, word, weight from (select kind, word, weight, row_number() over (partition by kind order by weight desc, word) as r from (select distinct kind, word, weight from lexicon where weight is not null)) where r<=10")
@@ -533,8 +529,8 @@ def spl05(spark, d):
 @query("spl06", "select distinct o_custkey, case when row_number() over (partition by p order by sha256('42:'||o_custkey))<=20 then 'dev' else 'blind' end as role from (select o_custkey, min(o_orderpriority) as p from orders group by 1)")
 def spl06(spark, d):
     a = T(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("p"))
-    r = F.row_number().over(Window.partitionBy("p").orderBy(F.sha2(F.concat(F.lit("42:"), F.col("o_custkey").cast("string")), 256)))
-    return a.select("o_custkey", F.when(r <= 20, "dev").otherwise("blind").alias("role"))
+    a = a.withColumn("h", F.sha2(F.concat(F.lit("42:"), F.col("o_custkey").cast("string")), 256))
+    return dd.global_rank(a, ["h", "o_custkey"], ["p"]).select("o_custkey", F.when(F.col("rank") <= 20, "dev").otherwise("blind").alias("role"))
 
 
 @query("spl07", f"select id, case when u<0.3 then 'plain' when u<0.5 then 'keyed' end as use from (select distinct id, {_FRAC.format(chr(39)+'use:'+chr(39)+'||id')} as u from seq) where u<0.5")
@@ -576,8 +572,8 @@ def set04(spark, d):
 def smp01(spark, d):
     """Documents of each source in hash order until their lines reach a quota."""
     x = T(spark, d, "documents").where("source is not null and text is not null").select("source", "doc_id", F.size(F.split("text", "\n")).alias("n"))
-    w = Window.partitionBy("source").orderBy(F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return x.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < 40").select("source", "doc_id")
+    x = x.withColumn("h", F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256))
+    return dd.running_total(x, "n", ["h", "doc_id"], ["source"]).where("running - n < 40").select("source", "doc_id")
 
 
 @query("smp02", "select doc_id from documents order by sha256('7:'||doc_id) limit 50")
@@ -598,10 +594,10 @@ def smp04(spark, d):
 @query("smp05", r"with x as (select id, regexp_matches(text,'[\p{Katakana}]') as kana, sha256('42:'||id) as h from (select distinct id, text from seq where text is not null)), r as (select *, row_number() over (partition by kana order by h) as r from x), c as (select count(*) filter (not kana) as plain from x) select id from r, c where (not kana) or r<=plain//4")
 def smp05(spark, d):
     """All sequences without Katakana, and of those with it so many that they are 20 % at most."""
-    x = T(spark, d, "seq").where("text is not null").select("id", "text").distinct().select("id", F.col("text").rlike(r"\p{IsKatakana}").alias("kana"), t.hash_fraction(F.lit("42:"), F.col("id").cast("string")).alias("u"), F.sha2(F.concat(F.lit("42:"), F.col("id").cast("string")), 256).alias("h"))
+    x = T(spark, d, "seq").where("text is not null").select("id", "text").distinct().select("id", F.col("text").rlike(r"\p{IsKatakana}").alias("kana"), F.sha2(F.concat(F.lit("42:"), F.col("id").cast("string")), 256).alias("h"))
     x = Stage(x, "kana").df
     plain = x.where("not kana").count()
-    ranked = dd.global_rank(x.where("kana"), ["h"], F.floor(F.col("u") * 256)).where(F.col("rank") <= plain // 4)
+    ranked = dd.global_rank(x.where("kana"), ["h", "id"]).where(F.col("rank") <= plain // 4)
     return x.where("not kana").select("id").unionByName(ranked.select("id"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import text as t
+from corpusmill.operators import dedup as dd
 from corpusmill.operators import ranking as rk
 from corpusmill.operators import statistics as st
 from corpusmill.operators.annotations import require
@@ -115,8 +116,9 @@ def agg18(spark, d):
 
 @query("agg19", f"with c as (select item, source, b_model=1 as hit, (select 0) as z, size from {_ITEMS}), r as (select *, row_number() over (partition by source order by size desc, item) as k, count(*) over (partition by source) as n from c) select source, count(*) as cases, count(*) filter (hit) as hits, count(*) filter (hit and k<=greatest(1,round_even(0.2*n,0))) as hits_at_fifth from r group by 1")
 def agg19(spark, d):
-    w = Window.partitionBy("source")
-    x = best(spark, d, "model", "source", "size").withColumn("hit", F.col("best") == 1).withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("size"), "item")))
+    x = Stage(best(spark, d, "model", "source", "size").withColumn("hit", F.col("best") == 1), "hits").df
+    n = x.groupBy("source").agg(F.count("*").alias("n"))
+    x = dd.global_rank(x, [F.desc("size"), F.col("item")], ["source"]).withColumnRenamed("rank", "k").join(n, "source")
     return x.groupBy("source").agg(F.count("*").alias("cases"), F.count_if("hit").alias("hits"), F.count_if(F.col("hit") & (F.col("k") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.2)))).alias("hits_at_fifth"))
 
 

@@ -158,11 +158,17 @@ def test_joins_against_loops(spark):
 def test_ranks_and_sums_over_buckets(spark):
     values = [(i, random.Random(i).randrange(1000)) for i in range(500)]
     df = spark.createDataFrame(values, "id int, v int")
-    ranked = dd.global_rank(df, ["v", "id"], F.floor(F.col("v") / 100))
+    ranked = dd.global_rank(df, ["v", "id"])
     order = sorted(values, key=lambda x: (x[1], x[0]))
     assert {r["id"]: r["rank"] for r in ranked.collect()} == {i: k + 1 for k, (i, _) in enumerate(order)}
-    summed = dd.running_total(df, "v", ["v", "id"], F.floor(F.col("v") / 100))
+    summed = dd.running_total(df, "v", ["v", "id"])
     assert max(r["running"] for r in summed.collect()) == sum(v for _, v in values)
+    grouped = df.withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    expected = {}
+    for g in (None, 1, 2):
+        own = sorted(((v, i) for i, v in values if (i % 3 or None) == g), key=lambda x: (-x[0], x[1]))
+        expected |= {i: k + 1 for k, (_, i) in enumerate(own)}
+    assert {r["id"]: r["rank"] for r in dd.global_rank(grouped, [F.desc("v"), F.col("id")], ["g"]).collect()} == expected
 
 
 def test_windows_predict_every_pair_once(spark):
