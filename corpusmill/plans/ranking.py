@@ -96,9 +96,9 @@ def agg16(spark, d):
     return x.groupingSets([[], ["source"], ["size_class"], ["source", "size_class"]], "source", "size_class").agg(*rk.metrics())
 
 
-@query("agg16_macro", f"select avg(share) as macro_top1 from (select round(count(*) filter (b_model=1)/count(*),6) as share from {_ITEMS} group by source)")
+@query("agg16_macro", f"select round(avg(share),6) as macro_top1 from (select round(count(*) filter (b_model=1)/count(*),6) as share from {_ITEMS} group by source)")
 def agg16_macro(spark, d):
-    return best(spark, d, "model", "source").groupBy("source").agg(F.round(F.count_if(F.col("best") == 1) / F.count("*"), 6).alias("share")).agg(F.avg("share").alias("macro_top1"))
+    return best(spark, d, "model", "source").groupBy("source").agg(F.round(F.count_if(F.col("best") == 1) / F.count("*"), 6).alias("share")).agg(F.round(F.avg("share"), 6).alias("macro_top1"))
 
 
 @query("agg17", f"select count(*) as cases, sum(27720*good//least(tied,12))::bigint as credit_units from (select item, count(*) as tied, count(*) filter (correct) as good from (select *, max(engine) over (partition by item) as m from {_POOL}) where engine>=m-1e-9 group by 1)")
