@@ -120,15 +120,26 @@ def _prefix(ks, depth: int) -> np.ndarray:
 
 
 def _count_frequent(batches):
-    """Prefixes that are frequent among the suffixes of this task, with their counts; no prefix frequent over all escapes all tasks."""
+    """Prefixes that are frequent among a million suffixes or so, with their counts; one frequent over all is so in some of these."""
     import pyarrow as pa
 
-    keys = [_prefix(_columns(b)[0], DEPTH) for b in batches if b.num_rows]
-    if keys:
-        whole = np.concatenate(keys)
+    held, size = [], 0
+
+    def counted():
+        whole = np.concatenate(held)
         key, count = np.unique(whole, return_counts=True)
         often = count >= max(16, len(whole) / HOT)
-        yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(count[often]), pa.array(np.full(int(often.sum()), len(whole)))], ["key", "n", "of"])
+        return pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(count[often])], ["key", "n"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_prefix(_columns(batch)[0], DEPTH))
+            size += len(held[-1])
+            if size > 1_000_000:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
 
 
 def _send(batches, buckets: int, hot: np.ndarray):
@@ -339,7 +350,7 @@ def overlaps(seq: DataFrame, seen: DataFrame, min_chars: int = 20, threshold: fl
     grouped = rows.df.groupBy("text").agg(F.bool_or(F.col("split") != "train").alias("held_out"), F.bool_or(F.col("split") == "train").alias("in_train"))
     records = Stage(grouped.mapInArrow(_number, "rec bigint, text string, held_out boolean, in_train boolean, n bigint, bits binary"), "records")
     suffixes = records.df.agg(F.sum(F.length("text"))).first()[0] or 0
-    frequent = records.df.mapInArrow(_count_frequent, "key bigint, n bigint, of bigint")
+    frequent = records.df.mapInArrow(_count_frequent, "key bigint, n bigint")
     total = max(1, suffixes * 2 // (WINDOW + 1))
     # A prefix over 1/HOT of all is over 1/HOT of some task; at most 2 HOT prefixes can reach half of it: a bounded list.
     hot = np.array([r[0] for r in frequent.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1000, total // (2 * HOT))).select("key").collect()], np.int64).view(np.uint64)
