@@ -3,14 +3,17 @@ the text, so they do not depend on partitions or order."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import re
 from collections import Counter
 
 #: The rows of the keyboard, from which neighbours follow by position.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
 
+@functools.cache
 def neighbours() -> dict[str, str]:
     """Keys at a distance of about one key width; the rows are offset by a quarter and three quarters of a key."""
     at = {c: (x + shift, y) for y, (row, shift) in enumerate(zip(ROWS, (0.0, 0.25, 0.75), strict=True)) for x, c in enumerate(row)}
@@ -77,14 +80,14 @@ def mistype(keys: str, kind: str, seed: int = 0) -> str:
     raise ValueError(kind)
 
 
+@functools.lru_cache(16)
+def _sequence_of(syllables: frozenset[str]) -> re.Pattern:
+    return re.compile(f"(?:{'|'.join(map(re.escape, sorted(syllables, key=lambda x: (-len(x), x))))})+" if syllables else r"(?!)")
+
+
 def splits_to_syllables(keys: str, syllables: frozenset[str]) -> bool:
-    """Whether the keys are a sequence of valid syllables."""
-    longest = max(map(len, syllables), default=0)
-    ends = {0}
-    for i in range(1, len(keys) + 1):
-        if any(i - n in ends and keys[i - n : i] in syllables for n in range(1, min(i, longest) + 1)):
-            ends.add(i)
-    return len(keys) in ends and bool(keys)
+    """Whether the keys are a sequence of valid syllables, at least one."""
+    return _sequence_of(syllables).fullmatch(keys) is not None
 
 
 def repairs(keys: str, syllables: frozenset[str]) -> list[str]:

@@ -133,6 +133,16 @@ def test_keys():
     assert keys.spell(["ni", "hao"], "initials") == "nh" and keys.fuzzy("zhang") == ["zang", "zhan"]
 
 
+@settings(max_examples=150, deadline=None)
+@given(hs.text("abn", max_size=9))
+def test_syllables_against_a_dynamic_program(text):
+    valid = frozenset({"a", "an", "nab", "ba"})
+    ends = {0}
+    for i in range(1, len(text) + 1):
+        ends |= {i for k in range(i) if k in ends and text[k:i] in valid}
+    assert keys.splits_to_syllables(text, valid) == (bool(text) and len(text) in ends)
+
+
 def test_dictionary_paths_against_all_segmentations():
     book = segment.Dictionary([("ab", "", 50.0), ("a", "", 3.0), ("b", "", 2.0), ("ba", "", 9.0)])
     assert book.segment("abba") == ["ab", "ba"] == book.paths("abba", 4)[0][1] and book.segment("") == []
