@@ -8,10 +8,10 @@ of evaluation and of training records matter. Their pairs give shared spans, whi
 evaluation record by each training record; pairs with enough coverage are verified exactly by 3-gram similarity.
 
 An interval with too many pairs is cut by a longer common prefix (12, then ``DEEP``): of its pairs only those come out
-that share more. A record of which more than ``LEFT`` of the suffixes lie in such intervals is compared in an exact way
-as well: over its rarest 3-grams, one of which every similar text must share. So the limit costs no pair that shares
-more than 60 % of its sampled suffixes, nor one that shares a longer span in a smaller interval. Prefixes that more than one sampled suffix in ``HOT`` has are found beforehand and handled like such intervals, so that
-no partition holds them all.
+that share more. An evaluation record with any suffix in such an interval is therefore compared in an exact way as well:
+over its rarest 3-grams, one of which every similar text must share. So the limit costs no pair. Prefixes that more than
+one sampled suffix in ``HOT`` has are found beforehand and handled like such intervals, so that no partition holds them
+all.
 
 Guarantee: texts of 20 characters or more with similarity 0.7 that differ by edits (substitution, insertion, deletion,
 move) share a span of 10 characters: n 3-grams allow k <= n / 11.3 edits, which leave a piece of (n + 2) / (k + 1) or
@@ -32,7 +32,7 @@ from corpusmill.runtime import Stage, shuffle_partitions
 
 DEPTH, WINDOW, DEEP = 8, 3, 16
 PAIRS = 64  # pairs of one interval at one depth
-LEFT = 0.6  # share of a record's suffixes in intervals that stay too large, beyond which it goes the exact way
+SHARED = 3  # rarest 3-grams that a pair of the exact way must have in common
 FEW_GRAMS = 2_000_000  # 3-grams sent to the tasks at most; beyond, they are joined
 HOT = 2000  # a prefix that one in so many sampled suffixes has is cut before the shuffle
 BITS = 512  # size of a record's bit map of 3-grams
@@ -228,15 +228,6 @@ def _array(batches, threshold: float):
             yield whole.slice(at0, 50_000)
 
 
-def _suffix_counts(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        if batch.num_rows:
-            _, _, who = _sampled(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(who, minlength=batch.num_rows))], ["rec", "suffixes"])
-
-
 def _possible(batches, threshold: float):
     """Drops pairs that cannot be similar: a bit that one map has and the other lacks is a 3-gram that is not shared.
 
@@ -273,7 +264,7 @@ def _similar(batches, threshold: float):
 
 
 def _gram_hits(batches, wanted):
-    """``(rec, g)`` of each text's distinct 3-grams, only those wanted if a list is given."""
+    """``(rec, g, n)`` of each text's distinct 3-grams, only those wanted if a list is given."""
     import pyarrow as pa
 
     filter_ = None
@@ -294,7 +285,7 @@ def _gram_hits(batches, wanted):
         order = np.lexsort((key, who))
         key, who = key[order], who[order]
         first = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])] if len(key) else np.zeros(0, bool)
-        whole = pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[who[first]]), pa.array(key[first].view(np.int64))], ["rec", "g"])
+        whole = pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[who[first]]), pa.array(key[first].view(np.int64)), pa.array(batch.column(2).to_numpy()[who[first]].astype(np.int32))], ["rec", "g", "n"])
         for at0 in range(0, whole.num_rows, 50_000):
             yield whole.slice(at0, 50_000)
 
@@ -312,8 +303,9 @@ def _gram_counts(batches, wanted):
 
 
 def _by_rare_grams(few: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
-    """The exact way for records whose suffixes are nearly all too frequent: a similar text shares one of the
-    n - ceil(threshold n) + 1 rarest 3-grams; ``few`` are evaluation records, compared with all training records.
+    """The exact way for records of which a suffix is too frequent: a similar text shares one of the
+    n - ceil(threshold n) + 1 rarest 3-grams; ``few`` are evaluation records, compared with all training records. Texts of
+    n and m 3-grams share s = threshold / (1 + threshold) (n + m) at least, so ``SHARED`` of the n - s + SHARED rarest.
 
     Counts come first, summed in the tasks, so that only rare 3-grams are shuffled. A list of at most ``FEW_GRAMS`` is
     sent to the tasks; a longer one is joined.
@@ -321,14 +313,14 @@ def _by_rare_grams(few: DataFrame, records: DataFrame, threshold: float) -> Data
     from pyspark.sql.window import Window
 
     spark = records.sparkSession
-    train = records.where("in_train").select("rec", "text")
-    hits = lambda df, wanted=None: df.mapInArrow(lambda b: _gram_hits(b, wanted), "rec bigint, g bigint")
+    train = records.where("in_train").select("rec", "text", "n")
+    hits = lambda df, wanted=None: df.mapInArrow(lambda b: _gram_hits(b, wanted), "rec bigint, g bigint, n int")
 
     def listed(df):
         some = df.select("g").distinct().limit(FEW_GRAMS + 1).toPandas()["g"].to_numpy()  # bounded by FEW_GRAMS
         return spark.sparkContext.broadcast(np.sort(some)) if len(some) <= FEW_GRAMS else None
 
-    mine = hits(few.select("rec", "text")).join(few.select("rec", "n"), "rec")
+    mine = hits(few.select("rec", "text", "n"))
     known = listed(mine)
     if known is not None:
         counts = train.mapInArrow(lambda b: _gram_counts(b, known), "g bigint, df bigint").groupBy("g").agg(F.sum("df").alias("df"))
@@ -336,9 +328,11 @@ def _by_rare_grams(few: DataFrame, records: DataFrame, threshold: float) -> Data
         counts = hits(train).join(mine.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
     order = Window.partitionBy("rec").orderBy(F.coalesce("df", F.lit(0)), "g")
     ranked = mine.join(counts, "g", "left").withColumn("r", F.row_number().over(order))
-    rare = Stage(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(F.col("rec").alias("e"), "g"), "rare").df
-    theirs = hits(train, listed(rare)).select(F.col("rec").alias("t"), "g")
-    return rare.join(theirs, "g").select("e", "t").distinct()
+    rare = Stage(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + SHARED).select(F.col("rec").alias("e"), "g", F.col("n").alias("n_e"), F.col("r").cast("int").alias("r")), "rare").df
+    theirs = hits(train, listed(rare)).select(F.col("rec").alias("t"), "g", F.col("n").alias("n_t"))
+    sized = rare.join(theirs, "g").where(F.least("n_e", "n_t") >= F.greatest("n_e", "n_t") * threshold - 1e-9)
+    least = F.ceil((F.col("n_e") + F.col("n_t")) * (threshold / (1 + threshold)) - 1e-9)
+    return sized.where(F.col("r") <= F.col("n_e") - least + SHARED).groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= SHARED).select("e", "t")
 
 
 def overlaps(seq: DataFrame, seen: DataFrame, min_chars: int = 20, threshold: float = 0.7) -> DataFrame:
@@ -357,13 +351,11 @@ def overlaps(seq: DataFrame, seen: DataFrame, min_chars: int = 20, threshold: fl
     buckets = runs.buckets_for(total, 6, parts)
     found = Stage(records.df.mapInArrow(lambda b: _send(b, buckets, hot), "bucket int, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: _array(b, threshold), "e bigint, t bigint, chars bigint, n bigint"), "spans")
     spans = found.df.where("t is not null and e <> t").groupBy("e", "t").agg(F.sum("chars").alias("chars"), F.max("n").alias("n"))
-    lost = found.df.where("t is null").groupBy("e").agg(F.sum("chars").alias("lost"))
+    lost = found.df.where("t is null").select(F.col("e").alias("rec")).distinct()
     texts = records.df.select("rec", "text")
     side = lambda name: texts.select(F.col("rec").alias(name), F.col("text").alias(f"text_{name}"))
     pairs_of_texts = spans.where(F.col("chars") >= F.col("n") * COVER).select("e", "t")
-    weak = records.df.where("held_out").join(lost.withColumnRenamed("e", "rec"), "rec").select("rec", "text", "n", "lost")
-    suffixes_of = weak.select("rec", "text").mapInArrow(_suffix_counts, "rec bigint, suffixes bigint")
-    few = Stage(weak.join(suffixes_of, "rec").where(F.col("lost") > F.col("suffixes") * LEFT).select("rec", "text", "n"), "few")
+    few = Stage(records.df.where("held_out").join(lost, "rec", "left_semi").select("rec", "text", "n"), "few")
     if few.rows:
         pairs_of_texts = pairs_of_texts.unionByName(_by_rare_grams(few.df, records.df, threshold).where("e <> t"))
     mapped = lambda name: records.df.select(F.col("rec").alias(name), F.col("bits").alias(f"bits_{name}"), F.col("n").alias(f"n_{name}"))

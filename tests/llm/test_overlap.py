@@ -69,6 +69,17 @@ def test_a_prefix_in_a_third_of_all_texts(make):
     assert {(r["seq_id"], r["sig"]) for r in got.collect()} == brute(rows, [])
 
 
+def test_half_of_stock_and_half_edited(make):
+    """The stock part is too frequent to be paired, and the tail shares no run of 8 characters."""
+    stock = letters(50, 21)
+    tails = [letters(40, 3000 + k) for k in range(40)]
+    edited = lambda t: "".join("々" if i in (0, 8, 16, 24, 32) else c for i, c in enumerate(t))
+    rows = [row(k, "train", stock + t) for k, t in enumerate(tails)] + [row(1000 + k, "test", stock + edited(t)) for k, t in enumerate(tails)]
+    got = overlap.overlaps(make("seq", rows), make("seen", []))
+    expected = brute(rows, [])
+    assert {(r["seq_id"], r["sig"]) for r in got.collect()} == expected and len(expected) == 40
+
+
 def test_empty_tables_and_report(make):
     assert overlap.overlaps(make("seq", []), make("seen", [])).collect() == []
     base = letters(30, 4)
