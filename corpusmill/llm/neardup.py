@@ -9,7 +9,8 @@ pairs. In a larger one all members are compared with a leader; where all are lik
 bucket is done, for its members are one group. The others are split by further signature rows (``SUB_BANDS``
 alternatives, so that similar texts still meet); a part that stays large holds near-identical texts, which are compared
 with a leader, those unlike it with the next leader, and so on, until all its members are linked or at most ``RUN`` are
-left, which are compared pairwise. Nothing is dropped by size.
+left, which are compared pairwise. A member unlike a leader is compared with those like it too, except where the exact
+similarities to the leader rule a link out: 1 - similarity is a metric. Nothing is dropped by size.
 
 Defined cases: contents shorter than ``min_chars`` folded characters belong to no group; null texts count as empty;
 null positions sort first; whole repeated rows count once; a null ``doc_hash`` is left out; empty tables give no rows.
@@ -238,6 +239,26 @@ def _exact(batches, threshold: float):
         yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
 
+def _distances(batches):
+    """Of each pair of texts 1 - similarity, which is a metric."""
+    import pyarrow as pa
+
+    for batch in batches:
+        known: dict[str, np.ndarray] = {}
+
+        def of(t, known=known):
+            if t not in known:
+                known[t] = grams(t)
+            return known[t]
+
+        apart = []
+        for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            u, v = of(s), of(t)
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            apart.append(1 - both / max(1, len(u) + len(v) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.float64())], ["a", "b", "apart"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """Of candidate pairs ``(a, b)`` those of exact similarity ``threshold`` or more."""
     side = lambda name, column: texts.select(F.col("id").alias(name), F.col(column).alias(f"{column}_{name}"))
@@ -271,25 +292,36 @@ def links(banded: DataFrame, texts: DataFrame, rows: int, threshold: float = THR
         again = Stage(signed.mapInArrow(lambda b: _send_sub_bands(b, cut), "bucket int, blob binary").repartitionById(cut, F.col("bucket")).mapInArrow(_meet, _MET), "split")
         pairs = pairs.unionByName(again.df.where("b is not null").select("a", "b"))
         alike = again.df.where("b is null").select("run", "a")
+        side = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
+        most = 1 - threshold + 1e-9
         while alike.limit(1).count():  # each round a leader for each run; members like it are done
             lead = alike.groupBy("run").agg(F.min("a").alias("b"), F.count("*").alias("n"))
             led = alike.join(lead, "run")
-            star = Stage(verified(led.where("n > %d and a <> b" % RUN).select("a", "b").distinct(), texts, threshold, miss), "star")
-            found.append(star.df)
             few = led.where("n <= %d" % RUN).select("run", "a")
             pairs = pairs.unionByName(few.join(few.select("run", F.col("a").alias("c")), "run").where("a < c").select("a", F.col("c").alias("b")))
-            alike = Stage(led.where("n > %d and a <> b" % RUN).join(star.df, ["a", "b"], "left_anti").select("run", "a"), "alike").df
+            many = led.where("n > %d and a <> b" % RUN).select("run", "a", "b")
+            read = many.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+            apart = Stage(read.mapInArrow(_distances, "a bigint, b bigint, apart double"), "apart").df
+            found.append(apart.where(F.col("apart") <= most).select("a", "b"))
+            placed = Stage(many.join(apart, ["a", "b"]).select("run", "a", "apart"), "star").df
+            unlike = placed.where(F.col("apart") > most)
+            # A text like one that is like the leader is within twice the distance of it, and no further from the leader than the two steps.
+            near = placed.where(F.col("apart") <= most).select("run", F.col("a").alias("c"), F.col("apart").alias("step"))
+            cross = unlike.where(F.col("apart") <= 2 * most).join(near, "run").where(F.col("apart") - F.col("step") <= most)
+            pairs = pairs.unionByName(cross.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")))
+            alike = Stage(unlike.select("run", "a"), "alike").df
     out = verified(pairs.distinct(), texts, threshold, miss)
     for more in found:
         out = out.unionByName(more)
     return out
 
 
-def near_duplicates(units: DataFrame, min_chars: int = 100, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """``(doc_hash, class_key, group_id, links)``: one row per content that has a near or exact duplicate.
+def near_duplicates(units: DataFrame, min_chars: int = 100, threshold: float = THRESHOLD, miss: float = MISS, count_links: bool = False) -> DataFrame:
+    """``(doc_hash, class_key, group_id)``, and ``links`` if wanted: one row per content that has a near or exact duplicate.
 
     ``class_key`` is common to exact copies, ``group_id`` to all that are linked, directly or through others;
-    ``links`` is the number of different texts linked directly to the content's own.
+    ``links``, only with ``count_links``, is the number of different texts linked directly to the content's own: all pairs
+    of a group are compared, for candidates bring up only as many as groups need.
     """
     texts = Stage(content_texts(units, min_chars), "texts").df
     classes = texts.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
@@ -298,9 +330,15 @@ def near_duplicates(units: DataFrame, min_chars: int = 100, threshold: float = T
     single = texts.select("id", "sig").join(others, "id", "left_anti")
     found = Stage(links(single, texts, texts.count(), threshold, miss).distinct(), "links").df
     groups = connected_components(found).select(F.col("v").alias("rep"), F.col("root").alias("group_id"))
-    degree = found.select("a").unionByName(found.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
-    placed = classes.join(groups, "rep", "left").join(degree, "rep", "left").where("copies > 1 or group_id is not null")
-    return texts.select("doc_hash", "key").join(placed, "key").select("doc_hash", F.hex("key").alias("class_key"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    placed = classes.join(groups, "rep", "left").where("copies > 1 or group_id is not null")
+    members = texts.select("doc_hash", "key").join(placed, "key").select("doc_hash", "rep", F.hex("key").alias("class_key"), F.coalesce("group_id", "rep").alias("group_id"))
+    if not count_links:
+        return members.drop("rep")
+    inside = Stage(groups, "groups").df
+    pairs = inside.join(inside.select("group_id", F.col("rep").alias("b")), "group_id").where("rep < b").select(F.col("rep").alias("a"), "b")
+    linked = verified(pairs, texts, threshold, miss)
+    degree = linked.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(degree, "rep", "left").select("doc_hash", "class_key", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def group_pairs(members: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def p1_shares(spark, d):
 
 def p3_groups(spark, d):
     """One row per content that has a near or exact duplicate; the group is named by its smallest hash."""
-    members = Stage(neardup.near_duplicates(table(spark, d, "units")), "p3").df
+    members = Stage(neardup.near_duplicates(table(spark, d, "units"), count_links=True), "p3").df
     named = members.groupBy("group_id").agg(F.min("doc_hash").alias("group_hash"), F.count("*").alias("members"))
     return members.join(named, "group_id").select("group_hash", "doc_hash", "class_key", "links", "members")
 

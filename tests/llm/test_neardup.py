@@ -101,3 +101,15 @@ def test_a_crowd_with_outsiders_linked_only_to_some_of_it(make):
     got = {tuple(r) for r in neardup.group_pairs(members).collect()}
     expected = brute(texts)
     assert got <= expected and len(got) >= 0.99 * len(expected)
+
+
+def test_outsiders_linked_to_one_of_a_crowd(make):
+    """Texts like one member only, which is no leader, and whose runs are all large; and the links of a crowd."""
+    rng = random.Random(12)
+    base = letters(300, rng)
+    texts = {f"a{k:03d}": base[: 2 * k] + letters(1, rng) + base[2 * k + 1 :] for k in range(95)}
+    texts |= {"z": base, "y0": base[:248] + letters(52, rng), "y1": base[:197] + letters(50, rng) + base[247:]}
+    members = neardup.near_duplicates(make("units", [u for d, t in texts.items() for u in units(d, t)]), count_links=True).cache()
+    assert {tuple(r) for r in neardup.group_pairs(members).collect()} == brute(texts)
+    grams = {d: grams3(plain_fold(t)) for d, t in texts.items()}
+    assert {r["doc_hash"]: r["links"] for r in members.collect()} == {d: sum(similarity(g, h) >= 0.7 for e, h in grams.items() if e != d) for d, g in grams.items()}
