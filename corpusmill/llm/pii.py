@@ -37,6 +37,9 @@ LEAD_IN = ("担当の", "受付の", "昨日", "今日", "先日", "明日", "
 NOT_AFTER_SURNAME = ("町", "市", "県", "村", "区", "郡", "府", "書店", "商店", "商事", "食堂", "医院", "病院", "歯科", "工業", "製作所", "记", "記", "书店", "公司", "集团", "诊所", "超市", "株式会社", "有限公司", "駅", "橋", "台", "坂", "通り", "小学", "中学", "高校", "大学")
 NOT_AFTER_LATIN = ("bookshop", "books", "ltd", "inc", "shop", "store", "street", "road", "lane", "avenue", "close", "row", "bakery", "cafe", "clinic", "hotel", "park", "station", "school", "bridge", "company", "group", "hall")
 CUE_ID = ("マイナンバー", "個人番号", "身份证", "身份証", "ssn", "social security", "national id", "id number", "证件号", "旅券番号")
+#: The only prefectures in 都 and 道; alone those letters end many other words.
+PREFECTURES = ("東京都", "北海道")
+NOT_PLACE = ("地区", "学区", "特区", "街区", "選挙区", "管区", "農村", "漁村", "山村")
 STREET = ("street", "road", "lane", "avenue", "close", "row", "drive", "terrace", "way", "court", "square", "crescent")
 
 _EMAIL_RIGHT = re.compile(r"(?:\s?(?:\[at\]|\(at\)|@)\s?)([a-z0-9\-]+(?:(?:\.|\s?(?:\[dot\]|\(dot\))\s?|\sdot\s)[a-z0-9\-]+)+)", re.A)
@@ -101,6 +104,8 @@ class Lexicon:
                 add(w, "given")
         for w in ("省", "市", "県", "府", "町", "番地", "丁目", "号"):
             add(w, "address")
+        for w in ("区", "村", "郡", "路", "街", *PREFECTURES):
+            add(w, "ward")
         for w in STREET:
             add(" " + w, "street")
         for w, what in words.items():
@@ -198,8 +203,11 @@ def _email(norm: str, lo: int, at: int, hi: int, offer) -> None:
     offer("EMAIL", at - len(left.group()), right.end())
 
 
-def _address(orig: str, norm: str, lo: int, at: int, end: int, hi: int, offer) -> None:
-    """From an address unit: the longest Chinese or Japanese address around it that ends in a house number."""
+def _address(orig: str, norm: str, lo: int, at: int, end: int, hi: int, offer, names: set | None = None) -> None:
+    """From an address unit: the longest Chinese or Japanese address around it that ends in a house number.
+
+    With ``names``, what stands before the number must be more than a family name or a word such as 地区.
+    """
     begin = max(lo, at - 24)
     for pattern, chinese in ((_ADDRESS_ZH, True), (_ADDRESS_JA, False)):
         for m in pattern.finditer(norm, begin, min(hi, end + 64)):
@@ -213,6 +221,9 @@ def _address(orig: str, norm: str, lo: int, at: int, end: int, hi: int, offer) -
             units = len(re.findall("[省市区县]" if chinese else "[県府都道市区町村郡]", whole[: re.search(r"\d", whole).start()]))
             if not units or head.isdigit() or (han and not (chinese and head in _ZH_STOP)):
                 continue
+            place = whole[: re.search(r"\d", whole).start()]
+            if names is not None and not chinese and (place in names or place.endswith(NOT_PLACE)):
+                continue
             offer("ADDRESS", m.start(), m.end())
             return
 
@@ -342,6 +353,9 @@ def find(texts: list[str | None], lex: Lexicon) -> list[list[tuple[str, int, int
             elif what == "address":
                 if any(c.isdigit() for c in norm[max(lo, at - 4) : min(hi, end + 40)]):
                     _address(joined, norm, lo, at, end, hi, offer)
+            elif what == "ward":
+                if any(c.isdigit() for c in norm[end : min(hi, end + 40)]):
+                    _address(joined, norm, lo, at, end, hi, offer, lex.surnames)
             elif what == "street":
                 _street(joined, norm, lo, at, end, hi, offer)
             elif what == "before":

@@ -46,6 +46,22 @@ def test_findings(text, expected):
         assert clean.count("[") - text.count("[") == sum(1 - x[1].count("[") for x in expected)
 
 
+UNITS = [
+    ("届け先は東京都新宿区西新宿2-8-1です。", ["東京都新宿区西新宿2-8-1"]),
+    ("住まいは東京都西新宿2-8-1だ。", ["東京都西新宿2-8-1"]),
+    ("宛先:北海道虻田郡留寿都村12-3まで。", ["北海道虻田郡留寿都村12-3"]),
+    ("引っ越し先は檜原村467-1、実家は中野区中野4-8-1。", ["檜原村467-1", "中野区中野4-8-1"]),
+    ("彼は鈴村2-1で勝ち、この地区3-4は鉄道5-6に近い。", []),
+    ("我住在柳塘区槐影街310号。", ["柳塘区槐影街310号"]),
+]
+
+
+@pytest.mark.parametrize(("text", "expected"), UNITS)
+def test_addresses_of_every_unit(text, expected):
+    found = pii.find([text], pii.Lexicon([*WORDS, ("鈴村", "surname")]))[0]
+    assert [(k, text[s:e]) for k, s, e in found] == [("ADDRESS", x) for x in expected]
+
+
 def test_batches_do_not_run_into_each_other():
     lex = pii.Lexicon(WORDS)
     texts = [t for t, _ in CASES]
