@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.functions import text as t
 from corpusmill.plans.registry import query
@@ -201,7 +202,20 @@ def txt25(spark, d):
 
 @query("txt26")
 def txt26(spark, d):
-    """Items of a suite that are nearly another of the suite: equal first four letters, then the ratio."""
-    e = table(spark, d, "eval_items").select("suite", "item_id", "text", F.substring("text", 1, 4).alias("head"))
-    pairs = e.alias("a").join(e.alias("b"), ["suite", "head"]).where("a.item_id < b.item_id")
-    return pairs.select(F.col("a.item_id").alias("item_a"), F.col("b.item_id").alias("item_b"), t.sequence_ratio(F.col("a.text"), F.col("b.text")).alias("ratio")).where("ratio >= 0.85")
+    """Items of a suite that are nearly another of the suite: a ratio of 0.85 or more.
+
+    The ratio is 2 m / (x + y) with m matched of x and y characters, so m >= 0.425 / 0.575 x, and two such texts share one
+    of the x - m + 1 characters (with the number of their occurrence) that are rarest in the suite, at any place.
+    """
+    w = Window.partitionBy("suite", "item_id", "text").orderBy("df", "ch", "k")
+    e = table(spark, d, "eval_items").where("text is not null").select("suite", "item_id", "text").distinct()
+    chars = F.when(F.length("text") > 0, t.char_grams(F.col("text"), 1)).otherwise(F.array(F.lit("")))
+    of_text = e.select("suite", "item_id", "text", F.explode(chars).alias("ch")).groupBy("suite", "item_id", "text", "ch").agg(F.count("*").alias("n"))
+    signs = of_text.select("suite", "item_id", "text", "ch", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    df = signs.groupBy("suite", "ch", "k").agg(F.count("*").alias("df"))
+    x = F.length("text")
+    rare = signs.join(df, ["suite", "ch", "k"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= x - F.ceil(x * (0.425 / 0.575) - 1e-9) + 1).select("suite", "item_id", "text", "ch", "k")
+    met = rare.alias("a").join(rare.alias("b"), ["suite", "ch", "k"]).where("a.item_id < b.item_id")
+    pairs = met.select(F.col("a.item_id").alias("item_a"), F.col("b.item_id").alias("item_b"), F.col("a.text").alias("x"), F.col("b.text").alias("y")).distinct()
+    fit = pairs.where(2 * F.least(F.length("x"), F.length("y")) >= 0.85 * (F.length("x") + F.length("y")) - 1e-9)
+    return fit.select("item_a", "item_b", t.sequence_ratio(F.col("x"), F.col("y")).alias("ratio")).where("ratio >= 0.85")

@@ -259,3 +259,19 @@ def test_stages_and_comparable_columns(spark):
     stage = Stage(df.select("id"))
     assert stage.rows == 10 and stage.df.count() == 10
     stage.drop()
+
+
+def test_near_items_with_an_edit_at_the_start(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from corpusmill.plans.registry import QUERIES
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):
+        x = "".join(rng.choice("あいうえおかきくけこさしすせそ漢字") for _ in range(rng.randrange(1, 40)))
+        rows += [("s", 4 * k, x), ("s", 4 * k + 1, "前" + x), ("s", 4 * k + 2, x[1:]), ("o", 4 * k + 3, x[:2] + "々" + x[3:])]
+    rows += [("s", 900, ""), ("s", 901, ""), ("s", 902, None)]
+    spark.createDataFrame(rows, "suite string, item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    got = {(r[0], r[1]) for r in QUERIES["txt26"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for s, i, x in rows for u, j, y in rows if s == u and i < j and None not in (x, y) and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.85}
