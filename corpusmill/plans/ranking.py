@@ -346,6 +346,24 @@ def _likely(spark, d):
     return spark.sparkContext.broadcast(table_)
 
 
+def bigram_shares(spark, d, pairs):
+    """Of the bigrams ``(ctx, ch)`` in ``pairs`` all that are counted, ``{ctx: {ch: share}}``; more than 800,000 are refused."""
+    b = _lm(spark, d).join(pairs.distinct(), ["ctx", "ch"], "left_semi").select("ctx", "ch", (F.col("n") / F.col("total")).alias("p"))
+    rows = b.limit(800_001).collect()
+    if len(rows) > 800_000:
+        raise ValueError("too many bigrams to be sent to the tasks")
+    shares: dict[str, dict] = {}
+    for r in rows:
+        shares.setdefault(r[0], {})[r[1]] = r[2]
+    return spark.sparkContext.broadcast(shares)
+
+
+def bigrams_of(text):
+    """A row ``(ctx, ch)`` for each bigram of a text, to be selected from."""
+    g = F.transform(t.char_grams(text, 2), lambda g: F.struct(F.substring(g, 1, 1).alias("ctx"), F.substring(g, 2, 1).alias("ch")))
+    return F.inline(g)
+
+
 def beam(likely: dict, start: str, steps: int, width: int) -> list[tuple[str, float]]:
     """The ``width`` likeliest continuations of ``steps`` characters; ties in order of the text."""
     import math
@@ -373,12 +391,12 @@ def _continued(spark, d, steps, width):
     return table(spark, d, "eval_items").select("item_id", F.posexplode(over("left_context")).alias("rank", "continuation"))
 
 
-def constrained(likely: dict, words: list[str], start: str, width: int) -> list[str]:
+def constrained(shares: dict, words: list[str], start: str, width: int) -> list[str]:
     """The ``width`` likeliest dictionary words after ``start``; unknown pairs have a floor, ties go by the word."""
     import math
 
     def score(word):
-        return sum(math.log(dict(likely.get(a, ())).get(b, 1e-6)) for a, b in zip(start[-1:] + word, word, strict=False)) / len(word)
+        return sum(math.log(shares.get(a, {}).get(b, 1e-6)) for a, b in zip(start[-1:] + word, word, strict=False)) / len(word)
 
     return sorted(words, key=lambda w: (-score(w), w))[:width]
 
@@ -386,12 +404,19 @@ def constrained(likely: dict, words: list[str], start: str, width: int) -> list[
 @query("sch01")
 def sch01(spark, d):
     """Search that only a dictionary's words can extend: the likeliest words after each context."""
-    words = [r[0] for r in table(spark, d, "lexicon").where("length(word) >= 2").select("word").distinct().orderBy("word").limit(1_000_000).collect()]
-    likely = _likely(spark, d)
+    listed = table(spark, d, "lexicon").where("length(word) >= 2").select("word").distinct()
+    words = [r[0] for r in listed.orderBy("word").limit(1_000_001).collect()]
+    if len(words) > 1_000_000:
+        raise ValueError("the lexicon is too large to be sent to the tasks")
+    last = F.coalesce(F.nullif(F.right("left_context", F.lit(1)), F.lit("")), F.lit("^"))
+    ends = table(spark, d, "eval_items").select(last.alias("ctx")).distinct()
+    firsts = listed.select(F.substring("word", 1, 1).alias("ch")).distinct()
+    shares = bigram_shares(spark, d, listed.select(bigrams_of(F.col("word"))).unionByName(ends.crossJoin(firsts)))
 
     @F.pandas_udf("array<string>")
     def over(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: constrained(likely.value, words, s or "^", 5))
+        of_last = {c: constrained(shares.value, words, c, 5) for c in {(s or "^")[-1:] for s in x}}
+        return x.map(lambda s: of_last[(s or "^")[-1:]])
 
     return table(spark, d, "eval_items").select("item_id", F.posexplode(over("left_context")).alias("rank", "word"))
 

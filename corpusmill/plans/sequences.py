@@ -330,11 +330,13 @@ def str06_state(spark, d):
 @query("udf01")
 def udf01(spark, d):
     """Answers scored by a counted model behind the scorer protocol."""
-    from corpusmill.plans.ranking import _likely
+    from corpusmill.plans.ranking import bigram_shares, bigrams_of
 
-    likely = _likely(spark, d)
-    score = scorers.score_column(lambda: scorers.BigramScorer({a: dict(x) for a, x in likely.value.items()}))
-    return table(spark, d, "eval_items").select("item_id", F.explode("answers").alias("answer"), "left_context").select("item_id", "answer", F.round(score("left_context", "answer"), 6).alias("score"))
+    answers = table(spark, d, "eval_items").select("item_id", F.explode("answers").alias("answer"), "left_context")
+    last = F.coalesce(F.nullif(F.right("left_context", F.lit(1)), F.lit("")), F.lit("^"))
+    shares = bigram_shares(spark, d, answers.where("answer is not null").select(bigrams_of(F.concat(last, "answer"))))
+    score = scorers.score_column(lambda: scorers.BigramScorer(shares.value))
+    return answers.select("item_id", "answer", F.round(score("left_context", "answer"), 6).alias("score"))
 
 
 @query("udf02", "select item_id, max(-length(a)::double) as score from (select item_id, unnest(answers) as a from eval_items) group by 1")

@@ -275,3 +275,19 @@ def test_near_items_with_an_edit_at_the_start(spark, tmp_path):
     spark.createDataFrame(rows, "suite string, item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
     got = {(r[0], r[1]) for r in QUERIES["txt26"](spark, str(tmp_path)).collect()}
     assert got == {(i, j) for s, i, x in rows for u, j, y in rows if s == u and i < j and None not in (x, y) and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.85}
+
+
+def test_scores_know_every_counted_bigram(spark, tmp_path):
+    """The fifth and sixth follower of a character, in words and in answers."""
+    import math
+
+    from corpusmill.plans.registry import QUERIES
+
+    seq = [("train", "か" + c) for c, n in zip("さしすせそた", range(12, 0, -2), strict=True) for _ in range(n)]
+    spark.createDataFrame(seq, "split string, text string").write.parquet(str(tmp_path / "seq.parquet"))
+    spark.createDataFrame([(w,) for w in ("かた", "かそ", "かん", "かあ")], "word string").write.parquet(str(tmp_path / "lexicon.parquet"))
+    spark.createDataFrame([(1, "", ["かた", "かそ"]), (2, None, ["かん"])], "item_id bigint, left_context string, answers array<string>").write.parquet(str(tmp_path / "eval_items.parquet"))
+    words = {(r[0], r[1]): r[2] for r in QUERIES["sch01"](spark, str(tmp_path)).collect()}
+    assert words == {(i, k): w for i in (1, 2) for k, w in enumerate(["かそ", "かた", "かあ", "かん"])}
+    scores = {r["answer"]: r["score"] for r in QUERIES["udf01"](spark, str(tmp_path)).collect()}
+    assert scores == {"かた": round(math.log(2 / 42), 6), "かそ": round(math.log(4 / 42), 6), "かん": round(math.log(1e-6), 6)}
