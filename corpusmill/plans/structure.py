@@ -109,7 +109,7 @@ def seg09(spark, d):
 @query("top05")
 def top05(spark, d):
     f = _with_dictionary(_lexicon(spark, d), lambda book, x: ["|".join(p) for _, p in book.paths(x, 3)])
-    return table(spark, d, "eval_items").where("left_context is not null").select("item_id", F.posexplode(f(F.substring("left_context", 1, 24))).alias("rank", "path"))
+    return table(spark, d, "eval_items").where("left_context is not null").select("item_id", F.posexplode(f(F.col("left_context"))).alias("rank", "path"))
 
 
 @query("seg10")

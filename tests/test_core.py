@@ -291,3 +291,13 @@ def test_scores_know_every_counted_bigram(spark, tmp_path):
     assert words == {(i, k): w for i in (1, 2) for k, w in enumerate(["かそ", "かた", "かあ", "かん"])}
     scores = {r["answer"]: r["score"] for r in QUERIES["udf01"](spark, str(tmp_path)).collect()}
     assert scores == {"かた": round(math.log(2 / 42), 6), "かそ": round(math.log(4 / 42), 6), "かん": round(math.log(1e-6), 6)}
+
+
+def test_paths_cover_the_whole_context(spark, tmp_path):
+    from corpusmill.plans.registry import QUERIES
+
+    spark.createDataFrame([("かな", 5.0), ("漢字", 4.0)], "word string, weight double").write.parquet(str(tmp_path / "lexicon.parquet"))
+    text = "漢字かな" * 10
+    spark.createDataFrame([(1, text), (2, None)], "item_id bigint, left_context string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    rows = QUERIES["top05"](spark, str(tmp_path)).collect()
+    assert [r["rank"] for r in rows] == [0, 1, 2] and {r["path"].replace("|", "") for r in rows} == {text}
