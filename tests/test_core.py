@@ -301,3 +301,12 @@ def test_paths_cover_the_whole_context(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, None)], "item_id bigint, left_context string").write.parquet(str(tmp_path / "eval_items.parquet"))
     rows = QUERIES["top05"](spark, str(tmp_path)).collect()
     assert [r["rank"] for r in rows] == [0, 1, 2] and {r["path"].replace("|", "") for r in rows} == {text}
+
+
+def test_diverse_names_after_many_alike(spark, tmp_path):
+    from corpusmill.plans.registry import QUERIES
+
+    rows = [(k, "B", f"same{k}") for k in range(250)] + [(300 + k, "B", f"n{k % 6}xx{k}") for k in range(12)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted((r["pos"], r["name"]) for r in QUERIES["top04"](spark, str(tmp_path)).collect())
+    assert got == [(0, "same0"), (1, "n0xx0"), (2, "n1xx1"), (3, "n2xx2"), (4, "n3xx3")]
