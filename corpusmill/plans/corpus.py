@@ -115,16 +115,25 @@ def jn13(spark, d):
 
 @query("jn14")
 def jn14(spark, d):
-    """Of each suite, items in order that are not nearly like one picked before; suites are small by construction."""
+    """Of each suite, items in order whose trigram Jaccard with each picked before is under 0.5; suites are small by construction.
+
+    Trigrams as in the reference: NFKC, runs of digits masked; a text under three characters is its own only one.
+    """
 
     def pick(frame):
-        import difflib
+        import re
+        import unicodedata
+
+        def grams(text):
+            x = re.sub("[0-9]+", "0", unicodedata.normalize("NFKC", text))
+            return {x[i : i + 3] for i in range(max(1, len(x) - 2))}
 
-        kept: list[str] = []
+        kept: list[set] = []
         rows = []
         for item, text in sorted(zip(frame["item_id"], frame["text"], strict=True)):
-            if all(difflib.SequenceMatcher(None, text, k, autojunk=False).quick_ratio() < 0.85 for k in kept):
-                kept.append(text)
+            g = grams(text)
+            if all(len(g & k) < 0.5 * len(g | k) for k in kept):
+                kept.append(g)
                 rows.append(item)
         return frame[frame["item_id"].isin(rows)][["suite", "item_id"]]
 

@@ -310,3 +310,12 @@ def test_diverse_names_after_many_alike(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     got = sorted((r["pos"], r["name"]) for r in QUERIES["top04"](spark, str(tmp_path)).collect())
     assert got == [(0, "same0"), (1, "n0xx0"), (2, "n1xx1"), (3, "n2xx2"), (4, "n3xx3")]
+
+
+def test_items_unlike_those_picked_before(spark, tmp_path):
+    """A text of the same characters in another order is kept; one with most trigrams in common is not."""
+    from corpusmill.plans.registry import QUERIES
+
+    rows = [("s", 1, "あいうえおかきくけこ１"), ("s", 2, "こけくきかおえういあ１"), ("s", 3, "あいうえおかきくけこ2"), ("t", 4, "あいうえおかきくけこ1")]
+    spark.createDataFrame(rows, "suite string, item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    assert {r["item_id"] for r in QUERIES["jn14"](spark, str(tmp_path)).collect()} == {1, 2, 4}
