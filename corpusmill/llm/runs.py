@@ -42,6 +42,11 @@ def scatter(columns: list[np.ndarray], bucket: np.ndarray):
         yield int(b), pack([c[take] for c in columns])
 
 
+def join(blobs: list[bytes], width: int) -> list[np.ndarray]:
+    pieces = [unpack(b, width) for b in blobs]
+    return [np.concatenate([p[i] for p in pieces]) if pieces else np.zeros(0, np.uint64) for i in range(width)]
+
+
 def gather(batches, width: int):
     """The columns of each bucket of the partition, whole; one bucket at a time."""
     blobs: dict[int, list] = {}
@@ -50,9 +55,7 @@ def gather(batches, width: int):
             blobs.setdefault(b, []).append(blob)
     while blobs:
         _, parts = blobs.popitem()
-        pieces = [unpack(p, width) for p in parts]
-        del parts
-        yield [np.concatenate([p[i] for p in pieces]) for i in range(width)]
+        yield join(parts, width)
 
 
 def buckets_for(rows: int, width: int, least: int, mb: int = 24) -> int:
