@@ -62,6 +62,58 @@ def test_addresses_of_every_unit(text, expected):
     assert [(k, text[s:e]) for k, s, e in found] == [("ADDRESS", x) for x in expected]
 
 
+PLAIN = [
+    ("Please forward this to Maria Gonzalez tomorrow.", [("NAME", "Maria Gonzalez")]),
+    ("Sincerely,\nMaria Gonzalez", [("NAME", "Maria Gonzalez")]),
+    ("My name is Anna Schmidt", [("NAME", "Anna Schmidt")]),
+    ("From: Robert Chen", [("NAME", "Robert Chen")]),
+    ("I met with Priya Raman", [("NAME", "Priya Raman")]),
+    ("Dr. Jane Miller called yesterday.", [("NAME", "Jane Miller")]),
+    ("田中太郎と申します。", [("NAME", "田中太郎")]),
+    ("山田花子です。", [("NAME", "山田花子")]),
+    ("佐藤さんに連絡してください。", [("NAME", "佐藤")]),
+    ("我叫王小明", [("NAME", "王小明")]),
+    ("李明先生的电话是13912345678。", [("NAME", "李明"), ("PHONE", "13912345678")]),
+    ("+33 1 23 45 67 89", [("PHONE", "+33 1 23 45 67 89")]),
+    ("020 7946 0958", [("PHONE", "020 7946 0958")]),
+    ("1-800-555-0199", [("PHONE", "1-800-555-0199")]),
+    ("tel:5551234567", [("PHONE", "5551234567")]),
+    ("Call me at (212) 555-0147.", [("PHONE", "(212) 555-0147")]),
+    ("jane at example dot com", [("EMAIL", "jane at example dot com")]),
+    ("mailto:jane@example.org", [("EMAIL", "jane@example.org")]),
+    ("passport number AB1234567", [("ID_NUMBER", "AB1234567")]),
+    ("IBAN DE89 3704 0044 0532 0130 00", [("ID_NUMBER", "DE89 3704 0044 0532 0130 00")]),
+    ("GB29NWBK60161331926819 is my account", [("ID_NUMBER", "GB29NWBK60161331926819")]),
+    ("NINO QQ123456C", [("ID_NUMBER", "QQ123456C")]),
+    ("12 Elm St., Springfield", [("ADDRESS", "12 Elm St., Springfield")]),
+    ("1600 Pennsylvania Ave NW", [("ADDRESS", "1600 Pennsylvania Ave NW")]),
+    ("350 Fifth Avenue, Suite 3300, New York", [("ADDRESS", "350 Fifth Avenue, Suite 3300, New York")]),
+    ("Musterstraße 12, 10115 Berlin", [("ADDRESS", "Musterstraße 12, 10115 Berlin")]),
+    ("東京都千代田区丸の内1-1-1", [("ADDRESS", "東京都千代田区丸の内1-1-1")]),
+    ("大阪府大阪市北区梅田1丁目2-3", [("ADDRESS", "大阪府大阪市北区梅田1丁目2-3")]),
+    ("北京市朝阳区建国路88号", [("ADDRESS", "北京市朝阳区建国路88号")]),
+]
+NOTHING = [
+    "The New York office will open at 8 on Monday. He moved on. Nothing replied.",
+    "東京です。学生です。田中町です。この商品は石油製品です。私は学生です。",
+    "我是老师。我叫了一辆车。我是中国人。搬家以后，马春问题的颜色。",
+    "From: Monday to Friday. To: Be Or Not",
+    "お客様が来ました。皆様へ。お母さんが来た。猫が来た。昨日荷物が来た。返事が来るまで電話を待つ。",
+    "version 10.2.33.4567 of 2031-06-19 10:22, 部品番号 AB12 3456 7890 1234 5678",
+]
+
+
+@pytest.mark.parametrize(("text", "expected"), PLAIN)
+def test_sentences_unlike_the_tables(text, expected):
+    found = pii.find([text], pii.Lexicon(WORDS))[0]
+    assert [(k, text[s:e]) for k, s, e in found] == expected
+
+
+@pytest.mark.parametrize("text", NOTHING)
+def test_sentences_without_personal_data(text):
+    assert pii.find([text], pii.Lexicon(WORDS))[0] == []
+
+
 def test_batches_do_not_run_into_each_other():
     lex = pii.Lexicon(WORDS)
     texts = [t for t, _ in CASES]
