@@ -341,7 +341,13 @@ def near_duplicates(units: DataFrame, min_chars: int = 100, threshold: float = T
     return members.join(degree, "rep", "left").select("doc_hash", "class_key", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def group_pairs(members: DataFrame) -> DataFrame:
-    """``(hash_a, hash_b)`` for each two members of one group."""
+def group_pairs(members: DataFrame, block: int = 2000) -> DataFrame:
+    """``(hash_a, hash_b)`` for each two members of one group. A large group is cut into blocks by hash, and each two blocks
+    meet in a task of their own."""
     m = Stage(members.select("doc_hash", "group_id"), "members").df
-    return m.select("group_id", F.col("doc_hash").alias("hash_a")).join(m.select("group_id", F.col("doc_hash").alias("hash_b")), "group_id").where("hash_a < hash_b").select("hash_a", "hash_b")
+    sizes = m.groupBy("group_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = Stage(m.join(sizes, "group_id").withColumn("own", F.pmod(F.xxhash64("doc_hash"), F.col("blocks")).cast("int")), "blocks").df
+    left = own.select("group_id", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("doc_hash").alias("x"))
+    right = own.select("group_id", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("doc_hash").alias("y"))
+    both = left.join(right, ["group_id", "i", "j"]).where("i < j and x <> y or x < y")
+    return both.select(F.least("x", "y").alias("hash_a"), F.greatest("x", "y").alias("hash_b"))

@@ -36,7 +36,10 @@ def p5_found(spark, d):
 
 
 def p5_cleaned(spark, d):
-    return boilerplate.without_repeated(table(spark, d, "units"), table(spark, d, "origins"))
+    """Each content without the lines that repeat over clusters of near-duplicate contents of a site, on more than one day."""
+    units = table(spark, d, "units")
+    clusters = Stage(neardup.near_duplicates(units).select("doc_hash", F.col("group_id").alias("cluster")), "clusters").df
+    return boilerplate.without_repeated(units, table(spark, d, "origins"), min_days=2, clusters=clusters)
 
 
 def p5_lines(spark, d):
@@ -70,6 +73,13 @@ def p6_packed(spark, d):
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
 
+def p6_to_targets(spark, d):
+    """Containers that follow shares in proportion to the square root of each source's size, and how near they come."""
+    documents = table(spark, d, "documents")
+    targets = packing.tempered(documents)
+    return packing.mixture_report(packing.pack(documents, table(spark, d, "pack_sizes"), targets=targets), targets)
+
+
 def p6_fill(spark, d):
     return packing.pack_report(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 

@@ -113,3 +113,9 @@ def test_outsiders_linked_to_one_of_a_crowd(make):
     assert {tuple(r) for r in neardup.group_pairs(members).collect()} == brute(texts)
     grams = {d: grams3(plain_fold(t)) for d, t in texts.items()}
     assert {r["doc_hash"]: r["links"] for r in members.collect()} == {d: sum(similarity(g, h) >= 0.7 for e, h in grams.items() if e != d) for d, g in grams.items()}
+
+
+def test_pairs_of_a_large_group_by_blocks(spark):
+    members = spark.createDataFrame([(f"h{k:03d}", "g") for k in range(90)] + [("a", "x"), ("b", "x"), ("c", None)], "doc_hash string, group_id string")
+    got = {tuple(r) for r in neardup.group_pairs(members, block=7).collect()}
+    assert got == {(f"h{i:03d}", f"h{j:03d}") for i in range(90) for j in range(i + 1, 90)} | {("a", "b")}

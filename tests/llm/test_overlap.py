@@ -91,3 +91,29 @@ def test_a_very_long_text(make):
     long = letters(60_000, 11)
     rows = [row(1, "train", long), row(2, "test", long[:30_000] + "字" + long[30_000:]), row(3, "test", long[::-1])]
     assert {r["seq_id"] for r in overlap.overlaps(make("seq", rows), make("seen", [])).collect()} == {2}
+
+
+@pytest.mark.parametrize("every", [6, 7, 8, 10])
+@pytest.mark.parametrize("stock_chars", [30, 54, 70])
+def test_stock_openings_and_edited_tails(make, stock_chars, every):
+    """All texts share one opening; tails of 36 characters have a substitution at every so many characters."""
+    stock = letters(stock_chars, 77)
+    tails = [letters(36, 5000 + k) for k in range(80)]
+    edited = lambda t: "".join("々" if i % every == every - 1 else c for i, c in enumerate(t))
+    rows = [row(k, "train", stock + t) for k, t in enumerate(tails)] + [row(1000 + k, "test", stock + edited(t)) for k, t in enumerate(tails)]
+    got = overlap.overlaps(make("seq", rows), make("seen", []))
+    assert {(r["seq_id"], r["sig"]) for r in got.collect()} == brute(rows, [])
+
+
+def test_pieces_in_another_order_and_shorter_or_longer_texts(make):
+    rows, n = [], 0
+    for k in range(60):
+        r = random.Random(k)
+        base = letters(r.randrange(24, 120), 9000 + k)
+        cut = sorted(r.sample(range(4, len(base) - 4), 2))
+        moved = base[cut[1] :] + base[cut[0] : cut[1]] + base[: cut[0]]
+        rows += [row(n, "train", base), row(n + 1, "train", moved), row(n + 2, "test", base[: int(len(base) * r.uniform(0.7, 1))]), row(n + 3, "validation", base + letters(int(len(base) * r.uniform(0, 0.4)), n)), row(n + 4, "test", moved[2:])]
+        n += 5
+    got = overlap.overlaps(make("seq", rows), make("seen", []))
+    expected = brute(rows, [])
+    assert {(r["seq_id"], r["sig"]) for r in got.collect()} == expected and len(expected) > 150

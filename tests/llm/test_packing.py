@@ -59,3 +59,24 @@ def test_one_huge_text_empty_tables_and_report(make):
     assert len({r["container"] for r in got}) == len(got) and sorted(r["start"] for r in got) == [64 * i for i in range(len(got))]
     report = packing.pack_report(make("documents", texts(200)), sizes).collect()
     assert len(report) == 1 and report[0]["texts"] == 200 and report[0]["fill"] > 0.9
+
+
+def test_given_targets_hold_until_a_source_is_used_up(make):
+    random.seed(5)
+    rows = [{"doc_id": k, "text": "点検 " * random.randrange(3, 40), "source": "big" if k % 4 else "small"} for k in range(4000)]
+    targets = {"big": 1.0, "small": 1.0}
+    packed = packing.pack(make("documents", rows), make("pack_sizes", [("m", 256)]), shard_items=200, targets=targets)
+    report = {r["source"]: r for r in packing.mixture_report(packed, targets).collect()}
+    # The small source lasts for half of the containers, with as much of the big one.
+    assert abs(report["small"]["first_half"] - 0.5) < 0.06 and abs(report["small"]["share"] - 0.25) < 0.03
+    got = packed.collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({k: 1 for k in range(4000)})
+    first = [r for r in got if r["container"] >> 32 == 0]
+    assert abs(sum(r["tokens"] for r in first if r["source"] == "small") / sum(r["tokens"] for r in first) - 0.5) < 0.05
+    assert sum(r["tokens"] for r in got) / (256 * len({r["container"] for r in got})) > 0.97
+
+
+def test_large_ids_survive(make):
+    big = (1 << 62) + 1
+    got = packing.pack(make("documents", [{"doc_id": big, "text": "hello"}, {"doc_id": None, "text": "model"}]), make("pack_sizes", [("m", 64)])).collect()
+    assert {r["doc_id"] for r in got} == {big, None}
