@@ -6,7 +6,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-import re
 from collections import Counter
 
 #: The rows of the keyboard, from which neighbours follow by position.
@@ -80,14 +79,19 @@ def mistype(keys: str, kind: str, seed: int = 0) -> str:
     raise ValueError(kind)
 
 
-@functools.lru_cache(16)
-def _sequence_of(syllables: frozenset[str]) -> re.Pattern:
-    return re.compile(f"(?:{'|'.join(map(re.escape, sorted(syllables, key=lambda x: (-len(x), x))))})+" if syllables else r"(?!)")
-
-
 def splits_to_syllables(keys: str, syllables: frozenset[str]) -> bool:
-    """Whether the keys are a sequence of valid syllables, at least one."""
-    return _sequence_of(syllables).fullmatch(keys) is not None
+    """Whether the keys are a sequence of valid syllables, at least one. Linear: each place is reached once."""
+    if not keys or not syllables:
+        return False
+    lengths = sorted({len(x) for x in syllables if x})
+    reached = bytearray(len(keys) + 1)
+    reached[0] = 1
+    for at in range(len(keys)):
+        if reached[at]:
+            for n in lengths:
+                if keys[at : at + n] in syllables and at + n <= len(keys):
+                    reached[at + n] = 1
+    return bool(reached[-1])
 
 
 def repairs(keys: str, syllables: frozenset[str]) -> list[str]:
@@ -104,11 +108,12 @@ def repairs(keys: str, syllables: frozenset[str]) -> list[str]:
     return sorted(k for k in out - {keys} if splits_to_syllables(k, syllables))
 
 
-def abbreviations(words: list[list[str]], seed: int = 0, most: int = 4) -> list[str]:
-    """Spellings of a list of words: all full, all initials, first word full, and a drawn mix; distinct, in this order."""
+def abbreviations(words: list[list[str]], seed: int = 0) -> list[str]:
+    """Spellings of a list of words, each a list of syllables: all full, all initials, first word full, last word full, and a
+    drawn mix; distinct, in this order."""
     full, short = ["".join(w) for w in words], ["".join(s[:1] for s in w) for w in words]
     drawn = "".join(f if draw(2, seed, i, *full) else s for i, (f, s) in enumerate(zip(full, short, strict=True)))
-    return list(dict.fromkeys(["".join(full), "".join(short), full[0] + "".join(short[1:]), drawn]))[:most] if words else []
+    return list(dict.fromkeys(["".join(full), "".join(short), full[0] + "".join(short[1:]), "".join(short[:-1]) + full[-1], drawn])) if words else []
 
 
 def keystrokes(readings: list[str], commits: int = 1) -> int:

@@ -1,4 +1,5 @@
-"""Segmentation of text: sentences, line joins, chunks and spans. The stateful scans run in Arrow batches."""
+"""Segmentation of text: sentences, line joins, chunks and spans. The stateful scans run in Arrow batches and read each
+text once; a paragraph is read again for each line that joins it, within ``max_chars``."""
 
 from __future__ import annotations
 
@@ -6,124 +7,204 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-#: Brackets that belong together, and signs that end a sentence.
-BRACKETS = dict(zip("「『（(【［[〈《｛{", "」』）)】］]〉》｝}", strict=True))
-CLOSING = {c: o for o, c in BRACKETS.items()}
+#: Brackets that belong together, signs that end a sentence, where a web address ends, and words that tell
+#: that a line goes on.
+BRACKETS = {"「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "“": "”"}
 ENDS = "。！？!?"
-_URL = re.compile(r"https?://[^\s「」『』（）【】]+")
+ADDRESS = r"https?://[^\s「」『』（）()\[\]【】“”。！？]+"
+CONTINUES = ("のが", "のを", "ので", "のに", "なくて", "して", "ながら", "という", "による", "であり", "ても", "は", "が", "を", "に", "と", "や", "の", "し", "も")
+CARRIES_ON = ("を", "について", "によって", "として")
+LIST_ITEM = re.compile(r"^(?:[-*・●■◆◇]\s*|[0-9０-９]+[.)．、])")
+ACTIONS = ("keep", "drop", "review")
+
+_CLOSERS = "".join(BRACKETS.values())
+_SIGNS = re.compile(rf"(?P<address>{ADDRESS})|(?P<end>[{ENDS}]+)|(?P<open>[{re.escape(''.join(BRACKETS))}])|(?P<shut>[{re.escape(_CLOSERS)}])|(?P<line>[\r\n]+)")
 SENTENCE = StructType([StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("terminated", BooleanType()), StructField("flags", ArrayType(StringType()))])
 
 
+class Scan:
+    """Reads text piece by piece and knows which brackets are open and whether any was closed unopened."""
+
+    def __init__(self):
+        self.open: list[str] = []
+        self.bad = False
+        self._address = ""  # an address at the end may go on in the next piece
+
+    def feed(self, text: str) -> Scan:
+        for m in _SIGNS.finditer(self._address + text):
+            if m.lastgroup == "open":
+                self.open.append(BRACKETS[m.group()])
+            elif m.lastgroup == "shut":
+                if self.open and self.open[-1] == m.group():
+                    self.open.pop()
+                else:
+                    self.bad = True
+            if m.end() == len(self._address) + len(text):
+                self._address = m.group() if m.lastgroup == "address" else ""
+                return self
+        self._address = ""
+        return self
+
+
 def split_sentences(text: str | None) -> list[tuple[str, int, int, bool, list[str]]]:
-    """Sentences with offsets of their trimmed text.
+    """Sentences ``(text, start, end, terminated, flags)`` with offsets of their trimmed text.
 
-    A run of ending signs closes a sentence where no bracket is open; signs inside addresses do not count. A bracket
-    closed without being opened is flagged ``unmatched``; what is open at a line end is flagged ``unclosed`` and given up.
+    A run of ending signs closes a sentence where no bracket is open; signs inside web addresses do not count. A line
+    end closes what stands before it. Flags: ``unmatched_closing_bracket``, and ``unclosed_bracket`` for the last sentence
+    of a line. What is left at a line's end counts as terminated if an ending sign stands there, before closing brackets or not.
     """
-    if not text:
-        return []
-    shielded = [False] * len(text)
-    for m in _URL.finditer(text):
-        shielded[m.start() : m.end()] = [True] * (m.end() - m.start())
-    out, stack, flags, start, i = [], [], [], 0, 0
+    out: list[tuple[str, int, int, bool, list[str]]] = []
+    stack: list[str] = []
+    flags: set[str] = set()
+    start = 0
 
-    def close(end: int, terminated: bool) -> None:
-        nonlocal start, flags
+    def close(end: int, terminated: bool | None) -> None:
+        nonlocal start, flags, stack
         piece = text[start:end]
-        lead = len(piece) - len(piece.lstrip())
+        if terminated is None:
+            if stack:
+                flags.add("unclosed_bracket")
+                stack = []
+            terminated = piece.strip().rstrip(_CLOSERS).rstrip()[-1:] in tuple(ENDS)
         body = piece.strip()
         if body:
-            out.append((body, start + lead, start + lead + len(body), terminated, sorted(set(flags))))
-        start, flags = end, []
-
-    while i < len(text):
-        c = text[i]
-        if not shielded[i]:
-            if c in BRACKETS:
-                stack.append(c)
-            elif c in CLOSING:
-                if stack and stack[-1] == CLOSING[c]:
-                    stack.pop()
-                else:
-                    flags.append("unmatched")
-            elif c == "\n":
-                if stack:
-                    flags.append("unclosed")
-                    stack = []
-                close(i, False)
-            elif c in ENDS and not stack:
-                while i + 1 < len(text) and text[i + 1] in ENDS:
-                    i += 1
-                while i + 1 < len(text) and text[i + 1] in CLOSING:
-                    flags.append("unmatched")
-                    i += 1
-                close(i + 1, True)
-        i += 1
-    if stack:
-        flags.append("unclosed")
-    close(len(text), False)
+            at = start + len(piece) - len(piece.lstrip())
+            out.append((body, at, at + len(body), terminated, sorted(flags)))
+        start, flags = end, set()
+
+    for m in _SIGNS.finditer(text or ""):
+        kind = m.lastgroup
+        if kind == "open":
+            stack.append(BRACKETS[m.group()])
+        elif kind == "shut":
+            if stack and stack[-1] == m.group():
+                stack.pop()
+            else:
+                flags.add("unmatched_closing_bracket")
+        elif kind == "end" and not stack:
+            close(m.end(), True)
+        elif kind == "line":
+            close(m.start(), None)
+    if text:
+        close(len(text), None)
     return out
 
 
-def open_brackets(text: str) -> int:
-    """Brackets that the text leaves open."""
-    stack: list[str] = []
-    for c in text:
-        if c in BRACKETS:
-            stack.append(c)
-        elif c in CLOSING and stack and stack[-1] == CLOSING[c]:
-            stack.pop()
-    return len(stack)
-
+def join_reason(left: str, right: str) -> str | None:
+    """Why two neighbouring lines are one; null if they are not. List items never join, on either side; an open bracket
+    joins only lines that close it and leave nothing flagged."""
+    if not left or not right or LIST_ITEM.match(left) or LIST_ITEM.match(right):
+        return None
+    last = split_sentences(left)
+    if not last:
+        return None
+    *_, terminated, flags = last[-1]
+    if "unclosed_bracket" in flags:
+        return None if any(f for *_, f in split_sentences(left + right)) else "unclosed_bracket"
+    if terminated:
+        return None
+    if left.endswith(("、", "，", ",")):
+        return "trailing_comma"
+    if left.endswith(CONTINUES):
+        return "continuation_suffix"
+    if right.startswith(CARRIES_ON):
+        return "continuation_prefix"
+    return None
 
-def closes_ahead(lines: list[str], at: int, reach: int = 4) -> bool:
-    """Whether brackets open at the end of line ``at`` are closed within the next ``reach`` lines."""
-    return any(open_brackets("".join(lines[at : at + 1 + k])) == 0 for k in range(1, reach + 1) if at + k < len(lines))
 
+def glue(left: str, right: str) -> str:
+    """A space between two letters or digits of ASCII, else nothing."""
+    a, b = left[-1:], right[:1]
+    return " " if a.isascii() and a.isalnum() and b.isascii() and b.isalnum() else ""
 
-_LIST_ITEM = re.compile(r"^\s*(?:[-*・●○■□]|\d+[.)、．]|[A-Z]:|[（(]\d+[）)])")
 
+def closes_ahead(left: str, blocks: list[tuple[str, int, str, str]], at: int, max_chars: int = 2048, decisions: dict | None = None) -> bool:
+    """Whether the brackets that ``left`` leaves open are closed, without another flag, by blocks from ``at`` on.
 
-def join_reason(left: str, right: str, continues: tuple[str, ...] = ("が", "を", "に", "は", "の", "と", "で", "て", "も"), carries_on: tuple[str, ...] = ("こと", "ため", "など", "という")) -> str | None:
-    """Why two neighbouring lines are one; null if they are not. List items never join."""
-    if not left or not right or _LIST_ITEM.match(right):
-        return None
-    if left[-1] in ENDS:
-        return None
-    if open_brackets(left):
-        return "bracket"
-    if left[-1] in "、,，":
-        return "comma"
-    if left.endswith(continues):
-        return "suffix"
-    if right.startswith(carries_on):
-        return "prefix"
-    return None
+    Blocks are ``(id, line_index, text, action)``. The look ahead ends at a gap of lines, a block that is not kept, a list
+    item, a boundary decided ``separate``, or ``max_chars``; it reads each block once.
+    """
+    scan, size, last, line = Scan().feed(left), len(left), left, blocks[at][1] - 1
+    for n in range(at, len(blocks)):
+        name, index, text, action = blocks[n]
+        text = text.strip()
+        if decisions and n and decisions.get((blocks[n - 1][0], name)) == "separate":
+            return False
+        if index != line + 1 or action != "keep" or not text or LIST_ITEM.match(text):
+            return False
+        between = glue(last, text)
+        size += len(between) + len(text)
+        if size > max_chars:
+            return False
+        scan.feed(between + text)
+        if scan.bad:
+            return False
+        if not scan.open:
+            return True
+        line, last = index, text
+    return False
+
+
+def restore_linebreaks(blocks: list[tuple[str, int, str, str]], max_chars: int = 2048, decisions: dict | None = None) -> list[dict]:
+    """Paragraphs of joined blocks ``(id, line_index, text, action)``: ``{text, parts, joins, flags}``.
+
+    ``parts`` are ``(block_id, start, end)`` in the paragraph, ``joins`` are ``(left_block, right_block, reason)``.
+    ``decisions`` maps pairs of block ids to ``join`` or ``separate``, which go before the rules; a join decided over a
+    list item or beyond ``max_chars`` is refused, as are unknown actions and decisions and lines out of order.
+    A paragraph that would have grown beyond ``max_chars`` is flagged ``join_length_limit``.
+    """
+    decisions = decisions or {}
+    if set(decisions.values()) - {"join", "separate"}:
+        raise ValueError("a boundary decision is neither join nor separate")
+    out: list[dict] = []
+    now: dict | None = None
+    line: int | None = None
+    for n, (name, index, text, action) in enumerate(blocks):
+        if not isinstance(index, int) or index < 0 or line is not None and index <= line:
+            raise ValueError("lines are not in strictly increasing order")
+        if action not in ACTIONS:
+            raise ValueError(f"unknown action {action}")
+        if line is not None and index != line + 1:
+            now = None
+        line, text = index, text.strip()
+        if action != "keep" or not text:
+            now = None
+            continue
+        reason = None
+        if now:
+            decided = decisions.get((now["parts"][-1][0], name))
+            listed = LIST_ITEM.match(now["text"]) or LIST_ITEM.match(text)
+            if decided == "join":
+                if listed:
+                    raise ValueError("a decided join crosses a list item")
+                reason = "approved_annotation"
+            elif decided is None:
+                reason = join_reason(now["text"], text)
+                if reason is None and not listed and "unclosed_bracket" in split_sentences(now["text"])[-1][4] and closes_ahead(now["text"], blocks, n, max_chars, decisions):
+                    reason = "unclosed_bracket"
+            between = glue(now["text"], text) if reason else ""
+            if reason and len(now["text"]) + len(between) + len(text) > max_chars:
+                if decided == "join":
+                    raise ValueError("a decided join exceeds max_chars")
+                now["flags"].append("join_length_limit")
+                reason = None
+        if reason:
+            at = len(now["text"]) + len(between)
+            now["joins"].append((now["parts"][-1][0], name, reason))
+            now["text"] += between + text
+            now["parts"].append((name, at, at + len(text)))
+        else:
+            now = {"text": text, "parts": [(name, 0, len(text))], "joins": [], "flags": []}
+            out.append(now)
+    return out
 
 
-def restore_lines(lines: list[str], max_chars: int = 2048) -> list[tuple[str, list[tuple[int, int, int]], list[str]]]:
-    """Paragraphs ``(text, parts, flags)`` of joined lines; a part is ``(line, start, end)`` in the paragraph."""
-    out: list[tuple[str, list[tuple[int, int, int]], list[str]]] = []
-    for n, line in enumerate(lines):
-        if out:
-            text, parts, flags = out[-1]
-            last = lines[parts[-1][0]]
-            why = join_reason(text, line)
-            if why == "bracket" and not closes_ahead(lines, parts[-1][0]) and not closes_ahead([text, *lines[n:]], 0):
-                why = None
-            if why:
-                glue = " " if last[-1:].isascii() and last[-1:].isalnum() and line[:1].isascii() and line[:1].isalnum() else ""
-                if len(text) + len(glue) + len(line) <= max_chars:
-                    at = len(text) + len(glue)
-                    out[-1] = (text + glue + line, [*parts, (n, at, at + len(line))], flags)
-                    continue
-                out[-1] = (text, parts, [*flags, "too_long"])
-        if line:
-            out.append((line, [(n, 0, len(line))], []))
-    return out
+def lines_as_blocks(text: str | None) -> list[tuple[str, int, str, str]]:
+    """Every line as a kept block; blocks are named ``b000``, ``b001`` and so on."""
+    return [(f"b{i:03d}", i, x, "keep") for i, x in enumerate((text or "").split("\n"))]
 
 
 def chunks(text: str | None, max_chars: int = 1024, min_chars: int = 24, min_share: float = 0.2) -> list[str]:
@@ -155,7 +236,8 @@ def array_udf(f: Callable, kind) -> Callable[[Column], Column]:
 
 sentences = array_udf(lambda x: [{"text": t, "start": s, "end": e, "terminated": d, "flags": g} for t, s, e, d, g in split_sentences(x)], SENTENCE)
 text_chunks = array_udf(chunks, StringType())
-paragraphs = array_udf(lambda x: [{"text": t, "lines": len(p), "flags": ",".join(g)} for t, p, g in restore_lines([y.strip() for y in (x or "").split("\n")])], StructType([StructField("text", StringType()), StructField("lines", IntegerType()), StructField("flags", StringType())]))
+PARAGRAPH = StructType([StructField("text", StringType()), StructField("lines", IntegerType()), StructField("joins", StringType()), StructField("flags", StringType())])
+paragraphs = array_udf(lambda x: [{"text": p["text"], "lines": len(p["parts"]), "joins": ",".join(j[2] for j in p["joins"]), "flags": ",".join(p["flags"])} for p in restore_linebreaks(lines_as_blocks(x))], PARAGRAPH)
 
 
 def clip_spans(start: Column, end: Column, parts: Column) -> Column:
@@ -165,13 +247,6 @@ def clip_spans(start: Column, end: Column, parts: Column) -> Column:
     return F.transform(F.filter(parts, lambda p: lo(p) < hi(p)), lambda p: F.struct(p["block_id"].alias("block_id"), (lo(p) - p["start"]).alias("start"), (hi(p) - p["start"]).alias("end")))
 
 
-def documents_to_units(docs: DataFrame, text: str = "text", key: str = "doc_hash") -> DataFrame:
-    """``(key, paragraph_index, sentence_index, text, flags)``: joined paragraphs, split to sentences with letters in them."""
-    para = docs.select(key, F.posexplode(paragraphs(F.col(text))).alias("paragraph_index", "p"))
-    sent = para.select(key, "paragraph_index", F.posexplode(sentences(F.col("p.text"))).alias("sentence_index", "s"))
-    return sent.where(F.col("s.text").rlike(r"[\p{L}\p{N}]")).select(key, "paragraph_index", "sentence_index", F.col("s.text").alias("text"), F.array_join("s.flags", ",").alias("flags"))
-
-
 class Dictionary:
     """Words with readings and weights, for segmentation. Rows: ``(word, reading, weight)``."""
 

@@ -80,12 +80,18 @@ def normal_message(text: Column) -> Column:
     return collapse(F.regexp_replace(nfc(text), r"[\p{Cc}\p{Cf}\p{Co}&&[^\n\t]]", ""))
 
 
-def clean_block(line: Column) -> Column:
+def clean_block(line: Column, composed: bool = False) -> Column:
     """``struct(text, action, reason)`` of one line: ``drop`` if empty, an address or decoration alone; ``review`` if
-    it holds broken characters or a sentence glued to a Latin word; else ``keep``. A null line is an empty one."""
-    text = strip(controls_to_space(F.regexp_replace(normal_document(F.coalesce(line, F.lit(""))), "﻿", "")))
+    it holds broken characters or a sentence glued to a Latin word; else ``keep``. A null line is an empty one.
+    ``composed`` tells that the line is NFC already, which keeps the column in the JVM."""
+    line = F.coalesce(line, F.lit(""))
+    text = strip(controls_to_space(F.regexp_replace(unix_lines(line) if composed else normal_document(line), "﻿", "")))
     # Decoration around a text: the same sign on both sides.
     text = strip(F.regexp_replace(text, r"(?s)^([*=~◆◇■□★☆])\1*\s*(.*?[^*=~◆◇■□★☆\s].*?)\s*\1+$", "$2"))
+    return let(text, _judged) if composed else _judged(text)
+
+
+def _judged(text: Column) -> Column:
     reason = (
         F.when(text == "", "empty")
         .when(text.rlike(r"^https?://[^\s]+$"), "url")
@@ -110,20 +116,26 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(canonical_url(url), r"^https?://(?:[^@/]*@)?([^/?:]+)", 1)
 
 
+#: Labels under which country domains register names.
+SECOND_LEVEL = ("com", "net", "org", "gov", "edu", "ac")
+
+
 def registrable(host: Column) -> Column:
-    """The last two labels."""
+    """The last two labels, or three below a second level of a country."""
     labels = F.split(host, r"\.")
-    return F.when(F.size(labels) <= 2, host).otherwise(F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1)))
+    n = F.size(labels)
+    three = (n >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL)
+    return F.when(n <= 2, host).otherwise(F.array_join(F.slice(labels, F.when(three, -3).otherwise(-2), F.lit(3)), "."))
 
 
 def in_domain(host: Column, domain: Column) -> Column:
     return (host == domain) | F.endswith(host, F.concat(F.lit("."), domain))
 
 
-def looks_random(host: Column) -> Column:
-    """Whether the first label has six letters or more and few vowels, or digits between letters."""
-    label = F.regexp_extract(host, r"^([^.]+)", 1)
-    return (F.length(label) >= 6) & ((count_of(label, "[aeiou]") * 5 < F.length(label)) | label.rlike("[a-z][0-9]+[a-z]"))
+def looks_random(label: Column) -> Column:
+    """Whether a label of five characters or more changes between letters and digits twice or more."""
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(label, r"[^\p{L}\p{N}]", ""), r"\p{N}+", "0"), r"\p{L}+", "a")
+    return (F.length(label) >= 5) & (F.length(kinds) >= 3)
 
 
 def detokenize(text: Column) -> Column:

@@ -44,20 +44,22 @@ def _columns(names: list) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
-def global_rank(df: DataFrame, order: list, by: list[str] | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: list, by: list[str] | None = None, size: str | None = None) -> DataFrame:
     """``rank`` from 1 in one order, of all rows or of each group of ``by``, without a task that sees them all.
 
     Rows are cut into ranges of the order; ranks inside a range are added to the sizes of the ranges before it.
-    ``order`` must be total.
+    ``order`` must be total. ``size`` names a column for the number of rows of the group.
     """
     by, order = by or [], _columns(order)
     marked = _ranged(df, [*_columns(by), *order])
     sizes = marked.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    base = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    more = [F.sum("_n").over(Window.partitionBy(*by)).alias("_size")] if size else []
+    base = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), *more)
     inner = Window.partitionBy(*by, "_b").orderBy(*order)
     joined = _join(marked.withColumn("_r", F.row_number().over(inner)), base, by)
-    return joined.withColumn("rank", F.col("_base") + F.col("_r")).drop("_b", "_r", "_base")
+    ranked = joined.withColumn("rank", F.col("_base") + F.col("_r"))
+    return (ranked.withColumn(size, F.col("_size")) if size else ranked).drop("_b", "_r", "_base", "_size")
 
 
 def running_total(df: DataFrame, value: str, order: list, by: list[str] | None = None, name: str = "running") -> DataFrame:
@@ -74,32 +76,42 @@ def running_total(df: DataFrame, value: str, order: list, by: list[str] | None =
 
 def _join(rows: DataFrame, base: DataFrame, by: list[str]) -> DataFrame:
     """Joined on range and group; a null group is a group like any other."""
-    other = base.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_b2"), "_base")
+    other = base.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_b2"), *[c for c in ("_base", "_size") if c in base.columns])
     same = rows["_b"] == other["_b2"]
     for c in by:
         same = same & rows[c].eqNullSafe(other[f"_{c}"])
     return rows.join(other, same).drop("_b2", *[f"_{c}" for c in by])
 
 
-def exact_quantile(df: DataFrame, value: str, share: float) -> DataFrame:
-    """The value of rank ceil(share n), from the histogram of values."""
+def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """``(name, quantile)``: of each share the value of rank ceil(share n), null where there is none; from the histogram of values, by ranges."""
     h = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    run = Window.orderBy(value)  # one row for each distinct value
-    total = Window.partitionBy()
-    c = h.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(total))
-    return c.where(F.col("upto") >= F.ceil(F.col("all") * F.lit(share))).agg(F.min(value).alias("quantile"))
+    c = Stage(running_total(h, "n", [value], name="upto"), "histogram").df
+    wanted = c.agg(F.max("upto").alias("all")).select("all", F.explode(F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(float(v)))])).alias("name", "share"))
+    found = c.crossJoin(F.broadcast(wanted)).where(F.col("upto") >= F.ceil(F.col("all") * F.col("share")))  # one row for each share
+    return F.broadcast(wanted).select("name").join(found.groupBy("name").agg(F.min(value).alias("quantile")), "name", "left")
 
 
-def greedy_budget(budget: int):
-    """A grouped fold: rows in order are taken while they fit, larger ones skipped. For groups of bounded size."""
+def exact_quantile(df: DataFrame, value: str, share: float) -> DataFrame:
+    """The value of rank ceil(share n)."""
+    return exact_quantiles(df, value, {"q": share}).select("quantile")
 
-    def fold(frame):
-        frame = frame.sort_values(["priority", "id"])
-        used, keep = 0, []
-        for n in frame["pairs"]:
-            take = used + n <= budget
-            used += n if take else 0
-            keep.append(take)
-        return frame[keep]
 
-    return fold
+def budget_walk(df: DataFrame, by: str, value: str, order: list, budget: int) -> DataFrame:
+    """Rows of each group taken in ``order`` while they fit into the budget, larger ones skipped; values must be positive.
+
+    A round takes the longest prefix that fits of the rows that could still fit; the first row that does not is out, and
+    what is left of the budget decides which later rows go on. Rounds run over ranges, so no task walks a group.
+    """
+    rows = Stage(df.where(F.col(value) <= budget).withColumn("_room", F.lit(budget).cast("bigint")), "walk").df
+    out = None
+    while rows.limit(1).count():
+        run = Stage(global_rank(running_total(rows, value, order, [by], "_run"), order, [by]), "walked").df
+        fits = F.col("_run") <= F.col("_room")
+        taken = run.where(fits)
+        out = taken.select(*df.columns) if out is None else out.unionByName(taken.select(*df.columns))
+        state = run.groupBy(F.col(by).alias("_g")).agg(F.max(F.when(fits, F.col("_run"))).alias("_used"), F.min(F.when(~fits, F.col("rank"))).alias("_stop"))
+        later = run.join(state, run[by].eqNullSafe(state["_g"])).where(F.col("rank") > F.col("_stop"))
+        left = F.col("_room") - F.coalesce("_used", F.lit(0))
+        rows = Stage(later.withColumn("_room", left).where(F.col(value) <= F.col("_room")).select(*df.columns, "_room"), "walk").df
+    return out if out is not None else df.limit(0)

@@ -3,10 +3,12 @@ or a scan with an automaton whose size is bounded; none compares all rows with a
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from corpusmill.functions.fold import code_points, gram_keys, inside
 from corpusmill.functions.text import char_grams
 from corpusmill.operators.annotations import require
 
@@ -63,6 +65,67 @@ def contained(texts: DataFrame, key: str, text: str, patterns: DataFrame, patter
     return out.distinct() if out is not None else spark.createDataFrame([], kinds)
 
 
+#: Blocks of items that are sent to the texts; a larger set of items is joined by gram instead.
+MOST_BLOCKS = 16
+
+
+def _item_blocks(items: DataFrame, key: str, text: str, n: int):
+    """Items of ``n`` characters or more in blocks of bounded size; null if there are more than ``MOST_BLOCKS``."""
+    blocks, held, size = [], [], 0
+    for r in items.select(key, text).where(F.length(text) >= n).distinct().toLocalIterator():
+        held.append((r[0], r[1]))
+        size += len(r[1])
+        if size >= AUTOMATON_CHARS:
+            blocks.append(held)
+            held, size = [], 0
+            if len(blocks) == MOST_BLOCKS:
+                return None
+    return [*blocks, held] if held else blocks
+
+
+def _scan_grams(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, blocks: list, n: int, whole: bool) -> DataFrame:
+    """Texts are scanned where they lie: integer keys of their n-grams are looked up among the sorted keys of a block's grams,
+    and only hits are compared as strings. ``whole``: the items whose first gram is hit and that stand there in full."""
+    spark = texts.sparkSession
+    kinds = f"{key} {texts.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}, shared bigint"
+    name_type = to_arrow_type(items.schema[item_key].dataType)
+    rows = texts.select(key, text).where(F.length(text) >= n)
+
+    def scan(sent):
+        def over(batches):
+            import pyarrow as pa
+
+            of: dict[str, list[int]] = {}
+            for i, (_, x) in enumerate(sent.value):
+                for g in {x[:n]} if whole else {x[j : j + n] for j in range(len(x) - n + 1)}:
+                    of.setdefault(g, []).append(i)
+            grams = list(of)
+            known = np.unique(gram_keys(code_points(grams)[0], n)[np.arange(len(grams)) * n]) if grams else np.zeros(0, np.uint64)
+            for batch in batches:
+                texts_ = batch.column(1).to_pylist()
+                points, offsets = code_points(texts_)
+                keys = gram_keys(points, n)
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                at = np.flatnonzero((known[place] == keys) & inside(offsets, n, len(keys)))
+                who = np.searchsorted(offsets, at, side="right") - 1
+                count: dict[tuple[int, int], set] = {}
+                for w, p in zip(who.tolist(), (at - offsets[who]).tolist(), strict=True):
+                    g = texts_[w][p : p + n]
+                    for i in of.get(g, ()):
+                        if not whole or texts_[w].startswith(sent.value[i][1], p):
+                            count.setdefault((w, i), set()).add(g)
+                names = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([names[w] for w, _ in count], batch.schema.field(0).type), pa.array([sent.value[i][0] for _, i in count], name_type), pa.array([len(g) for g in count.values()], pa.int64())], [key, item_key, "shared"])
+
+        return over
+
+    out = None
+    for block in blocks:
+        found = rows.mapInArrow(scan(spark.sparkContext.broadcast(block)), kinds)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], kinds)
+
+
 def gram_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, text: str, n: int) -> DataFrame:
     """``(left_key, right_key, shared)``: the number of distinct n-grams two texts share, at least one."""
     a = left.select(left_key, F.explode(F.array_distinct(char_grams(F.col(text), n))).alias("_g"))
@@ -70,6 +133,14 @@ def gram_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
     return a.join(b, "_g").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
 
 
+def shared_grams(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int) -> DataFrame:
+    """As ``gram_join``, for a set of items small enough to be sent to the texts; a larger one is joined. Keys must be unique."""
+    blocks = _item_blocks(items, item_key, item_text, n)
+    if blocks is None:
+        return gram_join(texts, key, items.withColumnRenamed(item_text, text), item_key, text, n)
+    return _scan_grams(texts, key, text, items, item_key, blocks, n, False)
+
+
 def gram_jaccard(texts: DataFrame, key: str, text: str, n: int, least: float) -> DataFrame:
     """Pairs ``(a, b)`` of similar texts by n-grams; of each text the n - ceil(least n) + 1 rarest grams are joined, which loses none."""
     grams = texts.select(F.col(key).alias("k"), F.array_distinct(char_grams(F.col(text), n)).alias("g")).where(F.size("g") > 0)
@@ -85,7 +156,10 @@ def gram_jaccard(texts: DataFrame, key: str, text: str, n: int, least: float) ->
 
 def anchor_join(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int) -> DataFrame:
     """``(key, item_key)`` wherever a text holds an item of at least ``n`` characters: the item's first ``n`` characters are
-    looked up among the text's n-grams, and hits are checked."""
+    looked up among the text's n-grams, and hits are checked on the spot; only a very large set of items is joined."""
+    blocks = _item_blocks(items, item_key, item_text, n)
+    if blocks is not None:
+        return _scan_grams(texts, key, text, items, item_key, blocks, n, True).select(key, item_key).distinct()
     anchors = items.where(F.length(item_text) >= n).select(item_key, F.col(item_text).alias("_item"), F.substring(item_text, 1, n).alias("_g"))
     grams = texts.select(key, F.explode(F.array_distinct(char_grams(F.col(text), n))).alias("_g"))
     hits = grams.join(anchors, "_g").join(texts.select(key, text), key)

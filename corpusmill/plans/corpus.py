@@ -84,7 +84,7 @@ _G12 = lambda tab, key: f"(select distinct {key}, substring(text, i, 12) as g fr
 
 @query("jn08", f"select doc_id, item_id, count(*) as shared from {_G12('documents','doc_id')} join {_G12('eval_items','item_id')} using (g) group by 1,2")
 def jn08(spark, d):
-    return jn.gram_join(T(spark, d, "documents"), "doc_id", T(spark, d, "eval_items"), "item_id", "text", 12)
+    return jn.shared_grams(T(spark, d, "documents"), "doc_id", "text", T(spark, d, "eval_items"), "item_id", "text", 12)
 
 
 @query("jn09", "select distinct d.doc_id, e.item_id from documents d, eval_items e where length(e.text)>=12 and contains(d.text, e.text)")
@@ -98,10 +98,13 @@ def jn10(spark, d):
     return dd.against_earlier(s.where("pool = 'chat'"), s.where("pool = 'web'"), "key").select("id").distinct()
 
 
-@query("jn11", "select o_orderstatus, count(*) as pairs from orders group by 1")
+@query("jn11", "select o_orderstatus, count(*) as pairs, sum(lines)::bigint as lines from orders join (select l_orderkey, count(*) as lines from lineitem group by 1) on o_orderkey=l_orderkey group by 1")
 def jn11(spark, d):
-    o = T(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return jn.aligned(o, o, "o_orderkey", ["o_orderstatus"]).groupBy(F.col("l.o_orderstatus").alias("o_orderstatus")).agg(F.count("*").alias("pairs"))
+    """Orders as one result and the sums of their lines as another; both carry the key of the year, which must agree."""
+    o = T(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderkey").alias("same"))
+    lines = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines")).withColumn("same", F.col("o_orderkey"))
+    left = o.join(lines.select("o_orderkey"), "o_orderkey", "left_semi")
+    return jn.aligned(left, lines, "o_orderkey", ["same"]).groupBy(F.col("l.o_orderstatus").alias("o_orderstatus")).agg(F.count("*").alias("pairs"), F.sum("r.lines").alias("lines"))
 
 
 _G3 = "(select distinct item_id, substring(text, i, 3) as g from (select item_id, text, unnest(range(1, length(text)-1)) as i from eval_items where length(text)>=3))"
@@ -234,12 +237,8 @@ def agg09(spark, d):
 
 @query("agg10", "with h as (select length(text) as n from seq where text is not null), r as (select n, row_number() over (order by n) as k, count(*) over () as c from h) select 'p50' as q, min(n) as length from r where k>=ceil(c*0.5) union all select 'p90', min(n) from r where k>=ceil(c*0.9) union all select 'p99', min(n) from r where k>=ceil(c*0.99)")
 def agg10(spark, d):
-    x = Stage(T(spark, d, "seq").select(F.length("text").alias("length")), "lengths").df
-    out = None
-    for name, share in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)):
-        q = dd.exact_quantile(x, "length", share).select(F.lit(name).alias("q"), F.col("quantile").alias("length"))
-        out = q if out is None else out.unionByName(q)
-    return out
+    x = T(spark, d, "seq").select(F.length("text").alias("length"))
+    return dd.exact_quantiles(x, "length", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).select(F.col("name").alias("q"), F.col("quantile").alias("length"))
 
 
 @query("agg11", "select l_returnflag, quantile_cont(l_quantity,0.9) as p90, quantile_disc(l_quantity,0.9) as nearest, median(l_quantity) as median from lineitem group by 1")
@@ -345,19 +344,20 @@ def win03(spark, d):
     return dd.running_total(x, "pairs", ["priority", "id"], ["pool"]).where("running <= 20000").select("pool", "id", "pairs")
 
 
-@query("win03_skip")
+@query("win03_skip", f"""with recursive x as (select *, row_number() over (partition by pool order by priority, id) as r from {_TRAIN}),
+w as (select pool, 0::bigint as r, 0::bigint as used, ''::varchar as id, 0::bigint as pairs, false as taken from x group by 1 union all
+select x.pool, x.r, case when w.used+x.pairs<=20000 then w.used+x.pairs else w.used end, x.id, x.pairs, w.used+x.pairs<=20000 from w join x on x.pool=w.pool and x.r=w.r+1) select pool, id, pairs from w where taken""")
 def win03_skip(spark, d):
-    """The walk that skips what does not fit: a fold over each pool. Rows beyond the budget's prefix of small items cannot be left out."""
+    """The walk that skips what does not fit."""
     x = T(spark, d, "docs").where("split = 'train' and pairs > 0 and priority is not null").select("id", "pool", "priority", "pairs").distinct()
-    return x.groupBy("pool").applyInPandas(dd.greedy_budget(20_000), "id string, pool string, priority bigint, pairs bigint").select("pool", "id", "pairs")
+    return dd.budget_walk(x, "pool", "pairs", ["priority", "id"], 20_000).select("pool", "id", "pairs")
 
 
 @query("win04", "select id from (select id, row_number() over (partition by text order by id) as r, count(*) over (partition by text) as n from (select distinct id, text from seq where pool='chat' and text is not null)) where (r-1)*(r-1)<n")
 def win04(spark, d):
-    """Of n equal chat turns the first ceil(sqrt(n)), by whole numbers."""
-    x = T(spark, d, "seq").where("pool = 'chat' and text is not null").select("id", "text").distinct()
-    r, n = F.row_number().over(Window.partitionBy("text").orderBy("id")).cast("bigint"), F.count("*").over(Window.partitionBy("text"))
-    return x.withColumn("r", r).withColumn("n", n).where("(r - 1) * (r - 1) < n").select("id")
+    """Of n equal chat turns the first ceil(sqrt(n)), by whole numbers; occurrences are numbered by ranges, for stock replies are hot."""
+    x = T(spark, d, "seq").where("pool = 'chat' and text is not null").select("id", "text").distinct().select("id", F.sha2("text", 256).alias("key"))
+    return dd.global_rank(x, ["id"], ["key"], size="n").where("(rank - 1) * (rank - 1) < n").select("id")
 
 
 @query("win05", "select text_sha, doc_id as first_id, n from (select sha256(text) as text_sha, doc_id, row_number() over (partition by text order by doc_id) as r, count(*) over (partition by text) as n from documents where text is not null) where r=1")
@@ -463,12 +463,12 @@ def dd04(spark, d):
     return same.where("pool = 'chat'").select("id").unionByName(same.where("pool = 'web'").groupBy("sig", "split").agg(F.min("id").alias("id")).select("id"))
 
 
-@query("dd05")
+@query("dd05", "with s as (select distinct id, pool, text, tokens from seq where text is not null), a as (select pool, text, tokens, min(id) as id from (select pool, text, min(id) as id from s group by 1,2) join s using (pool, text, id) group by 1,2,3) select min(id) as id from a group by pool, tokens")
 def dd05(spark, d):
-    """Unique on the text and on the encoded sequence, in that order."""
-    s = T(spark, d, "seq").where("text is not null").select("id", "text", "tokens").distinct()
-    a = dd.primary(s, ["text"], [F.col("id")])
-    return dd.primary(a, ["tokens"], [F.col("id")]).select("id")
+    """Unique on the task's case, here pool and text, and then on the encoded sequence; both by partial minima."""
+    s = T(spark, d, "seq").where("text is not null").select("id", "pool", "text", "tokens").distinct()
+    cases = s.groupBy("pool", F.sha2("text", 256).alias("case")).agg(F.min_by(F.struct("id", "tokens"), "id").alias("x"))
+    return cases.groupBy("pool", "x.tokens").agg(F.min("x.id").alias("id")).select("id")
 
 
 @query("dd06", "select distinct id from seq where split='train' and not (length(text)>=10 and text in (select text from seq where split<>'train' and text is not null))")

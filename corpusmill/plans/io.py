@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import uuid
 import zipfile
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
 from corpusmill.plans.registry import query
-from corpusmill.runtime import scratch_dir, shuffle_partitions, table
+from corpusmill.plans.text import _ALT
+from corpusmill.runtime import scratch_dir, shuffle_partitions, table, write_bytes
 from corpusmill.sources import readers as r
 from corpusmill.sources import sinks
 
@@ -69,8 +71,6 @@ def src07(spark, d):
 def src08(spark, d):
     """Dialogue archives with slot values: one archive of one document for each region."""
     import json
-    import os
-    import tempfile
 
     regions = [r_.asDict() for r_ in table(spark, d, "region").select("r_regionkey", "r_name").collect()]  # five rows by the table's definition
     rows = []
@@ -79,11 +79,10 @@ def src08(spark, d):
         with zipfile.ZipFile(buffer, "w") as z:
             z.writestr("dialogue.json", json.dumps({"id": x["r_regionkey"], "slots": [{"name": "region", "value": x["r_name"]}]}))
         rows.append((x["r_regionkey"], buffer.getvalue()))
-    folder = tempfile.mkdtemp(prefix="zips-", dir=scratch_dir(spark).removeprefix("file://"))
+    folder = f"{scratch_dir(spark)}/zips-{uuid.uuid4().hex}"
     for key, content in rows:
-        with open(os.path.join(folder, f"{key}.zip"), "wb") as f:
-            f.write(content)
-    found = r.zipped_json(spark, f"file://{folder}", "id int, slots array<struct<name:string,value:string>>")
+        write_bytes(spark, f"{folder}/{key}.zip", content)
+    found = r.zipped_json(spark, folder, "id int, slots array<struct<name:string,value:string>>")
     return found.select("doc.id", F.explode("doc.slots").alias("s")).select("id", "s.name", "s.value")
 
 
@@ -130,16 +129,11 @@ def src15(spark, d):
     return r.token_store(spark, path, 65535).select("seq_id", F.size("tokens").cast("bigint").alias("n"), F.col("tokens")[0].alias("first"), F.element_at("tokens", -1).alias("last"))
 
 
-@query("src16")
+@query("src16", f"select doc_id, term from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '({_ALT})')) as term from documents)")
 def src16(spark, d):
-    import os
-    import tempfile
-
-    with tempfile.NamedTemporaryFile("w", suffix=".toml", delete=False, encoding="utf-8") as f:  # read by the driver alone
-        f.write('weak = ["soup"]\n[categories]\nfood = ["soup", "弁当"]\nplace = ["図書館"]\n[domains]\n"kiri.example" = 1\n')
-    rules = r.rules(f.name)
-    os.unlink(f.name)
-    return table(spark, d, "documents").select("doc_id", F.explode(t.terms_found(F.col("text"), list(rules["terms"]))).alias("term"))
+    """The terms of a rule file, found in the documents, longest first."""
+    rules = r.rules(os.path.join(os.path.dirname(__file__), "rules.toml"))
+    return table(spark, d, "documents").select("doc_id", F.explode(t.terms_found(F.col("text"), list(rules.terms))).alias("term"))
 
 
 @query("src17", "select distinct doc_hash||':'||paragraph_index||':'||sentence_index as id, doc_hash, 'fragment' as kind, 'keep' as action, text as snapshot from units where paragraph_index=0 and sentence_index=0")
@@ -241,13 +235,24 @@ def snk09(spark, d):
 
 @query("snk10")
 def snk10(spark, d):
-    path = written(spark, table(spark, d, "region"), "parquet", "once")
+    """An existing folder is refused, a locked one too, and a second run writes only the part that the first left unfinished."""
+    region = table(spark, d, "region")
+    path = written(spark, region, "parquet", "once")
     try:
-        sinks.write_once(table(spark, d, "region"), path)
+        sinks.write_once(region, path)
         refused = False
     except Exception as e:  # noqa: BLE001
         refused = "EXISTS" in str(e).upper()
-    return spark.createDataFrame([(refused,)], "refused boolean")
+    folder = place(spark, "resumed")
+    first = sinks.write_resumable({"a": lambda: region}, folder)
+    again = sinks.write_resumable({"a": lambda: region, "b": lambda: region}, folder)
+    with sinks.locked(spark, folder):
+        try:
+            with sinks.locked(spark, folder):
+                held = False
+        except RuntimeError:
+            held = True
+    return spark.createDataFrame([(refused, held, ",".join(first), ",".join(again), spark.read.parquet(f"{folder}/a", f"{folder}/b").count())], "refused boolean, locked boolean, first string, again string, rows bigint")
 
 
 @query("snk11")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -10,7 +12,9 @@ from corpusmill.functions import keys as k
 from corpusmill.functions import segment as s
 from corpusmill.functions import text as t
 from corpusmill.operators import annotations as ann
+from corpusmill.operators import documents as doc
 from corpusmill.plans.registry import query
+from corpusmill.plans.text import _CLEAN, _GLUED, _NORM, _STRIP, _URL, _WORD
 from corpusmill.runtime import table
 
 #: A fixture of syllables; a full table is a parameter of the functions.
@@ -26,29 +30,59 @@ def seg01(spark, d):
     return _documents(spark, d).select("doc_id", F.posexplode(s.sentences(F.col("text"))).alias("sentence_index", "s")).select("doc_id", "sentence_index", "s.text", "s.start", "s.end", "s.terminated", F.array_join("s.flags", ",").alias("flags"))
 
 
-@query("seg01_plain", r"select item_id, count(*) as sentences, sum(length(x)) as chars from (select item_id, unnest(regexp_extract_all(text,'[^。！？!?\n]+[。！？!?]+')) as x from eval_items where not regexp_matches(text,'[「」『』（）()【】［］\[\]〈〉《》｛｝{}]|http')) group by 1")
+_NO_BRACKETS = r"[「」『』（）()【】\[\]“”]"
+
+
+@query("seg01_plain", rf"""select item_id, count(*) as sentences, sum(length({_STRIP('x')})) as chars from (select item_id, unnest(regexp_extract_all(text, '(?:{s.ADDRESS}|[^。！？!?\n])*[。！？!?]+')) as x from (
+select item_id, text from eval_items union all select item_id, '詳しくは https://a.example/x?q=1!z。次は' || text from eval_items union all select doc_id + 1000000, text from documents) where not regexp_matches(text, '{_NO_BRACKETS}') and not regexp_matches(text, '\r')) group by 1""")
 def seg01_plain(spark, d):
-    """The part of sentence splitting that regular expressions can say: texts without brackets."""
-    e = table(spark, d, "eval_items").where(~F.col("text").rlike(r"[「」『』（）()【】［］\[\]〈〉《》｛｝{}]|http"))
+    """The part of sentence splitting that regular expressions can say: texts without brackets, with web addresses among them."""
+    e = table(spark, d, "eval_items").select("item_id", "text")
+    addressed = e.select("item_id", F.concat(F.lit("詳しくは https://a.example/x?q=1!z。次は"), "text").alias("text"))
+    texts = e.unionByName(addressed).unionByName(table(spark, d, "documents").select((F.col("doc_id") + 1_000_000).alias("item_id"), "text"))
+    plain = texts.where(~F.col("text").rlike(_NO_BRACKETS) & ~F.col("text").contains("\r"))
     x = F.explode(s.sentences(F.col("text"))).alias("s")
-    return e.select("item_id", x).where("s.terminated").groupBy("item_id").agg(F.count("*").alias("sentences"), F.sum(F.length("s.text")).alias("chars"))
+    counted = plain.select("item_id", x).where("s.terminated")
+    return counted.groupBy("item_id").agg(F.count("*").alias("sentences"), F.sum(F.length("s.text")).alias("chars"))
+
+
+def _wrapped(spark, d):
+    """Documents with their lines wrapped at 24 characters, as fixed-width text has them."""
+    return _documents(spark, d).select("doc_id", F.regexp_replace("text", r"([^\n]{24})(?=[^\n])", "$1\n").alias("text"))
 
 
 @query("seg02")
 def seg02(spark, d):
-    join = s.array_udf(lambda x: [s.join_reason(a, b) or "" for a, b in zip(x.split("\n"), x.split("\n")[1:], strict=False)], StringType())
-    return _documents(spark, d).select("doc_id", F.posexplode(join(F.col("text"))).alias("line", "reason")).where("reason <> ''")
+    join = s.array_udf(lambda x: [s.join_reason(a.strip(), b.strip()) or "" for a, b in zip(x.split("\n"), x.split("\n")[1:], strict=False)], StringType())
+    return _wrapped(spark, d).select("doc_id", F.posexplode(join(F.col("text"))).alias("line", "reason")).where("reason <> ''")
+
+
+@query("seg02_comma", r"""with w as (select doc_id, regexp_replace(text, '([^\n]{24})', '\1' || chr(10), 'g') as x from documents where text is not null and not regexp_matches(text, '[「」『』（）()【】\[\]“”]|http|\r')),
+l as (select doc_id, unnest(string_split(x, chr(10))) as line, unnest(range(len(string_split(x, chr(10))))) as n from w),
+t as (select doc_id, n, regexp_replace(line, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') as line from l),
+p as (select doc_id, n, line as a, lead(line) over (partition by doc_id order by n) as b from t)
+select doc_id, count(*) as commas from p where b <> '' and regexp_matches(a, '[、，,]$') and not regexp_matches(a, '^([-*・●■◆◇]|[0-9０-９]+[.)．、])') and not regexp_matches(b, '^([-*・●■◆◇]|[0-9０-９]+[.)．、])') group by 1""")
+def seg02_comma(spark, d):
+    """The joins after a comma, which SQL can say where no bracket or address stands."""
+    plain = _documents(spark, d).where(~F.col("text").rlike(_NO_BRACKETS + r"|http|\r")).select("doc_id", F.regexp_replace("text", r"([^\n]{24})", "$1\n").alias("text"))
+    commas = s.array_udf(lambda x: [w for a, b in zip(x.split("\n"), x.split("\n")[1:], strict=False) if (w := s.join_reason(a.strip(), b.strip())) == "trailing_comma"], StringType())
+    return plain.select("doc_id", F.size(commas(F.col("text"))).cast("bigint").alias("commas")).where("commas > 0")
+
+
+def _ahead(text):
+    blocks = s.lines_as_blocks(text)
+    return [str(i) for i, (_, _, line, _) in enumerate(blocks[:-1]) if s.Scan().feed(line.strip()).open and s.closes_ahead(line.strip(), blocks, i + 1)]
 
 
 @query("seg03")
 def seg03(spark, d):
-    ahead = s.array_udf(lambda x: [str(i) for i, line in enumerate(x.split("\n")) if s.open_brackets(line) and s.closes_ahead(x.split("\n")[i : i + 5], 0)], StringType())
-    return _documents(spark, d).select("doc_id", F.explode(ahead(F.col("text"))).alias("line"))
+    """Lines with an open bracket that the lines below close."""
+    return _wrapped(spark, d).select("doc_id", F.explode(s.array_udf(_ahead, StringType())(F.col("text"))).alias("line"))
 
 
 @query("seg04")
 def seg04(spark, d):
-    return _documents(spark, d).select("doc_id", F.posexplode(s.paragraphs(F.col("text"))).alias("paragraph_index", "p")).select("doc_id", "paragraph_index", "p.*")
+    return _wrapped(spark, d).select("doc_id", F.posexplode(s.paragraphs(F.col("text"))).alias("paragraph_index", "p")).select("doc_id", "paragraph_index", "p.*")
 
 
 _SPANS = "array<struct<block_id:string,start:int,end:int>>"
@@ -63,10 +97,33 @@ def seg05(spark, d):
     return u.select("doc_hash", "paragraph_index", "sentence_index", F.explode(s.clip_spans(F.lit(10), F.lit(40), parts)).alias("b")).select("doc_hash", "paragraph_index", "sentence_index", "b.*")
 
 
+def _processed(spark, d):
+    """All documents by content, with a label on the first line of each that has digits: dropped."""
+    docs = _documents(spark, d).select(F.sha2(t.normal_document(F.col("text")), 256).alias("doc_hash"), t.normal_document(F.col("text")).alias("text")).dropDuplicates(["doc_hash"])
+    first = doc.clean_lines(docs).select("doc_hash", F.get(F.filter("blocks", lambda b: (b["action"] == "keep") & b["text"].rlike("[0-9]")), F.lit(0)).alias("b")).where("b is not null")
+    none = F.lit(None).cast("string")
+    labels = first.select(F.concat(F.lit("label:"), "doc_hash").alias("id"), "doc_hash", F.lit("block").alias("kind"), F.lit("drop").alias("action"), "b.text", "b.block_id", none.alias("left_block"), none.alias("right_block"), none.alias("spans"))
+    return doc.process(docs, labels)
+
+
 @query("seg06")
 def seg06(spark, d):
-    docs = _documents(spark, d).select(F.sha2(t.normal_document(F.col("text")), 256).alias("doc_hash"), t.normal_document(F.col("text")).alias("text")).dropDuplicates(["doc_hash"])
-    return s.documents_to_units(docs)
+    return doc.units(_processed(spark, d))
+
+
+@query("seg06_audit")
+def seg06_audit(spark, d):
+    return doc.fragments(_processed(spark, d))
+
+
+@query("seg06_metrics", f"""with docs as (select distinct {_NORM} as text from documents where text is not null), l as (select text as d, unnest(string_split(text, chr(10))) as line from docs),
+c as (select d, {_STRIP(_CLEAN)} as x from l), u as (select d, case when regexp_matches(x,'^[*=~◆◇■□★☆].*[^*=~◆◇■□★☆\\s].*[*=~◆◇■□★☆]$') and left(x,1)=right(x,1) then trim(trim(x,left(x,1))) else x end as text from c),
+a as (select d, case when text='' or {_URL} or not {_WORD} then 'drop' when contains(text,chr(65533)) or {_GLUED} then 'review' else 'keep' end as action from u)
+select 'input_blocks' as metric, count(*) as n from a union all select action || '_blocks', count(*) from a group by 1 union all select 'unique_documents', count(*) from docs""")
+def seg06_metrics(spark, d):
+    """Counters of the whole run that do not hang on joins."""
+    whole = doc.merged_metrics(doc.document_metrics(_processed(spark, d)))
+    return whole.where(F.col("metric").isin("unique_documents", "input_blocks", "keep_blocks", "drop_blocks", "review_blocks"))
 
 
 @query("seg07")
@@ -182,7 +239,7 @@ _SYL = "|".join(sorted(SYLLABLES, key=lambda x: (-len(x), x)))
 
 @query("key06", f"select p_partkey, regexp_full_match(regexp_replace(lower(p_name),'[^a-z]','','g'),'({_SYL})+') as valid from part where regexp_replace(lower(p_name),'[^a-z]','','g')<>''")
 def key06(spark, d):
-    return _parts(spark, d).select("p_partkey", F.col("keys").rlike(rf"^(?:{_SYL})+$").alias("valid"))
+    return _parts(spark, d).select("p_partkey", _map(lambda x: k.splits_to_syllables(x, SYLLABLES), BooleanType())(F.col("keys")).alias("valid"))
 
 
 @query("key07")
@@ -200,7 +257,8 @@ def key07(spark, d):
 
 @query("key08")
 def key08(spark, d):
-    f = s.array_udf(lambda x: k.abbreviations([[w] for w in x.lower().split()], 42), StringType())
+    syllables = lambda w: re.findall("[^aeiou]*[aeiou]+(?:n(?![aeiou]))?", w) or [w]
+    f = s.array_udf(lambda x: k.abbreviations([syllables(w) for w in x.lower().split()], 42), StringType())
     return table(spark, d, "part").select("p_partkey", F.posexplode(f(F.col("p_name"))).alias("form", "keys"))
 
 
@@ -217,12 +275,12 @@ def _units(spark, d):
 def _labels(spark, d):
     """First sentences as labelled records: dropped if they are short."""
     u = _units(spark, d).where("paragraph_index = 0 and sentence_index = 0")
-    return u.select("doc_hash", "paragraph_index", "sentence_index", F.col("text").alias("snapshot"), F.when(F.length("text") < 12, "drop").otherwise("keep").alias("action"))
+    return u.select("doc_hash", "paragraph_index", "sentence_index", F.col("text").alias("snapshot"), F.when(F.length("text") < 24, "drop").otherwise("keep").alias("action"))
 
 
 _KEYS = ["doc_hash", "paragraph_index", "sentence_index"]
 _U = "(select distinct doc_hash, paragraph_index, sentence_index, text from units)"
-_L = f"(select doc_hash, paragraph_index, sentence_index, text as snapshot, case when length(text)<12 then 'drop' else 'keep' end as action from {_U} where paragraph_index=0 and sentence_index=0)"
+_L = f"(select doc_hash, paragraph_index, sentence_index, text as snapshot, case when length(text)<24 then 'drop' else 'keep' end as action from {_U} where paragraph_index=0 and sentence_index=0)"
 
 
 @query("ann01", f"select coalesce(l.action,'none') as action, count(*) as units from {_U} u left join {_L} l using (doc_hash, paragraph_index, sentence_index) group by 1")

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import text as t
+from corpusmill.operators.classify import Script, classify, fake_official, host_term, in_domains
 from corpusmill.plans.registry import query
 from corpusmill.runtime import table
-
-#: A neutral fixture of terms by category, and the weak ones among them.
-TERMS = {"カメラ": "device", "バッテリー": "device", "手机": "device", "相机": "device", "图书馆": "place", "図書館": "place", "workshop": "place", "market": "place", "弁当": "food", "咖啡": "food", "スープ": "food", "soup": "food"}
-WEAK = ["market", "soup", "弁当", "手机"]
-#: Pairs of glyphs of two scripts, a fixture for a pluggable map.
-TRADITIONAL, SIMPLIFIED = "門車書馬時間電話買賣", "门车书马时间电话买卖"
+from corpusmill.sources import readers
+
+#: A neutral fixture of rules.
+RULES = readers.rules(os.path.join(os.path.dirname(__file__), "rules.toml"))
+TERMS, WEAK = RULES.terms, sorted(RULES.weak)
+#: Pairs of glyphs of two scripts and a phrase, a fixture for a pluggable map.
+TRADITIONAL = "門車書馬時間電話買賣來對開關點說學國會個們這過還從後發現樣長東見聽讀寫錢"
+SIMPLIFIED = "门车书马时间电话买卖来对开关点说学国会个们这过还从后发现样长东见听读写钱"
+SCRIPT = Script(TRADITIONAL, SIMPLIFIED, {"網路": "网络"})
 _ALT = "|".join(sorted(TERMS, key=lambda x: (-len(x), x)))
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _STRIP = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
@@ -81,9 +87,17 @@ def txt06(spark, d):
     return docs(spark, d).select("doc_id", t.detokenize(F.col("text")).alias("plain"))
 
 
-@query("txt07", f"select doc_id, translate(text,'{TRADITIONAL}','{SIMPLIFIED}') as converted, length(regexp_replace(text,'[^{TRADITIONAL}]','','g')) as convertible from documents")
+_HANS = "[㐀-䶿一-鿿豈-\ufaff]"
+_CONVERT = f"translate(replace(text,'網路','网络'),'{TRADITIONAL}','{SIMPLIFIED}')"
+_SHARE = f"length(regexp_replace(text,'[^{TRADITIONAL}]','','g'))/greatest(length(regexp_replace(text,'[^{_HANS[1:-1]}]','','g')),1)"
+
+
+@query("txt07", f"select doc_id, {_SHARE} as share, case when {_SHARE}>0.08 then {_CONVERT} else text end as converted from documents where text is not null")
 def txt07(spark, d):
-    return docs(spark, d).select("doc_id", F.translate("text", TRADITIONAL, SIMPLIFIED).alias("converted"), t.count_of(F.col("text"), f"[{TRADITIONAL}]").cast("bigint").alias("convertible"))
+    """Texts of which enough Han letters belong to the other script are converted, phrases first."""
+    x = F.col("text")
+    share = SCRIPT.share(x, t.count_of(x, _HANS))
+    return docs(spark, d).where("text is not null").select("doc_id", share.alias("share"), F.when(share > 0.08, SCRIPT.convert(x)).otherwise(x).alias("converted"))
 
 
 @query("txt08", f"""with l as (select doc_id, {_STRIP('line')} as x from {_LINES}), g as (select doc_id, x, count(*) as k, length(x) as n from l where x<>'' group by 1,2)
@@ -110,29 +124,44 @@ def txt11(spark, d):
     return docs(spark, d).where("text is not null").select("doc_id", F.size(found).cast("bigint").alias("terms"), t.counts_as_hit(found, WEAK).alias("hit"))
 
 
-@query("txt12", r"""select distinct host, case when len(string_split(host,'.'))<=2 then host else array_to_string(string_split(host,'.')[-2:],'.') end as registrable, host='kiri.example' or ends_with(host,'.kiri.example') as listed, string_split(host,'.')[-1] as tld,
-length(string_split(host,'.')[1])>=6 and (length(regexp_replace(string_split(host,'.')[1],'[^aeiou]','','g'))*5<length(string_split(host,'.')[1]) or regexp_matches(string_split(host,'.')[1],'[a-z][0-9]+[a-z]')) as random_looking from documents where host is not null""")
+_HOSTLIST = "(select distinct host from documents where host is not null union all select unnest(['a.b.example.com.cn','www.ceg8rb.gov.cn.vyrtf.cn','www.gimgim.gov.cn','x.u07bgqr7k.com','lady8844.test','quinlom.kelj.test','example']))"
+_UNDER = lambda h, listed: "(" + (" or ".join(f"{h}='{x}' or ends_with({h},'.{x}')" for x in listed) or "false") + ")"
+_OFFICIAL = lambda h: f"(ends_with({h},'.gov.cn') or ends_with({h},'.edu.cn'))"
+_HOSTTERM = lambda h: "(" + " or ".join(f"contains({h},'{x}')" for x in RULES.host_terms) + f") and not {_OFFICIAL(h)}"
+_FAKE = lambda h: f"(contains({h},'.gov.cn.') or contains({h},'.edu.cn.')) and not {_OFFICIAL(h)}"
+_TLD = lambda h: f"string_split({h},'.')[-1] in ({','.join(repr(x) for x in sorted(RULES.tlds))})"
+
+
+@query("txt12", f"""with h as (select host, string_split(host,'.') as l from {_HOSTLIST}), r as (select host, case when len(l)<=2 then host when len(l)>=3 and length(l[-1])=2 and l[-2] in ('com','net','org','gov','edu','ac') then array_to_string(l[-3:],'.') else array_to_string(l[-2:],'.') end as registrable from h),
+k as (select *, string_split(registrable,'.')[1] as label from r)
+select host, registrable, {_UNDER('host', RULES.tier1)} as tier1, {_UNDER('host', RULES.tier2)} as tier2, {_TLD('host')} as tld, {_HOSTTERM('host')} as host_term, {_FAKE('host')} as fake_gov, length(label)>=5 and length(regexp_replace(regexp_replace(regexp_replace(label,'[^a-z0-9]','','g'),'[0-9]+','0','g'),'[a-z]+','a','g'))>=3 as random_looking from k""")
 def txt12(spark, d):
     host = F.col("host")
-    return docs(spark, d).where("host is not null").select("host").distinct().select("host", t.registrable(host).alias("registrable"), t.in_domain(host, F.lit("kiri.example")).alias("listed"), F.element_at(F.split(host, r"\."), -1).alias("tld"), t.looks_random(host).alias("random_looking"))
+    listed = spark.createDataFrame([(x,) for x in ("a.b.example.com.cn", "www.ceg8rb.gov.cn.vyrtf.cn", "www.gimgim.gov.cn", "x.u07bgqr7k.com", "lady8844.test", "quinlom.kelj.test", "example")], "host string")
+    hosts = docs(spark, d).where("host is not null").select("host").distinct().unionByName(listed).withColumn("registrable", t.registrable(host))
+    label = F.regexp_extract("registrable", r"^([^.]+)", 1)
+    return hosts.select("host", "registrable", in_domains(host, RULES.tier1).alias("tier1"), in_domains(host, RULES.tier2).alias("tier2"), F.element_at(F.split(host, r"\."), -1).isin(*RULES.tlds).alias("tld"), host_term(host, RULES).alias("host_term"), fake_official(host).alias("fake_gov"), t.looks_random(label).alias("random_looking"))
 
 
-_CLASSIFY = rf"""with m as (select doc_id, source, length(text) as n, length(regexp_replace(text,'[^\p{{Han}}]','','g')) as han, length(regexp_replace(text,'[^\p{{L}}]','','g')) as letters, len(list_distinct(regexp_extract_all(lower(text),'({_ALT})'))) as terms, contains(text, chr(65533)) as broken, host from documents where text is not null),
-r as (select *, list_filter([case when letters<20 then 'short' end, case when broken then 'broken' end, case when terms>=3 then 'terms' end, case when host is null then 'hostless' end], lambda x: x is not null) as reasons from m)
-select doc_id, case when list_contains(reasons,'short') or list_contains(reasons,'terms') then 'drop' when len(reasons)>0 then 'review' else 'keep' end as decision, array_to_string(reasons,',') as reasons from r"""
+_AGAIN = f"(with l as (select doc_id, {_STRIP('line')} as x from {_LINES}), g as (select doc_id, x, count(*) as k, length(x) as n from l where x<>'' group by 1,2) select doc_id, sum(case when k>1 then n*k else 0 end)::double/sum(n*k) as again from g group by 1)"
+_CATEGORY = "case h " + " ".join(f"when '{x}' then 'term_{c}'" for x, c in TERMS.items()) + " end"
+_CLASSIFY = rf"""with m as (select doc_id, source, host, coalesce(host,'') as h, length(regexp_replace(text,'[^{_HANS[1:-1]}]','','g')) as han, case when {_SHARE}>0.08 then 'hant' else 'hans' end as script, case when {_SHARE}>0.08 then {_CONVERT} else text end as text from documents where text is not null),
+f as (select m.*, list_distinct(regexp_extract_all(lower(text),'({_ALT})')) as hits, length(regexp_replace(text,'{_WS}+','','g')) as solid, coalesce(again,0) as again from m left join {_AGAIN} using (doc_id)),
+k as (select *, len(list_filter(hits, lambda x: x not in ({','.join(repr(w) for w in WEAK)})))>0 or len(hits)>=2 as hit from f),
+r as (select *, list_concat(list_concat(list_filter([case when h<>'' and {_TLD('h')} then 'tld' end, case when {_UNDER('h', RULES.tier1)} then 'domain_tier1' end, case when {_HOSTTERM('h')} then 'host_term' end, case when {_FAKE('h')} then 'fake_gov' end], lambda x: x is not null),
+case when hit then list_sort(list_distinct(list_transform(hits, lambda h: {_CATEGORY}))) else [] end),
+list_filter([case when han<100 then 'short' end, case when han>=100 and han<0.4*solid then 'low_han' end, case when again>0.3 then 'repetitive' end], lambda x: x is not null)) as dropped,
+list_filter([case when len(hits)>0 and not hit then 'weak_term' end, case when {_UNDER('h', RULES.tier2)} then 'domain_tier2' end], lambda x: x is not null) as reviewed from k)
+select doc_id, case when len(dropped)>0 then 'drop' when len(reviewed)>0 then 'review' else 'keep' end as decision, array_to_string(list_concat(dropped, reviewed),',') as reasons, script, han from r"""
 
 
 def classified(spark, d):
-    x = F.col("text")
-    letters, terms = t.count_of(x, r"\p{L}"), F.size(t.terms_found(x, list(TERMS)))
-    reasons = F.array_compact(F.array(F.when(letters < 20, "short"), F.when(x.contains("�"), "broken"), F.when(terms >= 3, "terms"), F.when(F.col("host").isNull(), "hostless")))
-    decision = F.when(F.array_contains("reasons", "short") | F.array_contains("reasons", "terms"), "drop").when(F.size("reasons") > 0, "review").otherwise("keep")
-    return docs(spark, d).where("text is not null").select("doc_id", "source", "host", reasons.alias("reasons")).withColumn("decision", decision)
+    return classify(docs(spark, d).where("text is not null").select("doc_id", "source", "host", "text"), RULES, script=SCRIPT)
 
 
 @query("txt13", _CLASSIFY)
 def txt13(spark, d):
-    return classified(spark, d).select("doc_id", "decision", F.array_join("reasons", ",").alias("reasons"))
+    return classified(spark, d).select("doc_id", "decision", F.array_join("reasons", ",").alias("reasons"), "script", F.col("han").cast("bigint").alias("han"))
 
 
 @query("txt14", r"""with m as (select doc_id, length(regexp_replace(regexp_replace(text,'[0-9][0-9,]*\s*(円|元|yen)','￼','g'),'[^￼]','','g')) as prices, length(regexp_replace(text,'[^。、，,.!?！？]','','g')) as marks, length(text) as n from documents where text is not null) select doc_id, prices, marks, case when prices>=4 then 'prices' when prices>=1 and marks*40<n then 'catalogue' else '' end as noise from m""")

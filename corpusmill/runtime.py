@@ -20,6 +20,8 @@ def scratch_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         path = tempfile.mkdtemp(prefix="corpusmill-")
         _own_dirs.append(path)
         if len(_own_dirs) == 1:
@@ -29,6 +31,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A new file in any file system that Hadoop knows; an existing one is an error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 class Stage:
     """A DataFrame written as a table in the shared folder: its lineage is cut, and lost executors cost nothing.
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
+
+from corpusmill.operators.dedup import running_total
+from corpusmill.runtime import write_bytes
 
 
 def write_once(df: DataFrame, path: str, form: str = "parquet", **options) -> None:
@@ -30,26 +33,57 @@ def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> None:
 
 
 def merged_offsets(parts: DataFrame, part: str, pos: str, length: str) -> DataFrame:
-    """Offsets of concatenated parts: sums inside a part, plus the totals of the parts before it.
-
-    The running sum over everything is split in two, so that no task orders all rows.
-    """
-    inner = Window.partitionBy(part).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy(part).agg(F.sum(length).alias("_total"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    base = totals.select(part, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    return parts.withColumn("_inner", F.coalesce(F.sum(length).over(inner), F.lit(0))).join(base, part).withColumn("offset", F.col("_base") + F.col("_inner")).drop("_base", "_inner")
+    """Offsets of concatenated parts, in order of part and position: running sums by ranges, so that no task orders a whole part."""
+    return running_total(parts, length, [part, pos], name="_upto").withColumn("offset", F.col("_upto") - F.col(length)).drop("_upto")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 of each file of a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    """sha256 of each file below a folder, by its path from there. A file is read whole: for files of bounded size, as writers make them."""
+    rest = F.substring_index("path", path.split("://", 1)[-1].rstrip("/") + "/", -1)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(rest.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+#: Files that a manifest lists at most; more are refused.
+MOST_FILES = 1_000_000
 
 
 def manifest(config: dict, counts: dict, files: DataFrame) -> str:
-    """A manifest as JSON with sorted keys; ``files`` is one row per written file."""
-    listed = sorted((r["file"], r["sha256"]) for r in files.collect())
-    return json.dumps({"config": config, "counts": counts, "files": dict(listed)}, sort_keys=True, ensure_ascii=False)
+    """A manifest as JSON with sorted keys; ``files`` is one row per written file, each of another name."""
+    rows = files.select("file", "sha256").limit(MOST_FILES + 1).collect()
+    listed = {r["file"]: r["sha256"] for r in rows}
+    if len(rows) > MOST_FILES or len(listed) < len(rows):
+        raise ValueError("manifest: too many files, or two of one name")
+    return json.dumps({"config": config, "counts": counts, "files": listed}, sort_keys=True, ensure_ascii=False)
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str):
+    """Holds a lock file beside a folder; a second holder is refused. The file system makes it atomically or not at all."""
+    lock = f"{path}.lock"
+    try:
+        write_bytes(spark, lock, b"")
+    except Exception as e:
+        raise RuntimeError(f"{path} is locked by another run") from e
+    try:
+        yield
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(lock)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, False)
+
+
+def write_resumable(parts: dict, path: str, form: str = "parquet") -> list[str]:
+    """Writes each named part, a function that gives its DataFrame, into a folder of its own; parts that a run before finished
+    are left as they are, unfinished ones are written anew. Gives the names written now; one run at a time."""
+    done: list[str] = []
+    for name, make in parts.items():
+        df = make()
+        spark = df.sparkSession
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+        with locked(spark, f"{path}/{name}"):
+            if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+                df.write.mode("overwrite").format(form).save(f"{path}/{name}")
+                done.append(name)
+    return done
 
 
 def fingerprint(*parts: object) -> str:
@@ -58,9 +92,11 @@ def fingerprint(*parts: object) -> str:
     return hashlib.sha256(whole.encode()).hexdigest()
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small result as a Markdown table; one of more than ``most`` rows is refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 

@@ -14,6 +14,7 @@ from corpusmill.functions import text as t
 from corpusmill.functions.fold import code_points, fold, fold_many, gram_keys, inside
 from corpusmill.operators import annotations as ann
 from corpusmill.operators import dedup as dd
+from corpusmill.operators import documents
 from corpusmill.operators import joins as jn
 from corpusmill.operators import sequences as sq
 from corpusmill.operators import statistics as st
@@ -97,7 +98,9 @@ def test_sentences():
     assert s("一つ。二つ!?三つ") == ["一つ。", "二つ!?", "三つ"]
     assert s("「中。外」続き。次") == ["「中。外」続き。", "次"]
     assert s("見て https://a.example/?q=1!x です。終") == ["見て https://a.example/?q=1!x です。", "終"]
-    assert segment.split_sentences("開いた「まま\n次")[0][4] == ["unclosed"] and segment.split_sentences("閉じ」た。")[0][4] == ["unmatched"]
+    assert s("詳しくは https://a.example/x。次の文です。終わり。") == ["詳しくは https://a.example/x。", "次の文です。", "終わり。"]
+    assert segment.split_sentences("開いた「まま\n次")[0][4] == ["unclosed_bracket"] and segment.split_sentences("閉じ」た。")[0][4] == ["unmatched_closing_bracket"]
+    assert [x[3] for x in segment.split_sentences("彼は「行く。」")] == [True] and [x[3] for x in segment.split_sentences("彼は「行く」")] == [False]
     assert segment.split_sentences(None) == [] == segment.split_sentences(" \n ")
 
 
@@ -116,11 +119,89 @@ def test_sentence_offsets(text):
 @given(hs.lists(hs.text("あが、。「」", max_size=8), max_size=8))
 def test_restored_lines_keep_every_part(lines):
     seen = []
-    for text, parts, _ in segment.restore_lines(lines, 30):
-        for n, start, end in parts:
-            assert text[start:end] == lines[n]
-            seen.append(n)
-    assert seen == [i for i, x in enumerate(lines) if x]
+    for p in segment.restore_linebreaks(segment.lines_as_blocks("\n".join(lines)), 30):
+        for name, start, end in p["parts"]:
+            assert p["text"][start:end] == lines[int(name[1:])].strip()
+            seen.append(int(name[1:]))
+        assert len(p["joins"]) == len(p["parts"]) - 1 and len(p["text"]) <= max(30, max(map(len, lines)))
+    assert seen == [i for i, x in enumerate(lines) if x.strip()]
+
+
+@settings(max_examples=150, deadline=None)
+@given(hs.lists(hs.text("あ「」（）。 ", min_size=1, max_size=6), min_size=1, max_size=6))
+def test_brackets_that_close_ahead_against_rescanning(lines):
+    blocks = segment.lines_as_blocks("\n".join(lines))
+    left = lines[0].strip()
+
+    def again():
+        text = left
+        for _, _, line, _ in blocks[1:]:
+            if not line.strip() or segment.LIST_ITEM.match(line.strip()):
+                return False
+            text += line.strip()
+            flags = {f for *_, x in segment.split_sentences(text) for f in x}
+            if not flags:
+                return True
+            if "unmatched_closing_bracket" in flags:
+                return False
+        return False
+
+    if left and len(blocks) > 1:
+        assert segment.closes_ahead(left, blocks, 1) == again()
+
+
+def test_joins_of_lines():
+    j = segment.join_reason
+    assert j("彼は「そう", "全く閉じない") is None and j("彼は「そう", "言った」。") == "unclosed_bracket"
+    assert j("・項目、", "続き") is None and j("一行目、", "・項目") is None and j("一行目、", "続き") == "trailing_comma"
+    assert j("終わり。", "次") is None and j("走りながら", "歌う") == "continuation_suffix" and j("山", "について話す") == "continuation_prefix" and j("", "x") is None
+    blocks = lambda *x: [(f"b{i}", i, y, "keep") for i, y in enumerate(x)]
+    three = segment.restore_linebreaks(blocks("彼は「そう", "思うと", "言った」と。"))
+    assert [p["text"] for p in three] == ["彼は「そう思うと言った」と。"] and [x[2] for x in three[0]["joins"]] == ["unclosed_bracket"] * 2
+    assert three[0]["parts"] == [("b0", 0, 5), ("b1", 5, 8), ("b2", 8, 14)]
+    apart = segment.restore_linebreaks(blocks("一行目、", "続き"), decisions={("b0", "b1"): "separate"})
+    joined = segment.restore_linebreaks(blocks("一行目。", "Next", "word"), decisions={("b0", "b1"): "join", ("b1", "b2"): "join"})
+    assert len(apart) == 2 and [p["text"] for p in joined] == ["一行目。Next word"] and joined[0]["joins"][0][2] == "approved_annotation"
+    assert len(segment.restore_linebreaks([("a", 0, "一行目、", "keep"), ("b", 2, "続き", "keep")])) == 2
+    assert len(segment.restore_linebreaks([("a", 0, "一行目、", "keep"), ("b", 1, "x", "drop"), ("c", 2, "続き", "keep")])) == 2
+    long = segment.restore_linebreaks(blocks("長い行、", "続き"), max_chars=5)
+    assert [p["text"] for p in long] == ["長い行、", "続き"] and long[0]["flags"] == ["join_length_limit"]
+    for bad in ([("a", 1, "x", "keep"), ("b", 1, "y", "keep")], [("a", 0, "x", "what")], [("a", -1, "x", "keep")]):
+        with pytest.raises(ValueError):
+            segment.restore_linebreaks(bad)
+    for bad in (dict(decisions={("b0", "b1"): "maybe"}), dict(decisions={("b0", "b1"): "join"}, max_chars=4)):
+        with pytest.raises(ValueError):
+            segment.restore_linebreaks(blocks("一行目、", "続き"), **bad)
+
+
+def test_a_whole_document(spark):
+    text = "見出しのない本文が、\nここで続く。\nhttps://x.example/a\n文。Next\n「開いたまま\n\n終わらない\n----\n残る文。"
+    docs = spark.createDataFrame([("d", text), ("e", None), ("f", "")], "doc_hash string, text string")
+    done = Stage(documents.process(docs)).df
+    got = {(r["paragraph_index"], r["sentence_index"]): (r["text"], r["spans"]) for r in documents.units(done).collect()}
+    assert got == {(0, 0): ("見出しのない本文が、ここで続く。", '[{"block_id":"b000","start":0,"end":10},{"block_id":"b001","start":0,"end":6}]'), (3, 0): ("残る文。", '[{"block_id":"b008","start":0,"end":4}]')}
+    left = {r["text"]: (r["terminated"], r["flags"]) for r in documents.fragments(done).collect()}
+    assert left == {"「開いたまま": (False, "unclosed_bracket"), "終わらない": (False, "")}
+    n = {r["metric"]: r["n"] for r in documents.merged_metrics(documents.document_metrics(done)).collect()}
+    assert (n["unique_documents"], n["input_blocks"], n["keep_blocks"], n["drop_blocks"], n["review_blocks"], n["paragraphs"], n["join_events"], n["sentence_occurrences"], n["fragments"]) == (2, 10, 5, 4, 1, 4, 1, 2, 2)
+    assert (n["rule:url"], n["rule:glued"], n["flag:unclosed_bracket"]) == (1, 1, 1)
+    label = lambda i, kind, **more: (i, "d", kind, more.get("action"), more.get("text"), more.get("block"), more.get("left"), more.get("right"), more.get("spans"))
+    labels = [label("1", "block", action="keep", text="文。Next", block="b003"), label("2", "fragment", action="keep", text="終わらない", spans='[{"block_id":"b006","start":0,"end":5}]'), label("3", "boundary", action="separate", left="b000", right="b001"), label("4", "fragment", action="drop", text="残る文。", spans='[{"block_id":"b008","start":0,"end":4}]')]
+    frame = lambda x: spark.createDataFrame(x, documents.LABELS)
+    texts = {r["text"]: r["annotation_ids"] for r in documents.units(documents.process(docs, frame(labels))).collect()}
+    assert texts == {"ここで続く。": "[]", "文。": '["1"]', "終わらない": '["2"]'}
+    for bad in (label("5", "block", action="drop", text="別の文", block="b000"), label("6", "fragment", action="keep", text="無い", spans="[]"), label("7", "boundary", action="join", left="b000", right="b005"), label("8", "what")):
+        with pytest.raises(Exception, match="label"):
+            documents.process(docs, frame([bad])).collect()
+
+
+def test_syllables_of_long_keys_take_linear_time():
+    import time
+
+    valid = frozenset({"a", "an", "nab", "ba"})
+    began = time.time()
+    assert not keys.splits_to_syllables("an" * 5000 + "x", valid) and keys.splits_to_syllables("an" * 5000, valid)
+    assert time.time() - began < 0.2
 
 
 def test_keys():
@@ -245,7 +326,7 @@ def test_readers_refuse(spark, tmp_path):
         readers.sentence_tsv(spark, str(tmp_path / "a.tsv")).collect()
     (tmp_path / "b.tsv").write_text('﻿1\tjpn\t"literal\n', encoding="utf-8")
     assert readers.sentence_tsv(spark, str(tmp_path / "b.tsv")).collect() == [("1", '"literal')]
-    (tmp_path / "r.toml").write_text('weak = ["x"]\n[categories]\na = ["y"]\n', encoding="utf-8")
+    (tmp_path / "r.toml").write_text('[rules]\nweak = ["x"]\n[categories]\na = ["y"]\n', encoding="utf-8")
     with pytest.raises(ValueError, match="without category"):
         readers.rules(str(tmp_path / "r.toml"))
     spark.range(3).write.parquet(str(tmp_path / "once"))
@@ -319,3 +400,114 @@ def test_items_unlike_those_picked_before(spark, tmp_path):
     rows = [("s", 1, "あいうえおかきくけこ１"), ("s", 2, "こけくきかおえういあ１"), ("s", 3, "あいうえおかきくけこ2"), ("t", 4, "あいうえおかきくけこ1")]
     spark.createDataFrame(rows, "suite string, item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
     assert {r["item_id"] for r in QUERIES["jn14"](spark, str(tmp_path)).collect()} == {1, 2, 4}
+
+
+RULES = """
+[categories]
+games = ["dice", "dice hall", "card"]
+loans = ["quick loan"]
+[rules]
+weak = ["card", "quick loan"]
+[domains]
+block = ["bad.example"]
+block_tier2 = ["news.example"]
+block_tlds = ["blocked"]
+host_terms = ["dicehall"]
+"""
+
+
+def test_decisions_on_documents(spark, tmp_path):
+    from corpusmill.operators.classify import Script, classify
+
+    (tmp_path / "rules.toml").write_text(RULES, encoding="utf-8")
+    rules = readers.rules(str(tmp_path / "rules.toml"))
+    body = "".join(chr(0x4E00 + i) for i in range(120))
+    cases = {
+        "plain": (body, "www.ok.cn", "keep", []),
+        "weak": (body + " card", "ok.cn", "review", ["weak_term"]),
+        "two weak": (body + " card QUICK LOAN", "ok.cn", "drop", ["term_games", "term_loans"]),
+        "longest": (body + " Dice Hall", "ok.cn", "drop", ["term_games"]),
+        "tier1": (body, "www.bad.example", "drop", ["domain_tier1"]),
+        "not under it": (body, "notbad.example", "keep", []),
+        "tier2": (body, "x.news.example", "review", ["domain_tier2"]),
+        "tier2 and term": (body + "dice", "x.news.example", "drop", ["term_games", "domain_tier2"]),
+        "tld": (body, "spam.blocked", "drop", ["tld"]),
+        "host": (body, "my-dicehall.example", "drop", ["host_term"]),
+        "official": (body, "www.dicehall.gov.cn", "keep", []),
+        "fake": (body, "www.abc.gov.cn.abc.cn", "drop", ["fake_gov"]),
+        "short": ("短い", "ok.cn", "drop", ["short"]),
+        "latin": (body + "abc " * 400, "ok.cn", "drop", ["low_han"]),
+        "again": (body + "\n" + body, "ok.cn", "drop", ["repetitive"]),
+        "no host": (body, None, "keep", []),
+        "null": (None, "ok.cn", "drop", ["short"]),
+    }
+    df = spark.createDataFrame([(k, v[0], v[1]) for k, v in cases.items()], "name string, text string, host string")
+    got = {r["name"]: (r["decision"], r["reasons"]) for r in classify(df, rules).collect()}
+    assert got == {k: (v[2], v[3]) for k, v in cases.items()}
+    script = Script("門時間", "门时间", {"網路": "网络"})
+    text = "網路門時間" * 30
+    row = classify(spark.createDataFrame([(text, "a.tw")], "text string, host string"), rules, script=script).first()
+    assert row["script"] == "hant" and row["text"] == "网络门时间" * 30
+    hosts = spark.createDataFrame([(x,) for x in ("a.b.example.com.cn", "x.u07bgqr7k.com", "one", "a.b", "c.ac.jp", "b.c.ac.jp")], "h string")
+    assert [r[0] for r in hosts.select(t.registrable(F.col("h"))).collect()] == ["example.com.cn", "u07bgqr7k.com", "one", "a.b", "c.ac.jp", "c.ac.jp"]
+    labels = spark.createDataFrame([(x,) for x in ("u07bgqr7k", "kzlue2y", "plain", "lady8844", "it168", "51site", "3dgame", "a1b")], "h string")
+    assert [r[0] for r in labels.select(t.looks_random(F.col("h"))).collect()] == [True, True, False, False, False, False, False, False]
+
+
+def test_walks_and_quantiles_of_a_group_with_most_rows(spark):
+    random.seed(11)
+    rows = [(i, "hot" if i % 10 else f"g{i % 30}", random.choice([1, 2, 5, 40, 90, 300])) for i in range(900)] + [(5000, None, 7), (5001, None, 200)]
+    df = spark.createDataFrame(rows, "id int, g string, v bigint").repartition(5)
+    kept, used = set(), {}
+    for i, g, v in sorted(rows):
+        if used.get(g, 0) + v <= 150:
+            used[g] = used.get(g, 0) + v
+            kept.add(i)
+    assert {r["id"] for r in dd.budget_walk(df, "g", "v", ["id"], 150).collect()} == kept
+    assert dd.budget_walk(df.limit(0), "g", "v", ["id"], 150).collect() == []
+    values = sorted(v for *_, v in rows)
+    got = dict(map(tuple, dd.exact_quantiles(df, "v", {"a": 0.5, "b": 0.9, "c": 1.0}).collect()))
+    assert got == {k: values[int(np.ceil(len(values) * x)) - 1] for k, x in (("a", 0.5), ("b", 0.9), ("c", 1.0))}
+    ranked = {(r["id"]): (r["rank"], r["n"]) for r in dd.global_rank(df, ["id"], ["g"], size="n").collect()}
+    hot = [i for i, g, _ in sorted(rows) if g == "hot"]
+    assert all(ranked[i] == (k + 1, len(hot)) for k, i in enumerate(hot)) and ranked[5001] == (2, 2)
+    offsets = {r["id"]: r["offset"] for r in sinks.merged_offsets(df.where("g is not null"), "g", "id", "v").collect()}
+    at = 0
+    for _, i, v in sorted((g, i, v) for i, g, v in rows if g is not None):
+        assert offsets[i] == at
+        at += v
+
+
+def test_grams_looked_up_or_joined_are_the_same(spark, monkeypatch):
+    random.seed(4)
+    texts = [(i, "".join(random.choices("abcあ", k=random.randrange(0, 50)))) for i in range(60)] + [(99, None)]
+    items = [(i, "".join(random.choices("abcあ", k=random.randrange(0, 9)))) for i in range(40)] + [(77, None)]
+    a, b = spark.createDataFrame(texts, "k int, x string"), spark.createDataFrame(items, "i int, x string")
+    grams = lambda x: {x[j : j + 4] for j in range(len(x) - 3)} if x else set()
+    expected = {(k, i, len(grams(x) & grams(y))) for k, x in texts for i, y in items if grams(x) & grams(y)}
+    look = lambda: {tuple(r) for r in jn.shared_grams(a, "k", "x", b, "i", "x", 4).collect()}
+    held = lambda: {tuple(r) for r in jn.anchor_join(a, "k", "x", b, "i", "x", 4).collect()}
+    whole = {(k, i) for k, x in texts for i, y in items if x and y and len(y) >= 4 and y in x}
+    assert look() == expected and held() == whole
+    monkeypatch.setattr(jn, "AUTOMATON_CHARS", 20)
+    assert look() == expected and held() == whole
+    monkeypatch.setattr(jn, "MOST_BLOCKS", 1)
+    assert look() == expected and held() == whole
+
+
+def test_locks_resumption_and_refusals(spark, tmp_path):
+    base = f"file://{tmp_path}/run"
+    assert sinks.write_resumable({"a": lambda: spark.range(3)}, base) == ["a"]
+    assert sinks.write_resumable({"a": lambda: spark.range(9), "b": lambda: spark.range(2)}, base) == ["b"]
+    assert spark.read.parquet(f"{base}/a", f"{base}/b").count() == 5
+    with sinks.locked(spark, base), pytest.raises(RuntimeError, match="locked"), sinks.locked(spark, base):
+        pass
+    with sinks.locked(spark, base):
+        pass
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        sinks.markdown(spark.range(3), 2)
+    assert sinks.markdown(spark.range(1), 2).endswith("| 0 |")
+    twice = spark.createDataFrame([("x", "1"), ("x", "2")], "file string, sha256 string")
+    with pytest.raises(ValueError, match="manifest"):
+        sinks.manifest({}, {}, twice)
+    assert {r["file"][:7] for r in sinks.file_digests(spark, base).where("file like '%.parquet'").collect()} == {"a/part-", "b/part-"}
