@@ -50,3 +50,14 @@ def diverse_top(texts: Column, n: int, prefix: int) -> Column:
     start = lambda x: F.substring(x, 1, prefix)
     taken = F.aggregate(texts, F.array().cast("array<string>"), lambda a, x: F.when((F.size(a) < n) & ~F.exists(a, lambda y: start(y) == start(x)), F.concat(a, F.array(x))).otherwise(a))
     return taken
+
+
+def keyword_in_context(docs: DataFrame, key: str, text: str, terms: list[str], width: int = 40) -> DataFrame:
+    """``(key, term, at, left_, right_)``: every occurrence of each term without regard to case, at its place from 1, with
+    ``width`` characters to both sides. Occurrences may overlap."""
+    low = F.lower(F.col(text))
+    rows = docs.select(key, F.col(text).alias("_t"), low.alias("_l"), F.explode(F.array(*[F.lit(x.lower()) for x in terms])).alias("term")).where(F.contains("_l", F.col("term")))
+    spots = F.filter(F.sequence(F.lit(1), F.length("_l")), lambda i: F.substr(F.col("_l"), i, F.length("term")) == F.col("term"))
+    lo = F.greatest(F.lit(1), F.col("at") - width)
+    hits = rows.withColumn("at", F.explode(spots))
+    return hits.select(key, "term", "at", F.substr("_t", lo, F.col("at") - lo).alias("left_"), F.substr("_t", F.col("at") + F.length("term"), F.lit(width)).alias("right_"))

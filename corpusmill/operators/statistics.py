@@ -79,3 +79,60 @@ def best_setting(results: DataFrame, setting: str, score: str, larger_wins: bool
     """The setting of the best score; ties go to the larger (or smaller) setting."""
     key = F.struct(score, F.col(setting) if larger_wins else -F.col(setting))
     return results.agg(F.max_by(setting, key).alias(setting), F.max(score).alias(score))
+
+
+def effective(contrasts: DataFrame, name: str, seeds: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:
+    """Contrasts (``name``, gain, loss, difference) with ``p``, ``adjusted``, ``spread``, ``beyond``, ``significant`` and ``effective``.
+
+    ``seeds`` has a value for each name and repeated run; a difference counts if it is larger than their range and Holm's
+    adjusted p of the discordant cases is under ``alpha``. A name without runs has no range and is not effective.
+    """
+    ranges = seeds.groupBy(name).agg((F.max(value) - F.min(value)).alias("spread"))
+    tested = holm(contrasts.withColumn("p", mcnemar(F.col("gain"), F.col("loss"))), name, "p").join(ranges, name, "left")
+    beyond = F.coalesce(F.abs("difference") > F.col("spread"), F.lit(False))
+    return tested.withColumns({"beyond": beyond, "significant": F.col("adjusted") < alpha}).withColumn("effective", F.col("beyond") & F.col("significant"))
+
+
+def decide(contrasts: DataFrame, name: str, winner: str, first: str, default: str) -> DataFrame:
+    """``(choice, basis)`` from effective contrasts (``name``, ``effective``, ``winner``): none effective gives ``default``; agreeing ones
+    decide; where they disagree the contrast named ``first`` does, or the default if that is not effective."""
+    votes = contrasts.where(F.col("effective") & F.col(winner).isNotNull()).agg(F.collect_set(winner).alias("w"), F.max(F.when(F.col(name) == first, F.col(winner))).alias("f"))  # one vote for each contrast
+    n = F.size("w")
+    return votes.select(F.when(n == 0, default).when(n == 1, F.col("w")[0]).otherwise(F.coalesce("f", F.lit(default))).alias("choice"), F.when(n == 0, "none effective").when(n == 1, "agreement").when(F.col("f").isNotNull(), "first").otherwise("default").alias("basis"))
+
+
+def rescored(features: DataFrame, methods: dict[str, list[tuple]]) -> DataFrame:
+    """The first choice of each item under each method and setting: ``(method, setting, weight, item, source, exact)``.
+
+    ``features``: (item, pos, c, f, n, z, correct, source), the contextual score, the score without context, the length and
+    the engine's score. Methods: ``baseline`` c; ``pmi`` c - p f; ``length`` c + p n; ``engine`` c + p z; ``combined`` c - p f + q z;
+    ``gated-engine`` c + p z where the first two of c are closer than q. Ties keep the pool's order. Settings are a small list.
+    """
+    spark = features.sparkSession
+    rows = [(m, i, float(sum(abs(x) for x in p)), *(tuple(map(float, p)) + (0.0, 0.0))[:2]) for m, ps in methods.items() for i, p in enumerate(ps)]
+    settings = spark.createDataFrame(rows, "method string, setting int, weight double, p double, q double")
+    r = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("c"), "pos"))
+    two = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 2, F.struct("r", "c")))), lambda x: x["c"])
+    gap = features.withColumn("r", r).groupBy("item").agg(two.alias("t")).select("item", F.when(F.size("t") == 2, F.col("t")[0] - F.col("t")[1]).alias("gap"))
+    c, f, n, z, p, q = (F.col(x) for x in "cfnzpq")
+    gated = F.when(F.col("gap").isNull() | (F.col("gap") >= q), c).otherwise(c + p * z)
+    value = F.when(F.col("method") == "pmi", c - p * f).when(F.col("method") == "length", c + p * n).when(F.col("method") == "engine", c + p * z).when(F.col("method") == "combined", c - p * f + q * z).when(F.col("method") == "gated-engine", gated).otherwise(c)
+    each = features.join(gap, "item").crossJoin(F.broadcast(settings)).withColumn("value", value)
+    best = F.min_by(F.struct("correct", "source"), F.struct(-F.col("value"), F.col("pos")))
+    return each.groupBy("method", "setting", "weight", "item").agg(best.alias("b")).select("method", "setting", "weight", "item", "b.source", F.col("b.correct").alias("exact"))
+
+
+def best_of_methods(choices: DataFrame, method: str, setting: str) -> DataFrame:
+    """``(method, setting, exact)``: of each method the setting with most right first choices; ties to the smaller weights, then the first."""
+    sums = choices.groupBy(method, setting, "weight").agg(F.count_if("exact").alias("exact"))
+    key = F.struct("exact", -F.col("weight"), -F.col(setting))
+    return sums.groupBy(method).agg(F.max_by(setting, key).alias(setting), F.max("exact").alias("exact"))
+
+
+def cross_validated(choices: DataFrame, fold: str) -> DataFrame:
+    """``(method, fold, setting, cases, exact)``: the setting chosen on all other folds, judged on this one."""
+    sums = choices.groupBy("method", "setting", "weight", fold).agg(F.count_if("exact").alias("x"), F.count("*").alias("n"))  # one row for each setting and fold
+    whole = sums.groupBy("method", "setting", "weight").agg(F.sum("x").alias("all"))
+    rest = sums.join(whole, ["method", "setting", "weight"]).withColumn("elsewhere", F.col("all") - F.col("x"))
+    key = F.struct("elsewhere", -F.col("weight"), -F.col("setting"))
+    return rest.groupBy("method", fold).agg(F.max_by(F.struct("setting", "n", "x"), key).alias("b")).select("method", fold, "b.setting", F.col("b.n").alias("cases"), F.col("b.x").alias("exact"))

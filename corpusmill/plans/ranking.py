@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusmill.functions import text as t
 from corpusmill.operators import dedup as dd
+from corpusmill.operators import ngrams as ng
 from corpusmill.operators import ranking as rk
 from corpusmill.operators import statistics as st
 from corpusmill.operators.annotations import require
@@ -25,6 +26,8 @@ _ITEMS = f"(select g.*, o_orderpriority as source, o_orderstatus as context, o_c
 _RR = lambda b: f"sum(case when {b}<=12 then 27720//{b} else 0 end)::bigint as rr_units"
 _M = lambda b: f"count(*) as cases, count({b}) as covered, count(*) filter ({b}<=1) as top1, count(*) filter ({b}<=3) as top3, count(*) filter ({b}<=5) as top5, {_RR(b)}"
 
+_P = lambda g, l: f"case when {g}+{l}=0 then 1.0 else least(1.0, 2*list_sum(list_transform(range(0,least({g},{l})+1), lambda i: exp(lgamma({g}+{l}+1)-lgamma(i+1)-lgamma({g}+{l}-i+1)-({g}+{l})*ln(2))))) end"
+
 
 def pool(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -160,12 +163,13 @@ def agg23(spark, d):
     return p.agg(F.count("*").alias("items"), F.count_if("a").alias("covered"), F.count_if("b").alias("kept"), F.count_if(F.col("a") & ~F.col("b")).alias("lost"), F.count_if(F.col("n") == F.col("k")).alias("identical"), F.sum("n").alias("size"), F.sum("k").alias("small_size"))
 
 
-@query("agg24", f"select scheme, count(distinct c) as clusters, count(*) filter (a and not b) as gain, count(*) filter (b and not a) as loss, count(*) filter (a and b) as both_right from (select unnest(['source','context','customer']) as scheme, unnest([source, context, grp::varchar]) as c, coalesce(b_model=1,false) as a, coalesce(b_engine=1,false) as b from {_ITEMS}) group by 1")
+@query("agg24", f"select scheme, clusters, gain, loss, both_right, round({_P('gain','loss')},6) as p from (select scheme, count(distinct c) as clusters, count(*) filter (a and not b) as gain, count(*) filter (b and not a) as loss, count(*) filter (a and b) as both_right from (select unnest(['source','context','customer']) as scheme, unnest([source, context, grp::varchar]) as c, coalesce(b_model=1,false) as a, coalesce(b_engine=1,false) as b from {_ITEMS}) group by 1)")
 def agg24(spark, d):
     a, b = F.coalesce(F.col("b_model") == 1, F.lit(False)), F.coalesce(F.col("b_engine") == 1, F.lit(False))
     scheme = F.explode(F.create_map(F.lit("source"), F.col("source"), F.lit("context"), F.col("context"), F.lit("customer"), F.col("grp").cast("string"))).alias("scheme", "c")
     x = items(spark, d).select(scheme, a.alias("a"), b.alias("b"))
-    return x.groupBy("scheme").agg(F.count_distinct("c").alias("clusters"), F.count_if(F.col("a") & ~F.col("b")).alias("gain"), F.count_if(F.col("b") & ~F.col("a")).alias("loss"), F.count_if(F.col("a") & F.col("b")).alias("both_right"))
+    g = x.groupBy("scheme").agg(F.count_distinct("c").alias("clusters"), F.count_if(F.col("a") & ~F.col("b")).alias("gain"), F.count_if(F.col("b") & ~F.col("a")).alias("loss"), F.count_if(F.col("a") & F.col("b")).alias("both_right"))
+    return g.withColumn("p", F.round(st.mcnemar(F.col("gain"), F.col("loss")), 6))
 
 
 @query("agg25", f"with s as (select cluster%5 as seed, count(*) filter (b_model=1) as hits from {_ITEMS} group by 1) select count(*) as seeds, avg(hits) as mean, max(hits)-min(hits) as spread, round(stddev_samp(hits),6) as sd from s")
@@ -255,6 +259,35 @@ def sta08_best(spark, d):
     return st.best_setting(sta08(spark, d), "lam", "top1", larger_wins=False)
 
 
+_FEATURES = f"(select item, pos, engine*100000 as c, model as f, cand%7 as n, pos*1.0 as z, correct, o_orderpriority as source from {_POOL} join orders on o_orderkey=item)"
+_METHODS = {"baseline": [()], "pmi": [(0.5,), (1.0,)], "length": [(100.0,), (1000.0,)], "engine": [(-1000.0,), (1000.0,)], "combined": [(0.5, -1000.0), (1.0, 1000.0)], "gated-engine": [(-1000.0, 1000.0), (1000.0, 2500.0)]}
+_SETTINGS = [(m, i, *(tuple(p) + (0.0, 0.0))[:2]) for m, ps in _METHODS.items() for i, p in enumerate(ps)]
+
+
+@query("sta08_methods", f"""with s as (select * from (values {','.join(f"('{m}',{i},{p}::double,{q}::double)" for m, i, p, q in _SETTINGS)}) t(method, setting, p, q)),
+x as (select *, max(c) over (partition by item) as c1, (select c) as c0 from {_FEATURES}), gap as (select item, max(c)-coalesce(max(c) filter (k=2), 1e300*(-1)) as gap from (select item, c, row_number() over (partition by item order by c desc, pos) as k from {_FEATURES}) where k<=2 group by 1),
+v as (select method, setting, p, q, item, pos, correct, source, case method when 'baseline' then c when 'pmi' then c-p*f when 'length' then c+p*n when 'engine' then c+p*z when 'combined' then c-p*f+q*z else case when gap>=q then c else c+p*z end end as value from x join gap using (item), s),
+r as (select *, row_number() over (partition by method, setting, item order by value desc, pos) as k from v),
+e as (select method, setting, any_value(p) as p, any_value(q) as q, count(*) filter (k=1 and correct) as exact from r group by 1,2)
+select method, arg_max(setting, (exact, -abs(p)-abs(q), -setting)) as setting, max(exact) as exact from e group by 1""")
+def sta08_methods(spark, d):
+    """Families of rescoring over one grid: prior taken off, length, engine, both, and the engine only where the first two are
+    close; the best setting of each, ties to the smaller weights."""
+    return st.best_of_methods(st.rescored(_features(spark, d), _METHODS), "method", "setting").select("method", F.col("setting").cast("bigint").alias("setting"), "exact")
+
+
+def _features(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderpriority").alias("source"))
+    x = pool(spark, d).join(o, "item")
+    return x.select("item", "pos", (F.col("engine") * 100000).alias("c"), F.col("model").alias("f"), (F.col("cand") % 7).alias("n"), (F.col("pos") * 1.0).alias("z"), "correct", "source")
+
+
+@query("sta08_cv")
+def sta08_cv(spark, d):
+    """Settings chosen on all sources but one, judged on that one."""
+    return st.cross_validated(st.rescored(_features(spark, d), _METHODS), "source")
+
+
 @query("sta09", f"with f as (select th/100.0 as margin, count(*) filter (engine>=th/100.0 and correct) as right_, count(*) filter (engine>=th/100.0 and not correct) as wrong, count(*) as n from {_RANKED}, (select unnest(range(0,11)) as th) where r_engine=2 group by 1) select max_by(margin, right_*1000+margin) as margin, max(right_) as shown_right from f where wrong<=0.3*n")
 def sta09(spark, d):
     """The margin that shows most right candidates while wrong ones stay under a cap."""
@@ -264,11 +297,18 @@ def sta09(spark, d):
     return st.best_setting(f.where("wrong <= 0.3 * n"), "margin", "shown_right")
 
 
-@query("sta10", f"with s as (select source, sum((a and not b)::int)-sum((b and not a)::int) as net, count(*) filter (a)::double/count(*) as share from (select source, coalesce(b_model=1,false) as a, coalesce(b_engine=1,false) as b from {_ITEMS}) group by 1) select source, case when abs(net)>10 and share>0.2 then 'effective' when abs(net)>10 then 'beyond spread' else 'none' end as verdict from s")
+_AB = f"(select source, cluster%5 as seed, coalesce(b_model=1,false) as a, coalesce(b_engine=1,false) as b from {_ITEMS})"
+
+
+@query("sta10", f"with c as (select source, count(*) filter (a and not b) as gain, count(*) filter (b and not a) as loss, (count(*) filter (a)-count(*) filter (b))/count(*) as difference from {_AB} group by 1), p as (select *, {_P('gain','loss')} as p from c), h as (select *, least(1.0, max(x) over (order by p, source rows unbounded preceding)) as adjusted from (select *, least(1.0,(count(*) over ()-row_number() over (order by p, source)+1)*p) as x from p)), r as (select source, max(s)-min(s) as spread from (select source, seed, count(*) filter (a)/count(*) as s from {_AB} group by 1,2) group by 1) select source, abs(difference)>spread as beyond, adjusted<0.05 as significant, abs(difference)>spread and adjusted<0.05 as effective, case when abs(difference)>spread and adjusted<0.05 then case when difference>0 then 'model' else 'engine' end end as winner from h join r using (source)")
 def sta10(spark, d):
+    """Contrasts of two methods by source: effective if the difference lies beyond the range of the seeds (here fifths of
+    the customers) and stays significant under Holm's correction."""
     a, b = F.coalesce(F.col("b_model") == 1, F.lit(False)), F.coalesce(F.col("b_engine") == 1, F.lit(False))
-    s = items(spark, d).groupBy("source").agg((F.count_if(a & ~b) - F.count_if(b & ~a)).alias("net"), (F.count_if(a) / F.count("*")).alias("share"))
-    return s.select("source", F.when((F.abs("net") > 10) & (F.col("share") > 0.2), "effective").when(F.abs("net") > 10, "beyond spread").otherwise("none").alias("verdict"))
+    x = items(spark, d).select("source", (F.col("cluster") % 5).alias("seed"), a.alias("a"), b.alias("b"))
+    seeds = x.groupBy("source", "seed").agg((F.count_if("a") / F.count("*")).alias("value"))
+    contrasts = x.groupBy("source").agg(F.count_if(F.col("a") & ~F.col("b")).alias("gain"), F.count_if(F.col("b") & ~F.col("a")).alias("loss"), ((F.count_if("a") - F.count_if("b")) / F.count("*")).alias("difference"))
+    return st.effective(contrasts, "source", seeds, "value").select("source", "beyond", "significant", "effective", F.when(F.col("effective"), F.when(F.col("difference") > 0, "model").otherwise("engine")).alias("winner"))
 
 
 @query("sta11", f"select cluster, gain>loss as gate_gain, loss*10<=cases as gate_loss, gain>loss and loss*10<=cases as passed from {_CL}")
@@ -285,14 +325,16 @@ def sta12(spark, d):
     return rk.rerank(long.groupBy("item", "pos").agg(F.sum("v").alias("v")), "item", F.col("v")).select("item", "pos", "rank")
 
 
-@query("sta13")
+@query("sta13", r"with e as (select item_id, suite, item_group, regexp_replace(nfc_normalize(text),'[^\p{Han}]','','g') as han, regexp_replace(lower(nfc_normalize(text)),'[^\p{L}\p{N}]','','g') as letters from eval_items where item_group is not null) select a.item_id, b.item_id as other, case when a.letters=b.letters then 'same' when a.han=b.han and a.han<>'' then 'notation' else 'meaning' end as class from e a join e b on a.suite=b.suite and a.item_group=b.item_group and a.item_id<b.item_id")
 def sta13(spark, d):
-    """Errors of notation (one text's Han letters are all in the other) or of meaning."""
-    e = table(spark, d, "eval_items").select("item_id", "suite", "text", F.regexp_replace("text", r"[^\p{IsHan}]", "").alias("han"))
-    o = e.select(F.col("item_id").alias("other"), "suite", F.col("han").alias("han2"), F.substring("text", 1, 2).alias("h"))
-    x = e.withColumn("h", F.substring("text", 1, 2)).join(o, ["suite", "h"]).where("item_id < other")
-    inside = F.forall(F.split("han", ""), lambda c: F.contains(F.col("han2"), c))
-    return x.select("item_id", "other", F.when(inside, "notation").otherwise("meaning").alias("class"))
+    """The class of an error against every pair of answers of a suite that share a group: notation if the Han letters are the same
+    once kana, width and punctuation are set aside, else meaning."""
+    e = table(spark, d, "eval_items").where("item_group is not null").select("item_id", "suite", "item_group", t.nfc(F.col("text")).alias("x"))
+    e = e.select("item_id", "suite", "item_group", F.regexp_replace("x", r"[^\p{IsHan}]", "").alias("han"), F.regexp_replace(F.lower("x"), r"[^\p{L}\p{N}]", "").alias("letters"))
+    o = e.select(F.col("item_id").alias("other"), "suite", "item_group", F.col("han").alias("han2"), F.col("letters").alias("letters2"))
+    x = e.join(o, ["suite", "item_group"]).where("item_id < other")
+    kind = F.when(F.col("letters") == F.col("letters2"), "same").when((F.col("han") == F.col("han2")) & (F.col("han") != ""), "notation").otherwise("meaning")
+    return x.select("item_id", "other", kind.alias("class"))
 
 
 @query("sta14", "select l_orderkey, count(*) as lines, bool_and(abs(l_extendedprice)<1e7) as in_range, round(max(l_tax)-min(l_tax),6) as spread from lineitem group by 1 having max(l_tax)-min(l_tax)>0.07")
@@ -314,24 +356,51 @@ def _lm(spark, d):
 _BI = "(select substring(x,i,1) as ctx, substring(x,i+1,1) as ch, count(*) as n from (select x, unnest(range(1,length(x))) as i from (select '^'||text||'$' as x from seq where text is not null and split='train')) group by 1,2)"
 
 
-@query("sch03", f"with b as {_BI}, q as (select item_id, substring(x,i,1) as ctx, substring(x,i+1,1) as ch from (select item_id, x, unnest(range(1,length(x))) as i from (select item_id, '^'||text||'$' as x from eval_items where text is not null))) select item_id, count(*) as bigrams, count(b.n) as known from q left join b using (ctx, ch) group by 1")
+#: The counted model of five characters in SQL: tables g5 to g1, discounts d and vocabulary size v.
+_KN = r"""d0 as (select id, chr(2)||text as x from (select distinct id, text from seq where split='train' and text is not null)),
+c0 as (select id, i, substring(x,i,1) as c from (select id, x, unnest(range(1,length(x)+1)) as i from d0)),
+vocab as (select c from c0 group by 1 having count(*)>=2), v as (select count(*)+1 as size from vocab),
+t as (select id, string_agg(case when vocab.c is null then chr(1) else c0.c end, '' order by i) as x from c0 left join vocab on vocab.c=c0.c group by 1),
+g5 as (select substring(x,k,5) as g, count(*) as n from (select x, unnest(range(1,length(x)-3)) as k from t where length(x)>=5) group by 1),
+g4 as (select substring(g,2) as g, count(*) as n from g5 group by 1), g3 as (select substring(g,2) as g, count(*) as n from g4 group by 1), g2 as (select substring(g,2) as g, count(*) as n from g3 group by 1), g1 as (select substring(g,2) as g, count(*) as n from g2 group by 1),
+grams as (select 5 as level, left(g,4) as ctx, right(g,1) as ch, n from g5 union all select 4, left(g,3), right(g,1), n from g4 union all select 3, left(g,2), right(g,1), n from g3 union all select 2, left(g,1), right(g,1), n from g2 union all select 1, '', g, n from g1),
+contexts as (select level, ctx, sum(n) as total, count(*) as kinds from grams group by 1,2),
+disc as (select level, case when count(*) filter (n=1)>0 then count(*) filter (n=1)/(count(*) filter (n=1)+2*count(*) filter (n=2)) else 0.5 end as d from grams group by 1)"""
+#: Of rows q (k, pos, hist, ch) the logarithm of each share.
+_KN_SCORE = """e as (select k, pos, hist, ch, l as level, right(hist,l-1) as ctx from q, (select unnest([1,2,3,4,5]) as l) where l-1<=length(hist)),
+f as (select k, pos, e.level, coalesce(g.n,0) as n, c.total, c.kinds, d.d from e left join grams g on g.level=e.level and g.ctx=e.ctx and g.ch=e.ch left join contexts c on c.level=e.level and c.ctx=e.ctx join disc d on d.level=e.level),
+w as (select k, pos, max(case when level=1 then d*kinds/total/(select size from v)+greatest(n-d,0)/total end) as p1, max(case when level=2 and total is not null then d*kinds/total end) as b2, max(case when level=2 and total is not null then greatest(n-d,0)/total end) as t2, max(case when level=3 and total is not null then d*kinds/total end) as b3, max(case when level=3 and total is not null then greatest(n-d,0)/total end) as t3, max(case when level=4 and total is not null then d*kinds/total end) as b4, max(case when level=4 and total is not null then greatest(n-d,0)/total end) as t4, max(case when level=5 and total is not null then d*kinds/total end) as b5, max(case when level=5 and total is not null then greatest(n-d,0)/total end) as t5 from f group by 1,2),
+s as (select k, pos, ln((((p1*coalesce(b2,1)+coalesce(t2,0))*coalesce(b3,1)+coalesce(t3,0))*coalesce(b4,1)+coalesce(t4,0))*coalesce(b5,1)+coalesce(t5,0)) as logp from w)"""
+#: Rows q of texts x after contexts c of the relation a (k, c, x).
+_KN_PLACES = """m as (select k, length(x) as n, i, coalesce(vocab.c, chr(1)) as ch from (select k, x, y, unnest(range(1,length(y)+1)) as i from (select k, x, chr(2)||c||x as y from a)) z left join vocab on vocab.c=substring(y,i,1)),
+y as (select k, any_value(n) as n, string_agg(ch,'' order by i) as y from m group by 1),
+q as (select k, i as pos, substring(y, greatest(1, length(y)-n+1+i-4), length(y)-n+i-greatest(1, length(y)-n+1+i-4)+1) as hist, substring(y, length(y)-n+i+1, 1) as ch from (select k, n, y, unnest(range(0,n)) as i from y))"""
+
+
+def _model(spark, d):
+    return ng.train(table(spark, d, "seq").where("split = 'train'").select("id", "text").distinct())
+
+
+@query("agg28_kn", f"with {_KN} select level, count(*) as contexts, sum(kinds)::bigint as grams, sum(total)::bigint as total, round(any_value(d),9) as discount from contexts join disc using (level) group by 1")
+def agg28_kn(spark, d):
+    """Continuation counts, contexts and discounts of each order of the model."""
+    return ng.summary(_model(spark, d)).withColumn("discount", F.round("discount", 9))
+
+
+@query("sch03", f"with {_KN}, u as (select distinct item_id, coalesce(left_context,'') as c, unnest(answers) as x from eval_items), u1 as (select * from u where length(x)>0), lcp as (select item_id, len(list_filter(range(1, min(length(x))), lambda i: left(min(x),i)=left(max(x),i))) as common from u1 group by 1), a as (select item_id||chr(31)||x as k, c, x from u1), {_KN_PLACES}, {_KN_SCORE} select u1.item_id, x as candidate, count(*) as scored, round(sum(logp),6) as logp from s join u1 on s.k=item_id||chr(31)||x join lcp using (item_id) where pos>=common group by 1,2")
 def sch03(spark, d):
-    """Which bigrams of each item the counted model knows; the scorer of suffixes is any column over such joins."""
-    q = table(spark, d, "eval_items").where("text is not null").select("item_id", F.explode(t.char_grams(F.concat(F.lit("^"), "text", F.lit("$")), 2)).alias("g"))
-    q = q.select("item_id", F.substring("g", 1, 1).alias("ctx"), F.substring("g", 2, 1).alias("ch"))
-    return q.join(_lm(spark, d), ["ctx", "ch"], "left").groupBy("item_id").agg(F.count("*").alias("bigrams"), F.count("n").alias("known"))
+    """The answers of each item by their likelihood after its context, without what all of them begin with."""
+    e = table(spark, d, "eval_items").select("item_id", F.coalesce("left_context", F.lit("")).alias("left_context"), F.explode("answers").alias("answer"))
+    return ng.suffix_scores(e, "item_id", "left_context", "answer", _model(spark, d)).withColumn("logp", F.round("logp", 6))
 
 
-@query("sch04", f"with b as (select *, sum(n) over (partition by ctx) as total from {_BI}), u as (select ch, sum(n) as n1, (select sum(n) from {_BI}) as all1 from {_BI} group by 1), c as (select distinct ctx, total from b), q as (select item_id, substring(x,i,1) as ctx, substring(x,i+1,1) as ch from (select item_id, x, unnest(range(1,length(x))) as i from (select item_id, '^'||text||'$' as x from eval_items where text is not null))) select item_id, round(sum(ln(0.8*coalesce(b.n/c.total,0)+0.199*coalesce(u.n1/u.all1,0)+0.001/65536)),6) as score from q left join b using (ctx, ch) left join c on c.ctx=q.ctx left join u on u.ch=q.ch group by 1")
+@query("sch04", f"with {_KN}, a as (select item_id as k, coalesce(left_context,'') as c, text as x from eval_items where length(text)>0), {_KN_PLACES}, {_KN_SCORE} select k as item_id, round(sum(logp),6) as score from s group by 1")
 def sch04(spark, d):
-    """Interpolated scores: bigram, unigram, and a floor for unknown characters."""
-    b = Stage(_lm(spark, d), "lm").df
-    u = b.groupBy("ch").agg(F.sum("n").alias("n1")).withColumn("all1", F.sum("n1").over(Window.partitionBy()))  # one row for each character
-    q = table(spark, d, "eval_items").where("text is not null").select("item_id", F.explode(t.char_grams(F.concat(F.lit("^"), "text", F.lit("$")), 2)).alias("g"))
-    q = q.select("item_id", F.substring("g", 1, 1).alias("ctx"), F.substring("g", 2, 1).alias("ch"))
-    x = q.join(b, ["ctx", "ch"], "left").join(u, "ch", "left")
-    p = 0.8 * F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)) + 0.199 * F.coalesce(F.col("n1") / F.col("all1"), F.lit(0.0)) + F.lit(0.001 / 65536)
-    return x.groupBy("item_id").agg(F.round(F.sum(F.log(p)), 6).alias("score"))
+    """Texts scored by five characters with discounts and back-off, after their contexts."""
+    e = table(spark, d, "eval_items").where("length(text) > 0")
+    model = _model(spark, d)
+    asked = ng.places(e, "item_id", F.coalesce("left_context", F.lit("")), F.col("text"), model)
+    return ng.log_shares(asked, "item_id", model).groupBy("item_id").agg(F.round(F.sum("logp"), 6).alias("score"))
 
 
 def _likely(spark, d):
@@ -491,14 +560,13 @@ def rpt06(spark, d):
     return items(spark, d).select(F.col("source").alias("track"), m).groupBy("method", "track").agg(F.count("*").alias("cases"), F.count_if(F.col("b") == 1).alias("top1"))
 
 
-@query("rpt08", r"select doc_id, left_, right_ from (select doc_id, source, substring(text, greatest(1,p-40), p-greatest(1,p-40)) as left_, substring(text, p+4, 40) as right_, row_number() over (partition by source order by sha256('kwic:'||doc_id)) as r from (select doc_id, source, text, strpos(text,'バッテリ') as p from documents) where p>0) where r<=5")
+@query("rpt08", f"""with d as (select doc_id, source, text, lower(text) as low from documents where text is not null), h as (select doc_id, source, text, k, unnest(list_filter(range(1, length(low)+1), lambda i: substring(low, i, length(k))=k)) as p from d, (select unnest(['バッテリー','workshop']) as k) where contains(low, k))
+select doc_id, term, p as at, left_, right_ from (select doc_id, k as term, p, substring(text, greatest(1,p-40), p-greatest(1,p-40)) as left_, substring(text, p+length(k), 40) as right_, row_number() over (partition by k order by sha256('kwic:'||doc_id||':'||p), doc_id, p) as r from h) where r<=40""")
 def rpt08(spark, d):
-    """A word in context, a few documents of each source by hash."""
-    p = F.instr("text", "バッテリ")
-    x = table(spark, d, "documents").select("doc_id", "source", "text", p.alias("p")).where("p > 0")
-    lo = F.greatest(F.lit(1), F.col("p") - 40)
-    r = F.row_number().over(Window.partitionBy("source").orderBy(F.sha2(F.concat(F.lit("kwic:"), F.col("doc_id").cast("string")), 256)))
-    return x.withColumn("r", r).where("r <= 5").select("doc_id", F.substr("text", lo, F.col("p") - lo).alias("left_"), F.substr("text", F.col("p") + 4, F.lit(40)).alias("right_"))
+    """Every occurrence of each term with 40 characters to both sides; of each term up to 40 by hash."""
+    hits = rk.keyword_in_context(table(spark, d, "documents"), "doc_id", "text", ["バッテリー", "workshop"])
+    h = F.sha2(F.concat(F.lit("kwic:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("at").cast("string")), 256)
+    return dd.top(hits.withColumn("h", h), ["term"], [F.col("h"), F.col("doc_id"), F.col("at")], 40, "r").select("doc_id", "term", F.col("at").cast("bigint").alias("at"), "left_", "right_")
 
 
 @query("rpt09")
