@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmill.functions.fold import code_points
+from corpusmill.functions.search import CountedModel
 from corpusmill.runtime import Stage
 
 ORDER, MIN_COUNT = 5, 2
@@ -177,3 +178,11 @@ def suffix_scores(candidates: DataFrame, key: str, context: str, candidate: str,
     asked = places(keyed, "_k", F.col(context), F.col("candidate"), model)
     scored = log_shares(asked, "_k", model).join(keyed.select(key, "candidate", "common", "_k"), "_k").where(F.col("pos") >= F.col("common"))
     return scored.groupBy(key, "candidate").agg(F.count("*").alias("scored"), F.sum("logp").alias("logp"))
+
+
+def in_memory(model: Model, most: int = 2_000_000) -> CountedModel:
+    """The model as a scorer for searches; one of more than ``most`` grams is refused."""
+    rows = model.grams.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a model of more than {most} grams cannot be sent to the tasks")
+    return CountedModel([tuple(r) for r in rows], model.discounts, model.vocabulary)

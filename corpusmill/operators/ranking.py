@@ -61,3 +61,28 @@ def keyword_in_context(docs: DataFrame, key: str, text: str, terms: list[str], w
     lo = F.greatest(F.lit(1), F.col("at") - width)
     hits = rows.withColumn("at", F.explode(spots))
     return hits.select(key, "term", "at", F.substr("_t", lo, F.col("at") - lo).alias("left_"), F.substr("_t", F.col("at") + F.length("term"), F.lit(width)).alias("right_"))
+
+
+def breakdown(errors: DataFrame, decisions: DataFrame, item: str, by: list[str], decision: str, values: list[str]) -> DataFrame:
+    """Errors of each group with a column for each decision of people on them, and ``undecided``."""
+    joined = errors.join(decisions.select(item, decision), item, "left")
+    return joined.groupBy(*by).agg(F.count("*").alias("errors"), *[F.count_if(F.col(decision) == v).alias(v) for v in values], F.count_if(F.col(decision).isNull()).alias("undecided"))
+
+
+def label_sensitivity(candidates: DataFrame, item: str, rank: str, text: str, right: str, like: str) -> DataFrame:
+    """``(item, strict, lenient, added)``: the first right rank, the first if candidates ``like`` the right one count too, and how many such texts there are."""
+    first = lambda c: F.min(F.when(F.col(c), F.col(rank)))
+    return candidates.groupBy(item).agg(first(right).alias("strict"), first(like).alias("lenient"), F.count_distinct(F.when(F.col(like) & ~F.col(right), F.col(text))).alias("added"))
+
+
+def audit(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """``(check, rows, failed)``; a check that gives null fails."""
+    aggregates = [F.count("*").alias("_rows"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in checks.items()]]
+    entries = F.map_from_arrays(F.array(*[F.lit(k) for k in checks]), F.array(*[F.col(k) for k in checks]))
+    return df.agg(*aggregates).select(F.explode(entries).alias("check", "failed"), F.col("_rows").alias("rows"))
+
+
+def quarantined(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """The rows with ``quarantine``: the rule that holds, ``both`` if several do, ``clear`` if none does."""
+    hit = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+    return df.withColumn("quarantine", F.when(F.size(hit) == 0, "clear").when(F.size(hit) == 1, hit[0]).otherwise("both"))

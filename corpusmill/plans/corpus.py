@@ -390,24 +390,14 @@ def win09(spark, d):
     return dd.top(x, ["kind"], [F.desc("weight"), F.col("word")], 10).select("kind", "word", "weight")
 
 
-@query("win10")
+@query("win10", "with x as (select suite, item_id, item_group, case when length(text)<=32 then 'short' when length(text)<=64 then 'medium' else 'long' end as stratum from eval_items), r as (select *, row_number() over (partition by suite, stratum order by sha256(item_id::varchar)) as k from x), g as (select *, row_number() over (partition by suite, item_group order by k, stratum, item_id) as own from r), f as (select *, row_number() over (partition by suite order by k, stratum, item_id) as place from g where item_group is null or own<=2) select suite, item_id from f where place<=30")
 def win10(spark, d):
-    """A round-robin pick over lengths with at most two of a group; suites are small by construction."""
-
-    def pick(frame):
-        frame = frame.sort_values(["rank", "stratum", "item_id"])
-        used: dict = {}
-        keep = []
-        for g in frame["item_group"]:
-            n = used.get(g, 0) if g is not None else 0
-            keep.append(n < 2)
-            if g is not None and n < 2:
-                used[g] = n + 1
-        return frame[keep].head(30)[["suite", "item_id"]]
-
+    """A round-robin pick over lengths with at most two of a group, thirty of each suite."""
     x = T(spark, d, "eval_items").select("suite", "item_id", "item_group", t.length_bucket(F.length("text"), [(32, "short"), (64, "medium")], "long").alias("stratum"))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("suite", "stratum").orderBy(F.sha2(F.col("item_id").cast("string"), 256))))
-    return x.groupBy("suite").applyInPandas(pick, "suite string, item_id bigint")
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("suite", "stratum").orderBy(F.sha2(F.col("item_id").cast("string"), 256))))
+    order = [F.col(c) for c in ("k", "stratum", "item_id")]
+    few = dd.top(x, ["suite", "item_group"], order, 2, "own").where("item_group is not null").drop("own").unionByName(x.where("item_group is null"))
+    return dd.top(few, ["suite"], order, 30, "place").select("suite", "item_id")
 
 
 @query("top01", "select text, n from (select text, count(*) as n from seq where pool='chat' and text is not null group by 1) order by n desc, text limit 20")
@@ -577,12 +567,18 @@ def set04(spark, d):
 # ---- samples
 
 
-@query("smp01", f"select source, doc_id from (select source, doc_id, coalesce(sum(n) over (partition by source order by sha256('42:'||doc_id) rows between unbounded preceding and 1 preceding),0) as before from (select source, doc_id, length(text)-length(replace(text,chr(10),''))+1 as n from documents where source is not null and text is not null)) where before<40")
+_SMP = "(select source, doc_id, coalesce(sum(n) over (partition by source order by sha256('42:'||doc_id) rows between unbounded preceding and 1 preceding),0) as before from (select source, doc_id, length(text)-length(replace(text,chr(10),''))+1 as n from documents where source is not null and text is not null))"
+
+
+@query("smp01", f"with p as (select source, doc_id, unnest(range(len(string_split(text,chr(10))))) as line from documents where text is not null and doc_id in (select doc_id from {_SMP} where before<40)) select source, doc_id, line from (select *, row_number() over (partition by source order by sha256('42:'||doc_id||':'||line), doc_id, line) as k from p where source is not null) where k<=40")
 def smp01(spark, d):
-    """Documents of each source in hash order until their lines reach a quota."""
-    x = T(spark, d, "documents").where("source is not null and text is not null").select("source", "doc_id", F.size(F.split("text", "\n")).alias("n"))
-    x = x.withColumn("h", F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256))
-    return dd.running_total(x, "n", ["h", "doc_id"], ["source"]).where("running - n < 40").select("source", "doc_id")
+    """Documents of each source in hash order until their lines reach a quota, and of these lines the quota by hash."""
+    x = T(spark, d, "documents").where("source is not null and text is not null").select("source", "doc_id", F.split("text", "\n").alias("lines"))
+    x = x.withColumn("n", F.size("lines")).withColumn("h", F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256))
+    taken = dd.running_total(x.select("source", "doc_id", "n", "h"), "n", ["h", "doc_id"], ["source"]).where("running - n < 40").select("doc_id")
+    lines = x.join(taken, "doc_id", "left_semi").select("source", "doc_id", F.posexplode("lines").alias("line", "text")).withColumn("line", F.col("line").cast("bigint"))
+    h = F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("line").cast("string")), 256)
+    return dd.top(lines.withColumn("h", h), ["source"], [F.col("h"), F.col("doc_id"), F.col("line")], 40, "k").select("source", "doc_id", "line")
 
 
 @query("smp02", "select doc_id from documents order by sha256('7:'||doc_id) limit 50")

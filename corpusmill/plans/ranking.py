@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.functions import search
 from corpusmill.functions import text as t
+from corpusmill.functions.keys import draw
+from corpusmill.functions.segment import greedy_phrases
 from corpusmill.operators import dedup as dd
 from corpusmill.operators import ngrams as ng
 from corpusmill.operators import ranking as rk
@@ -403,20 +406,6 @@ def sch04(spark, d):
     return ng.log_shares(asked, "item_id", model).groupBy("item_id").agg(F.round(F.sum("logp"), 6).alias("score"))
 
 
-def _likely(spark, d):
-    """Of each character the likeliest followers, from counts; at most 200,000 contexts are sent to the tasks."""
-    b = _lm(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc("n"), "ch"))).where("r <= 4")
-    rows = b.select("ctx", "ch", (F.col("n") / F.col("total")).alias("p")).limit(800_001).collect()
-    if len(rows) > 800_000:
-        raise ValueError("too many contexts")
-    table_: dict[str, list] = {}
-    for r in rows:
-        table_.setdefault(r[0], []).append((r[1], r[2]))
-    for x in table_.values():
-        x.sort(key=lambda y: (-y[1], y[0]))
-    return spark.sparkContext.broadcast(table_)
-
-
 def bigram_shares(spark, d, pairs):
     """Of the bigrams ``(ctx, ch)`` in ``pairs`` all that are counted, ``{ctx: {ch: share}}``; more than 800,000 are refused."""
     b = _lm(spark, d).join(pairs.distinct(), ["ctx", "ch"], "left_semi").select("ctx", "ch", (F.col("n") / F.col("total")).alias("p"))
@@ -435,88 +424,96 @@ def bigrams_of(text):
     return F.inline(g)
 
 
-def beam(likely: dict, start: str, steps: int, width: int) -> list[tuple[str, float]]:
-    """The ``width`` likeliest continuations of ``steps`` characters; ties in order of the text."""
-    import math
+def _scorer(spark, d, order=3):
+    """A model of three characters, counted over all training sequences, for the searches."""
+    x = table(spark, d, "seq").where("split = 'train'").select("id", "text").distinct()
+    return spark.sparkContext.broadcast(ng.in_memory(ng.train(x, order=order)))
 
-    paths = [("", 0.0)]
-    for _ in range(steps):
-        grown = []
-        for text, score in paths:
-            last = (start + text)[-1:] or "^"
-            if last == "$":
-                grown.append((text, score))
-                continue
-            grown += [(text + c, score + math.log(p)) for c, p in likely.get(last, [])] or [(text, score)]
-        paths = sorted(grown, key=lambda x: (-x[1], x[0]))[:width]
-    return paths
 
+def _listed(spark, d):
+    """Words of two characters and more; a longer list is refused."""
+    words = [r[0] for r in table(spark, d, "lexicon").where("length(word) >= 2").select("word").distinct().orderBy("word").limit(1_000_001).collect()]
+    if len(words) > 1_000_000:
+        raise ValueError("the lexicon is too large to be sent to the tasks")
+    return words
 
-def _continued(spark, d, steps, width):
-    likely = _likely(spark, d)
-
-    @F.pandas_udf("array<string>")
-    def over(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: [p for p, _ in beam(likely.value, (s or "")[-1:] or "^", steps, width)])
-
-    return table(spark, d, "eval_items").select("item_id", F.posexplode(over("left_context")).alias("rank", "continuation"))
 
+def syllables(word: str) -> list[str]:
+    """A stand-in for readings, which are a table of the user: a syllable of each character, by its code point."""
+    heads, tails = ("b", "d", "g", "zh", "sh", "l", "n", "m"), ("a", "ai", "an", "ang", "o", "u")
+    return [heads[ord(c) % 8] + tails[ord(c) // 8 % 6] for c in word]
 
-def constrained(shares: dict, words: list[str], start: str, width: int) -> list[str]:
-    """The ``width`` likeliest dictionary words after ``start``; unknown pairs have a floor, ties go by the word."""
-    import math
 
-    def score(word):
-        return sum(math.log(shares.get(a, {}).get(b, 1e-6)) for a, b in zip(start[-1:] + word, word, strict=False)) / len(word)
+def _texts(f):
+    @F.pandas_udf("array<string>")
+    def over(x: pd.Series) -> pd.Series:
+        return pd.Series(f([v or "" for v in x]))
 
-    return sorted(words, key=lambda w: (-score(w), w))[:width]
+    return over
 
 
 @query("sch01")
 def sch01(spark, d):
-    """Search that only a dictionary's words can extend: the likeliest words after each context."""
-    listed = table(spark, d, "lexicon").where("length(word) >= 2").select("word").distinct()
-    words = [r[0] for r in listed.orderBy("word").limit(1_000_001).collect()]
-    if len(words) > 1_000_000:
-        raise ValueError("the lexicon is too large to be sent to the tasks")
-    last = F.coalesce(F.nullif(F.right("left_context", F.lit(1)), F.lit("")), F.lit("^"))
-    ends = table(spark, d, "eval_items").select(last.alias("ctx")).distinct()
-    firsts = listed.select(F.substring("word", 1, 1).alias("ch")).distinct()
-    shares = bigram_shares(spark, d, listed.select(bigrams_of(F.col("word"))).unionByName(ends.crossJoin(firsts)))
+    """Two words of the lexicon, drawn by the item, found again from the keys that spell them, the second by first letters only."""
+    words, scorer = _listed(spark, d), _scorer(spark, d)
+    pick = lambda item, n: words[draw(len(words), item, n)]
 
-    @F.pandas_udf("array<string>")
-    def over(x: pd.Series) -> pd.Series:
-        of_last = {c: constrained(shares.value, words, c, 5) for c in {(s or "^")[-1:] for s in x}}
-        return x.map(lambda s: of_last[(s or "^")[-1:]])
+    @F.pandas_udf("array<struct<text:string,right:boolean>>")
+    def over(items_: pd.Series, contexts: pd.Series) -> pd.Series:
+        index = search.KeyIndex([(w, syllables(w)) for w in words])
+        out = []
+        for item, context in zip(items_, contexts, strict=True):
+            a, b = pick(item, 1), pick(item, 2)
+            keys = "".join(syllables(a)) + "".join(x[:1] for x in syllables(b))
+            out.append([{"text": x, "right": x == a + b} for x, _ in search.typed(scorer.value, index, keys, context or "", 32, 5)])
+        return pd.Series(out)
 
-    return table(spark, d, "eval_items").select("item_id", F.posexplode(over("left_context")).alias("rank", "word"))
+    x = table(spark, d, "eval_items").select("item_id", F.posexplode(over("item_id", "left_context")).alias("rank", "x"))
+    return x.select("item_id", "rank", "x.text", "x.right")
 
 
 @query("sch02")
 def sch02(spark, d):
-    return _continued(spark, d, 4, 4)
+    """The likeliest words after each context, its last word healed, none a start of another."""
+    words, scorer = _listed(spark, d), _scorer(spark, d)
+    f = _texts(lambda contexts: [[w for w, _ in own] for own in search.predicted_words(scorer.value, contexts, words, 5)])
+    return table(spark, d, "eval_items").select("item_id", F.posexplode(f("left_context")).alias("rank", "word"))
 
 
 @query("sch05")
 def sch05(spark, d):
-    """Typing an item with a one-character prediction: keys saved where the likeliest follower is right."""
-    likely = _likely(spark, d)
+    """Typing each item: words end at the segments of the lexicon, a character costs its syllable, and predictions of two
+    characters and more are offered after each commit."""
+    words, scorer = _listed(spark, d), _scorer(spark, d)
 
-    @F.pandas_udf("struct<typed:int,saved:int>")
+    @F.pandas_udf("struct<keys:int,baseline_keys:int,shows:int,clicks:int>")
     def over(x: pd.Series) -> pd.DataFrame:
+        book = frozenset(words)
+        longest = max(map(len, words), default=1)
         rows = []
-        for s in x:
-            s = s or ""
-            saved = sum(1 for a, b in zip("^" + s, s, strict=False) if likely.value.get(a, [("", 0)])[0][0] == b)
-            rows.append((len(s) - saved, saved))
-        return pd.DataFrame(rows, columns=["typed", "saved"])
+        for text in x:
+            text, ends = text or "", []
+            for piece in greedy_phrases(text, book, longest):
+                ends.append((ends[-1] if ends else 0) + len(piece))
+            offer = lambda at, text=text: [y for n in (2, 3) for y in search.continuations(scorer.value, [text[:at]], n, 2)[0]]
+            rows.append(search.simulate(text, [len(s) for s in syllables(text)], ends, offer, -6.0))
+        return pd.DataFrame(rows, columns=["keys", "baseline_keys", "shows", "clicks"])
 
     return table(spark, d, "eval_items").select("item_id", over("text").alias("s")).select("item_id", "s.*")
 
 
 @query("sch06")
 def sch06(spark, d):
-    return _continued(spark, d, 6, 1)
+    """Continuations of eight characters: greedy, by a beam of four, and drawn."""
+    scorer = _scorer(spark, d)
+
+    def three(contexts):
+        greedy = search.continuations(scorer.value, contexts, 8, 1)
+        beams = search.continuations(scorer.value, contexts, 8, 4)
+        return [[g[0][0], b[0][0], search.sampled(scorer.value, c, 8, 0.8, 42)] for g, b, c in zip(greedy, beams, contexts, strict=True)]
+
+    x = table(spark, d, "eval_items").select("item_id", F.posexplode(_texts(three)("left_context")).alias("k", "continuation"))
+    return x.select("item_id", F.element_at(F.array(*[F.lit(v) for v in ("greedy", "beam", "drawn")]), F.col("k") + 1).alias("how"), "continuation")
 
 
 # ---- reports
@@ -527,10 +524,18 @@ def rpt01(spark, d):
     return rk.changes(best(spark, d, "engine"), best(spark, d, "model"), "item")
 
 
-@query("rpt02", f"select source, size, count(*) filter (b_pool is null) as absent, count(*) filter (b_model=1) as right_, count(*) filter (b_model>1) as wrong from {_ITEMS} group by 1,2")
+_DECIDED = "(select o_orderkey as item, case when o_totalprice>200000 then 'accepted' else 'rejected' end as decision from orders where o_orderkey%3=0)"
+
+
+@query("rpt02", f"select source, size_class, context, count(*) as errors, count(*) filter (decision='accepted') as accepted, count(*) filter (decision='rejected') as rejected, count(*) filter (decision is null) as undecided, count(*) filter (b_pool is null) as absent from (select i.*, case when size<=2 then 'small' when size<=5 then 'medium' else 'large' end as size_class, decision from {_ITEMS} i left join {_DECIDED} using (item) where coalesce(b_model<>1,true)) group by 1,2,3")
 def rpt02(spark, d):
-    b = F.col("best")
-    return best(spark, d, "model", "source", "size").groupBy("source", "size").agg(F.count_if(b.isNull()).alias("absent"), F.count_if(b == 1).alias("right_"), F.count_if(b > 1).alias("wrong"))
+    """Errors by source, size of the pool and context, with what people decided on them side by side."""
+    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    decisions = o.select(F.col("o_orderkey").alias("item"), F.when(F.col("o_totalprice") > 200000, "accepted").otherwise("rejected").alias("decision"))
+    x = items(spark, d).where(F.coalesce(F.col("b_model") != 1, F.lit(True))).withColumn("size_class", t.length_bucket(F.col("size"), [(2, "small"), (5, "medium")], "large"))
+    wide = rk.breakdown(x, decisions, "item", ["source", "size_class", "context"], "decision", ["accepted", "rejected"])
+    absent = x.groupBy("source", "size_class", "context").agg(F.count_if(F.col("b_pool").isNull()).alias("absent"))
+    return wide.join(absent, ["source", "size_class", "context"])
 
 
 @query("rpt03", f"select item, min(case when correct or cand%50=0 then r_model end) as best from {_RANKED} where item%97<>0 group by 1")
@@ -540,11 +545,17 @@ def rpt03(spark, d):
     return rk.gold_rank(x, "item").select("item", "best")
 
 
-@query("rpt04")
+_LEX = lambda x: f"regexp_replace(lower(nfc_normalize({x})),'[\\p{{P}}\\p{{S}}\\s]','','g')"
+
+
+@query("rpt04", f"with a as (select item_id, answers, unnest(range(1,len(answers)+1)) as pos from eval_items), p as (select item_id, pos, answers[pos] as cand, answers[1] as gold from a), r as (select item_id, min(case when cand=gold then pos end) as strict, min(case when {_LEX('cand')}={_LEX('gold')} then pos end) as lenient, count(distinct case when {_LEX('cand')}={_LEX('gold')} and cand<>gold then cand end) as added from p group by 1) select item_id, strict, lenient, added from r")
 def rpt04(spark, d):
-    """Answers beside equal ones in another width or punctuation, which count as right too."""
-    e = table(spark, d, "eval_items").select("item_id", F.explode("answers").alias("a"))
-    return e.select("item_id", "a", F.regexp_replace(t.nfkc(F.col("a")), r"[\p{P}\s]", "").alias("k")).groupBy("item_id", "k").agg(F.count("*").alias("forms"))
+    """How much depends on the labels: candidates that equal the first answer but for case, width and punctuation count as right too, and
+    the first right place is found again."""
+    e = table(spark, d, "eval_items").select("item_id", F.col("answers")[0].alias("gold"), F.posexplode("answers").alias("pos", "cand"))
+    bare = lambda c: F.regexp_replace(F.lower(t.nfc(F.col(c))), r"[\p{P}\p{S}\s]", "")
+    x = e.select("item_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "cand", (F.col("cand") == F.col("gold")).alias("same"), (bare("cand") == bare("gold")).alias("like"))
+    return rk.label_sensitivity(x, "item_id", "pos", "cand", "same", "like")
 
 
 @query("rpt05", f"select source, context, count(*) as pairs, count(*) filter (a and not b) as gain, count(*) filter (b and not a) as loss from (select source, context, coalesce(b_model=1,false) as a, coalesce(b_engine=1,false) as b from {_ITEMS}) group by grouping sets ((),(source),(context),(source,context))")
@@ -569,18 +580,40 @@ def rpt08(spark, d):
     return dd.top(hits.withColumn("h", h), ["term"], [F.col("h"), F.col("doc_id"), F.col("at")], 40, "r").select("doc_id", "term", F.col("at").cast("bigint").alias("at"), "left_", "right_")
 
 
-@query("rpt09")
+_SPAN = "from_json(spans,'[{\"block_id\":\"VARCHAR\",\"start\":\"INTEGER\",\"end\":\"INTEGER\"}]')"
+
+
+@query("rpt09", f"""with c as (select 'seq' as store, unnest(['starts','ends','pairs','known_split']) as "check", unnest([tokens[1]=2, tokens[-1]=3, pairs=len(tokens)-1, split in ('train','validation','test')]) as ok from seq
+union all select 'units', unnest(['spans_in_order','spans_not_empty','known_content']), unnest([coalesce(list_bool_and(list_transform(range(1,len(s)), lambda i: s[i].block_id<=s[i+1].block_id)), true), coalesce(list_bool_and(list_transform(s, lambda x: x."end">x.start)), true), doc_hash in (select doc_hash from contents where doc_hash is not null)]) from (select doc_hash, {_SPAN} as s from units where spans is not null))
+select store, "check", count(*) as rows, count(*) filter (not coalesce(ok,false)) as failed from c group by 1,2""")
 def rpt09(spark, d):
-    """An audit of sequences: each check with the rows it looked at and those that fail."""
+    """An audit of what is stored: sequences, and the spans of units; each check with the rows it saw and those that fail."""
     s = table(spark, d, "seq")
-    checks = {"starts": F.col("tokens")[0] == 2, "ends": F.element_at("tokens", -1) == 3, "pairs": F.col("pairs") == F.size("tokens") - 1, "known_split": F.col("split").isin("train", "validation", "test")}
-    x = s.select(F.explode(F.create_map(*[y for k, c in checks.items() for y in (F.lit(k), F.coalesce(c, F.lit(False)))])).alias("check", "ok"))
-    return x.groupBy("check").agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("failed"))
+    stored = rk.audit(s, {"starts": F.col("tokens")[0] == 2, "ends": F.element_at("tokens", -1) == 3, "pairs": F.col("pairs") == F.size("tokens") - 1, "known_split": F.col("split").isin("train", "validation", "test")})
+    known = table(spark, d, "contents").select("doc_hash", F.lit(True).alias("known")).where("doc_hash is not null").distinct()
+    u = table(spark, d, "units").where("spans is not null").select("doc_hash", F.from_json("spans", "array<struct<block_id:string,start:int,end:int>>").alias("s")).join(known, "doc_hash", "left")
+    ids = F.transform("s", lambda x: x["block_id"])
+    spans = rk.audit(u, {"spans_in_order": ids == F.array_sort(ids), "spans_not_empty": F.forall("s", lambda x: x["end"] > x["start"]), "known_content": F.coalesce("known", F.lit(False))})
+    return stored.withColumn("store", F.lit("seq")).unionByName(spans.withColumn("store", F.lit("units")))
+
+
+@query("rpt09_packet", f"select id, stratum, k from (select *, row_number() over (partition by stratum order by sha256('review:'||id), id) as k from (select distinct id, split||':'||pool as stratum from seq)) where k<=10")
+def rpt09_packet(spark, d):
+    """The packet for review: of each split and pool ten sequences by hash."""
+    s = table(spark, d, "seq").select("id", F.concat_ws(":", "split", "pool").alias("stratum")).distinct()
+    h = F.sha2(F.concat(F.lit("review:"), F.col("id").cast("string")), 256)
+    return dd.top(s.withColumn("h", h), ["stratum"], [F.col("h"), F.col("id")], 10, "k").select("id", "stratum", "k")
+
+
+_SINGLE = r"[^\p{Han}\p{Katakana}ー](?:\p{Han})(?:を|が|は|に)"
+_LEFTOVER = r"(?:\p{Han}{2,}\p{Hiragana}?\p{Han})(?:を|が|は|に)"
 
 
-@query("rpt10", r"select distinct id from seq where text is not null and not regexp_matches(text,'(^|[^\p{Han}])\p{Han}(を|が)')")
+@query("rpt10", rf"select distinct id, case when regexp_matches('、'||text,'{_SINGLE}') and regexp_matches(text,'{_LEFTOVER}') then 'both' when regexp_matches('、'||text,'{_SINGLE}') then 'single' when regexp_matches(text,'{_LEFTOVER}') then 'boundary' else 'clear' end as quarantine from seq where text is not null")
 def rpt10(spark, d):
-    """Sequences without a single Han letter as a word of its own before a particle; those are quarantined."""
+    """What is ambiguous goes to quarantine, with the rule: a noun of one Han letter alone before a particle, or a last Han letter at
+    the border of a compound."""
+    spelled = lambda p: p.replace(r"\p{Han}", r"\p{IsHan}").replace(r"\p{Katakana}", r"\p{IsKatakana}").replace(r"\p{Hiragana}", r"\p{IsHiragana}")
     s = table(spark, d, "seq").where("text is not null").select("id", "text").distinct()
-    bad = s.where(F.col("text").rlike(r"(^|[^\p{IsHan}])\p{IsHan}(を|が)")).select("id")
-    return s.join(bad, "id", "left_anti").select("id").distinct()
+    rules = {"single": F.concat(F.lit("、"), "text").rlike(spelled(_SINGLE)), "boundary": F.col("text").rlike(spelled(_LEFTOVER))}
+    return rk.quarantined(s, rules).select("id", "quarantine").distinct()
