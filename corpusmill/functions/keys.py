@@ -33,14 +33,28 @@ def majority(readings: list[str | None]) -> tuple[str | None, bool]:
     return max(given, key=lambda r: (count[r], -given.index(r))), len(count) == 1
 
 
+def outlier(readings: list[str | None]) -> str | None:
+    """Which of three readers differs from the others that answer: ``first``, ``second`` or ``third``; ``all`` if no two agree; null if none does."""
+    given = [(i, r) for i, r in enumerate(readings) if r]
+    kinds = Counter(r for _, r in given)
+    if len(kinds) <= 1:
+        return None
+    if max(kinds.values()) == 1:
+        return "all"
+    return next(("first", "second", "third")[i] for i, r in given if kinds[r] == 1)
+
+
 def spell(syllables: list[str], style: str, seed: int = 0) -> str:
-    """Keys of a phrase: ``full``, ``initials``, ``apostrophes``, or ``mixed`` (each syllable whole or its first letter)."""
+    """Keys of a phrase: ``full``, ``initials``, ``apostrophes``, ``mixed`` (each syllable whole or its
+    first letter), or ``error`` (in full with one drawn typing error)."""
     if style == "full":
         return "".join(syllables)
     if style == "initials":
         return "".join(s[:1] for s in syllables)
     if style == "apostrophes":
         return "'".join(syllables)
+    if style == "error":
+        return mistype("".join(syllables), ("substitute", "delete", "insert", "transpose")[draw(4, seed, *syllables)], seed)
     if style == "mixed":
         return "".join(s if draw(2, seed, i, *syllables) else s[:1] for i, s in enumerate(syllables))
     raise ValueError(style)
@@ -116,6 +130,10 @@ def abbreviations(words: list[list[str]], seed: int = 0) -> list[str]:
     return list(dict.fromkeys(["".join(full), "".join(short), full[0] + "".join(short[1:]), "".join(short[:-1]) + full[-1], drawn])) if words else []
 
 
-def keystrokes(readings: list[str], commits: int = 1) -> int:
-    """Keys of a sentence: those of each reading and ``commits`` for each word."""
-    return sum(len(r) + commits for r in readings)
+def keystrokes(readings: list[str], commits: int = 1) -> tuple[int, list[int]]:
+    """Keys of a sentence, those of each reading and ``commits`` for each word, and how many are pressed by the end of each word."""
+    ends, total = [], 0
+    for r in readings:
+        total += len(r) + commits
+        ends.append(total)
+    return total, ends

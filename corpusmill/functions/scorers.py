@@ -42,6 +42,45 @@ class LengthScorer:
         return -float(len(text))
 
 
+class SearchScorer:
+    """A model of ``functions.search`` behind this protocol."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def prefill(self, context: str) -> str:
+        return context
+
+    def decode(self, state: str, text: str) -> float:
+        return self.model.log_share(state, text)
+
+
+class Normalized:
+    """Another scorer's score by the length of the text."""
+
+    def __init__(self, inner: Scorer):
+        self.inner = inner
+
+    def prefill(self, context: str) -> object:
+        return self.inner.prefill(context)
+
+    def decode(self, state: object, text: str) -> float:
+        return self.inner.decode(state, text) / max(1, len(text))
+
+
+class Ensemble:
+    """The weighted sum of several scorers."""
+
+    def __init__(self, members: list[tuple[float, Scorer]]):
+        self.members = members
+
+    def prefill(self, context: str) -> list:
+        return [m.prefill(context) for _, m in self.members]
+
+    def decode(self, state: list, text: str) -> float:
+        return sum(w * m.decode(s, text) for (w, m), s in zip(self.members, state, strict=True))
+
+
 def score_column(scorer: Callable[[], Scorer]):
     """A column function ``(context, text) -> score``; the scorer is made once in each batch."""
 

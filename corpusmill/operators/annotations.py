@@ -50,3 +50,11 @@ def reply_check(requests: DataFrame, replies: DataFrame, batch: str, key: str) -
 
 def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def agreement(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, left, right, verdict)`` of two dictionaries: ``agree``, ``differ``, ``only left`` or ``only right``. Keys must be unique."""
+    a = left.select(key, F.col(value).alias("left"), F.lit(True).alias("_l"))
+    b = right.select(key, F.col(value).alias("right"), F.lit(True).alias("_r"))
+    verdict = F.when(F.col("_l").isNull(), "only right").when(F.col("_r").isNull(), "only left").when(F.col("left") == F.col("right"), "agree").otherwise("differ")
+    return a.join(b, key, "full_outer").select(key, "left", "right", verdict.alias("verdict"))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.operators.dedup import global_rank
+
 
 def windows(sequences: DataFrame, context: int, tokens: str = "tokens", least: int = 2) -> DataFrame:
     """Non-overlapping windows ``(…, window_no, start, len)`` of a sequence: every pair of neighbours is predicted once.
@@ -102,3 +104,52 @@ def epoch_map(always: DataFrame, cycled: DataFrame, key: str, size: str, fractio
         taken = placed.withColumn("cycle", F.explode(F.sequence(F.lit(first // length), F.lit(last // length))))
         taken = taken.where((F.col("end") + F.col("cycle") * length > first) & (F.col("end") + F.col("cycle") * length <= last))
     return always.select(key, size, F.lit(-1).alias("cycle")).unionByName(taken.select(key, size, F.col("cycle").cast("int").alias("cycle")))
+
+
+def batches_from(batched: DataFrame, start: int) -> DataFrame:
+    """Batches of ``length_batches`` with ``number``, their place in the shuffled order from 0; those before the committed cursor
+    ``start`` are left out. Numbers do not depend on where a run began."""
+    each = batched.select("pool", "batch", "turn").distinct()
+    numbered = global_rank(each, ["turn", "pool", "batch"]).select("pool", "batch", (F.col("rank") - 1).alias("number"))
+    return batched.join(numbered.where(F.col("number") >= start), ["pool", "batch"])
+
+
+def permuted(store: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
+    """``(key, place)``: the store in the order of an epoch, by hash, from 0."""
+    hashed = store.select(key).withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")), 256))
+    return global_rank(hashed, ["_h", key]).select(key, (F.col("rank") - 1).alias("place"))
+
+
+def step_rows(stores: dict[str, tuple[DataFrame, int]], key: str, first: int, last: int, seed: int) -> DataFrame:
+    """``(task, step, slot, key)`` of the steps from ``first`` up to ``last``: of each store so many rows a step, its epochs in permuted
+    orders one after the other. What a step holds follows from its number alone, so a run can begin anywhere."""
+    out = None
+    for task, (store, count) in stores.items():
+        n = store.count()
+        if not n or not count:
+            continue
+        for epoch in range(first * count // n, max(first * count // n, (last * count - 1) // n) + 1):
+            at = F.col("place") + F.lit(epoch * n)
+            rows = permuted(store, key, seed, epoch).select(F.lit(task).alias("task"), F.floor(at / count).alias("step"), F.pmod(at, F.lit(count)).alias("slot"), key).where(F.col("step").between(first, last - 1))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def schedule(step: Column, warmup: int, total: int, floor: float = 0.0, milestones: dict[int, float] | None = None) -> Column:
+    """The rate of a step: a linear rise over ``warmup`` steps, then half a cosine down to ``floor`` at ``total``; from each
+    milestone on it is multiplied by the milestone's factor."""
+    part = F.least(F.lit(1.0), (step - warmup) / F.lit(float(max(1, total - warmup))))
+    rate = F.when(step < warmup, step / F.lit(float(max(1, warmup)))).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.pi() * part)))
+    for at, factor in sorted((milestones or {}).items()):
+        rate = rate * F.when(step >= at, F.lit(factor)).otherwise(F.lit(1.0))
+    return rate
+
+
+def record(context: Column, keys: Column, out: Column, budget: int, start: int, end: int, ctx: int, read: int, write: int) -> Column:
+    """``start ctx context read keys write out end`` with the context cut from the left so that ``budget`` ids hold it; null where keys
+    and output alone do not fit."""
+    fixed = F.size(keys) + F.size(out) + 5
+    room = F.greatest(F.lit(0), F.lit(budget) - fixed)
+    kept = F.slice(context, F.greatest(F.lit(1), F.size(context) - room + 1), room)
+    one = lambda i: F.array(F.lit(i))
+    return F.when(fixed <= budget, F.concat(F.array(F.lit(start), F.lit(ctx)), kept, one(read), keys, one(write), out, one(end)))

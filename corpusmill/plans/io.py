@@ -10,8 +10,9 @@ import zipfile
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
+from corpusmill.operators import documents as doc
 from corpusmill.plans.registry import query
-from corpusmill.plans.text import _ALT
+from corpusmill.plans.text import _ALT, _CLEAN, _GLUED, _NORM, _STRIP, _URL, _WORD
 from corpusmill.runtime import scratch_dir, shuffle_partitions, table, write_bytes
 from corpusmill.sources import readers as r
 from corpusmill.sources import sinks
@@ -202,14 +203,15 @@ def snk05(spark, d):
     return sinks.merged_offsets(x, "part", "pos", "n").select("part", "pos", "offset")
 
 
-_ACTIONS = "(select case when len(x)=0 then 'drop' when contains(x, chr(65533)) then 'review' else 'keep' end as action, x from (select unnest(string_split(text, chr(10))) as x from documents))"
-
-
-@query("snk06", f"select action, count(*) as blocks, sum(length(x))::bigint as chars from {_ACTIONS} where action<>'keep' group by 1")
+@query("snk06", f"""with docs as (select distinct {_NORM} as text from documents where text is not null), l as (select unnest(string_split(text, chr(10))) as line from docs),
+c as (select {_STRIP(_CLEAN)} as x from l), u as (select case when regexp_matches(x,'^[*=~◆◇■□★☆].*[^*=~◆◇■□★☆\\s].*[*=~◆◇■□★☆]$') and left(x,1)=right(x,1) then trim(trim(x,left(x,1))) else x end as text from c),
+a as (select text, case when text='' then 'empty' when {_URL} then 'url' when not {_WORD} then 'decoration' when contains(text,chr(65533)) then 'broken' when {_GLUED} then 'glued' else '' end as reason from u)
+select case when reason in ('broken','glued') then 'review' else 'drop' end as action, reason, count(*) as blocks, sum(length(text))::bigint as chars from a where reason<>'' group by 1,2""")
 def snk06(spark, d):
-    x = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("x"))
-    action = F.when(F.length("x") == 0, "drop").when(F.col("x").contains("�"), "review").otherwise("keep")
-    return x.withColumn("action", action).where("action <> 'keep'").groupBy("action").agg(F.count("*").alias("blocks"), F.sum(F.length("x")).alias("chars"))
+    """The log of lines that are left out, written with the run and read back."""
+    docs = table(spark, d, "documents").where("text is not null").select(t.normal_document(F.col("text")).alias("text")).distinct().withColumn("doc_hash", F.sha2("text", 256))
+    log = spark.read.json(written(spark, doc.left_out_blocks(doc.clean_lines(docs)), "json", "audit"))
+    return log.groupBy("action", "reason").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("snk07", "select distinct o.doc_id, o.source_file, o.row_index, c.group_id, c.split_rank from origins o join contents c using (doc_hash)")

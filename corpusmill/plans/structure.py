@@ -195,29 +195,42 @@ def _map(f, kind):
     return over
 
 
-@query("key01")
+_READ = ("lower(word)", "case when length(word)%3=0 then upper(word) else lower(word) end", "case when length(word)%2=0 then reverse(lower(word)) when length(word)=1 then null else lower(word) end")
+
+
+@query("key01", f"select word, case when b=a or b is distinct from c or b is null then a else b end as reading, (c is null and a=b) or (a=b and b=c) as agreed, case when a=b and c is not null and c<>a then 'third' when a=c and b<>a then 'second' when b=c and a<>b then 'first' when c is not null and a<>b and b<>c and a<>c then 'all' when c is null and a<>b then 'all' end as outlier from (select distinct word, {_READ[0]} as a, {_READ[1]} as b, {_READ[2]} as c from lexicon where word is not null)")
 def key01(spark, d):
-    kind = StructType([StructField("reading", StringType()), StructField("agreed", BooleanType())])
+    """The reading that most of three readers give, and who differs; the readers here are rules over the word, elsewhere tables."""
+    kind = StructType([StructField("reading", StringType()), StructField("agreed", BooleanType()), StructField("outlier", StringType())])
 
     @F.pandas_udf(kind)
     def vote(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([k.majority([x, y, z]) for x, y, z in zip(a, b, c, strict=True)], columns=["reading", "agreed"])
+        rows = []
+        for given in zip(a, b, c, strict=True):
+            reading, agreed = k.majority(list(given))
+            rows.append((reading, agreed, k.outlier(list(given))))
+        return pd.DataFrame(rows, columns=["reading", "agreed", "outlier"])
 
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", vote("o_orderstatus", F.substring("o_orderpriority", 1, 1), F.substring("o_orderstatus", 1, 1)).alias("v")).select("o_orderkey", "v.*")
+    w = table(spark, d, "lexicon").where("word is not null").select("word").distinct()
+    three = w.select("word", *[F.expr(x).alias(c) for x, c in zip(_READ, "abc", strict=True)])
+    return three.select("word", vote("a", "b", "c").alias("v")).select("word", "v.*")
 
 
-@query("key02", "select word, count(distinct kind) as kinds, count(distinct lang) as langs, count(distinct kind)=1 and count(distinct lang)=1 as agreed from lexicon where word is not null group by 1")
+@query("key02", "with a as (select word, max(kind) as r from lexicon where word is not null and lang='ja' group by 1), b as (select word, min(kind) as r from lexicon where word is not null and weight is not null group by 1) select coalesce(a.word,b.word) as word, a.r as \"left\", b.r as \"right\", case when a.word is null then 'only right' when b.word is null then 'only left' when a.r=b.r then 'agree' else 'differ' end as verdict from a full join b using (word)")
 def key02(spark, d):
-    """Words on whose entries two dictionaries agree; the readers themselves are pluggable tables."""
-    g = table(spark, d, "lexicon").where("word is not null").groupBy("word").agg(F.count_distinct("kind").alias("kinds"), F.count_distinct("lang").alias("langs"))
-    return g.withColumn("agreed", (F.col("kinds") == 1) & (F.col("langs") == 1))
+    """Two dictionaries side by side: entries of one language, and weighted entries."""
+    x = table(spark, d, "lexicon").where("word is not null")
+    left = x.where("lang = 'ja'").groupBy("word").agg(F.max("kind").alias("reading"))
+    right = x.where("weight is not null").groupBy("word").agg(F.min("kind").alias("reading"))
+    return ann.agreement(left, right, "word", "reading")
 
 
 @query("key03")
 def key03(spark, d):
-    styles = ["full", "initials", "apostrophes", "mixed"]
-    f = s.array_udf(lambda x: [k.spell(x.split(), style, 42) for style in styles], StringType())
+    """Spellings of each nation's name in every style; vowels end its syllables."""
+    styles = ["full", "initials", "apostrophes", "mixed", "error"]
+    cut = lambda w: re.findall("[^aeiou]*[aeiou]+(?:n(?![aeiou]))?|[^aeiou]+$", w)
+    f = s.array_udf(lambda x: [k.spell(cut(x.replace(" ", "")), style, 42) for style in styles], StringType())
     return table(spark, d, "nation").select("n_nationkey", F.posexplode(f(F.lower("n_name"))).alias("style", "keys"))
 
 
@@ -262,10 +275,13 @@ def key08(spark, d):
     return table(spark, d, "part").select("p_partkey", F.posexplode(f(F.col("p_name"))).alias("form", "keys"))
 
 
-@query("key09", "select p_partkey, list_sum(list_transform(string_split(lower(p_name),' '), lambda w: length(w)+1))::bigint as keystrokes from part where p_name is not null")
+@query("key09", "with w as (select p_partkey, list_transform(string_split(lower(p_name),' '), lambda x: length(x)+1) as n from part where p_name is not null) select p_partkey, list_sum(n)::bigint as keystrokes, array_to_string(list_transform(range(1,len(n)+1), lambda i: list_sum(n[1:i])::bigint),',') as ends from w")
 def key09(spark, d):
-    cost = F.aggregate(F.split(F.lower("p_name"), " "), F.lit(0), lambda a, w: a + F.length(w) + 1)
-    return table(spark, d, "part").where("p_name is not null").select("p_partkey", cost.cast("bigint").alias("keystrokes"))
+    n = F.transform(F.split(F.lower("p_name"), " "), lambda w: F.length(w) + 1)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    x = table(spark, d, "part").where("p_name is not null").select("p_partkey", n.alias("n"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("n")), lambda i: total(F.slice("n", 1, i)).cast("string"))
+    return x.select("p_partkey", total(F.col("n")).cast("bigint").alias("keystrokes"), F.array_join(ends, ",").alias("ends"))
 
 
 def _units(spark, d):

@@ -511,3 +511,152 @@ def test_locks_resumption_and_refusals(spark, tmp_path):
     with pytest.raises(ValueError, match="manifest"):
         sinks.manifest({}, {}, twice)
     assert {r["file"][:7] for r in sinks.file_digests(spark, base).where("file like '%.parquet'").collect()} == {"a/part-", "b/part-"}
+
+
+def test_counted_model_against_plain_counts(spark):
+    from collections import Counter
+    from math import log
+
+    from corpusmill.operators import ngrams as ng
+
+    random.seed(8)
+    texts = ["".join(random.choices("aabbcde", k=random.randrange(0, 25))) for _ in range(120)] + ["zq"]
+    order = 4
+    model = ng.train(spark.createDataFrame([(x,) for x in texts] + [(None,)], "text string").repartition(3), order=order)
+    chars = Counter("".join("\x02" + x for x in texts))
+    known = {c for c, n in chars.items() if n >= 2}
+    mapped = ["".join(c if c in known else "\x01" for c in "\x02" + x) for x in texts]
+    levels = {order: Counter(x[i : i + order] for x in mapped for i in range(len(x) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discount = {n: (lambda a, b: a / (a + 2 * b) if a else 0.5)(sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())) for n, c in levels.items()}
+    assert {k: round(v, 12) for k, v in model.discounts.items()} == {k: round(v, 12) for k, v in discount.items()} and model.vocabulary == len(known) + 1
+
+    def share(hist, ch):
+        total = sum(levels[1].values())
+        p = discount[1] * len(levels[1]) / total / (len(known) + 1) + max(levels[1][ch] - discount[1], 0) / total
+        for n in range(2, order + 1):
+            own = {g: v for g, v in levels[n].items() if g[:-1] == hist[len(hist) - n + 1 :]} if len(hist) >= n - 1 else {}
+            if own:
+                p = p * discount[n] * len(own) / sum(own.values()) + max(levels[n][hist[len(hist) - n + 1 :] + ch] - discount[n], 0) / sum(own.values())
+        return p
+
+    def score(context, text):
+        whole = "".join(c if c in known else "\x01" for c in "\x02" + context + text)
+        return sum(log(share(whole[max(0, i - order + 1) : i], whole[i])) for i in range(len(whole) - len(text), len(whole)))
+
+    asked = [(1, "ab", "bcd"), (2, None, "aaxz"), (3, "", "q"), (4, "zzz", "abc"), (5, "a", None), (6, "a", "")]
+    df = spark.createDataFrame(asked, "id int, c string, x string")
+    places = ng.places(df, "id", F.col("c"), F.col("x"), model)
+    got = {r["id"]: r["s"] for r in ng.log_shares(places, "id", model).groupBy("id").agg(F.sum("logp").alias("s")).collect()}
+    assert set(got) == {1, 2, 3, 4} and all(abs(got[i] - score(c or "", x)) < 1e-9 for i, c, x in asked if i in got)
+    memory = ng.in_memory(model)
+    assert all(abs(memory.log_share(c or "", x) - score(c or "", x)) < 1e-9 for i, c, x in asked if x)
+    for history in ("", "ab", "zz", "bca"):
+        plain = sorted(((c, log(share(("\x02" + "".join(y if y in known else "\x01" for y in history))[-(order - 1) :], c))) for c in levels[1] if c not in "\x01\x02"), key=lambda y: (-y[1], y[0]))
+        assert [c for c, _ in memory.likeliest(history, 3)] == [c for c, _ in plain[:3]]
+    cands = spark.createDataFrame([(1, "a", "abc"), (1, "a", "abd"), (1, "a", "abd"), (1, "a", ""), (2, None, "b"), (3, "c", "ab"), (3, "c", "abb")], "id int, c string, x string")
+    scored = {(r["id"], r["candidate"]): (r["scored"], r["logp"]) for r in ng.suffix_scores(cands, "id", "c", "x", model).collect()}
+    assert {k: v[0] for k, v in scored.items()} == {(1, "abc"): 1, (1, "abd"): 1, (2, "b"): 1, (3, "ab"): 1, (3, "abb"): 2}
+    assert abs(scored[1, "abc"][1] - (score("a", "abc") - score("a", "ab"))) < 1e-9 and abs(scored[3, "abb"][1] - (score("c", "abb") - score("c", "a"))) < 1e-9
+    with pytest.raises(ValueError, match="more than 3 grams"):
+        ng.in_memory(model, 3)
+    empty = ng.train(spark.createDataFrame([], "text string"))
+    assert ng.summary(empty).collect() == []
+
+
+class _Plain:
+    """A scorer with fixed shares, for the searches."""
+
+    shares = {"a": 0.5, "b": 0.3, "c": 0.2}
+
+    def log_share(self, history, piece):
+        from math import log
+
+        return sum(log(self.shares.get(x, 0.01) * (0.5 if history.endswith(x) else 1.0)) for x in piece)
+
+    def likeliest(self, history, n):
+        return sorted(((c, self.log_share(history, c)) for c in self.shares), key=lambda y: (-y[1], y[0]))[:n]
+
+
+def test_searches_against_enumeration():
+    import itertools
+
+    from corpusmill.functions import search
+
+    m = _Plain()
+    whole = sorted((("".join(p), sum(m.log_share("".join(p[:i]), p[i]) for i in range(4))) for p in itertools.product("abc", repeat=4)), key=lambda y: (-y[1], y[0]))
+    close = lambda got, want: dict(got).keys() == dict(want).keys() and all(abs(dict(got)[t] - s) < 1e-9 for t, s in want)
+    assert close(search.continuations(m, ["", "x"], 4, 81)[0], whole)
+    without = [(t, s) for t, s in whole if "a" not in t]
+    assert close(search.continuations(m, [""], 4, 16, keep=lambda c: c != "a")[0], without)
+    assert search.sampled(m, "q", 6, 1.0, 1) == search.sampled(m, "q", 6, 1.0, 1) and len(search.sampled(m, "", 6, 1.0, 2)) == 6
+    rows = [("a", ["zhi"]), ("b", ["zi"]), ("ab", ["zhi", "zi"]), ("c", ["zhi"]), ("long", ["aa"] * 9)]
+    index = search.KeyIndex(rows)
+    assert index.skipped == 1 or "aa" * 9 in index.words
+    for keys in ("zhizi", "zz", "zhi", "zhizhi", "q", "", "zhiq"):
+        found = {}
+        words = [(w, f, n) for f, own in index.words.items() for w, n in own.items()]
+
+        def grow(at, text, cost, keys=keys, found=found, words=words):
+            if at == len(keys) and text:
+                found[text] = max(found.get(text, -1e9), cost)
+            for w, f, n in words:
+                if keys.startswith(f, at):
+                    grow(at + len(f), text + w, cost + m.log_share(text, w) - n)
+
+        grow(0, "", 0.0)
+        best = sorted(found.items(), key=lambda y: (-y[1], y[0]))[:50]
+        assert close(search.typed(m, index, keys, beam=1000, top=50), best)
+    assert search.healed("xyab", ["ab", "b", "cd"]) == ("xy", "ab") and search.healed("xy", ["ab"]) == ("xy", "")
+    assert [w for w, _ in search.diverse({"ab": -1.0, "abc": -0.5, "b": -2.0, "ba": -3.0}, 5)] == ["abc", "b"]
+    assert [w for w, _ in search.predicted_words(m, ["xa"], ["a", "ab", "ac", "b"], 2)[0]] == ["b", "c"]
+    told = search.simulate("abcde", [2] * 5, [2, 5], lambda at: [("cd", 0.0), ("c", 0.0), ("x", 0.0)] if at == 2 else [], -1.0)
+    assert told == {"keys": 4 + 1 + 2, "baseline_keys": 10, "shows": 1, "clicks": 1}
+    assert search.simulate("", [], [], lambda at: [], 0.0) == {"keys": 0, "baseline_keys": 0, "shows": 0, "clicks": 0}
+
+
+def test_decisions_and_rescoring(spark):
+    rows = [("x", True, "a"), ("y", True, "b"), ("z", False, "a")]
+    schema = "name string, effective boolean, winner string"
+    decided = lambda r, first="x": tuple(st.decide(spark.createDataFrame(r, schema), "name", "winner", first, "none").first())
+    assert decided(rows) == ("a", "first") and decided(rows, "z") == ("none", "default") and decided(rows[:1]) == ("a", "agreement") and decided(rows[2:]) == ("none", "none effective")
+    f = spark.createDataFrame([("i", 1, 3.0, 1.0, 1, 0.0, False, "s"), ("i", 2, 2.5, 0.0, 2, 2.0, True, "s"), ("j", 1, 9.0, 0.0, 1, 5.0, True, "t"), ("j", 2, 1.0, 0.0, 1, 0.0, False, "t"), ("k", 1, 1.0, 0.0, 1, 0.0, False, "t")], "item string, pos int, c double, f double, n int, z double, correct boolean, source string")
+    choices = Stage(st.rescored(f, {"baseline": [()], "pmi": [(1.0,)], "engine": [(-9.0,), (1.0,)], "gated-engine": [(1.0, 0.1), (1.0, 0.6)]})).df
+    best = {r["method"]: (r["setting"], r["exact"]) for r in st.best_of_methods(choices, "method", "setting").collect()}
+    assert best == {"baseline": (0, 1), "pmi": (0, 2), "engine": (1, 2), "gated-engine": (1, 2)}
+    cv = {(r["method"], r["source"]): (r["setting"], r["cases"], r["exact"]) for r in st.cross_validated(choices, "source").collect()}
+    assert cv["engine", "t"] == (1, 2, 1) and cv["baseline", "s"] == (0, 1, 0)
+
+
+def test_cursors_and_retries(spark, tmp_path):
+    from corpusmill.streaming import streams
+
+    store = spark.range(7).withColumnRenamed("id", "k")
+    cursor = streams.Cursor(store, "k", f"file://{tmp_path}/cursor", 1)
+    got = []
+    for n in (3, 3, 5, 10):
+        got += sorted((r["at"], r["epoch"], r["k"]) for r in cursor.take(n, lambda rows: rows.collect()))
+    assert [a for a, *_ in got] == list(range(21)) and cursor.state == {"epoch": 3, "offset": 0}
+    assert all({k for _, e, k in got if e == epoch} == set(range(7)) for epoch in range(3))
+    with pytest.raises(ZeroDivisionError):
+        cursor.take(2, lambda rows: 1 / 0)
+    again = streams.Cursor(store, "k", f"file://{tmp_path}/cursor", 1)
+    assert again.state == {"epoch": 3, "offset": 0}
+    with pytest.raises(ValueError, match="empty"):
+        streams.Cursor(store.limit(0), "k", f"file://{tmp_path}/none", 1)
+    tries, waits = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 4:
+            raise ConnectionError
+        return "done"
+
+    assert streams.retried(flaky, sleep=waits.append) == "done" and waits == [1.0, 2.0, 4.0]
+    with pytest.raises(TimeoutError):
+        streams.retried(lambda: (_ for _ in ()).throw(TimeoutError()), attempts=2, sleep=waits.append)
+    with pytest.raises(KeyError):
+        streams.retried(lambda: {}["x"], sleep=waits.append)
+    assert keys.outlier(["a", "a", "b"]) == "third" and keys.outlier(["a", "b", "c"]) == "all" and keys.outlier(["a", None, "a"]) is None
+    assert keys.keystrokes(["ab", "c"]) == (5, [3, 5]) and keys.abbreviations([["ni", "hao"], ["ma"]])[:4] == ["nihaoma", "nhm", "nihaom", "nhma"]
