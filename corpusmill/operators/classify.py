@@ -9,10 +9,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.functions.text import WS, count_of, counts_as_hit, in_domain, repeated_line_fraction, terms_found
+from corpusmill.functions.text import WS, counts_as_hit, in_domain, length_of, repeated_line_fraction, terms_found
 
 #: The letters that count as Han here.
-HAN = r"[㐀-䶿一-鿿豈-﫿]"
+NOT_HAN = r"[^㐀-䶿一-鿿豈-﫿]"
 OFFICIAL = (".gov.cn", ".edu.cn")
 
 
@@ -44,7 +44,7 @@ class Script:
 
     def share(self, text: Column, han: Column) -> Column:
         """Convertible glyphs by Han letters."""
-        found = count_of(text, f"[{self.glyphs}]") if self.glyphs else F.lit(0)
+        found = F.length(text) - F.length(F.translate(text, self.glyphs, "")) if self.glyphs else F.lit(0)
         return found / F.greatest(han, F.lit(1))
 
 
@@ -86,11 +86,11 @@ def classify(df: DataFrame, rules: Rules, text: str = "text", host: str = "host"
     """
     script, limits = script or Script(), limits or Thresholds()
     h, x = F.coalesce(F.col(host), F.lit("")), F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("han", count_of(x, HAN))
+    df = df.withColumn("han", length_of(x, NOT_HAN))
     df = df.withColumn("script", F.when(script.share(x, F.col("han")) > limits.converted, "hant").otherwise("hans"))
     df = df.withColumn(text, F.when(F.col("script") == "hant", script.convert(x)).otherwise(F.col(text)))
     x = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("hits", terms_found(x, list(rules.terms))).withColumn("_solid", count_of(x, "[^" + WS[1:])).withColumn("_again", repeated_line_fraction(x))
+    df = df.withColumn("hits", terms_found(x, list(rules.terms))).withColumn("_solid", length_of(x, WS)).withColumn("_again", repeated_line_fraction(x))
     category = F.create_map(*[F.lit(v) for t, c in rules.terms.items() for v in (t, c)]) if rules.terms else F.create_map()
     named = F.array_sort(F.array_distinct(F.transform("hits", lambda t: F.concat(F.lit("term_"), category[t])))) if rules.terms else F.array().cast("array<string>")
     hit = counts_as_hit(F.col("hits"), sorted(rules.weak))

@@ -23,7 +23,8 @@ CHUNK = 2_000_000  # characters that a map task collapses at a time
 
 @dataclass
 class Model:
-    """``grams``: (level, ctx, ch, n); ``contexts``: (level, ctx, total, kinds); the discount of each level, the known characters and how many there are."""
+    """``grams``: (level, ctx, ch, n), written; ``contexts``: (level, ctx, total, kinds), a view of them; the discount of each level, the
+    known characters and how many there are."""
 
     grams: DataFrame
     contexts: DataFrame
@@ -42,7 +43,7 @@ def _characters(batches):
 
     total = np.zeros(0x110000, np.int64)
     for batch in batches:
-        points, _ = code_points([x or "" for x in batch.column(0).to_pylist()])
+        points, _ = code_points([SEPARATOR + x for x in batch.column(0).to_pylist()])
         total += np.bincount(points, minlength=0x110000)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["c", "n"])
@@ -95,24 +96,19 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER, min_count: i
     if not 2 <= order <= 6:
         raise ValueError("order must be from 2 to 6")
     rows = texts.where(F.col(text).isNotNull()).select(text)
-    spark = texts.sparkSession
-    documents = rows.count()
     seen = rows.mapInArrow(_characters, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).toPandas()  # at most all of Unicode
     known = np.zeros(0x110000, bool)
     known[seen["c"].to_numpy(np.int64)] = True
-    known[ord(SEPARATOR)] |= documents >= min_count
-    levels, discounts = {}, {}
+    levels: dict[int, DataFrame] = {}
     highest = rows.mapInArrow(lambda b: _grams(b, known, order), "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    for level in range(order, 0, -1):
-        counted = highest if level == order else levels[level + 1].groupBy(F.substring("g", 2, level).alias("g")).agg(F.count("*").alias("n"))
-        levels[level] = Stage(counted, f"grams{level}").df
-        ones = levels[level].agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
-        discounts[level] = ones["n1"] / (ones["n1"] + 2 * ones["n2"]) if ones["n1"] else 0.5
     whole = None
-    for level, df in levels.items():
-        part = df.select(F.lit(level).alias("level"), F.substring("g", 1, level - 1).alias("ctx"), F.substring("g", level, 1).alias("ch"), "n")
-        whole = part if whole is None else whole.unionByName(part)
-    contexts = Stage(whole.groupBy("level", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "contexts").df
+    for level in range(order, 0, -1):
+        counted = highest if level == order else levels[level + 1].groupBy(F.expr("right(ctx || ch, %d)" % level).alias("g")).agg(F.count("*").alias("n"))
+        levels[level] = Stage(counted.select(F.lit(level).alias("level"), F.expr("left(g, %d)" % (level - 1)).alias("ctx"), F.expr("right(g, 1)").alias("ch"), "n"), f"grams{level}").df
+        whole = levels[level] if whole is None else whole.unionByName(levels[level])
+    ones = {r["level"]: (r["n1"], r["n2"]) for r in whole.groupBy("level").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
+    discounts = {level: (lambda n1, n2: n1 / (n1 + 2 * n2) if n1 else 0.5)(*ones.get(level, (0, 0))) for level in range(1, order + 1)}
+    contexts = whole.groupBy("level", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     return Model(whole, contexts, discounts, known, int(known.sum()) + 1, order)
 
 
@@ -149,7 +145,13 @@ def log_shares(asked: DataFrame, key: str, model: Model) -> DataFrame:
     distinct = Stage(asked.select("hist", "ch").distinct(), "asked").df
     levels = F.filter(F.sequence(F.lit(1), F.lit(model.order)), lambda n: n - 1 <= F.length("hist"))
     each = distinct.select("hist", "ch", F.explode(levels).alias("level")).withColumn("ctx", F.expr("right(hist, level - 1)"))
-    found = each.join(model.grams, ["level", "ctx", "ch"], "left").join(model.contexts, ["level", "ctx"], "left")
+    # What is asked is small against the model: it selects the model's rows first, and those are joined back.
+    each = Stage(each, "lookups").df
+    contexts = each.select("level", "ctx").distinct()
+    own = model.grams.join(contexts, ["level", "ctx"], "left_semi")
+    totals = own.groupBy("level", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    grams = model.grams.join(each.select("level", "ctx", "ch"), ["level", "ctx", "ch"], "left_semi")
+    found = each.join(grams, ["level", "ctx", "ch"], "left").join(totals, ["level", "ctx"], "left")
     by_level = F.map_from_entries(F.collect_list(F.struct("level", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))))
     got = found.groupBy("hist", "ch").agg(by_level.alias("m"))
     at = lambda n: F.col("m")[n]

@@ -381,7 +381,7 @@ q as (select k, i as pos, substring(y, greatest(1, length(y)-n+1+i-4), length(y)
 
 
 def _model(spark, d):
-    return ng.train(table(spark, d, "seq").where("split = 'train'").select("id", "text").distinct())
+    return ng.train(Stage(table(spark, d, "seq").where("split = 'train'").select("id", "text").distinct(), "texts").df)
 
 
 @query("agg28_kn", f"with {_KN} select level, count(*) as contexts, sum(kinds)::bigint as grams, sum(total)::bigint as total, round(any_value(d),9) as discount from contexts join disc using (level) group by 1")
@@ -426,7 +426,7 @@ def bigrams_of(text):
 
 def _scorer(spark, d, order=3):
     """A model of three characters, counted over all training sequences, for the searches."""
-    x = table(spark, d, "seq").where("split = 'train'").select("id", "text").distinct()
+    x = Stage(table(spark, d, "seq").where("split = 'train'").select("id", "text").distinct(), "texts").df
     return spark.sparkContext.broadcast(ng.in_memory(ng.train(x, order=order)))
 
 

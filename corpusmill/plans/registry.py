@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
-
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -20,7 +18,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return register
-
-
-for _module in ("text", "structure", "io", "corpus", "ranking", "sequences"):
-    importlib.import_module(f"corpusmill.plans.{_module}")

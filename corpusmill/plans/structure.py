@@ -15,7 +15,7 @@ from corpusmill.operators import annotations as ann
 from corpusmill.operators import documents as doc
 from corpusmill.plans.registry import query
 from corpusmill.plans.text import _CLEAN, _GLUED, _NORM, _STRIP, _URL, _WORD
-from corpusmill.runtime import table
+from corpusmill.runtime import Stage, table
 
 #: A fixture of syllables; a full table is a parameter of the functions.
 SYLLABLES = frozenset(a + b for a in ("b", "d", "g", "zh", "sh", "l", "n", "") for b in ("a", "ai", "an", "ang", "ao", "e", "en", "eng", "i", "u", "uo") if a + b)
@@ -98,11 +98,11 @@ def seg05(spark, d):
 
 
 def _processed(spark, d):
-    """All documents by content, with a label on the first line of each that has digits: dropped."""
-    docs = _documents(spark, d).select(F.sha2(t.normal_document(F.col("text")), 256).alias("doc_hash"), t.normal_document(F.col("text")).alias("text")).dropDuplicates(["doc_hash"])
-    first = doc.clean_lines(docs).select("doc_hash", F.get(F.filter("blocks", lambda b: (b["action"] == "keep") & b["text"].rlike("[0-9]")), F.lit(0)).alias("b")).where("b is not null")
+    """All documents by content, with a label on the first boundary between lines: they stay apart."""
+    text = t.normal_document(F.col("text"))
+    docs = Stage(_documents(spark, d).select(text.alias("text")).withColumn("doc_hash", F.sha2("text", 256)).dropDuplicates(["doc_hash"]), "contents").df
     none = F.lit(None).cast("string")
-    labels = first.select(F.concat(F.lit("label:"), "doc_hash").alias("id"), "doc_hash", F.lit("block").alias("kind"), F.lit("drop").alias("action"), "b.text", "b.block_id", none.alias("left_block"), none.alias("right_block"), none.alias("spans"))
+    labels = docs.where(F.contains("text", F.lit("\n"))).select(F.concat(F.lit("label:"), "doc_hash").alias("id"), "doc_hash", F.lit("boundary").alias("kind"), F.lit("separate").alias("action"), none.alias("text"), none.alias("block_id"), F.lit("b000").alias("left_block"), F.lit("b001").alias("right_block"), none.alias("spans"))
     return doc.process(docs, labels)
 
 

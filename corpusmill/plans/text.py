@@ -96,7 +96,7 @@ _SHARE = f"length(regexp_replace(text,'[^{TRADITIONAL}]','','g'))/greatest(lengt
 def txt07(spark, d):
     """Texts of which enough Han letters belong to the other script are converted, phrases first."""
     x = F.col("text")
-    share = SCRIPT.share(x, t.count_of(x, _HANS))
+    share = SCRIPT.share(x, t.length_of(x, "[^" + _HANS[1:]))
     return docs(spark, d).where("text is not null").select("doc_id", share.alias("share"), F.when(share > 0.08, SCRIPT.convert(x)).otherwise(x).alias("converted"))
 
 
