@@ -5,8 +5,10 @@ that share ``k + WINDOW - 1`` = ``span`` folded characters share a whole window,
 Fingerprints of the items are sorted once and joined with those of each document where the document is read; each hit
 is extended in both directions and kept if the shared run reaches ``span``. Documents never move.
 
-The items are sent to the tasks in blocks of at most ``BLOCK_CHARS`` folded characters, however many there are, so what
-is broadcast has a fixed bound; the corpus is read once for each block.
+Benchmarks are small: up to ``MOST_BLOCKS`` blocks of ``BLOCK_CHARS`` characters the items are sent to the tasks, as the
+small side of a hash join, and the corpus is read once for each block. A larger set of items is joined by shuffle: both
+sides give each fingerprint with the characters around it, which are enough to extend a hit on the spot, and of the
+documents only fingerprints that a bit map of the items' may hold are moved. Both ways give the same pairs.
 
 Defined cases: null or short texts (under ``span`` folded characters) share nothing; repeated rows and repeated
 fingerprints give one pair; a null ``item_id`` or ``doc_id`` is left out; empty tables give no rows.
@@ -18,10 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions.fold import code_points, fold_many, gram_keys, inside
+from corpusmill.runtime import Stage
 
 SPAN = 24
 K = 12
 BLOCK_CHARS = 4_000_000
+MOST_BLOCKS = 8
+MAP_BITS = 26  # size of the map of the items' fingerprints, where they are joined
 #: Characters of a batch that are fingerprinted at once; bounds the memory of a task.
 CHUNK_CHARS = 1_000_000
 
@@ -120,10 +125,81 @@ def _blocks(items: DataFrame):
         yield ready(held)
 
 
+def _prints(batches, k: int, span: int, known):
+    """``(h, key, left, right)``: fingerprints with the ``span - k`` characters before them and ``span`` from them on."""
+    import pyarrow as pa
+    import zstandard
+
+    bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(known.value), np.uint8) if known else None
+    for batch in batches:
+        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        start, size = 0, 0
+        for stop in range(1, len(texts) + 1):
+            size += len(texts[stop - 1] or "")
+            if size < CHUNK_CHARS and stop < len(texts):
+                continue
+            folded = fold_many(texts[start:stop])
+            points, offsets = code_points(folded)
+            key, at = winnow(points, offsets, k, span)
+            if bits is not None:
+                cell = (key >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                near = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+                key, at = key[near], at[near]
+            who = np.searchsorted(offsets, at, side="right") - 1
+            rows = [(names[start + w], folded[w][max(0, p - span + k) : p], folded[w][p : p + span]) for w, p in zip(who.tolist(), (at - offsets[who]).tolist(), strict=True)]
+            for n in range(0, len(rows), 20_000):
+                ids, left, right = zip(*rows[n : n + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[n : n + 20_000].view(np.int64)), pa.array(ids, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], ["h", "key", "left", "right"])
+            start, size = stop, 0
+
+
+def _cells(batches):
+    """The map of fingerprints of a task: one compressed row."""
+    import pyarrow as pa
+    import zstandard
+
+    seen = np.zeros(1 << MAP_BITS, bool)
+    for batch in batches:
+        seen[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(seen).tobytes())], pa.binary())], ["bits"])
+
+
+def _shared(left: str, right: str) -> int:
+    n = min(len(left), len(right))
+    return next((i for i in range(n) if left[i] != right[i]), n)
+
+
+def _extended(batches, span: int):
+    import pyarrow as pa
+
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        keep = [i for i, (_, _, a, b, c, d) in enumerate(zip(*columns, strict=True)) if _shared(a[::-1], c[::-1]) + _shared(b, d) >= span]
+        yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
+
+
+def _joined(texts: DataFrame, items: DataFrame, k: int, span: int) -> DataFrame:
+    """Fingerprints of items and documents joined by shuffle; see above."""
+    import zstandard
+
+    spark, kind = texts.sparkSession, "h bigint, key bigint, left string, right string"
+    mine = Stage(items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null").distinct().mapInArrow(lambda b: _prints(b, k, span, None), kind), "prints").df
+    whole = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for row in mine.select("h").mapInArrow(_cells, "bits binary").toLocalIterator():  # one map of fixed size at a time
+        whole |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row[0])), np.uint8)
+    known = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(whole.tobytes()))
+    theirs = texts.mapInArrow(lambda b: _prints(b, k, span, known), kind)
+    hits = mine.withColumnsRenamed({"key": "item_id", "left": "l", "right": "r"}).join(theirs.withColumnRenamed("key", "doc_id"), "h")
+    return hits.select("item_id", "doc_id", "l", "r", "left", "right").mapInArrow(lambda b: _extended(b, span), "item_id bigint, doc_id bigint").distinct()
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """``(item_id, doc_id)``: documents that share a run of at least ``span`` folded characters with an item."""
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    size = items.where("item_id is not null").agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MOST_BLOCKS * BLOCK_CHARS:
+        return _joined(texts, items, k, span)
     out = None
     for block in _blocks(items):
         sent = spark.sparkContext.broadcast(block)

@@ -496,13 +496,17 @@ def _candidates(records: DataFrame, threshold: float) -> DataFrame:
     collapsed = records.select("rec", "text", "held_out", "in_train").mapInArrow(lambda b: _send_suffixes(b, buckets, hot), _BLOB)
     counted = collapsed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: _intervals(b, parts, hot), _BLOB)
     picks = Stage(counted.repartitionById(parts, F.col("bucket")).mapInArrow(lambda b: _windows(b, threshold), "rec bigint, n bigint, picks binary"), "picks")
-    texts = Stage(records.where("held_out").select("rec", "text").join(picks.df, "rec").select("rec", "text", "n", "picks"), "windows").df
+    held = Stage(records.where("held_out").select("rec", "text").join(picks.df, "rec").select("rec", "text", "n", "picks"), "windows")
+    picks.drop()
+    texts = held.df
     cells = texts.mapInArrow(_mapped, "slice int, bits binary").repartitionById(min(64, parts), F.col("slice")).mapInArrow(_merged_map, "slice int, bits binary")
     wanted = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in cells.collect()])  # 64 slices, 2 ** MAP_BITS bits together
     windows = texts.mapInArrow(lambda b: _send_windows(b, buckets, hot), _BLOB)
     matching = records.where("in_train").select("rec", "text", "n").mapInArrow(lambda b: _send_matching(b, buckets, hot, wanted), _BLOB)
     spans = matching.unionByName(windows).repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: _spans(b, threshold, parts), _BLOB)
-    return Stage(spans.repartitionById(parts, F.col("bucket")).mapInArrow(_covered, "e bigint, t bigint"), "pairs").df
+    pairs = Stage(spans.repartitionById(parts, F.col("bucket")).mapInArrow(_covered, "e bigint, t bigint"), "pairs").df
+    held.drop()
+    return pairs
 
 
 def overlaps(seq: DataFrame, seen: DataFrame, min_chars: int = 20, threshold: float = 0.7) -> DataFrame:

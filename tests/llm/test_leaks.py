@@ -21,8 +21,9 @@ def brute(docs, items, span=24):
     return out
 
 
-@pytest.mark.parametrize("extra", [False, True])
-def test_passages_against_brute_force(make, extra):
+@pytest.mark.parametrize(("extra", "most"), [(False, 8), (True, 8), (True, 0)])
+def test_passages_against_brute_force(make, extra, most, monkeypatch):
+    monkeypatch.setattr(leaks, "MOST_BLOCKS", most)  # with none, fingerprints are joined
     rng = random.Random(8)
     letters = lambda n: "".join(chr(0x4E00 + rng.randrange(400)) for _ in range(n))
     items = [{"item_id": k, "text": letters(rng.choice([5, 23, 24, 25, 60, 200])), "suite": "s"} for k in range(60)]
