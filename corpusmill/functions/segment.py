@@ -300,6 +300,24 @@ def greedy_phrases(text: str, words: frozenset[str], longest: int) -> Iterator[s
         at += n
 
 
+def agreed_phrases(text: str, first: Dictionary, second: Dictionary) -> list[tuple[str, str | None]]:
+    """Phrases from the left, each the longest that both dictionaries know with the same reading, with that reading; a character for
+    which there is none stands alone, without reading."""
+    out: list[tuple[str, str | None]] = []
+    at = 0
+    while at < len(text):
+        for n in range(min(first.longest, second.longest, len(text) - at), 0, -1):
+            word = text[at : at + n]
+            if word in first.best and word in second.best and first.best[word][1] == second.best[word][1]:
+                out.append((word, first.best[word][1]))
+                break
+        else:
+            n = 1
+            out.append((text[at], None))
+        at += n
+    return out
+
+
 def candidate_spans(text: str, least: int = 2, most: int = 12) -> list[tuple[int, int, str]]:
     """Runs of Han letters that end a clause, cut to ``most`` letters from the right; runs beside digits are left out."""
     out = []

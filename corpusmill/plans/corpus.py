@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from corpusmill.functions import text as t
 from corpusmill.operators import dedup as dd
 from corpusmill.operators import joins as jn
+from corpusmill.operators import records as rec
 from corpusmill.operators.annotations import require
 from corpusmill.operators.components import connected_components
 from corpusmill.plans.registry import query
@@ -197,8 +198,7 @@ def agg03(spark, d):
 
 @query("agg04", f"select count(*) as units, count(distinct text_hash) as sentences, count(distinct doc_hash) as docs, sum(length(text))::bigint as chars, sum(ceil(length(text)/1.6))::bigint as tokens_16, sum(ceil(length(text)/2.5))::bigint as tokens_25 from {_U}")
 def agg04(spark, d):
-    n = F.length("text")
-    return units(spark, d).agg(F.count("*").alias("units"), F.count_distinct("text_hash").alias("sentences"), F.count_distinct("doc_hash").alias("docs"), F.sum(n).alias("chars"), F.sum(F.ceil(n / 1.6)).alias("tokens_16"), F.sum(F.ceil(n / 2.5)).alias("tokens_25"))
+    return rec.corpus_stats(units(spark, d), "text", "text_hash", "doc_hash", {"tokens_16": 1.6, "tokens_25": 2.5})
 
 
 @query("agg05", "select k as metric, sum(v)::bigint as total from (select unnest(['chars','lines','marks']) as k, unnest([length(text), length(text)-length(replace(text,chr(10),''))+1, length(regexp_replace(text,'[^。！？]','','g'))]) as v from documents where text is not null) group by 1")
@@ -210,8 +210,7 @@ def agg05(spark, d):
 
 @query("agg06", f"with c as ({_CLASSIFY}) select decision, reason, count(*) as docs from (select decision, unnest(case when reasons='' then ['none'] else string_split(reasons,',') end) as reason from c) group by 1,2")
 def agg06(spark, d):
-    x = classified(spark, d).select("decision", F.explode(F.when(F.size("reasons") == 0, F.array(F.lit("none"))).otherwise(F.col("reasons"))).alias("reason"))
-    return x.groupBy("decision", "reason").agg(F.count("*").alias("docs"))
+    return rec.reason_counts(classified(spark, d), "decision", "reasons")
 
 
 _HOSTS = f"(select d.host, count(*) as docs, count(*) filter (c.decision='drop') as drops from documents d join ({_CLASSIFY}) c using (doc_id) where host is not null group by 1)"
@@ -219,14 +218,12 @@ _HOSTS = f"(select d.host, count(*) as docs, count(*) filter (c.decision='drop')
 
 @query("agg07", f"select host, docs, drops, docs-drops as survivors from {_HOSTS} where docs>=10 and drops>=0.03*docs")
 def agg07(spark, d):
-    x = classified(spark, d).where("host is not null").groupBy("host").agg(F.count("*").alias("docs"), F.count_if(F.col("decision") == "drop").alias("drops"))
-    return x.where("docs >= 10 and drops >= 0.03 * docs").withColumn("survivors", F.col("docs") - F.col("drops"))
+    return rec.host_stats(classified(spark, d), "host", "decision", 10, 0.03)
 
 
 @query("agg08", "select regexp_extract(host,'([^.]+\\.[^.]+)$',1) as domain, count(distinct host) as hosts, count(*) as docs from documents where host is not null group by 1 having count(distinct host)>=1")
 def agg08(spark, d):
-    x = T(spark, d, "documents").where("host is not null").groupBy(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"), "host").agg(F.count("*").alias("n"))
-    return x.groupBy("domain").agg(F.count("*").alias("hosts"), F.sum("n").alias("docs")).where("hosts >= 1")
+    return rec.domain_farms(T(spark, d, "documents"), "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), 1)
 
 
 @query("agg09", f"select term, source, count(*) as docs from (select distinct doc_id, source, unnest(regexp_extract_all(lower(text), '({_ALT})')) as term from documents) group by grouping sets ((term),(source),(term,source))")
@@ -291,28 +288,25 @@ def agg29(spark, d):
 
 @query("agg30", "select floor(epoch(ts)/1800)::bigint as bucket, min(value) as least, max(value) as peak, median(value) as median, count(*) as samples from events group by 1")
 def agg30(spark, d):
-    b = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 1800)
-    return T(spark, d, "events").groupBy(b.alias("bucket")).agg(F.min("value").alias("least"), F.max("value").alias("peak"), F.median("value").alias("median"), F.count("*").alias("samples"))
+    return rec.sample_windows(T(spark, d, "events"), "ts", "value", 1800)
 
 
 @query("agg31", "select split, pool, count(distinct sig) as screened, count(distinct case when sig in (select sig from seen where split='train') then sig end) as flagged from seq group by 1,2")
 def agg31(spark, d):
-    known = T(spark, d, "seen").where("split = 'train' and sig is not null").select("sig", F.lit(True).alias("hit")).distinct()
-    return T(spark, d, "seq").select("split", "pool", "sig").distinct().join(known, "sig", "left").groupBy("split", "pool").agg(F.count("sig").alias("screened"), F.count_if("hit").alias("flagged"))
+    return rec.overlap_summary(T(spark, d, "seq"), T(spark, d, "seen").where("split = 'train'"), ["split", "pool"], "sig")
 
 
 @query("agg32", "select kind, word, w from (select kind, word, sum(weight) as w, sum(sum(weight)) over (partition by kind) as a from (select distinct word, kind, weight from lexicon where weight is not null) group by 1,2) where w>=0.05*a")
 def agg32(spark, d):
-    x = T(spark, d, "lexicon").where("weight is not null").select("word", "kind", "weight").distinct().groupBy("kind", "word").agg(F.sum("weight").alias("w"))
-    return x.withColumn("a", F.sum("w").over(Window.partitionBy("kind"))).where("w >= 0.05 * a").select("kind", "word", "w")
+    return rec.usable(T(spark, d, "lexicon").select("word", "kind", "weight").distinct(), "kind", "word", "weight", 0.05)
 
 
-@query("agg33", "select count(*) as rows from lineitem")
+@query("agg33", "select l_returnflag, count(*) as rows from lineitem group by 1")
 def agg33(spark, d):
-    """The rows of all parts, equal to those of the whole, or the query fails."""
+    """Counters by ship year, summed, against those of the whole table counted anew; a difference fails the query."""
     li = T(spark, d, "lineitem")
-    parts = li.groupBy("l_returnflag").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"))
-    return require(parts.crossJoin(li.agg(F.count("*").alias("whole"))), F.col("rows") == F.col("whole"), "counters differ").select("rows")
+    parts = li.groupBy(F.year("l_shipdate").alias("part"), "l_returnflag").agg(F.count("*").alias("rows"))
+    return rec.same_counters(parts, li.groupBy("l_returnflag").agg(F.count("*").alias("rows")), "l_returnflag", "rows")
 
 
 # ---- windows and orders
@@ -515,27 +509,27 @@ def spl03(spark, d):
 
 @query("spl04", "select id, case when h<9800 then 'train' when h<9900 then 'validation' else 'test' end as split from (select distinct id, ('0x'||substr(sha256(id),1,15))::ubigint%10000 as h from docs where id is not null)")
 def spl04(spark, d):
-    h = F.pmod(F.conv(F.substring(F.sha2("id", 256), 1, 15), 16, 10).cast("bigint"), F.lit(10000))
-    return T(spark, d, "docs").where("id is not null").select("id").distinct().select("id", F.when(h < 9800, "train").when(h < 9900, "validation").otherwise("test").alias("split"))
+    split = rec.modulo_split(F.col("id"), 10_000, [(9_800, "train"), (9_900, "validation")], "test")
+    return T(spark, d, "docs").where("id is not null").select("id").distinct().select("id", split.alias("split"))
 
 
 @query("spl05", f"select doc_id, case when u<0.001 then 0 when u<0.01 then 3 when u<0.05 then 2 when u<0.2 then 1 end as tier from (select doc_id, {_FRAC.format(chr(39)+'pool:'+chr(39)+'||doc_id')} as u from documents)")
 def spl05(spark, d):
-    u = t.hash_fraction(F.lit("pool:"), F.col("doc_id").cast("string"))
-    return T(spark, d, "documents").select("doc_id", F.when(u < 0.001, 0).when(u < 0.01, 3).when(u < 0.05, 2).when(u < 0.2, 1).alias("tier"))
+    """Pools inside each other, and a probe tier of its own."""
+    tier = rec.hash_tier(F.col("doc_id").cast("string"), "pool:", [(0.001, 0), (0.01, 3), (0.05, 2), (0.2, 1)])
+    return T(spark, d, "documents").select("doc_id", tier.alias("tier"))
 
 
 @query("spl06", "select distinct o_custkey, case when row_number() over (partition by p order by sha256('42:'||o_custkey))<=20 then 'dev' else 'blind' end as role from (select o_custkey, min(o_orderpriority) as p from orders group by 1)")
 def spl06(spark, d):
     a = T(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("p"))
-    a = a.withColumn("h", F.sha2(F.concat(F.lit("42:"), F.col("o_custkey").cast("string")), 256))
-    return dd.global_rank(a, ["h", "o_custkey"], ["p"]).select("o_custkey", F.when(F.col("rank") <= 20, "dev").otherwise("blind").alias("role"))
+    return rec.capped_role(a, "o_custkey", "p", 20, 42, "dev", "blind")
 
 
 @query("spl07", f"select id, case when u<0.3 then 'plain' when u<0.5 then 'keyed' end as use from (select distinct id, {_FRAC.format(chr(39)+'use:'+chr(39)+'||id')} as u from seq) where u<0.5")
 def spl07(spark, d):
-    u = t.hash_fraction(F.lit("use:"), F.col("id").cast("string"))
-    return T(spark, d, "seq").select("id").distinct().where(u < 0.5).select("id", F.when(u < 0.3, "plain").otherwise("keyed").alias("use"))
+    use = rec.hash_tier(F.col("id").cast("string"), "use:", [(0.3, "plain"), (0.5, "keyed")])
+    return T(spark, d, "seq").select("id").distinct().select("id", use.alias("use")).where("use is not null")
 
 
 @query("set01", "select sig from seen where split<>'train' union select sig from seq where split<>'train' and sig is not null")
@@ -633,13 +627,12 @@ def smp08(spark, d):
 
 @query("gov05", "select alias_key, count(distinct doc_hash) as hashes from aliases where alias_key is not null group by 1 having count(distinct doc_hash)>1")
 def gov05(spark, d):
-    return T(spark, d, "aliases").where("alias_key is not null").groupBy("alias_key").agg(F.count_distinct("doc_hash").alias("hashes")).where("hashes > 1")
+    return rec.ambiguous(T(spark, d, "aliases"), "alias_key", "doc_hash", "hashes")
 
 
 @query("gov06", "select c.doc_hash, case d.r when 0 then 'keep' when 1 then 'fix' when 2 then 'drop' else 'open' end as decision from contents c left join (select id, max(case split when 'train' then 0 when 'validation' then 1 else 2 end) as r from docs group by 1) d on d.id=c.doc_hash")
 def gov06(spark, d):
     """Decisions of several reviewers merged: the strictest counts; without review a record stays open."""
-    rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)
-    x = T(spark, d, "docs").groupBy(F.col("id").alias("doc_hash")).agg(F.max(rank).alias("r"))
-    decision = F.when(F.col("r") == 0, "keep").when(F.col("r") == 1, "fix").when(F.col("r") == 2, "drop").otherwise("open")
-    return T(spark, d, "contents").select("doc_hash").join(x, "doc_hash", "left").select("doc_hash", decision.alias("decision"))
+    named = F.when(F.col("split") == "train", "keep").when(F.col("split") == "validation", "fix").otherwise("drop")
+    reviews = T(spark, d, "docs").select(F.col("id").alias("doc_hash"), named.alias("decision"))
+    return rec.merged_decisions(T(spark, d, "contents"), reviews, "doc_hash", "decision", ["keep", "fix", "drop"])
\ No newline at end of file

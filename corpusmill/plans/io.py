@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
 from corpusmill.operators import documents as doc
+from corpusmill.operators import records as rec
 from corpusmill.plans.registry import query
 from corpusmill.plans.text import _ALT, _CLEAN, _GLUED, _NORM, _STRIP, _URL, _WORD
 from corpusmill.runtime import scratch_dir, shuffle_partitions, table, write_bytes
@@ -216,16 +217,12 @@ def snk06(spark, d):
 
 @query("snk07", "select distinct o.doc_id, o.source_file, o.row_index, c.group_id, c.split_rank from origins o join contents c using (doc_hash)")
 def snk07(spark, d):
-    return table(spark, d, "origins").select("doc_hash", "doc_id", "source_file", "row_index").join(table(spark, d, "contents"), "doc_hash").select("doc_id", "source_file", "row_index", "group_id", "split_rank").distinct()
+    return rec.documents_log(table(spark, d, "origins"), table(spark, d, "contents"), "doc_hash", ["doc_id", "source_file", "row_index"], ["group_id", "split_rank"])
 
 
 @query("snk08", "with u as (select distinct doc_hash, text_hash from units), w as (select text_hash, min(doc_hash) as winner from u group by 1) select o.doc_id, o.row_index, u.text_hash, u.doc_hash=w.winner as retained, count(*) as n from u join w using (text_hash) join origins o using (doc_hash) join contents c using (doc_hash) group by 1,2,3,4")
 def snk08(spark, d):
-    u = table(spark, d, "units").select("doc_hash", "text_hash").distinct()
-    w = u.groupBy("text_hash").agg(F.min("doc_hash").alias("winner"))
-    o = table(spark, d, "origins").select("doc_hash", "doc_id", "row_index")
-    x = u.join(w, "text_hash").join(o, "doc_hash").join(table(spark, d, "contents").select("doc_hash"), "doc_hash")
-    return x.groupBy("doc_id", "row_index", "text_hash", (F.col("doc_hash") == F.col("winner")).alias("retained")).agg(F.count("*").alias("n"))
+    return rec.provenance(table(spark, d, "units"), table(spark, d, "origins"), table(spark, d, "contents"), "doc_hash", "text_hash", ["doc_id", "row_index"])
 
 
 @query("snk09")

@@ -157,6 +157,21 @@ def seg08(spark, d):
     return table(spark, d, "eval_items").select("item_id", F.posexplode(f(F.col("left_context"))).alias("pos", "phrase"))
 
 
+@query("seg08_agreed")
+def seg08_agreed(spark, d):
+    """Phrases of two dictionaries that agree on the reading; the second reads words of an even length backwards."""
+    words = _lexicon(spark, d)
+    kind = StructType([StructField("phrase", StringType()), StructField("reading", StringType())])
+
+    @F.pandas_udf(ArrayType(kind))
+    def over(texts: pd.Series) -> pd.Series:
+        first = s.Dictionary([(w, w.lower(), n) for w, _, n in words.value])
+        second = s.Dictionary([(w, w.lower() if len(w) % 2 else w.lower()[::-1], n) for w, _, n in words.value])
+        return texts.map(lambda x: [{"phrase": a, "reading": b} for a, b in s.agreed_phrases(x or "", first, second)])
+
+    return table(spark, d, "eval_items").select("item_id", F.posexplode(over("text")).alias("pos", "x")).select("item_id", "pos", "x.*").where("reading is not null")
+
+
 @query("seg09")
 def seg09(spark, d):
     f = _with_dictionary(_lexicon(spark, d), lambda book, x: book.segment(x))

@@ -660,3 +660,33 @@ def test_cursors_and_retries(spark, tmp_path):
         streams.retried(lambda: {}["x"], sleep=waits.append)
     assert keys.outlier(["a", "a", "b"]) == "third" and keys.outlier(["a", "b", "c"]) == "all" and keys.outlier(["a", None, "a"]) is None
     assert keys.keystrokes(["ab", "c"]) == (5, [3, 5]) and keys.abbreviations([["ni", "hao"], ["ma"]])[:4] == ["nihaoma", "nhm", "nihaom", "nhma"]
+
+
+def test_records(spark):
+    from corpusmill.operators import records as rec
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rows = frame([("a",), ("b",), ("c",)], "k string")
+    reviews = frame([("a", "keep"), ("a", "drop"), ("b", "fix"), ("x", "keep")], "k string, decision string")
+    merged = lambda r: {tuple(x) for x in rec.merged_decisions(rows, r, "k", "decision", ["keep", "fix", "drop"]).collect()}
+    assert merged(reviews) == {("a", "drop"), ("b", "fix"), ("c", "open")} and merged(reviews.limit(0)) == {(k, "open") for k in "abc"}
+    with pytest.raises(Exception, match="unknown decision"):
+        merged(frame([("a", "what")], "k string, decision string"))
+    parts = frame([("p", "x", 1), ("q", "x", 2), ("q", None, 4)], "part string, k string, n bigint")
+    whole = lambda *v: frame(v, "k string, n bigint")
+    assert {tuple(r) for r in rec.same_counters(parts, whole(("x", 3), (None, 4)), "k", "n").collect()} == {("x", 3), (None, 4)}
+    for bad in (whole(("x", 2), (None, 4)), whole(("x", 3)), whole(("x", 3), (None, 4), ("y", 1))):
+        with pytest.raises(Exception, match="differ"):
+            rec.same_counters(parts, bad, "k", "n").collect()
+    u = frame([(x,) for x in (0.0, 0.25, 0.5, 0.99, None)], "u double")
+    assert [r[0] for r in u.select(rec.by_bounds(F.col("u"), [(0.25, "a"), (0.5, "b")], "c")).collect()] == ["a", "b", "c", "c", "c"]
+    roles = rec.capped_role(frame([(i, "hot") for i in range(50)] + [(99, None)], "i int, s string"), "i", "s", 7, 1, "in", "out").groupBy("role").count().collect()
+    assert {tuple(r) for r in roles} == {("in", 8), ("out", 43)}
+    assert rec.ambiguous(frame([("k", "1"), ("k", "1"), ("l", "1"), ("l", "2"), (None, "1"), (None, "2")], "k string, v string"), "k", "v").collect() == [("l", 2)]
+    units = frame([("d1", "t"), ("d2", "t"), ("d2", "t"), ("d3", "s")], "d string, t string")
+    origins = frame([("d1", 1), ("d2", 2), ("d2", 3), ("d9", 4)], "d string, o int")
+    contents = frame([("d1", "g"), ("d2", None)], "d string, g string")
+    assert {tuple(r) for r in rec.provenance(units, origins, contents, "d", "t", ["o"]).collect()} == {(1, "t", True, 1), (2, "t", False, 1), (3, "t", False, 1)}
+    assert {tuple(r) for r in rec.documents_log(origins, contents, "d", ["o"], ["g"]).collect()} == {(1, "g"), (2, None), (3, None)}
+    book = lambda **words: segment.Dictionary([(w, r, 1.0) for w, r in words.items()])
+    assert segment.agreed_phrases("abcx", book(ab="1", a="2", c="3"), book(ab="9", a="2", c="3")) == [("a", "2"), ("b", None), ("c", "3"), ("x", None)]
