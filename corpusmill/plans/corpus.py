@@ -606,14 +606,18 @@ def smp06(spark, d):
     return dd.top(x, ["split", "source"], [F.sha2(F.concat(F.lit("audit:"), F.col("id").cast("string")), 256)], 3).select("split", "source", "id")
 
 
-@query("smp07")
+_H15 = lambda key: f"('0x'||substr(sha256({key}),1,15))::ubigint"
+
+
+@query("smp07", f"with x as (select item_id, case when length(text)<=32 then 'short' when length(text)<=64 then 'medium' else 'long' end as bucket from eval_items), p as (select *, row_number() over (partition by bucket order by sha256(item_id::varchar), item_id) as pos, count(*) over (partition by bucket) as size from x), d as (select range as draw, ['short','medium','long'][({_H15(chr(39) + 'bucket:' + chr(39) + '||range')}%3+1)::int] as bucket from range(0,100)) select draw, item_id from d join p on p.bucket=d.bucket and p.pos={_H15(chr(39) + 'item:' + chr(39) + '||draw')}%size+1")
 def smp07(spark, d):
     """One item for each draw: a length bucket by hash, then an item of it by hash."""
+    h = lambda salt: F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.col("draw").cast("string")), 256), 1, 15), 16, 10).cast("bigint")
     x = T(spark, d, "eval_items").select("item_id", t.length_bucket(F.length("text"), [(32, "short"), (64, "medium")], "long").alias("bucket"))
-    x = x.withColumn("pos", F.row_number().over(Window.partitionBy("bucket").orderBy(F.sha2(F.col("item_id").cast("string"), 256)))).withColumn("size", F.count("*").over(Window.partitionBy("bucket")))
-    b = F.element_at(F.array(F.lit("short"), F.lit("medium"), F.lit("long")), F.pmod(F.xxhash64(F.lit("bucket"), "id"), F.lit(3)).cast("int") + 1)
-    draws = spark.range(100).select("id", b.alias("bucket")).join(x.select("bucket", "size").distinct(), "bucket")
-    return draws.select("id", "bucket", (F.pmod(F.xxhash64(F.lit("item"), "id"), F.col("size")) + 1).alias("pos")).join(x, ["bucket", "pos"]).select(F.col("id").alias("draw"), "item_id")
+    x = dd.global_rank(x.withColumn("h", F.sha2(F.col("item_id").cast("string"), 256)), ["h", "item_id"], ["bucket"], size="size").select("bucket", "item_id", F.col("rank").alias("pos"), "size")
+    b = F.element_at(F.array(F.lit("short"), F.lit("medium"), F.lit("long")), F.pmod(h("bucket:"), F.lit(3)).cast("int") + 1)
+    draws = spark.range(100).withColumnRenamed("id", "draw").withColumn("bucket", b).join(x.select("bucket", "size").distinct(), "bucket")
+    return draws.select("draw", "bucket", (F.pmod(h("item:"), F.col("size")) + 1).alias("pos")).join(x, ["bucket", "pos"]).select("draw", "item_id")
 
 
 @query("smp08", "select id, case when h<25 then 'a' when h<60 then 'b' when h<72 then 'c' end as part from (select distinct id, ('0x'||substr(sha256('parent:'||doc),1,15))::ubigint%100 as h from seq where doc is not null) where h<72")

@@ -156,12 +156,12 @@ def src19(spark, d):
     return r.xml_samples(spark, path, "sample", "id bigint, name string")
 
 
-@query("src20")
+@query("src20", "select event_type as name, count(*) as n, round(sum(abs(value)),4) as busy from events where value is not null group by 1")
 def src20(spark, d):
+    """A trace written as one document for each group of events, read back as intervals."""
     events = table(spark, d, "events").select(F.struct(F.col("event_type").alias("name"), F.lit("X").alias("ph"), F.col("event_id").cast("double").alias("ts"), F.abs("value").alias("dur")).alias("e"), F.pmod("event_id", F.lit(64)).alias("k"))
     path = written(spark, events.groupBy("k").agg(F.collect_list("e").alias("traceEvents")).select("traceEvents"), "json", "trace")
-    found = spark.read.schema("traceEvents array<struct<name:string,ph:string,ts:double,dur:double>>").json(path).select(F.explode("traceEvents").alias("e"))
-    return found.where("e.ph = 'X' and e.dur >= 0").groupBy("e.name").agg(F.count("*").alias("n"))
+    return r.trace_intervals(spark, path, multi_line=False).groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("end") - F.col("start")), 4).alias("busy"))
 
 
 @query("src21", "select o_orderkey from orders where o_orderkey%16=3")

@@ -79,7 +79,7 @@ def top03(spark, d):
     return rk.rerank(pool(spark, d), "item", F.col("engine")).select("item", "pos", "rank")
 
 
-@query("top04")
+@query("top04", "with f as (select p_brand, min(p_partkey) as k from part where p_name is not null group by p_brand, left(p_name,4)), r as (select p_brand, k, row_number() over (partition by p_brand order by k)-1 as pos from f) select r.p_brand, pos, p_name as name from r join part on p_partkey=k where pos<5")
 def top04(spark, d):
     """The first name of each start of four characters over all parts of a brand, and of these the first five."""
     first = table(spark, d, "part").where("p_name is not null").groupBy("p_brand", F.substring("p_name", 1, 4).alias("start")).agg(F.min(F.struct("p_partkey", "p_name")).alias("s"))

@@ -184,7 +184,10 @@ def top05(spark, d):
     return table(spark, d, "eval_items").where("left_context is not null").select("item_id", F.posexplode(f(F.col("left_context"))).alias("rank", "path"))
 
 
-@query("seg10")
+_U01 = lambda key: f"(('0x'||substr(sha256({key}),1,16))::ubigint::double/18446744073709551616.0)"
+
+
+@query("seg10", f"with n as (select item_id, text, case when {_U01(chr(39) + 'span:' + chr(39) + '||item_id')}<0.5 then 2 when {_U01(chr(39) + 'span:' + chr(39) + '||item_id')}<0.8 then 4 else 8 end as span_length, {_U01(chr(39) + 'at:' + chr(39) + '||item_id')} as u from eval_items) select item_id, span_length, substring(text, floor(u*greatest(length(text)-span_length,1))::int+1, span_length) as span from n")
 def seg10(spark, d):
     """A span of each item, its length drawn by weight from the item's hash."""
     x = F.col("text")

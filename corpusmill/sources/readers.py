@@ -139,9 +139,9 @@ def xml_samples(spark: SparkSession, path: str, row_tag: str, schema: str) -> Da
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
-def trace_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """Complete events of a profiler trace as ``(name, start, end)``."""
-    raw = spark.read.schema("traceEvents array<struct<name:string,ph:string,ts:double,dur:double>>").option("multiLine", True).json(path)
+def trace_intervals(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Complete events of a profiler trace as ``(name, start, end)``; a file is one document, or has one a line."""
+    raw = spark.read.schema("traceEvents array<struct<name:string,ph:string,ts:double,dur:double>>").option("multiLine", multi_line).json(path)
     return raw.select(F.explode("traceEvents").alias("e")).where("e.ph = 'X' and e.dur >= 0").select("e.name", F.col("e.ts").alias("start"), (F.col("e.ts") + F.col("e.dur")).alias("end"))
 
 
