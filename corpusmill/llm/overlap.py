@@ -37,7 +37,7 @@ SPARE = 2  # windows that a pair must share beyond the one that is certain
 SIZES = 4  # classes of shorter training texts, each with windows of its own
 HOT = 2000
 CHUNK = 1_000_000  # suffixes that a map task collapses at a time
-MAP_BITS = 26  # size of the map of picked windows that training suffixes are checked against
+MAP_BITS = 26  # size at most of the map of picked windows that training suffixes are checked against
 EVAL = ("validation", "test")
 _NEVER = 31  # code of a length that would run over the end of the text
 
@@ -329,18 +329,18 @@ def _picked(batch):
     return k0[at], k1[at], pick >> 8 & 15, pick & 255, row, pick >> 12
 
 
-def _mapped(batches):
+def _mapped(batches, bits: int):
     """Which cells of the map of windows are set: compressed slices of it."""
     import pyarrow as pa
     import zstandard
 
-    seen = np.zeros(1 << MAP_BITS, bool)
+    seen = np.zeros(1 << bits, bool)
     for batch in batches:
         if batch.num_rows:
             k0, k1, length, *_ = _picked(batch)
             for x in LENGTHS:
                 of = length == x
-                seen[(_key(k0[of], k1[of], x) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+                seen[(_key(k0[of], k1[of], x) >> np.uint64(64 - bits)).astype(np.int64)] = True
     slices = [zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for s in np.packbits(seen).reshape(64, -1)]
     yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(slices, pa.binary())], ["slice", "bits"])
 
@@ -372,11 +372,11 @@ def _send_windows(batches, buckets: int, hot: _Hot):
         yield _blobs([k0[at], k1[at], rec[at], info.astype(np.uint64)[at], place.astype(np.uint64)[at]], runs.bucket_of(key[at] + mix64(salt.astype(np.uint64)) * (salt > 0).astype(np.uint64), buckets), 1)
 
 
-def _send_matching(batches, buckets: int, hot: _Hot, wanted):
+def _send_matching(batches, buckets: int, hot: _Hot, wanted, size: int):
     """Training suffixes that may start with a picked window."""
     import zstandard
 
-    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8).reshape(64, -1)
+    bits = np.zeros(1 << (size - 3), np.uint8).reshape(64, -1)
     for at, part in wanted.value:
         bits[at] = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.uint8)
     bits = bits.ravel()
@@ -388,7 +388,7 @@ def _send_matching(batches, buckets: int, hot: _Hot, wanted):
         for lengths in ((3, 4), (5, 6, 7, 8)):
             hit = np.zeros(len(k0), bool)
             for x in lengths:
-                cell = (_key(k0, k1, x) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                cell = (_key(k0, k1, x) >> np.uint64(64 - size)).astype(np.int64)
                 hit |= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
             hits.append(hit)
         rec, n = batch.column(0).to_numpy().astype(np.uint64), batch.column(2).to_numpy().astype(np.uint64)
@@ -492,6 +492,7 @@ def _candidates(records: DataFrame, threshold: float) -> DataFrame:
     # A prefix over 1/HOT of all is so in some chunk, and at most HOT of either length are: a bounded list.
     frequent = records.select("text").mapInArrow(_count_frequent, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1000, places // HOT)).toPandas()
     buckets = runs.buckets_for(places, 4, parts)
+    bits = min(MAP_BITS, max(16, places.bit_length() + 2))
     hot = _Hot(frequent["key"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64), places // buckets + 1)
     collapsed = records.select("rec", "text", "held_out", "in_train").mapInArrow(lambda b: _send_suffixes(b, buckets, hot), _BLOB)
     counted = collapsed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: _intervals(b, parts, hot), _BLOB)
@@ -499,10 +500,10 @@ def _candidates(records: DataFrame, threshold: float) -> DataFrame:
     held = Stage(records.where("held_out").select("rec", "text").join(picks.df, "rec").select("rec", "text", "n", "picks"), "windows")
     picks.drop()
     texts = held.df
-    cells = texts.mapInArrow(_mapped, "slice int, bits binary").repartitionById(min(64, parts), F.col("slice")).mapInArrow(_merged_map, "slice int, bits binary")
+    cells = texts.mapInArrow(lambda b: _mapped(b, bits), "slice int, bits binary").repartitionById(min(64, parts), F.col("slice")).mapInArrow(_merged_map, "slice int, bits binary")
     wanted = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in cells.collect()])  # 64 slices, 2 ** MAP_BITS bits together
     windows = texts.mapInArrow(lambda b: _send_windows(b, buckets, hot), _BLOB)
-    matching = records.where("in_train").select("rec", "text", "n").mapInArrow(lambda b: _send_matching(b, buckets, hot, wanted), _BLOB)
+    matching = records.where("in_train").select("rec", "text", "n").mapInArrow(lambda b: _send_matching(b, buckets, hot, wanted, bits), _BLOB)
     spans = matching.unionByName(windows).repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: _spans(b, threshold, parts), _BLOB)
     pairs = Stage(spans.repartitionById(parts, F.col("bucket")).mapInArrow(_covered, "e bigint, t bigint"), "pairs").df
     held.drop()
