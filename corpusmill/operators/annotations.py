@@ -41,11 +41,26 @@ def strata(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("stratum", F.explode(names))
 
 
+def parsed_replies(replies: DataFrame, batch: str, reply: str, decisions: tuple[str, ...]) -> DataFrame:
+    """``(batch, key, decision, error)`` of replies in JSON, ``{"decisions": [{"key": .., "decision": ..}]}``, read strictly: ``json`` for what
+    does not parse or has other fields, ``empty`` for no decision, ``field`` for a null key, ``decision`` for an unknown one."""
+    form = "decisions array<struct<key:string,decision:string>>, _bad string"
+    x = replies.select(batch, F.from_json(reply, form, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.json_object_keys(reply).alias("k"))
+    broken = F.col("r").isNull() | F.col("r._bad").isNotNull() | (F.coalesce(F.array_join("k", ","), F.lit("")) != "decisions") | F.col("r.decisions").isNull()
+    rows = x.select(batch, F.explode(F.when(broken | (F.size("r.decisions") == 0), F.array(F.lit(None).cast("struct<key:string,decision:string>"))).otherwise(F.col("r.decisions"))).alias("d"), broken.alias("broken"))
+    error = F.when(F.col("broken"), "json").when(F.col("d").isNull(), "empty").when(F.col("d.key").isNull() | F.col("d.decision").isNull(), "field").when(~F.col("d.decision").isin(*decisions), "decision")
+    return rows.select(batch, "d.key", "d.decision", error.alias("error"))
+
+
 def reply_check(requests: DataFrame, replies: DataFrame, batch: str, key: str) -> DataFrame:
-    """Batches whose replies name exactly the requested keys, each once; nothing of a batch is accepted in part."""
-    asked = requests.groupBy(batch).agg(F.array_sort(F.collect_list(key)).alias("asked"))
-    told = replies.groupBy(batch).agg(F.array_sort(F.collect_list(key)).alias("told"))
-    return asked.join(told, batch, "left").select(batch, F.coalesce(F.col("asked") == F.col("told"), F.lit(False)).alias("accepted"))
+    """``(batch, accepted)``: batches whose replies name exactly the requested keys, each once and without an ``error``; nothing of a batch is
+    accepted in part. Counted by key first, so that a large batch is no list."""
+    bad = F.col("error").isNotNull() if "error" in replies.columns else F.lit(False)
+    told = replies.groupBy(F.col(batch).alias("_batch"), F.col(key).cast("string").alias("_key")).agg(F.count("*").alias("_n"), F.bool_or(bad).alias("_bad"))
+    asked = requests.select(F.col(batch).alias("_batch"), F.col(key).cast("string").alias("_key"), F.lit(True).alias("_asked")).distinct()
+    both = asked.join(told, ["_batch", "_key"], "full_outer")
+    fits = F.coalesce(F.col("_asked") & (F.col("_n") == 1) & ~F.col("_bad"), F.lit(False))
+    return both.groupBy(F.col("_batch").alias(batch)).agg(F.bool_and(fits).alias("accepted"), F.bool_or(F.col("_asked").isNotNull()).alias("_known")).where("_known").drop("_known")
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

@@ -322,10 +322,14 @@ def ann01(spark, d):
     return ann.apply_labels(_units(spark, d), _labels(spark, d), _KEYS, default="none").groupBy("action").agg(F.count("*").alias("units"))
 
 
-@query("ann02", f"select doc_hash, snapshot, (select count(*) from {_U} u where u.doc_hash=l.doc_hash and u.text=l.snapshot) as matches from {_L} l where action='drop'")
+_F = "(select distinct doc_hash, text, spans from units where spans is not null)"
+
+
+@query("ann02", f"select doc_hash, text, spans, (select count(*) from {_F} u where u.doc_hash=l.doc_hash and u.text=l.text and u.spans=l.spans) as matches from {_F} l where length(text)<24")
 def ann02(spark, d):
-    fragments = _labels(spark, d).where("action = 'drop'").select("doc_hash", "snapshot")
-    return ann.match_fragments(fragments, _units(spark, d).withColumnRenamed("text", "snapshot"), ["doc_hash", "snapshot"])
+    """Labels of short fragments, matched by document, text and spans."""
+    u = table(spark, d, "units").where("spans is not null").select("doc_hash", "text", "spans").distinct()
+    return ann.match_fragments(u.where(F.length("text") < 24), u, ["doc_hash", "text", "spans"])
 
 
 @query("ann03", "select distinct doc_hash from aliases where doc_hash is not null and doc_hash not in (select doc_hash from contents where doc_hash is not null)")
@@ -355,8 +359,14 @@ def ann06(spark, d):
     return ann.strata(_units(spark, d), rules).groupBy("stratum").agg(F.count("*").alias("units"))
 
 
-@query("ann07", "with a as (select o_custkey as batch, count(*) n from orders group by 1), b as (select o_custkey as batch, count(*) n from orders where o_orderstatus<>'P' group by 1) select a.batch, coalesce(a.n=b.n,false) as accepted from a left join b using (batch)")
+@query("ann07", """with o as (select o_custkey as batch, o_orderkey, o_orderstatus from orders), r as (select *, batch%13=0 as torn, batch%17=0 as other from o where o_orderstatus<>'P' or batch%5<>0)
+select a.batch, coalesce(a.n=b.n,false) and a.batch%13<>0 and a.batch%17<>0 as accepted from (select batch, count(*) n from o group by 1) a left join (select batch, count(*) n from r group by 1) b using (batch)""")
 def ann07(spark, d):
-    """Customers as batches of requests, their settled orders as replies."""
-    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "batch")
-    return ann.reply_check(o, o.where("o_orderstatus <> 'P'"), "batch", "o_orderkey")
+    """Customers as batches of requests; replies in JSON, of which some lack orders, some are torn, and some decide on something else."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("batch"), "o_orderkey", "o_orderstatus")
+    told = o.where("o_orderstatus <> 'P' or batch % 5 <> 0")
+    word = F.when(F.col("batch") % 17 == 0, "maybe").otherwise("keep")
+    made = told.groupBy("batch").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("key"), word.alias("decision"))).alias("decisions"))).alias("reply"))
+    torn = made.withColumn("reply", F.when(F.col("batch") % 13 == 0, F.substr("reply", F.lit(1), F.length("reply") - 2)).otherwise(F.col("reply")))
+    replies = ann.parsed_replies(torn, "batch", "reply", ("keep", "fix", "drop")).withColumnRenamed("key", "o_orderkey")
+    return ann.reply_check(o, replies, "batch", "o_orderkey")

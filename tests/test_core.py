@@ -690,3 +690,13 @@ def test_records(spark):
     assert {tuple(r) for r in rec.documents_log(origins, contents, "d", ["o"], ["g"]).collect()} == {(1, "g"), (2, None), (3, None)}
     book = lambda **words: segment.Dictionary([(w, r, 1.0) for w, r in words.items()])
     assert segment.agreed_phrases("abcx", book(ab="1", a="2", c="3"), book(ab="9", a="2", c="3")) == [("a", "2"), ("b", None), ("c", "3"), ("x", None)]
+
+
+def test_replies_are_read_strictly(spark):
+    asked = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("c", "1"), ("d", "1"), ("e", "1"), ("f", "1"), ("g", "1"), ("h", "1")], "batch string, key string")
+    one = '{"decisions":[{"key":"1","decision":"keep"}]}'
+    told = [("a", '{"decisions":[{"key":"1","decision":"keep"},{"key":"2","decision":"drop"}]}'), ("b", one), ("c", one[:-2]), ("d", '{"decisions":[{"key":"1","decision":"maybe"}]}'), ("e", '{"decisions":[]}'), ("f", '{"decisions":[{"key":"1","decision":"keep"},{"key":"1","decision":"keep"}]}'), ("g", one[:-1] + ',"note":1}'), ("x", one)]
+    replies = ann.parsed_replies(spark.createDataFrame(told, "batch string, reply string"), "batch", "reply", ("keep", "fix", "drop"))
+    errors = {r["batch"]: r["error"] for r in replies.collect()}
+    assert errors == {"a": None, "b": None, "c": "json", "d": "decision", "e": "empty", "f": None, "g": "json", "x": None}
+    assert {tuple(r) for r in ann.reply_check(asked, replies, "batch", "key").collect()} == {("a", True), ("b", True), *((k, False) for k in "cdefgh")}
