@@ -25,18 +25,19 @@ class NextScorer(Protocol):
 
 
 class CountedModel:
-    """A counted model in memory: ``grams`` of rows (level, ctx, ch, n). Each answer is exact: characters that no context holds
-    follow in the order of their unigram share."""
+    """A counted model in memory: ``grams`` of rows (level, ctx, ch, n), and the known characters. Each answer is exact: characters that
+    no context holds follow in the order of their unigram share."""
 
-    def __init__(self, grams: Iterable[tuple[int, str, str, int]], discounts: dict[int, float], vocabulary: int):
-        self.discounts, self.vocabulary, self.order = discounts, vocabulary, max(discounts)
+    def __init__(self, grams: Iterable[tuple[int, str, str, int]], discounts: dict[int, float], known: Iterable[str]):
+        self.discounts, self.order, self.known = discounts, max(discounts), frozenset(known)
+        self.vocabulary = len(self.known) + 1
         self.followers: dict[tuple[int, str], dict[str, int]] = {}
         for level, ctx, ch, n in grams:
             self.followers.setdefault((level, ctx), {})[ch] = n
         self.totals = {k: sum(v.values()) for k, v in self.followers.items()}
         first = self.followers.get((1, ""), {})
-        self._common = sorted((c for c in first if c not in (UNKNOWN, SEPARATOR)), key=lambda c: (-first[c], c))
-        self._known: dict = {}
+        self._common = sorted((c for c in self.known if c != SEPARATOR), key=lambda c: (-first.get(c, 0), c))
+        self._answers: dict = {}
 
     def _share(self, history: str, ch: str) -> float:
         first, d = self.followers.get((1, ""), {}), self.discounts[1]
@@ -53,17 +54,18 @@ class CountedModel:
 
     def log_share(self, history: str, piece: str) -> float:
         out = 0.0
-        history = SEPARATOR + history
+        history = SEPARATOR + "".join(c if c in self.known else UNKNOWN for c in history[-(self.order - 1) :])
         for c in piece:
-            c = c if c in self.followers.get((1, ""), {}) else UNKNOWN
+            c = c if c in self.known else UNKNOWN
             out += math.log(self._share(history[-(self.order - 1) :], c))
             history += c
         return out
 
     def likeliest(self, history: str, n: int) -> list[tuple[str, float]]:
+        history = "".join(c if c in self.known else UNKNOWN for c in history[-(self.order - 1) :])
         history = (SEPARATOR + history)[-(self.order - 1) :]
         key = (history, n)
-        if key not in self._known:
+        if key not in self._answers:
             seen = {c for level in range(2, self.order + 1) if len(history) >= level - 1 for c in self.followers.get((level, history[len(history) - level + 1 :]), {})} - {UNKNOWN, SEPARATOR}
             rest, found = n, []
             for c in self._common:
@@ -73,10 +75,10 @@ class CountedModel:
                     found.append(c)
                     rest -= 1
             scored = [(c, math.log(self._share(history, c))) for c in [*seen, *found]]
-            if len(self._known) > 100_000:
-                self._known.clear()
-            self._known[key] = heapq.nsmallest(n, scored, key=lambda x: (-x[1], x[0]))
-        return self._known[key]
+            if len(self._answers) > 100_000:
+                self._answers.clear()
+            self._answers[key] = heapq.nsmallest(n, scored, key=lambda x: (-x[1], x[0]))
+        return self._answers[key]
 
 
 def continuations(scorer: NextScorer, contexts: list[str], steps: int, width: int, keep: Callable[[str], bool] | None = None) -> list[list[tuple[str, float]]]:

@@ -187,4 +187,4 @@ def in_memory(model: Model, most: int = 2_000_000) -> CountedModel:
     rows = model.grams.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a model of more than {most} grams cannot be sent to the tasks")
-    return CountedModel([tuple(r) for r in rows], model.discounts, model.vocabulary)
+    return CountedModel([tuple(r) for r in rows], model.discounts, map(chr, np.flatnonzero(model.known)))

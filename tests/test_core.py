@@ -364,11 +364,11 @@ def test_scores_know_every_counted_bigram(spark, tmp_path):
 
     from corpusmill.plans.registry import QUERIES
 
-    seq = [("train", "か" + c) for c, n in zip("さしすせそた", range(12, 0, -2), strict=True) for _ in range(n)]
-    spark.createDataFrame(seq, "split string, text string").write.parquet(str(tmp_path / "seq.parquet"))
+    seq = [(100 * k + i, "train", "か" + c) for k, (c, n) in enumerate(zip("さしすせそた", range(12, 0, -2), strict=True)) for i in range(n)]
+    spark.createDataFrame(seq, "id bigint, split string, text string").write.parquet(str(tmp_path / "seq.parquet"))
     spark.createDataFrame([(w,) for w in ("かた", "かそ", "かん", "かあ")], "word string").write.parquet(str(tmp_path / "lexicon.parquet"))
     spark.createDataFrame([(1, "", ["かた", "かそ"]), (2, None, ["かん"])], "item_id bigint, left_context string, answers array<string>").write.parquet(str(tmp_path / "eval_items.parquet"))
-    words = {(r[0], r[1]): r[2] for r in QUERIES["sch01"](spark, str(tmp_path)).collect()}
+    words = {(r[0], r[1]): r[2] for r in QUERIES["sch02"](spark, str(tmp_path)).collect()}
     assert words == {(i, k): w for i in (1, 2) for k, w in enumerate(["かそ", "かた", "かあ", "かん"])}
     scores = {r["answer"]: r["score"] for r in QUERIES["udf01"](spark, str(tmp_path)).collect()}
     assert scores == {"かた": round(math.log(2 / 42), 6), "かそ": round(math.log(4 / 42), 6), "かん": round(math.log(1e-6), 6)}
@@ -553,7 +553,7 @@ def test_counted_model_against_plain_counts(spark):
     memory = ng.in_memory(model)
     assert all(abs(memory.log_share(c or "", x) - score(c or "", x)) < 1e-9 for i, c, x in asked if x)
     for history in ("", "ab", "zz", "bca"):
-        plain = sorted(((c, log(share(("\x02" + "".join(y if y in known else "\x01" for y in history))[-(order - 1) :], c))) for c in levels[1] if c not in "\x01\x02"), key=lambda y: (-y[1], y[0]))
+        plain = sorted(((c, log(share(("\x02" + "".join(y if y in known else "\x01" for y in history))[-(order - 1) :], c))) for c in known - {"\x02"}), key=lambda y: (-y[1], y[0]))
         assert [c for c, _ in memory.likeliest(history, 3)] == [c for c, _ in plain[:3]]
     cands = spark.createDataFrame([(1, "a", "abc"), (1, "a", "abd"), (1, "a", "abd"), (1, "a", ""), (2, None, "b"), (3, "c", "ab"), (3, "c", "abb")], "id int, c string, x string")
     scored = {(r["id"], r["candidate"]): (r["scored"], r["logp"]) for r in ng.suffix_scores(cands, "id", "c", "x", model).collect()}
