@@ -504,8 +504,8 @@ def _candidates(records: DataFrame, threshold: float) -> DataFrame:
     wanted = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in cells.collect()])  # 64 slices, 2 ** MAP_BITS bits together
     windows = texts.mapInArrow(lambda b: _send_windows(b, buckets, hot), _BLOB)
     matching = records.where("in_train").select("rec", "text", "n").mapInArrow(lambda b: _send_matching(b, buckets, hot, wanted, bits), _BLOB)
-    spans = matching.unionByName(windows).repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: _spans(b, threshold, parts), _BLOB)
-    pairs = Stage(spans.repartitionById(parts, F.col("bucket")).mapInArrow(_covered, "e bigint, t bigint"), "pairs").df
+    spans = matching.unionByName(windows).repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: _spans(b, threshold, buckets), _BLOB)
+    pairs = Stage(spans.repartitionById(buckets, F.col("bucket")).mapInArrow(_covered, "e bigint, t bigint"), "pairs").df
     held.drop()
     return pairs
 
