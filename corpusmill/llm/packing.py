@@ -11,7 +11,7 @@ deficits carry across windows and partitions, and shards still run side by side.
 
 Without targets the share of a source is its part of all tokens and shards are drawn by hash. With targets, every source
 feeds the shards at the rate of its target until it is used up, when the others go on in their proportions: an item
-whose source has given c tokens before it comes at time c / target, and by that time W = sum of min(all of a source,
+whose middle is the c-th token of its source comes at time c / target, and by that time W = sum of min(all of a source,
 target * time) tokens are placed, which tells the shard. So all windows up to the first exhausted source have the mix
 wanted, though each item is still placed once.
 
@@ -155,7 +155,7 @@ def _pack_shards(batches, sizes):
 def _by_time(items: DataFrame, sources: DataFrame, whole: int, shards: int) -> DataFrame:
     """``items`` with the shard in which each comes when its source gives tokens at the rate of its share."""
     placed = running_total(items, "tokens", ["row", "doc_id", "tokens"], ["source"], "upto")
-    timed = placed.join(sources, "source").withColumn("time", (F.col("upto") - F.col("tokens")) / F.col("share"))
+    timed = placed.join(sources, "source").withColumn("time", (F.col("upto") - F.col("tokens") / 2) / F.col("share"))
     ends = Window.orderBy("end", "source")  # one row for each source
     after = ends.rowsBetween(1, Window.unboundedFollowing)
     # Between two ends W grows with the shares of the sources that are left.

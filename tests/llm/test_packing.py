@@ -80,3 +80,14 @@ def test_large_ids_survive(make):
     big = (1 << 62) + 1
     got = packing.pack(make("documents", [{"doc_id": big, "text": "hello"}, {"doc_id": None, "text": "model"}]), make("pack_sizes", [("m", 64)])).collect()
     assert {r["doc_id"] for r in got} == {big, None}
+
+
+def test_targets_of_empty_tables_and_unknown_sources(make):
+    sizes, empty = make("pack_sizes", [("m", 64)]), make("documents", [])
+    assert packing.tempered(empty) == {} and packing.pack(empty, sizes, targets={"a": 1.0}).collect() == []
+    assert packing.mixture_report(packing.pack(empty, sizes, targets={}), {}).collect() == []
+    rows = texts(200)
+    got = packing.pack(make("documents", rows), sizes, shard_items=40, targets={"absent": 3.0, "big": 1.0, "zero": 0.0}).collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in rows} and {r["source"] for r in got} == {"big", "mid", "unknown"}
+    last = max(r["container"] >> 32 for r in got)
+    assert {r["source"] for r in got if r["container"] >> 32 == 0} == {"big"} and "big" not in {r["source"] for r in got if r["container"] >> 32 == last}
