@@ -6,8 +6,11 @@ histories are scored once for all of them. Ties are broken by the text, so resul
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import math
+from collections import Counter
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
@@ -138,14 +141,17 @@ def predicted_words(scorer: NextScorer, contexts: list[str], words: list[str], t
 
 
 def diverse(scored: dict[str, float], top: int) -> list[tuple[str, float]]:
-    """The best ``top`` of which none is a start of another."""
-    chosen: list[tuple[str, float]] = []
-    for text, score in sorted(scored.items(), key=lambda x: (-x[1], x[0])):
-        if not any(text.startswith(c) or c.startswith(text) for c, _ in chosen):
-            chosen.append((text, score))
-            if len(chosen) == top:
-                break
-    return chosen
+    """The best ``top`` of which none is a start of another; kept by their starts, so each text is looked up by its own length only."""
+    out: list[tuple[str, float]] = []
+    whole: set[str] = set()
+    starts: set[str] = set()  # of what is in ``whole``, itself included
+    for text in sorted(scored, key=lambda t: (-scored[t], t)):
+        own = {text[:n] for n in range(len(text) + 1)}
+        if len(out) < top and text not in starts and not own & whole:
+            out.append((text, scored[text]))
+            whole.add(text)
+            starts |= own
+    return out
 
 
 class KeyIndex:
@@ -175,46 +181,46 @@ class KeyIndex:
                 own[word] = min(n, own.get(word, n))
         self.longest = max(map(len, self.words), default=0)
 
-    def reachable(self, keys: str) -> list[bool]:
-        """Of each place whether the keys from there on can be words."""
-        ok = [False] * len(keys) + [True]
-        for p in range(len(keys) - 1, -1, -1):
-            ok[p] = any(ok[e] and keys[p:e] in self.words for e in range(p + 1, min(len(keys), p + self.longest) + 1))
-        return ok
+    def reachable(self, keys: str) -> set[int]:
+        """The places from which on the keys can be words, the end among them."""
+        good = {len(keys)}
+        for start in reversed(range(len(keys))):
+            if any(end - start <= self.longest and keys[start:end] in self.words for end in good):
+                good.add(start)
+        return good
 
 
 def typed(scorer: NextScorer, index: KeyIndex, keys: str, context: str = "", beam: int = 16, top: int = 10, short_cost: float = 1.0) -> list[tuple[str, float]]:
     """The likeliest texts that the keys spell, best first: hypotheses wait at the key they have reached and the best ``beam`` of each
     place go on; a syllable typed by its first letter costs ``short_cost``. Keys that no words spell give nothing."""
-    ok = index.reachable(keys)
-    if not keys or not ok[0]:
+    good = index.reachable(keys)
+    if not keys or 0 not in good:
         return []
     waiting: list[dict[str, float]] = [{} for _ in range(len(keys) + 1)]
     waiting[0][""] = 0.0
     for p in range(len(keys)):
         for text, score in heapq.nsmallest(beam, waiting[p].items(), key=lambda x: (-x[1], x[0])):
-            for e in range(p + 1, min(len(keys), p + index.longest) + 1):
-                if ok[e]:
-                    for word, n in index.words.get(keys[p:e], {}).items():
-                        value = score + scorer.log_share(context + text, word) - short_cost * n
-                        if value > waiting[e].get(text + word, -math.inf):
-                            waiting[e][text + word] = value
+            for e in sorted(e for e in good if 0 < e - p <= index.longest):
+                for word, n in index.words.get(keys[p:e], {}).items():
+                    value = score + scorer.log_share(context + text, word) - short_cost * n
+                    if value > waiting[e].get(text + word, -math.inf):
+                        waiting[e][text + word] = value
     return heapq.nsmallest(top, waiting[-1].items(), key=lambda x: (-x[1], x[0]))
 
 
 def simulate(message: str, costs: list[int], ends: list[int], predictions: Callable[[int], list[tuple[str, float]]], threshold: float, show: int = 3) -> dict[str, int]:
-    """Typing a message: after each commit up to ``show`` predictions of the threshold or more are offered, and the longest that fits is
-    taken with one key; else the next word is typed in full. ``costs`` are keys by character, ``ends`` the ends of the words."""
-    at = keys = shows = clicks = 0
-    while at < len(message):
-        offered = [text for text, score in predictions(at)[:show] if score >= threshold] if at else []
-        shows += bool(offered)
-        hits = [x for x in offered if x and message.startswith(x, at)]
-        if hits:
-            at += len(max(hits, key=len))
-            keys, clicks = keys + 1, clicks + 1
-            continue
-        end = next(e for e in ends if e > at)
-        keys += sum(costs[at:end])
-        at = end
-    return {"keys": keys, "baseline_keys": sum(costs), "shows": shows, "clicks": clicks}
+    """What it takes to type a message with predictions: ``pressed`` keys, ``plain`` keys without any, ``offers`` shown and ``taken``.
+
+    From the first commit on, up to ``show`` predictions of the threshold or more stand ready at every commit; the longest that fits is
+    taken with one key. Where none fits, the word goes in full. ``costs`` are keys by character, ``ends`` the ends of the words in order.
+    """
+    upto = list(itertools.accumulate(costs, initial=0))
+    tally = Counter(plain=upto[-1])
+    spot = 0
+    while spot < len(message):
+        shown = [text for text, score in (predictions(spot) if spot else [])[:show] if score >= threshold]
+        gain = max((len(x) for x in shown if message[spot : spot + len(x)] == x), default=0)
+        following = spot + gain if gain else ends[bisect.bisect_right(ends, spot)]
+        tally.update(offers=1 if shown else 0, taken=1 if gain else 0, pressed=1 if gain else upto[following] - upto[spot])
+        spot = following
+    return {k: tally[k] for k in ("pressed", "plain", "offers", "taken")}

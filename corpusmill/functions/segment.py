@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-#: Brackets that belong together, signs that end a sentence, where a web address ends, and words that tell
-#: that a line goes on.
+#: Brackets that belong together, signs that end a sentence, where a web address ends, words that tell that a
+#: line goes on, and marks of list items.
 BRACKETS = {"「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "“": "”"}
 ENDS = "。！？!?"
 ADDRESS = r"https?://[^\s「」『』（）()\[\]【】“”。！？]+"

@@ -486,7 +486,7 @@ def sch05(spark, d):
     characters and more are offered after each commit."""
     words, scorer = _listed(spark, d), _scorer(spark, d)
 
-    @F.pandas_udf("struct<keys:int,baseline_keys:int,shows:int,clicks:int>")
+    @F.pandas_udf("struct<pressed:int,plain:int,offers:int,taken:int>")
     def over(x: pd.Series) -> pd.DataFrame:
         book = frozenset(words)
         longest = max(map(len, words), default=1)
@@ -497,7 +497,7 @@ def sch05(spark, d):
                 ends.append((ends[-1] if ends else 0) + len(piece))
             offer = lambda at, text=text: [y for n in (2, 3) for y in search.continuations(scorer.value, [text[:at]], n, 2)[0]]
             rows.append(search.simulate(text, [len(s) for s in syllables(text)], ends, offer, -6.0))
-        return pd.DataFrame(rows, columns=["keys", "baseline_keys", "shows", "clicks"])
+        return pd.DataFrame(rows, columns=["pressed", "plain", "offers", "taken"])
 
     return table(spark, d, "eval_items").select("item_id", over("text").alias("s")).select("item_id", "s.*")
 

@@ -612,8 +612,8 @@ def test_searches_against_enumeration():
     assert [w for w, _ in search.diverse({"ab": -1.0, "abc": -0.5, "b": -2.0, "ba": -3.0}, 5)] == ["abc", "b"]
     assert [w for w, _ in search.predicted_words(m, ["xa"], ["a", "ab", "ac", "b"], 2)[0]] == ["b", "c"]
     told = search.simulate("abcde", [2] * 5, [2, 5], lambda at: [("cd", 0.0), ("c", 0.0), ("x", 0.0)] if at == 2 else [], -1.0)
-    assert told == {"keys": 4 + 1 + 2, "baseline_keys": 10, "shows": 1, "clicks": 1}
-    assert search.simulate("", [], [], lambda at: [], 0.0) == {"keys": 0, "baseline_keys": 0, "shows": 0, "clicks": 0}
+    assert told == {"pressed": 4 + 1 + 2, "plain": 10, "offers": 1, "taken": 1}
+    assert search.simulate("", [], [], lambda at: [], 0.0) == {"pressed": 0, "plain": 0, "offers": 0, "taken": 0}
 
 
 def test_decisions_and_rescoring(spark):
