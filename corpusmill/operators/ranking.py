@@ -86,3 +86,12 @@ def quarantined(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """The rows with ``quarantine``: the rule that holds, ``both`` if several do, ``clear`` if none does."""
     hit = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
     return df.withColumn("quarantine", F.when(F.size(hit) == 0, "clear").when(F.size(hit) == 1, hit[0]).otherwise("both"))
+
+
+def error_class(choice: Column, gold: Column) -> Column:
+    """``correct``; ``notation`` if the letters and digits agree but for case and punctuation, or the Han letters alone do and there are some;
+    else ``semantic``. Null if either is null."""
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    han = lambda c: F.regexp_replace(c, r"[^\p{IsHan}]", "")
+    near = (letters(choice) == letters(gold)) | ((han(choice) == han(gold)) & (han(choice) != ""))
+    return F.when(choice == gold, "correct").when(near, "notation").when(choice.isNotNull() & gold.isNotNull(), "semantic")

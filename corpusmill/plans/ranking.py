@@ -328,16 +328,12 @@ def sta12(spark, d):
     return rk.rerank(long.groupBy("item", "pos").agg(F.sum("v").alias("v")), "item", F.col("v")).select("item", "pos", "rank")
 
 
-@query("sta13", r"with e as (select item_id, suite, item_group, regexp_replace(nfc_normalize(text),'[^\p{Han}]','','g') as han, regexp_replace(lower(nfc_normalize(text)),'[^\p{L}\p{N}]','','g') as letters from eval_items where item_group is not null) select a.item_id, b.item_id as other, case when a.letters=b.letters then 'same' when a.han=b.han and a.han<>'' then 'notation' else 'meaning' end as class from e a join e b on a.suite=b.suite and a.item_group=b.item_group and a.item_id<b.item_id")
+@query("sta13", r"with a as (select item_id, answers, unnest(range(1,len(answers)+1)) as pos from eval_items), x as (select item_id, pos, nfc_normalize(answers[pos]) as c, nfc_normalize(answers[1]) as g from a where pos>1 and answers[pos] is not null and answers[1] is not null), y as (select item_id, pos, c, g, regexp_replace(lower(c),'[^\p{L}\p{N}]','','g') as lc, regexp_replace(lower(g),'[^\p{L}\p{N}]','','g') as lg, regexp_replace(c,'[^\p{Han}]','','g') as hc, regexp_replace(g,'[^\p{Han}]','','g') as hg from x) select item_id, pos, case when c=g then 'correct' when lc=lg or (hc=hg and hc<>'') then 'notation' else 'semantic' end as class from y")
 def sta13(spark, d):
-    """The class of an error against every pair of answers of a suite that share a group: notation if the Han letters are the same
-    once kana, width and punctuation are set aside, else meaning."""
-    e = table(spark, d, "eval_items").where("item_group is not null").select("item_id", "suite", "item_group", t.nfc(F.col("text")).alias("x"))
-    e = e.select("item_id", "suite", "item_group", F.regexp_replace("x", r"[^\p{IsHan}]", "").alias("han"), F.regexp_replace(F.lower("x"), r"[^\p{L}\p{N}]", "").alias("letters"))
-    o = e.select(F.col("item_id").alias("other"), "suite", "item_group", F.col("han").alias("han2"), F.col("letters").alias("letters2"))
-    x = e.join(o, ["suite", "item_group"]).where("item_id < other")
-    kind = F.when(F.col("letters") == F.col("letters2"), "same").when((F.col("han") == F.col("han2")) & (F.col("han") != ""), "notation").otherwise("meaning")
-    return x.select("item_id", "other", kind.alias("class"))
+    """The class of every further answer against the first: correct, only written otherwise, or of another meaning."""
+    e = table(spark, d, "eval_items").select("item_id", F.col("answers")[0].alias("gold"), F.posexplode("answers").alias("pos", "choice")).where("pos > 0 and choice is not null and gold is not null")
+    e = e.select("item_id", (F.col("pos") + 1).cast("bigint").alias("pos"), t.nfc(F.col("choice")).alias("choice"), t.nfc(F.col("gold")).alias("gold"))
+    return e.select("item_id", "pos", rk.error_class(F.col("choice"), F.col("gold")).alias("class"))
 
 
 @query("sta14", "select l_orderkey, count(*) as lines, bool_and(abs(l_extendedprice)<1e7) as in_range, round(max(l_tax)-min(l_tax),6) as spread from lineitem group by 1 having max(l_tax)-min(l_tax)>0.07")

@@ -700,3 +700,12 @@ def test_replies_are_read_strictly(spark):
     errors = {r["batch"]: r["error"] for r in replies.collect()}
     assert errors == {"a": None, "b": None, "c": "json", "d": "decision", "e": "empty", "f": None, "g": "json", "x": None}
     assert {tuple(r) for r in ann.reply_check(asked, replies, "batch", "key").collect()} == {("a", True), ("b", True), *((k, False) for k in "cdefgh")}
+
+
+def test_classes_of_errors(spark):
+    from corpusmill.operators import ranking as rk
+
+    rows = [("東京。", "東京", "notation"), ("東京", "東京", "correct"), ("漢字を", "漢字が", "notation"), ("ひらがな", "ひら", "semantic"), ("ABC", "abc!", "notation"), ("山", "川", "semantic"), (None, "x", None), ("", "", "correct")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a string, b string")
+    got = {r["i"]: r["c"] for r in df.select("i", rk.error_class(F.col("a"), F.col("b")).alias("c")).collect()}
+    assert got == {i: c for i, (*_, c) in enumerate(rows)}
