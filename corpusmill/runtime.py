@@ -7,10 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: list[str] = []
+_made: list[list[Stage]] = []  # of each ``finished`` under way the stages written in it
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -54,6 +56,8 @@ class Stage:
         schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
+        if _made:
+            _made[-1].append(self)
 
     @property
     def rows(self) -> int:
@@ -67,6 +71,21 @@ class Stage:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def finished(make: Callable[[], DataFrame], name: str = "finished") -> Stage:
+    """Writes what ``make`` gives and drops the stages that were written on the way; nothing else may refer to them."""
+    _made.append([])
+    try:
+        stage = Stage(make(), name)
+    finally:
+        spent = _made.pop()
+    for other in spent:
+        if other is not stage:
+            other.drop()
+    if _made:
+        _made[-1].append(stage)
+    return stage
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it; elsewhere it must be shipped (``--py-files``)."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -709,3 +709,21 @@ def test_classes_of_errors(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a string, b string")
     got = {r["i"]: r["c"] for r in df.select("i", rk.error_class(F.col("a"), F.col("b")).alias("c")).collect()}
     assert got == {i: c for i, (*_, c) in enumerate(rows)}
+
+
+def test_stages_on_the_way_are_dropped(spark):
+    import os
+
+    from corpusmill.runtime import finished
+
+    made = []
+
+    def build():
+        for k in range(2):
+            made.append(Stage(spark.range(k + 1), "way"))
+        made.append(finished(lambda: made[0].df.unionByName(Stage(made[1].df, "deep").df), "inner"))
+        return made[2].df
+
+    whole = finished(build, "whole")
+    gone = [os.path.exists(s.path.removeprefix("file:").replace("//", "/")) for s in made]
+    assert whole.df.count() == 3 and gone == [False, False, False]
