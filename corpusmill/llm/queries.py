@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.llm import boilerplate, leaks, mixing, neardup, overlap, packing, pii, splits
-from corpusmill.runtime import Stage, table
+from corpusmill.runtime import finished, table
 
 
 def p1_found(spark, d):
@@ -22,13 +22,13 @@ def p1_shares(spark, d):
 
 def p3_groups(spark, d):
     """One row per content that has a near or exact duplicate; the group is named by its smallest hash."""
-    members = Stage(neardup.near_duplicates(table(spark, d, "units"), count_links=True), "p3").df
+    members = finished(lambda: neardup.near_duplicates(table(spark, d, "units"), count_links=True), "p3").df
     named = members.groupBy("group_id").agg(F.min("doc_hash").alias("group_hash"), F.count("*").alias("members"))
     return members.join(named, "group_id").select("group_hash", "doc_hash", "class_key", "links", "members")
 
 
 def p3_found(spark, d):
-    return neardup.group_pairs(neardup.near_duplicates(table(spark, d, "units")))
+    return neardup.group_pairs(finished(lambda: neardup.near_duplicates(table(spark, d, "units")), "p3").df)
 
 
 def p5_found(spark, d):
@@ -38,7 +38,7 @@ def p5_found(spark, d):
 def p5_cleaned(spark, d):
     """Each content without the lines that repeat over clusters of near-duplicate contents of a site, on more than one day."""
     units = table(spark, d, "units")
-    clusters = Stage(neardup.near_duplicates(units).select("doc_hash", F.col("group_id").alias("cluster")), "clusters").df
+    clusters = finished(lambda: neardup.near_duplicates(units).select("doc_hash", F.col("group_id").alias("cluster")), "clusters").df
     return boilerplate.without_repeated(units, table(spark, d, "origins"), min_days=2, clusters=clusters)
 
 
