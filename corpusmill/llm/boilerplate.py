@@ -59,10 +59,16 @@ def content_sites(origins: DataFrame) -> DataFrame:
     return origins.select("doc_hash", site_of(F.col("source"), F.col("source_file")).alias("site")).where("doc_hash is not null and site is not null").distinct()
 
 
-def first_days(origins: DataFrame) -> DataFrame:
-    """``(doc_hash, site, day)``: the day a content first appeared on a site; null if no date is known."""
+def first_days(origins: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """``(doc_hash, site, day)``: the day a content, or the first one of its cluster, first appeared on a site; null if no date is known."""
     dated = origins.select("doc_hash", site_of(F.col("source"), F.col("source_file")).alias("site"), F.to_date("crawled_at").alias("day"))
-    return dated.where("doc_hash is not null and site is not null").groupBy("doc_hash", "site").agg(F.min("day").alias("day"))
+    days = dated.where("doc_hash is not null and site is not null").groupBy("doc_hash", "site").agg(F.min("day").alias("day"))
+    if clusters is None:
+        return days
+    joined = days.join(clusters.select("doc_hash", "cluster").where("cluster is not null"), "doc_hash")
+    firsts = joined.groupBy("cluster", "site").agg(F.min("day").alias("first"))
+    shared = joined.join(firsts, ["cluster", "site"]).select("doc_hash", "site", "first")
+    return days.join(shared, ["doc_hash", "site"], "left").select("doc_hash", "site", F.coalesce("first", "day").alias("day"))
 
 
 def days_of(lines: DataFrame, days: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -88,13 +94,14 @@ def repeated_units(units: DataFrame, origins: DataFrame, min_contents: int = 8,
     """``(doc_hash, paragraph_index, sentence_index)`` of each unit whose line is repeated in a site of its content.
 
     The counts are over distinct contents: a line is a case in "at least 8 distinct contents and at least 5 %" of them.
-    With ``min_days`` the line must also have appeared on so many different days, unless none of its contents has a date.
+    With ``min_days`` the line must also have appeared on so many different days, unless none of its contents has a date;
+    contents of one cluster have the day on which the first of them appeared on the site.
     """
     lines = Stage(keyed_lines(units), "lines").df
     sites = Stage(content_sites(origins), "sites").df
     repeated = Stage(repeated_lines(lines, sites, min_contents, min_share, clusters), "repeated").df
     if min_days:
-        lasting = days_of(lines, first_days(origins), repeated).where((F.col("days") >= min_days) | (F.col("days") == 0))
+        lasting = days_of(lines, first_days(origins, clusters), repeated).where((F.col("days") >= min_days) | (F.col("days") == 0))
         repeated = repeated.join(lasting.select("site", "line"), ["site", "line"], "left_semi")
         repeated = Stage(repeated, "lasting").df
     # Only contents of sites with such lines, and only such lines, take part in the wide join.

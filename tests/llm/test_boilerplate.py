@@ -83,3 +83,17 @@ def test_an_article_of_one_day_stays_and_lines_without_dates_go(make):
     undated = [{**o, "crawled_at": None} for o in dated]
     clean = {r["doc_hash"]: r["text"] for r in boilerplate.without_repeated(u, make("origins", undated), min_days=2).collect()}
     assert clean["d0"] == "" and clean["d11"] == "別の行"
+
+
+def test_near_copies_of_other_days_have_the_day_of_their_cluster(make, spark):
+    from datetime import datetime
+
+    # Nine articles of one day with a line; one is published again, edited, on the next days.
+    units = [{"doc_hash": f"d{k:02d}", "text_hash": "h", "text": t, "paragraph_index": i, "sentence_index": 0} for k in range(14) for i, t in enumerate(["毎日の行", "一日だけの行" if k < 12 else "別の行"])]
+    origins = [{"doc_hash": f"d{k:02d}", "source": "s", "source_file": "a/s/b", "crawled_at": datetime(2031, 3, 1 if k < 9 else k)} for k in range(14)]
+    u, o = make("units", units), make("origins", origins)
+    clusters = spark.createDataFrame([(f"d{k:02d}", "c") for k in (0, 9, 10, 11)], "doc_hash string, cluster string")
+    hit = lambda **kw: {r["paragraph_index"] for r in boilerplate.repeated_units(u, o, min_days=2, **kw).collect()}
+    assert hit() == {0, 1} and hit(clusters=clusters) == {0}
+    clean = {r["doc_hash"]: r["text"] for r in boilerplate.without_repeated(u, o, min_days=2, clusters=clusters).collect()}
+    assert clean["d00"] == clean["d11"] == "一日だけの行" and clean["d13"] == "別の行"
